@@ -1,0 +1,8 @@
+"""Literature-path analytics on Spark. See README.md."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package go to the executors by value, so that a cluster needs no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

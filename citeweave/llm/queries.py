@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm import license_scan, pii, quality_rules, url_filter
+from citeweave.llm import license_scan, packing, pii, quality_rules, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": url_filter.query,
+        "op2_best_fit_packing": packing.query,
         "op3_pii": pii.query,
         "op4_license_scan": license_scan.query,
         "op9_quality_rules": quality_rules.query,

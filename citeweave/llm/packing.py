@@ -9,6 +9,7 @@ pieces of its length.
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
 import zlib
@@ -30,8 +31,9 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: One of these at the end of a word is a unit of its own.
 _MARKS = (".", ",")
+_PLAIN = re.compile(r"[\w .,]*")
 #: A worker forgets the words it has encoded when they hold this many characters.
-MEMO_CHARS = 48 << 20
+MEMO_CHARS = 96 << 20
 
 
 def _worker(path: str):
@@ -62,6 +64,15 @@ def _encode_simple(cores: list[str], kept: dict, chunk: int = 20_000) -> None:
             start = end
 
 
+def _parts(text: str) -> list[str]:
+    """The parts to be encoded each by itself. In texts of letters, digits, full stops and commas alone, and none of the
+    marks side by side, a mark at a word's end is a part too: it is a unit of its own there."""
+    line = text.replace("\n", " ")
+    if _PLAIN.fullmatch(line) and not any(x in line for x in ("_", "..", ",,", ".,", ",.")):
+        line = line.replace(". ", " . ").replace(", ", " , ")
+    return line.split(" ")
+
+
 def encode(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
@@ -73,7 +84,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     if kept["size"] > MEMO_CHARS:
         words.clear()
         kept["size"] = 0
-    parts = [t.replace("\n", " ").split(" ") for t in texts]
+    parts = [_parts(t) for t in texts]
     new = set().union(*parts) - words.keys()
     if new:
         simple, other = [], []

@@ -243,16 +243,108 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, key, d, n, pos): first elements, in an order that is the same for all, of each other's difference D to its hub.
+
+    Two sets u, v differ in |D_u| + |D_v| - 2 |D_u & D_v| elements, so to be linked, if not both are linked to their hub,
+    they must share o = (|D_u| + |D_v| - most) / 2 > 0 elements of D, hence one among the first |D| - o + 1 of each. What
+    only copies of a text add comes first, so that sets which differ in edits of their own don't meet.
+    """
+    names = ["sig", "key", "d", "n", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for hub, other, x, y in zip(*(batch.column(k) for k in range(4))):
+                h, u = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                d = np.concatenate([np.setdiff1d(u, h, True), np.setdiff1d(h, u, True)])
+                n = len(d)
+                if (den + num) * n > (den - num) * (len(u) + len(h)):  # not linked to the hub
+                    least = ((den + num) * (n + 1) - (den - num) * (len(u) + len(h) + 1)) / (2 * (den + num))
+                else:
+                    least = n * num / (den + num)
+                first = n - max(1, int(np.ceil(least - 1e-9))) + 1
+                with np.errstate(over="ignore"):
+                    out[0].append(mix(d[:first] + mix(np.array([hub.as_py()], np.int64).view(np.uint64))).view(np.int64))
+                for k, value in ((1, other.as_py()), (2, n), (3, len(u))):
+                    out[k].append(np.full(first, value, np.int64))
+                out[4].append(np.arange(1, first + 1))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
+
+    left = sets.select(F.col("key").alias("hub"), F.col("s").alias("sa"))
+    right = sets.select(F.col("key").alias("other"), F.col("s").alias("sb"))
+    rows = pairs.join(left, "hub").join(right, "other").select("hub", "other", "sa", "sb")
+    return rows.mapInArrow(run, "sig bigint, key bigint, d bigint, n bigint, pos bigint")
+
+
+class _State:
+    """Links and classes found so far, and the pairs tested for them."""
+
+    def __init__(self, spark: SparkSession, scratch: Scratch, sets: DataFrame, num: int, den: int):
+        self.spark, self.scratch, self.sets, self.num, self.den, self.i = spark, scratch, sets, num, den, 0
+        self.links = spark.createDataFrame([], "a bigint, b bigint")
+        self.tested, self.label = self.links, spark.createDataFrame([], "node bigint, component bigint")
+
+    def test(self, pairs: DataFrame) -> int:
+        """Verifies the pairs that weren't before, and joins the classes of those linked."""
+        self.i += 1
+        new = pairs.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = self.scratch.save(new.join(self.tested, ["a", "b"], "left_anti") if self.i > 1 else new, f"pairs{self.i}")
+        found = self.scratch.save(_verify(new, self.sets, self.num, self.den), f"links{self.i}")
+        self.tested = self.tested.union(new)
+        n = found.count()
+        if n:
+            self.links = self.links.union(found)
+            inner = Scratch(self.spark, f"jaccard-cc{self.i}")
+            self.label = inner.save(connected_components(self.links, inner.save, inner.drop), "labels")
+        return n
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        joined = rows.drop("label").join(self.label.select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left")
+        return joined.withColumn("label", F.coalesce("label", "key"))
+
+    def open(self, rows: DataFrame) -> DataFrame:
+        """Rows of buckets (sig, key) that hold several classes, with their class as label."""
+        rows = self.labelled(rows)
+        mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+        return rows.join(mixed, "sig", "left_semi")
+
+    def settle(self, rows: DataFrame) -> None:
+        """Tests what may be linked in buckets of _differences(): 8 sets of each against the rest, then 64, and so on."""
+        most = lambda a, b: f"({self.den - self.num} * ({a} + {b}) div {self.den + self.num})"
+        share = lambda d, e, n, m: f"((greatest({d} + {e} - {most(n, m)}, 1) + 1) div 2)"
+        left = self.scratch.save(rows.distinct(), "differences")
+        for k in range(2):  # without what can't be linked to any other of its bucket
+            some = left.groupBy("sig").agg(F.min("d").alias("low"), F.max("n").alias("high"), F.count("*").alias("m")).where("m > 1")
+            left = left.join(some, "sig").where(f"pos <= d - {share('d', 'low', 'n', 'high')} + 1").select("sig", "key", "d", "n", "pos")
+        left = self.scratch.save(self.open(left), "left0")
+        self.scratch.drop("differences")
+        order = Window.partitionBy("sig").orderBy("d", "key")
+        for i in range(1, 22):
+            if left.isEmpty():
+                return
+            numbered = left.withColumn("r", F.row_number().over(order))
+            hubs = numbered.where(F.col("r") <= 8**i).select("sig", *(F.col(c).alias(f"{c}2") for c in ("key", "d", "n", "pos", "label", "r")))
+            o = share("d", "d2", "n", "n2")
+            near = f"r > r2 AND label <> label2 AND pos <= d - {o} + 1 AND pos2 <= d2 - {o} + 1"
+            self.test(numbered.join(hubs, (numbered["sig"] == hubs["sig"]) & F.expr(near)).select("key", "key2"))
+            following = self.scratch.save(self.open(numbered.where(F.col("r") > 8**i).drop("r")), f"left{i}")
+            self.scratch.drop(f"left{i - 1}")
+            left = following
+        raise RuntimeError("buckets are left")
+
+
 def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
     """Classes and links of `docs` (doc_id, text) whose sets of `width`-word shingles are similar by num / den or more.
 
     Returns (members, links). members: doc_id, tid (hash of the text), key (of the set; null: empty), n (set size) and
     component (smallest doc_id reachable by links). links: a, b, pairs of keys that connect all that is linked.
 
-    Pairs are tested in rounds. In each, of the sets that share a signature, the ones that share most with others are
-    held against all the rest which aren't known to be connected to them, at first one and in each round twice as many;
-    a bucket is done when its untested sets are connected. So each link is found or its ends are connected by others,
-    and a group of copies costs as many tests as it has members, not pairs.
+    Of the sets that share a signature, the one that shares most with others is the hub, and all are held against it. Where
+    several classes are left in a bucket, the differences to the hub tell which of its sets may still be linked to each
+    other (_differences), and these are tested, if they aren't connected by then. So each link is found or its ends are
+    connected by others, and a group of copies costs as many tests as it has members, not pairs.
 
     Defined cases: null and empty texts have n 0, no key, and are a class alone; equal sets are one key however many
     documents have it; repeated rows are repeated members; further columns are ignored; an empty table gives no rows.
@@ -272,33 +364,20 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     rank = scratch.save(buckets.groupBy("key").agg(F.sum("weight").alias("weight")), "rank")
     keys = members.join(rank.select("key"), "key", "left_semi").groupBy("key").agg(F.min("tid").alias("tid"))
     sets = scratch.save(_sets(docs, keys.select("tid"), width), "sets")
-    left = scratch.save(buckets.drop("weight").join(rank, "key"), "left0")
+    state = _State(spark, scratch, sets, num, den)
+    ranked = scratch.save(buckets.select("sig", "key").join(rank, "key"), "ranked")
     scratch.drop("buckets", "rank")
-    label = None
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    tested = spark.createDataFrame([], "a bigint, b bigint")
-    for i in range(64):
-        if left.isEmpty():
-            break
-        first = Window.partitionBy("sig").orderBy(F.desc("weight"), "key")
-        hubs = left.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 1 << i).select("sig", F.col("key").alias("hub"), *([F.col("label").alias("hub_label")] if label is not None else []))
-        pairs = left.join(hubs, "sig").where("key <> hub" if label is None else "key <> hub AND label <> hub_label")
-        pairs = pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-        pairs = scratch.save(pairs if label is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs{i}")
-        links = links.union(scratch.save(_verify(pairs, sets, num, den), f"links{i}"))
-        tested = tested.union(pairs)
-        inner = Scratch(spark, f"jaccard-cc{i}")
-        label = inner.save(connected_components(links, inner.save, inner.drop), "labels")
-        rest = left.drop("label").join(hubs.select("sig", F.col("hub").alias("key")), ["sig", "key"], "left_anti")
-        rest = rest.join(label.select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        open_ = rest.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        following = scratch.save(rest.join(open_, "sig", "left_semi"), f"left{i + 1}")
-        scratch.drop(f"left{i}")
-        left = following
-    else:
-        raise RuntimeError("buckets are left after 64 rounds")
+    first = Window.partitionBy("sig").orderBy(F.desc("weight"), "key")
+    hubs = scratch.save(ranked.withColumn("r", F.row_number().over(first)).where("r = 1").select("sig", F.col("key").alias("hub")), "hubs")
+    pairs = ranked.join(hubs, "sig").where("key <> hub")
+    state.test(pairs.select("hub", F.col("key").alias("other")).distinct())
+    rest = ranked.join(hubs, "sig").where("key <> hub").select("sig", "hub", "key")
+    still = scratch.save(state.open(rest).select("hub", F.col("key").alias("other")).distinct(), "still")
+    if not still.isEmpty():
+        state.settle(_differences(still, sets, num, den))
+    label, links = state.label, state.links
     lowest = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low"))
-    if label is not None:
+    if state.i:
         linked = label.withColumnRenamed("node", "key").join(lowest, "key")
         low = linked.groupBy("component").agg(F.min("low").alias("joint"))
         lowest = lowest.join(linked.select("key", "component").join(low, "component").select("key", "joint"), "key", "left").select("key", F.coalesce("joint", "low").alias("low"))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import Scratch, table
@@ -20,9 +20,9 @@ from citeweave.llm.common import Scratch, table
 #: The quantisers are fitted on at most this many vectors, those of the smallest hashes of their ids.
 SAMPLE = 20_000
 #: Centroids of a half. Cells are their square, so their counts, which go to every query, are bounded.
-CENTROIDS = 32
+CENTROIDS = 64
 #: A query visits cells until they hold this share of all vectors, and at least so many.
-SHARE, LEAST = 0.2, 2000
+SHARE, LEAST = 0.5, 2000
 TOP = 20
 #: Vectors of a cell that are compared at once, and queries.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
@@ -163,8 +163,6 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
 
     met = packed.join(visits, "cell").select("queries", "vectors").mapInArrow(compare, "qid bigint, vec_id bigint, score double")
     order = [F.desc("score"), "vec_id"]
-    from pyspark.sql import Window
-
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("r") <= top + 1).drop("r")
     best = best.groupBy("qid").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))).alias("found"))
     answered = asked.join(once, "x").select(F.col("vec_id").alias("query_id"), "qid").join(best, "qid")

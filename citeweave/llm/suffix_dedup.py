@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from citeweave.llm.common import Scratch, table, text_chunks
 
 LENGTH, GRAM = 200, 32
-#: Rows are broadcast up to this many; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
 #: Bytes of anchors that one task holds, about; the number of tasks follows.
 TASK_BYTES = 48 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -341,8 +339,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = scratch.save(_find(docs, 4 * tasks, tasks, length), "found")
     asked = found.where("low IS NULL").groupBy("tid").agg(F.collect_list(F.struct("place", "back", "ahead", "need", "khash")).alias("asks"))
     texts = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
-    few = found.where("low IS NULL").limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    edges = scratch.save(_compare(texts, F.broadcast(asked) if few else asked, 4 * tasks, tasks, length), "edges")
+    edges = scratch.save(_compare(texts, asked, 4 * tasks, tasks, length), "edges")
     spans = found.where("low IS NOT NULL").select("tid", "low", "high").union(edges).distinct()
     # Sorted by their starts, a span opens a run where it starts after all before it have ended.
     merged = """aggregate(array_sort(s), cast(array() as array<struct<low: bigint, high: bigint>>), (a, x) ->
@@ -364,9 +361,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     nothing; of repeated rows each repeats the others; overlapping repeats count (a run of one letter is removed whole).
     """
     spans = repeated_spans(docs.select("text"), length)
-    few = spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS // 5
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("text").alias("tid"))
-    joined = own.join(F.broadcast(spans) if few else spans, "tid", "left").select("_row", "spans")
+    joined = own.join(spans, "tid", "left").select("_row", "spans")
     at = docs.columns.index("text")
     row_type = joined.schema["_row"].dataType.simpleString()
 

@@ -31,6 +31,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: One of these at the end of a word is a unit of its own.
 _MARKS = (".", ",")
+_LOWER = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _PLAIN = re.compile(r"[\w .,]*")
 #: A worker forgets the words it has encoded when they hold this many characters.
 MEMO_CHARS = 96 << 20
@@ -55,7 +56,7 @@ def _encode_simple(cores: list[str], kept: dict, chunk: int = 20_000) -> None:
     """Encodes words of Latin-1 letters many at a time: each is one unit of the tokenizer, whose last token closes it."""
     for at in range(0, len(cores), chunk):
         some = cores[at : at + chunk]
-        ids = np.asarray(kept["tokenizer"].encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        ids = np.asarray(kept["tokenizer"].encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
         ends = np.flatnonzero(kept["closes"][ids]) + 1
         assert len(ends) == len(some) and ends[-1] == len(ids), "the tokenizer doesn't close each word"
         data, start = ids.tobytes(), 0
@@ -85,19 +86,23 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         words.clear()
         kept["size"] = 0
     parts = [_parts(t) for t in texts]
-    new = set().union(*parts) - words.keys()
+    distinct = set().union(*parts)
+    new = distinct.difference(words)
     if new:
         simple, other = [], []
-        for w in new:
+        plain = [w for w in new if _LOWER(w)]
+        _encode_simple(plain, kept)
+        for w in new.difference(plain):
             core = w[:-1] if w[-1:] in _MARKS else w
             (simple if core.isalpha() and max(core) <= "ÿ" else other).append((w, core.lower()))
-        _encode_simple(list({c for _, c in simple} - words.keys()), kept)
+        _encode_simple(list({c for _, c in simple}.difference(words)), kept)
         for w, core in simple:
             words[w] = words[core] + kept["marks"][w[-1]] if w[-1] in _MARKS else words[core]
         for (w, _), e in zip(other, kept["tokenizer"].encode_batch_fast([w for w, _ in other], add_special_tokens=False)):
             words[w] = np.asarray(e.ids, "<u4").tobytes()
         kept["size"] += sum(map(len, new)) + 64 * len(new)
-    return [b"".join(map(words.__getitem__, p)) for p in parts]
+    near = dict(zip(distinct, map(words.__getitem__, distinct)))  # small, so that most look-ups stay in the processor's cache
+    return [b"".join(map(near.__getitem__, p)) for p in parts]
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -111,7 +116,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.asarray([END_ID], "<u4").tobytes()
         kind = None
-        for keys, texts in text_chunks(batches):
+        for keys, texts in text_chunks(batches, 1 << 20):
             rows: list[list] = [[] for _ in range(5)]
             ids = []
             for key, own in zip(keys, encode(texts, path)):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm import jaccard_join, license_scan, maxent_lm, multi_index, packing, pii, quality_rules, suffix_dedup, url_filter
+from citeweave.llm import jaccard_join, license_scan, maxent_lm, multi_index, packing, pii, piece_encoding, quality_rules, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_multi_index": multi_index.query,
         "op6_jaccard_join": jaccard_join.query,
         "op7_suffix_dedup": suffix_dedup.query,
+        "op8_piece_encoding": piece_encoding.query,
         "op9_quality_rules": quality_rules.query,
         "op10_maxent_lm": maxent_lm.query,
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -30,7 +31,7 @@ def ascii_lower(text: Column) -> Column:
 
 def fenced(value: Column) -> Column:
     """`value`, kept from being copied into filters above: there, lambdas would evaluate it for each element."""
-    return F.when(F.rand(0) >= 0, value)
+    return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
 def double_array(spark: SparkSession, values: list[float]) -> Column:
@@ -86,6 +87,21 @@ class Scratch:
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed(function):
+    """`function` of Arrow batches, after which the worker hands memory that it has freed back to the machine."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return run
+
+
 def text_chunks(batches, limit: int = 4 << 20, key: int = 0, text: int = 1):
     """(keys, texts) of about `limit` characters from Arrow batches; a longer text comes alone. Null texts are ""."""
     keys, texts, size = [], [], 0

@@ -18,11 +18,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import UPPER, LOWER, Scratch, table, text_chunks
+from citeweave.llm.common import LOWER, Scratch, UPPER, table, text_chunks, trimmed
 from citeweave.operators.components import connected_components
 
 #: A worker forgets word hashes when it holds this many.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 250_000
 #: Ids or keys are broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of signatures that one task of the join holds, about; the number of tasks follows.
@@ -155,7 +155,7 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
                 schema = schema or pa.schema([("part", pa.int32()), ("doc_id", b.schema.field(0).type), ("tid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("blob", pa.binary())])
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["d", "t"]), b.column(2)], names=["k", "t"])
 
-        for ids, texts in text_chunks(pairs()):
+        for ids, texts in text_chunks(pairs(), 2 << 20):
             sets = [shingle_set(t, width) for t in texts]
             keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             yield _rows(names, schema, part=[x["t"] % parts if x["t"] is not None else 0 for x in ids], doc_id=[x["d"] for x in ids], tid=[x["t"] for x in ids], key=keys, n=[len(s) for s in sets])
@@ -200,7 +200,7 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
                 yield _rows(out, schema, key=key[some], sig=signed[some].view(np.int64))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, ddl).repartition(tasks, "part").mapInArrow(meet, f"doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint")
+    return texts.mapInArrow(trimmed(run), ddl).repartition(tasks, "part").mapInArrow(trimmed(meet), f"doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint")
 
 
 def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -212,12 +212,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(key, s): the shingle set, as bytes, of each of the wanted (tid); one text for each key is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_chunks(batches):
+        for _, texts in text_chunks(batches, 2 << 20):
             sets = [s for s in (shingle_set(t, width) for t in texts) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "s"])
 
     found = docs.select(F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text")).join(_small(wanted), "tid", "left_semi")
-    return found.mapInArrow(run, "key bigint, s binary").dropDuplicates(["key"])
+    return found.mapInArrow(trimmed(run), "key bigint, s binary").dropDuplicates(["key"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -240,7 +240,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     left = sets.select(F.col("key").alias("a"), F.col("s").alias("sa"))
     right = sets.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
 def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -275,7 +275,7 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     left = sets.select(F.col("key").alias("hub"), F.col("s").alias("sa"))
     right = sets.select(F.col("key").alias("other"), F.col("s").alias("sb"))
     rows = pairs.join(left, "hub").join(right, "other").select("hub", "other", "sa", "sb")
-    return rows.mapInArrow(run, "sig bigint, key bigint, d bigint, n bigint, pos bigint")
+    return rows.mapInArrow(trimmed(run), "sig bigint, key bigint, d bigint, n bigint, pos bigint")
 
 
 class _State:

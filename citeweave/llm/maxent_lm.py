@@ -19,15 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import LOWER, UPPER, Scratch, table, text_chunks
+from citeweave.llm.common import LOWER, Scratch, UPPER, table, text_chunks, trimmed
 
 #: Classes, leaves of a class for frequent words and for the others, rows of hashed weights of classes and of leaves.
 CLASSES, OWN, SHARED, ROWS, LEAF_ROWS = 16, 32, 32, 1 << 16, 1 << 15
 LEAVES = OWN + SHARED
 #: Tokens of a gradient step, its size, and the rounds that the training chunks are dealt to.
-STEP, RATE, ROUNDS = 1 << 16, 0.15, 2
+STEP, RATE, ROUNDS = 1 << 15, 0.1, 2
 #: Characters of a chunk: its distinct words and its tokens are held by one task.
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 8 << 20
 #: Rows of weights that travel together between tasks.
 BLOCK = 2048
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -121,7 +121,7 @@ def _encode(docs: DataFrame, parts: int) -> DataFrame:
             yield from finish()
 
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    return docs.select("doc_id", held.alias("held"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", held.alias("held"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def _count(counted: DataFrame, tasks: int, own: int) -> DataFrame:
@@ -157,7 +157,7 @@ def _count(counted: DataFrame, tasks: int, own: int) -> DataFrame:
         yield rows(leaf=leaves, count=np.bincount(end, total, len(leaves)).astype(np.int64), known=np.bincount(end, total > 0, len(leaves)).astype(np.int64))
 
     schema = "chunk bigint, at binary, totals binary, word bigint, count bigint, ending int, leaf int, known bigint"
-    return counted.repartition(tasks, "part").select("chunk", "at", "counted").mapInArrow(run, schema)
+    return counted.repartition(tasks, "part").select("chunk", "at", "counted").mapInArrow(trimmed(run), schema)
 
 
 @dataclass
@@ -207,15 +207,15 @@ def _start(top: list, leaves: list) -> Model:
     )
 
 
-def _features(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """[features of a token, token] for its class, and the hash of the word before; first: whether a text starts there."""
-    start = np.uint64(_START)
-    one = np.empty_like(word)
-    one[0], one[1:] = start, word[:-1]
-    one[first] = start
-    two = np.empty_like(word)
-    two[0], two[1:] = start, one[:-1]
-    two[first] = start
+def _features(words: np.ndarray, tokens: np.ndarray, first: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of tokens start to end, [features, token] for the class, and the hash of the word before; first: where texts start."""
+    begin = max(0, start - 2)
+    word, new = words[tokens[begin:end]], first[begin:end]
+    one = np.concatenate([[np.uint64(_START)], word[:-1]])
+    one[new] = np.uint64(_START)
+    two = np.concatenate([[np.uint64(_START)], one[:-1]])
+    two[new] = np.uint64(_START)
+    one, two = one[start - begin :], two[start - begin :]
     with np.errstate(over="ignore"):
         rows = np.stack([_mix(one + np.uint64(1)), _mix(two + np.uint64(2)), _mix(_mix(one + np.uint64(3)) + two)]) % np.uint64(ROWS)
         return rows.astype(np.int64), _mix(one + np.uint64(4))
@@ -260,18 +260,18 @@ def _train(chunks: DataFrame, model, tasks: int) -> DataFrame:
         seen = [np.zeros(len(t), np.float64) for t in tables]
         any_ = False
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 words, tokens, sizes, first, places = _chunk(row, m)
                 train = np.repeat(~np.array(row["held"], bool), sizes)
-                rows, before = _features(words[tokens], first)
-                use = np.flatnonzero(train)
-                for at in range(0, len(use), STEP):
+                for at in range(0, len(tokens), STEP):
+                    use = np.flatnonzero(train[at : at + STEP])
+                    if not len(use):
+                        continue
                     any_ = True
-                    k = use[at : at + STEP]
-                    place = places[tokens[k]]
-                    r = rows[:, k]
-                    classes, leaves, leaf_rows = _forward(m, tables[0], tables[1], r, before[k], place)
-                    here = np.arange(len(k))
+                    rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)))
+                    place, r = places[tokens[at : at + STEP][use]], rows[:, use]
+                    classes, leaves, leaf_rows = _forward(m, tables[0], tables[1], r, before[use], place)
+                    here = np.arange(len(use))
                     classes[here, place // LEAVES] -= 1
                     leaves[here, place % LEAVES] -= 1
                     # Gradients of equal rows are summed: dense for the few numbers of classes, sorted for leaves.
@@ -310,7 +310,7 @@ def _train(chunks: DataFrame, model, tasks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([np.packbits(hit).tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())], names=["kind", "block", "seen", "weights"])
 
     schema = "kind int, block int, seen binary, weights binary"
-    return chunks.mapInArrow(run, schema).repartition(tasks, "kind", "block").mapInArrow(average, schema)
+    return chunks.mapInArrow(trimmed(run), schema).repartition(tasks, "kind", "block").mapInArrow(trimmed(average), schema)
 
 
 def _score(chunks: DataFrame, model, key: str) -> DataFrame:
@@ -319,7 +319,7 @@ def _score(chunks: DataFrame, model, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 words, tokens, sizes, first, places = _chunk(row, m)
                 total = np.zeros(len(words), np.int64)
                 for x in row["totals"]:
@@ -328,12 +328,12 @@ def _score(chunks: DataFrame, model, key: str) -> DataFrame:
                 leaf = places % LEAVES
                 shared = (leaf - OWN) * CLASSES + places // LEAVES
                 log_word = np.where(leaf >= OWN, np.log10(total + 1) - m.mass[np.maximum(shared, 0)], 0.0)
-                rows, before = _features(words[tokens], first)
                 value = log_word[tokens]
                 for at in range(0, len(tokens), STEP):
                     k = slice(at, at + STEP)
                     place = places[tokens[k]]
-                    classes, leaves, _ = _forward(m, m.weights, m.leaf_weights, rows[:, k], before[k], place)
+                    rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)))
+                    classes, leaves, _ = _forward(m, m.weights, m.leaf_weights, rows, before, place)
                     here = np.arange(len(place))
                     value[k] += np.log10(np.maximum(classes[here, place // LEAVES].astype(np.float64) * leaves[here, place % LEAVES], 1e-30))
                 starts = np.cumsum(sizes) - sizes
@@ -344,7 +344,7 @@ def _score(chunks: DataFrame, model, key: str) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return chunks.mapInArrow(run, f"doc_id {key}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return chunks.mapInArrow(trimmed(run), f"doc_id {key}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def maxent_lm(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, table
+from citeweave.llm.common import Scratch, table, trimmed
 
 #: The quantisers are fitted on at most this many vectors, those of the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -104,7 +104,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
             names = [r.tobytes() for r in raw + 0.0]  # + 0.0: no negative zeros
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell, pa.int32()), pa.array(names, pa.binary())], names=["vec_id", "cell", "x"])
 
-    coded = rows.where(F.size("v") == dim).mapInArrow(distinct, "vec_id bigint, cell int, x binary")
+    coded = rows.where(F.size("v") == dim).mapInArrow(trimmed(distinct), "vec_id bigint, cell int, x binary")
 
     def smallest(df: DataFrame, most: int) -> DataFrame:
         """(cell, x, ids): of each vector the `most` smallest ids. Salted first: a vector may be very common."""
@@ -130,10 +130,10 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.int32()), pa.array(xs, pa.binary())], names=["query_id", "cell", "x"])
 
     # Equal queries are one too; qid is the smallest of their ids.
-    asked = _usable(queries, id_, vector).where(F.size("v") == dim).dropDuplicates(["vec_id"]).mapInArrow(distinct, "vec_id bigint, cell int, x binary").select("vec_id", "x")
+    asked = _usable(queries, id_, vector).where(F.size("v") == dim).dropDuplicates(["vec_id"]).mapInArrow(trimmed(distinct), "vec_id bigint, cell int, x binary").select("vec_id", "x")
     asked = scratch.save(asked, "asked")
     once = asked.groupBy("x").agg(F.min("vec_id").alias("qid"))
-    visits = once.select("qid", "x").mapInArrow(visit, "query_id bigint, cell int, x binary")
+    visits = once.select("qid", "x").mapInArrow(trimmed(visit), "query_id bigint, cell int, x binary")
     visits = visits.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.lit(int(counts.sum() // QUERY_BLOCK)))).alias("block")).agg(F.collect_list(F.struct("query_id", "x")).alias("queries"))
     blocks = F.array([F.lit(int(max(1, -(-int(c) // VECTOR_BLOCK)))) for c in counts])
     packed = entries.groupBy("cell", F.pmod(F.xxhash64("x"), F.get(blocks, F.col("cell")).cast("long")).alias("part")).agg(F.collect_list(F.struct("x", "ids")).alias("vectors"))
@@ -161,7 +161,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
                         scores += [g for g, _ in got]
                 yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["qid", "vec_id", "score"])
 
-    met = packed.join(visits, "cell").select("queries", "vectors").mapInArrow(compare, "qid bigint, vec_id bigint, score double")
+    met = packed.join(visits, "cell").select("queries", "vectors").mapInArrow(trimmed(compare), "qid bigint, vec_id bigint, score double")
     order = [F.desc("score"), "vec_id"]
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("r") <= top + 1).drop("r")
     best = best.groupBy("qid").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))).alias("found"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, table, text_chunks
+from citeweave.llm.common import Scratch, table, text_chunks, trimmed
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -32,7 +32,7 @@ END_ID = 0
 #: One of these at the end of a word is a unit of its own.
 _MARKS = (".", ",")
 _LOWER = re.compile("[a-zß-öø-ÿ]+").fullmatch
-_PLAIN = re.compile(r"[\w .,]*")
+_PLAIN = "".join(c for c in map(chr, range(256)) if c.isalnum() or c in " .,").encode("latin-1")
 #: A worker forgets the words it has encoded when they hold this many characters.
 MEMO_CHARS = 96 << 20
 
@@ -69,7 +69,7 @@ def _parts(text: str) -> list[str]:
     """The parts to be encoded each by itself. In texts of letters, digits, full stops and commas alone, and none of the
     marks side by side, a mark at a word's end is a part too: it is a unit of its own there."""
     line = text.replace("\n", " ")
-    if _PLAIN.fullmatch(line) and not any(x in line for x in ("_", "..", ",,", ".,", ",.")):
+    if not line.encode("latin-1", "replace").translate(None, _PLAIN) and not any(x in line for x in ("..", ",,", ".,", ",.")):
         line = line.replace(". ", " . ").replace(", ", " , ")
     return line.split(" ")
 
@@ -101,8 +101,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         for (w, _), e in zip(other, kept["tokenizer"].encode_batch_fast([w for w, _ in other], add_special_tokens=False)):
             words[w] = np.asarray(e.ids, "<u4").tobytes()
         kept["size"] += sum(map(len, new)) + 64 * len(new)
-    near = dict(zip(distinct, map(words.__getitem__, distinct)))  # small, so that most look-ups stay in the processor's cache
-    return [b"".join(map(near.__getitem__, p)) for p in parts]
+    return [b"".join(map(words.__getitem__, p)) for p in parts]
 
 
 def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -140,7 +139,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
 
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, rank bigint" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -256,7 +255,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts[k] + nth // eachs[k]), pa.array(offsets[k] + nth % eachs[k] * length)], names=[*keep, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in keep)
-    return ranked.select(*keep, "rank").mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    return ranked.select(*keep, "rank").mapInArrow(trimmed(place), f"{schema}, sequence_id bigint, offset bigint")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import table, text_chunks
+from citeweave.llm.common import table, text_chunks, trimmed
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -211,7 +211,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield finish([b.column(0).slice(done, len(keys))], encode(texts, kept), texts)
                 done += len(keys)
 
-    done = own.mapInArrow(run, f"_row {row_type}, ids array<int>, ids_crc32 bigint, n_bytes bigint, round_trip boolean")
+    done = own.mapInArrow(trimmed(run), f"_row {row_type}, ids array<int>, ids_crc32 bigint, n_bytes bigint, round_trip boolean")
     return done.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.struct("ids", "ids_crc32", "n_bytes", "round_trip").alias("_pieces"))
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, table, text_chunks
+from citeweave.llm.common import Scratch, table, text_chunks, trimmed
 
 LENGTH, GRAM = 200, 32
 #: Bytes of anchors that one task holds, about; the number of tasks follows.
@@ -279,7 +279,7 @@ def _find(docs: DataFrame, parts: int, tasks: int, length: int) -> DataFrame:
                 yield batch(out_schema, tid=r["tid"], place=r["place"].astype(np.int64), back=r["back"].astype(np.int32), ahead=r["ahead"].astype(np.int32), need=~settled[some], khash=r["khash"].view(np.int64))
 
     texts = docs.select(F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(scan, f"part int, blob binary, {found}").repartition(tasks, "part").mapInArrow(meet, found)
+    return texts.mapInArrow(trimmed(scan), f"part int, blob binary, {found}").repartition(tasks, "part").mapInArrow(trimmed(meet), found)
 
 
 def _compare(texts: DataFrame, asked: DataFrame, parts: int, tasks: int, length: int) -> DataFrame:
@@ -326,8 +326,8 @@ def _compare(texts: DataFrame, asked: DataFrame, parts: int, tasks: int, length:
                 yield pa.RecordBatch.from_arrays([pa.array(tid[some[row]]), pa.array(place[some[row]] - last), pa.array(place[some[row]] - first + length)], names=["tid", "low", "high"])
             start = end
 
-    bodies = texts.join(asked, "tid").select("tid", "text", "asks").mapInArrow(cut, "part int, khash bigint, tid bigint, place bigint, back int, need boolean, body binary")
-    return bodies.repartition(tasks, "part").drop("part").mapInArrow(settle, "tid bigint, low bigint, high bigint")
+    bodies = texts.join(asked, "tid").select("tid", "text", "asks").mapInArrow(trimmed(cut), "part int, khash bigint, tid bigint, place bigint, back int, need boolean, body binary")
+    return bodies.repartition(tasks, "part").drop("part").mapInArrow(trimmed(settle), "tid bigint, low bigint, high bigint")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -386,7 +386,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             spans_column = b.column(1).cast(span)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), spans_column, pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=["_row", "n_bytes", "spans", "kept", "kept_sha256"])
 
-    done = joined.mapInArrow(cut, f"_row {row_type}, n_bytes bigint, spans array<struct<low: bigint, high: bigint>>, kept string, kept_sha256 string")
+    done = joined.mapInArrow(trimmed(cut), f"_row {row_type}, n_bytes bigint, spans array<struct<low: bigint, high: bigint>>, kept string, kept_sha256 string")
     return done.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.struct("n_bytes", F.coalesce("spans", F.expr("cast(array() as array<struct<low: bigint, high: bigint>>)")).alias("spans"), "kept", "kept_sha256").alias("_dedup"))
 
 

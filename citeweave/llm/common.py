@@ -17,7 +17,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For str.translate: lower-cases A-Z and leaves every other character alone.
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_root: list[str] = []
 
 
@@ -54,14 +53,18 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_cleaned(spark: SparkSession):
-    """Shuffle files of the statements inside go as soon as each statement has ended."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _statement(spark: SparkSession):
+    """Settings of the statements inside: shuffle files go as soon as each has ended, and Arrow batches are short, as a
+    row may hold a long text or a whole set."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
@@ -76,7 +79,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.base}/{name}"
-        with _shuffles_cleaned(self.spark):
+        with _statement(self.spark):
             df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

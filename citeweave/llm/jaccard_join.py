@@ -26,7 +26,7 @@ MEMO_WORDS = 250_000
 #: Ids or keys are broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of signatures that one task of the join holds, about; the number of tasks follows.
-TASK_BYTES = 48 << 20
+TASK_BYTES = 16 << 20
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _M1, _M2, _G = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -155,7 +155,7 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
                 schema = schema or pa.schema([("part", pa.int32()), ("doc_id", b.schema.field(0).type), ("tid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("blob", pa.binary())])
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["d", "t"]), b.column(2)], names=["k", "t"])
 
-        for ids, texts in text_chunks(pairs(), 2 << 20):
+        for ids, texts in text_chunks(pairs(), 1 << 20):
             sets = [shingle_set(t, width) for t in texts]
             keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             yield _rows(names, schema, part=[x["t"] % parts if x["t"] is not None else 0 for x in ids], doc_id=[x["d"] for x in ids], tid=[x["t"] for x in ids], key=keys, n=[len(s) for s in sets])
@@ -195,8 +195,9 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
             signed, key = signed[order], key[order]
             same = signed[1:] == signed[:-1]
             shared = np.r_[False, same] | np.r_[same, False]
-            for at in range(0, int(shared.sum()), 100_000):
-                some = np.flatnonzero(shared)[at : at + 100_000]
+            shared = np.flatnonzero(shared)
+            for at in range(0, len(shared), 100_000):
+                some = shared[at : at + 100_000]
                 yield _rows(out, schema, key=key[some], sig=signed[some].view(np.int64))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))

@@ -24,8 +24,10 @@ CENTROIDS = 64
 #: A query visits cells until they hold this share of all vectors, and at least so many.
 SHARE, LEAST = 0.5, 2000
 TOP = 20
-#: Vectors of a cell that are compared at once, and queries.
-VECTOR_BLOCK, QUERY_BLOCK = 4096, 512
+#: Vectors that are compared at once, and queries.
+VECTOR_BLOCK, QUERY_BLOCK = 4096, 256
+#: Centroids of the first half whose cells travel together.
+SPAN = 8
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7) -> np.ndarray:
@@ -120,48 +122,60 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, cells, xs = [], [], []
+            ids, shards, masks, xs = [], [], [], []
             for qid, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 x = np.frombuffer(raw, np.float64)
-                some = nearest_pairs(books[0] @ x[:half], books[1] @ x[half:], counts, enough)
-                ids += [qid] * len(some)
-                cells += some
-                xs += [raw] * len(some)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cells, pa.int32()), pa.array(xs, pa.binary())], names=["query_id", "cell", "x"])
+                seen = np.zeros(len(books[0]) * n_b, bool)
+                seen[nearest_pairs(books[0] @ x[:half], books[1] @ x[half:], counts, enough)] = True
+                seen = seen.reshape(-1, n_b)
+                for shard in range(-(-len(seen) // SPAN)):
+                    part = seen[shard * SPAN : (shard + 1) * SPAN]
+                    if part.any():
+                        ids.append(qid)
+                        shards.append(shard)
+                        masks.append(np.packbits(part, axis=1).tobytes())
+                        xs.append(raw)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shards, pa.int32()), pa.array(masks, pa.binary()), pa.array(xs, pa.binary())], names=["query_id", "shard", "mask", "x"])
 
     # Equal queries are one too; qid is the smallest of their ids.
     asked = _usable(queries, id_, vector).where(F.size("v") == dim).dropDuplicates(["vec_id"]).mapInArrow(trimmed(distinct), "vec_id bigint, cell int, x binary").select("vec_id", "x")
     asked = scratch.save(asked, "asked")
     once = asked.groupBy("x").agg(F.min("vec_id").alias("qid"))
-    visits = once.select("qid", "x").mapInArrow(trimmed(visit), "query_id bigint, cell int, x binary")
-    visits = visits.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.lit(int(counts.sum() // QUERY_BLOCK)))).alias("block")).agg(F.collect_list(F.struct("query_id", "x")).alias("queries"))
-    blocks = F.array([F.lit(int(max(1, -(-int(c) // VECTOR_BLOCK)))) for c in counts])
-    packed = entries.groupBy("cell", F.pmod(F.xxhash64("x"), F.get(blocks, F.col("cell")).cast("long")).alias("part")).agg(F.collect_list(F.struct("x", "ids")).alias("vectors"))
+    # A shard is the cells of SPAN centroids of the first half: a query goes to it once, with a mask of what it visits.
+    blocks = max(1, -(-once.count() // QUERY_BLOCK))
+    visits = once.select("qid", "x").mapInArrow(trimmed(visit), "query_id bigint, shard int, mask binary, x binary")
+    visits = visits.groupBy("shard", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "mask", "x")).alias("queries"))
+    held = [int(counts[k * SPAN * n_b : (k + 1) * SPAN * n_b].sum()) for k in range(-(-len(books[0]) // SPAN))]
+    parts = F.array([F.lit(max(1, -(-n // VECTOR_BLOCK))) for n in held])
+    sharded = entries.withColumn("shard", F.expr(f"int(cell div {SPAN * n_b})"))
+    packed = sharded.groupBy("shard", F.pmod(F.xxhash64("x"), F.get(parts, F.col("shard")).cast("long")).alias("part")).agg(F.collect_list(F.struct("x", "ids", "cell")).alias("vectors"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for q, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for at in range(b.num_rows):
+                q, v = b.column(0)[at].as_py(), b.column(1)[at].as_py()
                 x = np.frombuffer(b"".join(r["x"] for r in v), np.float64).reshape(len(v), dim)
                 low = np.array([r["ids"][0] for r in v])
+                cell = np.array([r["cell"] for r in v])
+                row, column = cell // n_b % SPAN, cell % n_b
                 owner, ids, scores = [], [], []
-                for at in range(0, len(q), QUERY_BLOCK):
-                    some = q[at : at + QUERY_BLOCK]
-                    y = np.frombuffer(b"".join(r["x"] for r in some), np.float64).reshape(len(some), dim)
-                    # One more than asked for, as the query itself may be among them; exact and in one order everywhere.
-                    s = np.einsum("ij,kj->ik", y, x)
-                    for r, row in zip(some, s):
-                        k = min(top + 1, len(row))
-                        edge = -np.partition(-row, k - 1)[k - 1]
-                        best = np.flatnonzero(row >= edge)
-                        best = best[np.lexsort((low[best], -row[best]))][: top + 1]
-                        got = [(float(row[i]), j) for i in best for j in v[i]["ids"]]
-                        got = sorted(got, key=lambda g: (-g[0], g[1]))[: top + 1]
-                        owner += [r["query_id"]] * len(got)
-                        ids += [j for _, j in got]
-                        scores += [g for g, _ in got]
+                for r in q:
+                    mask = np.unpackbits(np.frombuffer(r["mask"], np.uint8).reshape(-1, (n_b + 7) // 8), axis=1)
+                    live = np.flatnonzero(mask[row, column])
+                    # Exact, and added up in one order everywhere. One more than asked for: the query may be among them.
+                    s = (x[live] * np.frombuffer(r["x"], np.float64)).sum(1)
+                    k = min(top + 1, len(s))
+                    if not k:
+                        continue
+                    best = np.flatnonzero(s >= -np.partition(-s, k - 1)[k - 1])
+                    best = best[np.lexsort((low[live[best]], -s[best]))][: top + 1]
+                    got = sorted(((float(s[i]), j) for i in best for j in v[live[i]]["ids"]), key=lambda g: (-g[0], g[1]))[: top + 1]
+                    owner += [r["query_id"]] * len(got)
+                    ids += [j for _, j in got]
+                    scores += [g for g, _ in got]
                 yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["qid", "vec_id", "score"])
 
-    met = packed.join(visits, "cell").select("queries", "vectors").mapInArrow(trimmed(compare), "qid bigint, vec_id bigint, score double")
+    met = packed.join(visits, "shard").select("queries", "vectors").mapInArrow(trimmed(compare), "qid bigint, vec_id bigint, score double")
     order = [F.desc("score"), "vec_id"]
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("r") <= top + 1).drop("r")
     best = best.groupBy("qid").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))).alias("found"))

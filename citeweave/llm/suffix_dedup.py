@@ -23,7 +23,7 @@ from citeweave.llm.common import Scratch, table, text_chunks, trimmed
 
 LENGTH, GRAM = 200, 32
 #: Bytes of anchors that one task holds, about; the number of tasks follows.
-TASK_BYTES = 48 << 20
+TASK_BYTES = 24 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 8
 

@@ -25,6 +25,8 @@ from citeweave.operators.components import connected_components
 MEMO_WORDS = 250_000
 #: Ids or keys are broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Of more sets of a chunk with one signature, one is sent to other chunks' sets.
+LOCAL = 16
 #: Bytes of signatures that one task of the join holds, about; the number of tasks follows.
 TASK_BYTES = 16 << 20
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -122,13 +124,23 @@ class PartEnum:
         return np.concatenate(which), np.concatenate(signed)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of 64-bit numbers, first bytes first, which compresses better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _packed(signed: np.ndarray, key: np.ndarray, hot: np.ndarray) -> bytes:
+    """Signatures (their lower seven bytes, first bytes first, which compresses better) by key, and flags."""
+    order = np.argsort(key, kind="stable")
+    keys, counts = np.unique(key, return_counts=True)
+    head = np.array([len(keys), len(key)], np.uint32).tobytes()
+    planes = np.ascontiguousarray(signed[order].view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes()
+    return head + keys.tobytes() + counts.astype(np.uint32).tobytes() + planes + np.packbits(hot[order]).tobytes()
 
 
-def _numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n_keys, n = (int(x) for x in np.frombuffer(data, np.uint32, 2))
+    keys = np.frombuffer(data, np.int64, n_keys, 8)
+    counts = np.frombuffer(data, np.uint32, n_keys, 8 + 8 * n_keys)
+    at = 8 + 12 * n_keys
+    signed = np.zeros((n, 8), np.uint8)
+    signed[:, :7] = np.frombuffer(data, np.uint8, 7 * n, at).reshape(7, n).T
+    return signed.view(np.uint64).ravel(), np.repeat(keys, counts), np.unpackbits(np.frombuffer(data, np.uint8, offset=at + 7 * n), count=n).astype(bool)
 
 
 def _rows(names: list[str], schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -137,9 +149,10 @@ def _rows(names: list[str], schema: pa.Schema, **columns) -> pa.RecordBatch:
 
 
 def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: int) -> DataFrame:
-    """Rows of documents (doc_id, tid, key, n) and of signatures that several sets share (sig, key).
+    """Rows of documents (doc_id, tid, key, n) and of signatures that several sets share (sig, key, and n, for how many
+    signatures it stands).
 
-    A signature that several sets of a chunk share is sent on once for the chunk, and its members beside it, so a group of
+    A signature that many sets of a chunk share is sent on once for the chunk, and its members beside it, so a group of
     copies doesn't gather in the task that compares chunks.
     """
     key_type = docs.schema["doc_id"].dataType
@@ -164,18 +177,21 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
             if not len(which):
                 continue
             key = np.fromiter(first, np.int64, len(first))[which]
+            signed &= np.uint64((1 << 56) - 1)
             order = np.lexsort((key, signed))
             signed, key = signed[order], key[order]
-            new = np.r_[True, signed[1:] != signed[:-1]]
-            shared = ~new | np.r_[~new[1:], False]
-            if shared.any():
-                yield _rows(names, schema, part=(signed[shared] % np.uint64(parts)).astype(np.int32), key=key[shared], sig=signed[shared].view(np.int64))
-            signed, key = signed[new], key[new].view(np.uint64)
+            new = np.flatnonzero(np.r_[True, signed[1:] != signed[:-1]])
+            size = np.diff(np.r_[new, len(signed)])
+            hot = np.repeat(size > LOCAL, size)
+            if hot.any():
+                yield _rows(names, schema, part=(signed[hot] % np.uint64(parts)).astype(np.int32), key=key[hot], n=np.ones(int(hot.sum()), np.int64), sig=signed[hot].view(np.int64))
+            send = ~hot
+            send[new] = True
+            signed, key, hot = signed[send], key[send], hot[send]
             part = (signed % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             found, at = np.unique(part[order], return_index=True)
-            groups = np.split(order, at[1:])
-            yield _rows(names, schema, part=found, blob=[_planes(signed[g]) + _planes(key[g]) for g in groups])
+            yield _rows(names, schema, part=found, blob=[_packed(signed[g], key[g], hot[g]) for g in np.split(order, at[1:])])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -187,18 +203,29 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
             if rest.num_rows:
                 yield pa.RecordBatch.from_arrays([rest.column(rest.schema.get_field_index(c)) for c in out], names=out)
             schema = b.schema
-        if held:
-            signed = np.concatenate([_numbers(x[: len(x) // 2]) for x in held])
-            key = np.concatenate([_numbers(x[len(x) // 2 :]) for x in held]).view(np.int64)
-            held.clear()
-            order = np.argsort(signed, kind="stable")
-            signed, key = signed[order], key[order]
-            same = signed[1:] == signed[:-1]
-            shared = np.r_[False, same] | np.r_[same, False]
-            shared = np.flatnonzero(shared)
-            for at in range(0, len(shared), 100_000):
-                some = shared[at : at + 100_000]
-                yield _rows(out, schema, key=key[some], sig=signed[some].view(np.int64))
+        if not held:
+            return
+        signed, key, hot = (np.concatenate(c) for c in zip(*map(_unpacked, held)))
+        held.clear()
+        order = np.lexsort((key, signed))
+        signed, key, hot = signed[order], key[order], hot[order]
+        keep = np.r_[True, (signed[1:] != signed[:-1]) | (key[1:] != key[:-1])]
+        new = np.flatnonzero(np.r_[True, signed[1:] != signed[:-1]])
+        # Of the signatures with the same sets, one is sent on, but all of those that chunks have sent members of beside.
+        hot = np.logical_or.reduceat(hot, new)
+        size = np.add.reduceat(keep.astype(np.int64), new)
+        with np.errstate(over="ignore"):
+            same = np.add.reduceat(np.where(keep, mix(key.view(np.uint64)), np.uint64(0)), new)
+        cold = np.flatnonzero((size > 1) & ~hot)
+        _, first, times = np.unique(same[cold], return_index=True, return_counts=True)
+        weight = np.zeros(len(new), np.int64)
+        weight[hot] = 1
+        weight[cold[first]] = times
+        weight = np.repeat(weight, np.diff(np.r_[new, len(signed)]))
+        out_rows = np.flatnonzero((weight > 0) & keep)
+        for at in range(0, len(out_rows), 100_000):
+            some = out_rows[at : at + 100_000]
+            yield _rows(out, schema, key=key[some], n=weight[some], sig=signed[some].view(np.int64))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(trimmed(run), ddl).repartition(tasks, "part").mapInArrow(trimmed(meet), f"doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint")
@@ -357,11 +384,11 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     tasks = max(tasks, size * 16 // 12 // TASK_BYTES)  # about one signature of 16 bytes for two words of 6
     mixed = scratch.save(_scan(docs, width, num, den, 4 * tasks, tasks), "mixed")
     members = mixed.where("sig IS NULL").drop("sig")
-    shared = mixed.where("sig IS NOT NULL").select("sig", "key").distinct()
+    shared = mixed.where("sig IS NOT NULL").groupBy("sig", "key").agg(F.max("n").alias("times"))
     # Signatures with the same members are one bucket.
-    each = shared.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("h"))
-    once = each.groupBy("m", "h").agg(F.min("sig").alias("sig"), F.count("*").alias("times")).where("m > 1").select("sig", (F.col("m") * F.col("times")).alias("weight"))
-    buckets = scratch.save(shared.join(once, "sig"), "buckets")
+    each = shared.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("h"), F.max("times").alias("times"))
+    once = each.groupBy("m", "h").agg(F.min("sig").alias("sig"), F.sum("times").alias("times")).where("m > 1").select("sig", (F.col("m") * F.col("times")).alias("weight"))
+    buckets = scratch.save(shared.drop("times").join(once, "sig"), "buckets")
     rank = scratch.save(buckets.groupBy("key").agg(F.sum("weight").alias("weight")), "rank")
     keys = members.join(rank.select("key"), "key", "left_semi").groupBy("key").agg(F.min("tid").alias("tid"))
     sets = scratch.save(_sets(docs, keys.select("tid"), width), "sets")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from citeweave.llm.common import LOWER, Scratch, UPPER, table, text_chunks, trimmed
 
 #: Classes, leaves of a class for frequent words and for the others, rows of hashed weights of classes and of leaves.
-CLASSES, OWN, SHARED, ROWS, LEAF_ROWS = 16, 32, 32, 1 << 16, 1 << 15
+CLASSES, OWN, SHARED, ROWS, LEAF_ROWS = 16, 16, 32, 1 << 15, 1 << 14
 LEAVES = OWN + SHARED
 #: Tokens of a gradient step, its size, and the rounds that the training chunks are dealt to.
 STEP, RATE, ROUNDS = 1 << 15, 0.1, 2
@@ -274,11 +274,11 @@ def _train(chunks: DataFrame, model, tasks: int) -> DataFrame:
                     here = np.arange(len(use))
                     classes[here, place // LEAVES] -= 1
                     leaves[here, place % LEAVES] -= 1
-                    # Gradients of equal rows are summed: dense for the few numbers of classes, sorted for leaves.
+                    # Gradients of equal rows are summed: class by class, and sorted for leaves.
                     count = np.bincount(r.ravel(), minlength=ROWS)
                     hit = np.flatnonzero(count)
-                    flat = (r[:, :, None] * CLASSES + np.arange(CLASSES)).ravel()
-                    g = np.bincount(flat, np.broadcast_to(classes, (3, *classes.shape)).ravel(), ROWS * CLASSES).reshape(ROWS, CLASSES)[hit].astype(np.float32)
+                    by_class = np.ascontiguousarray(classes.T, np.float64)
+                    g = np.stack([np.bincount(r.ravel(), np.tile(c, 3), ROWS)[hit] for c in by_class], axis=1).astype(np.float32)
                     order = np.argsort(leaf_rows, kind="stable")
                     leaf_hit, starts = np.unique(leaf_rows[order], return_index=True)
                     leaf_g = np.add.reduceat(leaves[order], starts, axis=0)

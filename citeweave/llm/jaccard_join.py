@@ -1,9 +1,9 @@
 """N-gram Jaccard join: sets of word shingles, joined by PartEnum signatures, every link kept.
 
 Sizes fall into bands within which sufficiently similar sets differ in at most k elements. The domain of hashed
-shingles is cut into n1 parts, each into 3 cells, and of each part all pairs of cells are enumerated: two sets that
-differ in at most k elements have a part with at most one difference, so they share the signature of a pair of its cells.
-Candidates that share a signature are verified on their whole sets.
+shingles is cut into n1 > k / 2 parts, each into 3 cells, and of each part all pairs of cells are enumerated: two sets
+that differ in at most k elements have a part with at most one difference, so they share the signature of a pair of its
+cells. (For small sets, n1 > k parts are taken whole: one of them is without any difference.) Candidates that share a signature are verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ MEMO_WORDS = 250_000
 BROADCAST_ROWS = 1_000_000
 #: Of more sets of a chunk with one signature, one is sent to other chunks' sets.
 LOCAL = 16
+#: A bucket that is left with so many sets has all its pairs tested.
+FEW = 12
 #: Bytes of signatures that one task of the join holds, about; the number of tasks follows.
 TASK_BYTES = 16 << 20
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -69,6 +71,7 @@ class PartEnum:
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.last = num, den, [0]  # last sizes of bands
+        self.schemes: dict[int, tuple[int, int, int]] = {}
 
     def bands(self, sizes: np.ndarray) -> np.ndarray:
         """Band of each size, from 1; similar sets are in the same band or in neighbours."""
@@ -76,53 +79,76 @@ class PartEnum:
             self.last.append((self.last[-1] + 1) * self.den // self.num)
         return np.searchsorted(np.array(self.last), sizes, "left")
 
-    def parts(self, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(differences k, parts n1) of sets of up to the band's last size."""
-        k = 2 * (self.den - self.num) * np.array(self.last)[band] // (self.den + self.num)
-        return k, k // 2 + 3 + k // 32
+    def scheme(self, band: int) -> tuple[int, int, int]:
+        """(differences k, parts n1, cells n2 of a part) for the sets of this band and the one below.
+
+        n1 is the least for which the smallest of these sets has, but for four standard deviations, more than enough parts
+        that aren't empty; where three cells to a part can't give that, as for small sets, parts are whole.
+        """
+        if band not in self.schemes:
+            k = 2 * (self.den - self.num) * self.last[band] // (self.den + self.num)
+            size = self.last[max(band - 2, 0)] + 1
+            self.schemes[band] = (k, 0, 0)
+            for n2, differ in ((3, 2), (1, 1)) if k else ():
+                n1 = np.arange(k // differ + 1, max(2 * k, 6 * size) + 8)
+                p = np.exp(-size / (n2 * n1))
+                void = 3 * p * p * (1 - p) + p**3 if n2 == 3 else p
+                sure = n1 * (1 - void) - 4 * np.sqrt(n1 * void * (1 - void)) > k // differ
+                if sure.any() and (n2 == 1 or n1[sure][0] <= k):
+                    self.schemes[band] = (k, int(n1[sure][0]), n2)
+                    break
+            else:
+                if k:
+                    self.schemes[band] = (k, 4 * k + 8, 1)
+        return self.schemes[band]
 
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(index of the set, signature), of each set in two instances: with the band below its own, and the one above.
 
-        A part of which two cells are without elements tells nothing, so it is left out, but for sets in which too few
-        parts are left to be sure; these also sign their empty pairs of cells, and so find each other.
+        A part of which two cells (or the only one) are without elements tells nothing, so it is left out, but for sets in
+        which too few parts are left to be sure; these also sign their empty cells, and so find each other.
         """
         sizes = np.array([len(s) for s in sets], np.int64)
         own = self.bands(sizes)
         which, signed = [], []
-        with np.errstate(over="ignore"):
-            for up in (0, 1):
-                k, n1 = self.parts(own + up)
-                use = np.flatnonzero((sizes > 0) & (k > 0))
-                if not len(use):
-                    continue
-                k, n1, band = k[use], n1[use], (own + up)[use]
-                elements = np.concatenate([sets[i] for i in use])
-                of = np.repeat(np.arange(len(use)), sizes[use])
-                base = np.concatenate([[0], np.cumsum(3 * n1)])
-                # Sorted hashes fall into ascending cells, so each cell is a run.
-                cell = base[of] + ((elements >> np.uint64(32)) * (3 * n1[of]).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-                starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-                sums = np.zeros(base[-1], np.uint64)
-                sums[cell[starts]] = np.add.reduceat(mix(elements ^ _M2), starts)
-                filled = np.zeros(base[-1], bool)
-                filled[cell[starts]] = True
-                sums, filled = sums.reshape(-1, 3), filled.reshape(-1, 3)
-                part_of = np.repeat(np.arange(len(use)), n1)
-                part = np.arange(len(part_of)) - np.repeat(base[:-1] // 3, n1)
-                solid = np.bincount(part_of[filled.sum(1) >= 2], minlength=len(use))
-                unsure = (solid <= k // 2)[part_of]
-                seed = mix(mix(band[part_of].astype(np.uint64)) + part.astype(np.uint64))
-                for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-                    some = filled[:, a] | filled[:, b]
-                    take = some | unsure
-                    value = mix(mix(seed[take] + np.uint64(pair)) + mix(sums[take, a]) * _M1 + sums[take, b])
-                    which.append(use[part_of[take]])
+        for up in (0, 1):
+            schemes = np.array([self.scheme(int(b) + up) for b in own], np.int64).reshape(-1, 3)
+            for n2 in (3, 1):
+                use = np.flatnonzero((sizes > 0) & (schemes[:, 0] > 0) & (schemes[:, 2] == n2))
+                if len(use):
+                    of, value = self._instance([sets[i] for i in use], own[use] + up, schemes[use, 0], schemes[use, 1], n2)
+                    which.append(use[of])
                     signed.append(value)
         if not which:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         return np.concatenate(which), np.concatenate(signed)
 
+    @staticmethod
+    def _instance(sets: list[np.ndarray], band: np.ndarray, k: np.ndarray, n1: np.ndarray, n2: int) -> tuple[np.ndarray, np.ndarray]:
+        of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        elements = np.concatenate(sets)
+        base = np.concatenate([[0], np.cumsum(n2 * n1)])
+        with np.errstate(over="ignore"):
+            # Sorted hashes fall into ascending cells, so each cell is a run.
+            cell = base[of] + ((elements >> np.uint64(32)) * (n2 * n1[of]).astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            sums, filled = np.zeros(base[-1], np.uint64), np.zeros(base[-1], bool)
+            sums[cell[starts]] = np.add.reduceat(mix(elements ^ _M2), starts)
+            filled[cell[starts]] = True
+            sums, filled = sums.reshape(-1, n2), filled.reshape(-1, n2)
+            part_of = np.repeat(np.arange(len(sets)), n1)
+            part = np.arange(len(part_of)) - np.repeat(base[:-1] // n2, n1)
+            differ = 2 if n2 == 3 else 1
+            solid = np.bincount(part_of[filled.sum(1) >= differ], minlength=len(sets))
+            unsure = (solid <= k // differ)[part_of]
+            seed = mix(mix(band[part_of].astype(np.uint64)) + part.astype(np.uint64))
+            which, signed = [], []
+            for number, (a, b) in enumerate(((0, 1), (0, 2), (1, 2)) if n2 == 3 else ((0, 0),)):
+                take = filled[:, a] | filled[:, b] | unsure
+                which.append(part_of[take])
+                signed.append(mix(mix(seed[take] + np.uint64(number)) + mix(sums[take, a]) * _M1 + sums[take, b]))
+        return np.concatenate(which), np.concatenate(signed)
+
 
 def _packed(signed: np.ndarray, key: np.ndarray, hot: np.ndarray) -> bytes:
     """Signatures (their lower seven bytes, first bytes first, which compresses better) by key, and flags."""
@@ -370,7 +396,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     component (smallest doc_id reachable by links). links: a, b, pairs of keys that connect all that is linked.
 
     Of the sets that share a signature, the one that shares most with others is the hub, and all are held against it. Where
-    several classes are left in a bucket, the differences to the hub tell which of its sets may still be linked to each
+    several classes are left in a small bucket, its pairs are tested. In others, the differences to the hub tell which of its sets may still be linked to each
     other (_differences), and these are tested, if they aren't connected by then. So each link is found or its ends are
     connected by others, and a group of copies costs as many tests as it has members, not pairs.
 
@@ -400,7 +426,12 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     pairs = ranked.join(hubs, "sig").where("key <> hub")
     state.test(pairs.select("hub", F.col("key").alias("other")).distinct())
     rest = ranked.join(hubs, "sig").where("key <> hub").select("sig", "hub", "key")
-    still = scratch.save(state.open(rest).select("hub", F.col("key").alias("other")).distinct(), "still")
+    rest = scratch.save(state.open(rest), "rest")
+    sized = rest.join(rest.groupBy("sig").agg(F.count("*").alias("m")), "sig")
+    few = sized.where(F.col("m") <= FEW).select("sig", "key", "label")
+    other = few.toDF("sig2", "key2", "label2")
+    state.test(few.join(other, F.expr("sig = sig2 AND key < key2 AND label <> label2")).select("key", "key2"))
+    still = scratch.save(sized.where(F.col("m") > FEW).select("hub", F.col("key").alias("other")).distinct(), "still")
     if not still.isEmpty():
         state.settle(_differences(still, sets, num, den))
     label, links = state.label, state.links

@@ -118,10 +118,10 @@ FORMS = [
 ]
 #: Signatures with a text of their own: name, label, keyword, regex, priority, weight.
 TEXTS = [
-    ("mit-grant", "mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 10, 1.0),
+    ("mit-permission", "mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 10, 1.0),
     ("mit-short", "mit", "mit-licensed", r"\bmit-licensed\b", 50, 0.8),
-    ("isc-grant", "isc", "permission to use, copy", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee", 10, 1.0),
-    ("bsd-grant", "bsd", "redistribution and use", r"redistribution and use in source and binary forms,? with or without modification", 10, 1.0),
+    ("isc-permission", "isc", "permission to use, copy", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee", 10, 1.0),
+    ("bsd-redistribution", "bsd", "redistribution and use", r"redistribution and use in source and binary forms,? with or without modification", 10, 1.0),
     ("bsd-binary", "bsd", "redistributions in binary form", r"redistributions in binary form must reproduce the above copyright notice", 50, 0.8),
     ("apache-url", "apache", "apache.org/licenses", r"(?:https?://)?(?:www\.)?apache\.org/licenses/license-\d\.\d", 15, 0.95),
     ("apache-asl", "apache", "asl ", r"\basl 2\.0\b", 50, 0.7),

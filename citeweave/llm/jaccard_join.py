@@ -25,10 +25,8 @@ from citeweave.operators.components import connected_components
 MEMO_WORDS = 250_000
 #: Ids or keys are broadcast up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
-#: Of more sets of a chunk with one signature, one is sent to other chunks' sets.
+#: Up to so many sets with one signature are tested pair by pair; of more in a chunk, one is sent to other chunks' sets.
 LOCAL = 16
-#: A bucket that is left with so many sets has all its pairs tested.
-FEW = 12
 #: Bytes of signatures that one task of the join holds, about; the number of tasks follows.
 TASK_BYTES = 16 << 20
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -169,21 +167,27 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return signed.view(np.uint64).ravel(), np.repeat(keys, counts), np.unpackbits(np.frombuffer(data, np.uint8, offset=at + 7 * n), count=n).astype(bool)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities, of elements by hash, as eight 64-bit words: two sets differ in as many elements as their bits, at least."""
+    bits = np.bincount(mix(elements + _M1) >> np.uint64(55), minlength=512) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _rows(names: list[str], schema: pa.Schema, **columns) -> pa.RecordBatch:
     n = len(next(iter(columns.values())))
     return pa.RecordBatch.from_arrays([pa.array(columns[c], schema.field(c).type) if c in columns else pa.nulls(n, schema.field(c).type) for c in names], names=names)
 
 
 def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: int) -> DataFrame:
-    """Rows of documents (doc_id, tid, key, n) and of signatures that several sets share (sig, key, and n, for how many
-    signatures it stands).
+    """Rows of documents (doc_id, tid, key, n, sketch), of pairs that share a signature with few others (key, other), and of
+    signatures that many sets share (sig, key, and n, for how many signatures it stands).
 
     A signature that many sets of a chunk share is sent on once for the chunk, and its members beside it, so a group of
     copies doesn't gather in the task that compares chunks.
     """
     key_type = docs.schema["doc_id"].dataType
-    names = ["part", "doc_id", "tid", "key", "n", "sig", "blob"]
-    ddl = f"part int, doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint, blob binary"
+    names = ["part", "doc_id", "tid", "key", "n", "sig", "other", "sketch", "blob"]
+    ddl = f"part int, doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint, other bigint, sketch array<bigint>, blob binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum, schema = PartEnum(num, den), None
@@ -191,13 +195,15 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
         def pairs():
             nonlocal schema
             for b in batches:
-                schema = schema or pa.schema([("part", pa.int32()), ("doc_id", b.schema.field(0).type), ("tid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("blob", pa.binary())])
+                schema = schema or pa.schema([("part", pa.int32()), ("doc_id", b.schema.field(0).type), ("tid", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("other", pa.int64()), ("sketch", pa.list_(pa.int64())), ("blob", pa.binary())])
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["d", "t"]), b.column(2)], names=["k", "t"])
 
         for ids, texts in text_chunks(pairs(), 1 << 20):
             sets = [shingle_set(t, width) for t in texts]
             keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            yield _rows(names, schema, part=[x["t"] % parts if x["t"] is not None else 0 for x in ids], doc_id=[x["d"] for x in ids], tid=[x["t"] for x in ids], key=keys, n=[len(s) for s in sets])
+            with np.errstate(over="ignore"):
+                sketches = [sketch(s) if len(s) else None for s in sets]
+            yield _rows(names, schema, part=[x["t"] % parts if x["t"] is not None else 0 for x in ids], doc_id=[x["d"] for x in ids], tid=[x["t"] for x in ids], key=keys, n=[len(s) for s in sets], sketch=sketches)
             first = {k: s for k, s in zip(keys, sets) if k is not None}
             which, signed = enum.signatures(list(first.values()))
             if not len(which):
@@ -237,24 +243,40 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
         signed, key, hot = signed[order], key[order], hot[order]
         keep = np.r_[True, (signed[1:] != signed[:-1]) | (key[1:] != key[:-1])]
         new = np.flatnonzero(np.r_[True, signed[1:] != signed[:-1]])
-        # Of the signatures with the same sets, one is sent on, but all of those that chunks have sent members of beside.
         hot = np.logical_or.reduceat(hot, new)
+        signed, key = signed[keep], key[keep]
         size = np.add.reduceat(keep.astype(np.int64), new)
+        new = np.cumsum(size) - size
+        # Small buckets go on as their pairs, each once.
+        pairs = []
+        for m in range(2, LOCAL + 1):
+            at = new[(size == m) & ~hot]
+            if len(at):
+                i, j = np.triu_indices(m, 1)
+                members_ = key[at[:, None] + np.arange(m)]
+                pairs.append(np.stack([members_[:, i].ravel(), members_[:, j].ravel()]))
+        if pairs:
+            pairs = np.concatenate(pairs, axis=1)
+            pairs = pairs[:, np.lexsort(pairs)]
+            pairs = pairs[:, np.r_[True, (pairs[:, 1:] != pairs[:, :-1]).any(0)]]
+            for at in range(0, pairs.shape[1], 100_000):
+                yield _rows(out, schema, key=pairs[0, at : at + 100_000], other=pairs[1, at : at + 100_000])
+        # Of the large ones with the same sets, one is sent on, but all of those that chunks have sent members of beside.
         with np.errstate(over="ignore"):
-            same = np.add.reduceat(np.where(keep, mix(key.view(np.uint64)), np.uint64(0)), new)
-        cold = np.flatnonzero((size > 1) & ~hot)
+            same = np.add.reduceat(mix(key.view(np.uint64)), new)
+        cold = np.flatnonzero((size > LOCAL) & ~hot)
         _, first, times = np.unique(same[cold], return_index=True, return_counts=True)
         weight = np.zeros(len(new), np.int64)
         weight[hot] = 1
         weight[cold[first]] = times
-        weight = np.repeat(weight, np.diff(np.r_[new, len(signed)]))
-        out_rows = np.flatnonzero((weight > 0) & keep)
+        weight = np.repeat(weight, size)
+        out_rows = np.flatnonzero(weight > 0)
         for at in range(0, len(out_rows), 100_000):
             some = out_rows[at : at + 100_000]
             yield _rows(out, schema, key=key[some], n=weight[some], sig=signed[some].view(np.int64))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(trimmed(run), ddl).repartition(tasks, "part").mapInArrow(trimmed(meet), f"doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint")
+    return texts.mapInArrow(trimmed(run), ddl).repartition(tasks, "part").mapInArrow(trimmed(meet), f"doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint, other bigint, sketch array<bigint>")
 
 
 def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -335,24 +357,39 @@ def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
 class _State:
     """Links and classes found so far, and the pairs tested for them."""
 
-    def __init__(self, spark: SparkSession, scratch: Scratch, sets: DataFrame, num: int, den: int):
-        self.spark, self.scratch, self.sets, self.num, self.den, self.i = spark, scratch, sets, num, den, 0
-        self.links = spark.createDataFrame([], "a bigint, b bigint")
-        self.tested, self.label = self.links, spark.createDataFrame([], "node bigint, component bigint")
-
-    def test(self, pairs: DataFrame) -> int:
+    def __init__(self, docs: DataFrame, scratch: Scratch, members: DataFrame, width: int, num: int, den: int):
+        self.spark, self.docs, self.scratch, self.width, self.num, self.den, self.i = docs.sparkSession, docs, scratch, width, num, den, 0
+        first = members.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("tid").alias("tid"))
+        self.known = scratch.save(first, "known")
+        self.sketches = _small(self.known.select("key", "n", "sketch"))
+        self.links = self.spark.createDataFrame([], "a bigint, b bigint")
+        self.tested, self.label = self.links, self.spark.createDataFrame([], "node bigint, component bigint")
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a < b) but those that their sizes and sketches rule out."""
+        for side in "ab":
+            pairs = pairs.join(self.sketches.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+        bits = " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(8))
+        fit = f"{self.den} * least(na, nb) >= {self.num} * greatest(na, nb) AND {bits} <= {self.den - self.num} * (na + nb) div {self.den + self.num}"
+        return pairs.where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def sets(self, keys: DataFrame, name: str) -> DataFrame:
+        """(key, s) of the distinct keys (key)."""
+        return self.scratch.save(_sets(self.docs, self.known.join(_small(keys), "key", "left_semi").select("tid"), self.width), name)
+
+    def test(self, pairs: DataFrame, sets: DataFrame | None = None) -> None:
         """Verifies the pairs that weren't before, and joins the classes of those linked."""
         self.i += 1
-        new = pairs.toDF("a", "b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = self.near(pairs.toDF("a", "b"))
         new = self.scratch.save(new.join(self.tested, ["a", "b"], "left_anti") if self.i > 1 else new, f"pairs{self.i}")
-        found = self.scratch.save(_verify(new, self.sets, self.num, self.den), f"links{self.i}")
+        if sets is None:
+            sets = self.sets(new.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"sets{self.i}")
+        found = self.scratch.save(_verify(new, sets, self.num, self.den), f"links{self.i}")
         self.tested = self.tested.union(new)
-        n = found.count()
-        if n:
+        if not found.isEmpty():
             self.links = self.links.union(found)
             inner = Scratch(self.spark, f"jaccard-cc{self.i}")
             self.label = inner.save(connected_components(self.links, inner.save, inner.drop), "labels")
-        return n
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         joined = rows.drop("label").join(self.label.select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left")
@@ -364,7 +401,7 @@ class _State:
         mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
         return rows.join(mixed, "sig", "left_semi")
 
-    def settle(self, rows: DataFrame) -> None:
+    def settle(self, rows: DataFrame, sets: DataFrame) -> None:
         """Tests what may be linked in buckets of _differences(): 8 sets of each against the rest, then 64, and so on."""
         most = lambda a, b: f"({self.den - self.num} * ({a} + {b}) div {self.den + self.num})"
         share = lambda d, e, n, m: f"((greatest({d} + {e} - {most(n, m)}, 1) + 1) div 2)"
@@ -382,7 +419,7 @@ class _State:
             hubs = numbered.where(F.col("r") <= 8**i).select("sig", *(F.col(c).alias(f"{c}2") for c in ("key", "d", "n", "pos", "label", "r")))
             o = share("d", "d2", "n", "n2")
             near = f"r > r2 AND label <> label2 AND pos <= d - {o} + 1 AND pos2 <= d2 - {o} + 1"
-            self.test(numbered.join(hubs, (numbered["sig"] == hubs["sig"]) & F.expr(near)).select("key", "key2"))
+            self.test(numbered.join(hubs, (numbered["sig"] == hubs["sig"]) & F.expr(near)).select("key", "key2"), sets)
             following = self.scratch.save(self.open(numbered.where(F.col("r") > 8**i).drop("r")), f"left{i}")
             self.scratch.drop(f"left{i - 1}")
             left = following
@@ -395,8 +432,8 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     Returns (members, links). members: doc_id, tid (hash of the text), key (of the set; null: empty), n (set size) and
     component (smallest doc_id reachable by links). links: a, b, pairs of keys that connect all that is linked.
 
-    Of the sets that share a signature, the one that shares most with others is the hub, and all are held against it. Where
-    several classes are left in a small bucket, its pairs are tested. In others, the differences to the hub tell which of its sets may still be linked to each
+    Few sets that share a signature are tested pair by pair, as far as sizes and sketches don't rule a pair out. Of many, the
+    one that shares most with others is the hub, and all are held against it. Where several classes are left, the differences to the hub tell which of its sets may still be linked to each
     other (_differences), and these are tested, if they aren't connected by then. So each link is found or its ends are
     connected by others, and a group of copies costs as many tests as it has members, not pairs.
 
@@ -409,31 +446,24 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     size = docs.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     tasks = max(tasks, size * 16 // 12 // TASK_BYTES)  # about one signature of 16 bytes for two words of 6
     mixed = scratch.save(_scan(docs, width, num, den, 4 * tasks, tasks), "mixed")
-    members = mixed.where("sig IS NULL").drop("sig")
+    members = mixed.where("sig IS NULL AND other IS NULL").drop("sig", "other")
+    state = _State(docs, scratch, members, width, num, den)
     shared = mixed.where("sig IS NOT NULL").groupBy("sig", "key").agg(F.max("n").alias("times"))
     # Signatures with the same members are one bucket.
     each = shared.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("h"), F.max("times").alias("times"))
     once = each.groupBy("m", "h").agg(F.min("sig").alias("sig"), F.sum("times").alias("times")).where("m > 1").select("sig", (F.col("m") * F.col("times")).alias("weight"))
     buckets = scratch.save(shared.drop("times").join(once, "sig"), "buckets")
-    rank = scratch.save(buckets.groupBy("key").agg(F.sum("weight").alias("weight")), "rank")
-    keys = members.join(rank.select("key"), "key", "left_semi").groupBy("key").agg(F.min("tid").alias("tid"))
-    sets = scratch.save(_sets(docs, keys.select("tid"), width), "sets")
-    state = _State(spark, scratch, sets, num, den)
-    ranked = scratch.save(buckets.select("sig", "key").join(rank, "key"), "ranked")
-    scratch.drop("buckets", "rank")
+    ranked = scratch.save(buckets.select("sig", "key").join(buckets.groupBy("key").agg(F.sum("weight").alias("weight")), "key"), "ranked")
     first = Window.partitionBy("sig").orderBy(F.desc("weight"), "key")
     hubs = scratch.save(ranked.withColumn("r", F.row_number().over(first)).where("r = 1").select("sig", F.col("key").alias("hub")), "hubs")
-    pairs = ranked.join(hubs, "sig").where("key <> hub")
-    state.test(pairs.select("hub", F.col("key").alias("other")).distinct())
     rest = ranked.join(hubs, "sig").where("key <> hub").select("sig", "hub", "key")
-    rest = scratch.save(state.open(rest), "rest")
-    sized = rest.join(rest.groupBy("sig").agg(F.count("*").alias("m")), "sig")
-    few = sized.where(F.col("m") <= FEW).select("sig", "key", "label")
-    other = few.toDF("sig2", "key2", "label2")
-    state.test(few.join(other, F.expr("sig = sig2 AND key < key2 AND label <> label2")).select("key", "key2"))
-    still = scratch.save(sized.where(F.col("m") > FEW).select("hub", F.col("key").alias("other")).distinct(), "still")
+    state.test(mixed.where("other IS NOT NULL").select("key", "other").union(rest.select("hub", "key")))
+    still = scratch.save(state.open(rest).select("hub", F.col("key").alias("other")).distinct(), "still")
+    scratch.drop("buckets", "pairs1")
+    state.tested = spark.createDataFrame([], "a bigint, b bigint")
     if not still.isEmpty():
-        state.settle(_differences(still, sets, num, den))
+        sets = state.sets(still.select(F.explode(F.array("hub", "other")).alias("key")).distinct(), "sets")
+        state.settle(_differences(still, sets, num, den), sets)
     label, links = state.label, state.links
     lowest = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low"))
     if state.i:
@@ -441,7 +471,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
         low = linked.groupBy("component").agg(F.min("low").alias("joint"))
         lowest = lowest.join(linked.select("key", "component").join(low, "component").select("key", "joint"), "key", "left").select("key", F.coalesce("joint", "low").alias("low"))
     whole = members.where("key IS NOT NULL").join(lowest, "key").select("doc_id", "tid", "key", "n", F.col("low").alias("component"))
-    return whole.unionByName(members.where("key IS NULL").withColumn("component", F.col("doc_id"))), links
+    return whole.unionByName(members.where("key IS NULL").select("doc_id", "tid", "key", "n", F.col("doc_id").alias("component"))), links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def structural_edges(pairs: DataFrame) -> DataFrame:
 
 
 def structural_facts() -> Column:
-    return F.format_string("%d of the topic's papers cite it; %d citations inside the topic; %+.2f against its age", F.col("co_citations"), F.col("in_degree"), F.col("z"))
+    return F.format_string("%d of the topic's papers cite it; %d citations inside the topic; %+.2f against its age", F.col("co_citations"), F.col("in_degree"), F.round("z", 2))
 
 
 def structural_explanation() -> Column:

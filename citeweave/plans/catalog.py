@@ -248,7 +248,7 @@ def _(spark, d):
     return judgment.structural_edges(selection.candidate_pairs(_z(spark, d), x.citations(spark, d))).select("topic", "prerequisite_id", "dependent_id", "source")
 
 
-@query("q28_structural_facts", f"WITH {ZED} SELECT paper_id, printf('%d of the topic''s papers cite it; %d citations inside the topic; %+.2f against its age', co_citations, in_degree, z) AS facts FROM x_z")
+@query("q28_structural_facts", f"WITH {ZED} SELECT paper_id, printf('%d of the topic''s papers cite it; %d citations inside the topic; %+.2f against its age', co_citations, in_degree, round(z, 2)) AS facts FROM x_z")
 def _(spark, d):
     return _z(spark, d).select("paper_id", judgment.structural_facts().alias("facts"))
 

@@ -31,18 +31,20 @@ def structural_paths(papers: DataFrame, citations: DataFrame, seeds: DataFrame,
     without seeds has no path.
     """
     g, e = settings.graph, settings.expansion
+    save = identity.saver(papers.sparkSession, "paths")  # what several steps use is written once
+    papers, citations, seeds = save(papers.select("topic", "paper_id", "title", "year"), "papers"), save(citations, "citations"), save(seeds, "seeds")
     first = seeds.where(F.col("seed_rank") <= e.seed_papers)
-    edges = expansion.expand(citations, first, e.min_co_citations, e.max_ancestors, e.ancestor_seeds, e.forward_seeds)
+    edges = save(expansion.expand(citations, first, e.min_co_citations, e.max_ancestors, e.ancestor_seeds, e.forward_seeds), "expanded")
     ends = edges.select("topic", F.explode(F.array("citing_id", "cited_id")).alias("paper_id"))
-    nodes = ends.union(seeds.select("topic", "paper_id")).distinct().join(papers, ["topic", "paper_id"])
-    edges = expansion.clean_edges(edges, nodes)
+    nodes = save(ends.union(seeds.select("topic", "paper_id")).distinct().join(papers, ["topic", "paper_id"]), "nodes")
+    edges = save(expansion.clean_edges(edges, nodes), "edges")
     degrees = graph.degrees(nodes, edges)
     ranked = graph.pagerank(nodes, edges, g.damping, g.iterations, g.tolerance)
     z = graph.age_rescale(nodes.join(ranked, ["topic", "paper_id"]).select("topic", "paper_id", "year", "pagerank"), "pagerank", g.cohort_years, g.min_cohort)
     counts = expansion.co_citations(edges, seeds).withColumnRenamed("n", "co_citations")
     facts = nodes.join(degrees, ["topic", "paper_id"]).join(z.select("topic", "paper_id", "z"), ["topic", "paper_id"]).join(counts, ["topic", "paper_id"], "left").join(seeds, ["topic", "paper_id"], "left")
-    facts = facts.fillna(0, ["co_citations"])
-    chosen = facts.join(selection.select_papers(facts, g.max_path_papers), ["topic", "paper_id"])
+    facts = save(facts.fillna(0, ["co_citations"]), "facts")
+    chosen = save(facts.join(selection.select_papers(facts, g.max_path_papers), ["topic", "paper_id"]), "chosen")
     pairs = selection.candidate_pairs(chosen, edges)
     claimed = judgment.structural_edges(pairs)
     roles = with_median_year(chosen).withColumn("role", structural_role()).withColumn("discovered", F.col("seed_rank").isNull()).withColumn("explanation", judgment.structural_explanation())

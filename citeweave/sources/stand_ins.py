@@ -24,7 +24,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers(spark, sf_dir).where("rn >= 25").select("topic", "paper_id", (F.col("rn") - 24).alias("seed_rank"))
+    return papers(spark, sf_dir).where("rn >= 5").select("topic", "paper_id", (F.col("rn") - 4).alias("seed_rank"))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ PAPERS = """x_papers AS (SELECT source AS topic, doc_id AS paper_id, row_number(
   CAST(CASE WHEN doc_id % 7 <> 3 THEN 1990 + doc_id % 35 END AS INTEGER) AS year, split_part(text, chr(10), 1) AS title, n_chars AS citation_count FROM documents)"""
 CITES = PAPERS + """, x_cites AS (SELECT DISTINCT a.topic, a.paper_id AS citing_id, b.paper_id AS cited_id FROM x_papers a, (VALUES (1), (2), (3), (4)) t(k), x_papers b
   WHERE b.topic = a.topic AND b.rn = a.rn - 1 - (a.rn * t.k * 7) % 11)"""
-SEEDS = CITES + ", x_seeds AS (SELECT topic, paper_id, rn - 24 AS seed_rank FROM x_papers WHERE rn >= 25)"
+SEEDS = CITES + ", x_seeds AS (SELECT topic, paper_id, rn - 4 AS seed_rank FROM x_papers WHERE rn >= 5)"
 COUNTS = SEEDS + """, x_counts AS (SELECT c.topic, c.cited_id AS paper_id, count(DISTINCT c.citing_id) AS n FROM x_cites c JOIN x_seeds s ON s.topic = c.topic AND s.paper_id = c.citing_id GROUP BY ALL),
  x_in AS (SELECT topic, cited_id AS paper_id, count(*) AS in_degree FROM x_cites GROUP BY ALL), x_out AS (SELECT topic, citing_id AS paper_id, count(*) AS out_degree FROM x_cites GROUP BY ALL),
  x_facts AS (SELECT p.*, coalesce(n, 0) AS co_citations, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, seed_rank FROM x_papers p LEFT JOIN x_counts USING (topic, paper_id)

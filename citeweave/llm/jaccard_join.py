@@ -28,7 +28,7 @@ BROADCAST_ROWS = 1_000_000
 #: Up to so many sets with one signature are tested pair by pair; of more in a chunk, one is sent to other chunks' sets.
 LOCAL = 16
 #: Bytes of signatures that one task of the join holds, about; the number of tasks follows.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _M1, _M2, _G = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
@@ -178,7 +178,7 @@ def _rows(names: list[str], schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], schema.field(c).type) if c in columns else pa.nulls(n, schema.field(c).type) for c in names], names=names)
 
 
-def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: int) -> DataFrame:
+def _scan(docs: DataFrame, width: int, num: int, den: int, tasks: int) -> DataFrame:
     """Rows of documents (doc_id, tid, key, n, sketch), of pairs that share a signature with few others (key, other), and of
     signatures that many sets share (sig, key, and n, for how many signatures it stands).
 
@@ -186,6 +186,11 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
     copies doesn't gather in the task that compares chunks.
     """
     key_type = docs.schema["doc_id"].dataType
+    # One number for each task, that Spark's partitioner deals to it, so that no task gets two shares.
+    number = docs.sparkSession.range(40 * tasks).select(F.col("id").cast("int").alias("id"))
+    numbers = number.groupBy(F.pmod(F.hash("id"), F.lit(tasks)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").collect()
+    numbers = np.array([r["id"] for r in numbers], np.int32)
+    parts = len(numbers)
     names = ["part", "doc_id", "tid", "key", "n", "sig", "other", "sketch", "blob"]
     ddl = f"part int, doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint, other bigint, sketch array<bigint>, blob binary"
 
@@ -203,7 +208,7 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
             keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
             with np.errstate(over="ignore"):
                 sketches = [sketch(s) if len(s) else None for s in sets]
-            yield _rows(names, schema, part=[x["t"] % parts if x["t"] is not None else 0 for x in ids], doc_id=[x["d"] for x in ids], tid=[x["t"] for x in ids], key=keys, n=[len(s) for s in sets], sketch=sketches)
+            yield _rows(names, schema, part=numbers[[x["t"] % parts if x["t"] is not None else 0 for x in ids]], doc_id=[x["d"] for x in ids], tid=[x["t"] for x in ids], key=keys, n=[len(s) for s in sets], sketch=sketches)
             first = {k: s for k, s in zip(keys, sets) if k is not None}
             which, signed = enum.signatures(list(first.values()))
             if not len(which):
@@ -216,14 +221,14 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, parts: int, tasks: in
             size = np.diff(np.r_[new, len(signed)])
             hot = np.repeat(size > LOCAL, size)
             if hot.any():
-                yield _rows(names, schema, part=(signed[hot] % np.uint64(parts)).astype(np.int32), key=key[hot], n=np.ones(int(hot.sum()), np.int64), sig=signed[hot].view(np.int64))
+                yield _rows(names, schema, part=numbers[(signed[hot] % np.uint64(parts)).astype(np.int64)], key=key[hot], n=np.ones(int(hot.sum()), np.int64), sig=signed[hot].view(np.int64))
             send = ~hot
             send[new] = True
             signed, key, hot = signed[send], key[send], hot[send]
             part = (signed % np.uint64(parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             found, at = np.unique(part[order], return_index=True)
-            yield _rows(names, schema, part=found, blob=[_packed(signed[g], key[g], hot[g]) for g in np.split(order, at[1:])])
+            yield _rows(names, schema, part=numbers[found], blob=[_packed(signed[g], key[g], hot[g]) for g in np.split(order, at[1:])])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -445,7 +450,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = docs.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     tasks = max(tasks, size * 16 // 12 // TASK_BYTES)  # about one signature of 16 bytes for two words of 6
-    mixed = scratch.save(_scan(docs, width, num, den, 4 * tasks, tasks), "mixed")
+    mixed = scratch.save(_scan(docs, width, num, den, tasks), "mixed")
     members = mixed.where("sig IS NULL AND other IS NULL").drop("sig", "other")
     state = _State(docs, scratch, members, width, num, den)
     shared = mixed.where("sig IS NOT NULL").groupBy("sig", "key").agg(F.max("n").alias("times"))

@@ -33,7 +33,7 @@ _JACCARD = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(
  SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c USING (doc_id)"""
 
 _REPEATS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
- k AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS x FROM d, unnest(range(0, len(h) // 2 - 199)) t(i)),
+ k AS (SELECT doc_id, unnest(range(0, len(h) // 2 - 199)) AS i, unnest(list_transform(range(0, len(h) // 2 - 199), lambda i: hash(substr(h, 2 * i + 1, 400)))) AS x FROM d WHERE len(h) >= 400),
  m AS (SELECT doc_id, i FROM k SEMI JOIN (SELECT x FROM k GROUP BY 1 HAVING count(*) > 1) USING (x)),
  g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM m),
  s AS (SELECT doc_id, run, min(i) AS low, max(i) + 200 AS high FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY ALL),

@@ -8,6 +8,7 @@ part of the training tokens, and the tasks' weights are averaged row by row, eac
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from citeweave.llm.common import LOWER, Scratch, UPPER, table, text_chunks, trimmed
 
-#: Classes, leaves of a class for frequent words and for the others, rows of hashed weights of classes and of leaves.
-CLASSES, OWN, SHARED, ROWS, LEAF_ROWS = 16, 16, 32, 1 << 15, 1 << 14
+#: Classes, leaves of a class for frequent words and for the others, rows of hashed weights of classes and of leaves: of
+#: a vocabulary of up to KNOWN words. Beyond it, the rows grow as its square root and the frequent words as its fourth root.
+CLASSES, OWN, SHARED, ROWS, LEAF_ROWS, KNOWN = 16, 32, 32, 1 << 16, 1 << 15, 1 << 18
 LEAVES = OWN + SHARED
 #: Tokens of a gradient step, its size, and the rounds that the training chunks are dealt to.
 STEP, RATE, ROUNDS = 1 << 15, 0.1, 2
@@ -30,6 +32,9 @@ STEP, RATE, ROUNDS = 1 << 15, 0.1, 2
 CHUNK_CHARS = 8 << 20
 #: Rows of weights that travel together between tasks.
 BLOCK = 2048
+#: Characters of a word and the space after it; bytes of weights that a round's tasks send, at the most, for each of its
+#: characters (they send less, as no task meets all rows).
+WORD_CHARS, SENT = 6, 3
 _ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _START, _END = xxhash.xxh3_64_intdigest(b"\n<start>"), xxhash.xxh3_64_intdigest(b"\n<end>")
 
@@ -124,9 +129,15 @@ def _encode(docs: DataFrame, parts: int) -> DataFrame:
     return docs.select("doc_id", held.alias("held"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), schema)
 
 
-def _count(counted: DataFrame, tasks: int, own: int) -> DataFrame:
-    """Whole counts of each chunk's words (chunk, at, totals), the `own` most frequent words of each task (word, count,
-    ending), and sums over shared leaves (leaf, count, known)."""
+def sizes_for(v: int) -> tuple[int, int, int]:
+    """Of a vocabulary of `v` words: own leaves of a class, rows of weights of classes and of leaves, in whole blocks."""
+    by = max(1.0, v / KNOWN) ** 0.5
+    return math.ceil(OWN * by**0.5), math.ceil(ROWS * by / BLOCK) * BLOCK, math.ceil(LEAF_ROWS * by / BLOCK) * BLOCK
+
+
+def _count(counted: DataFrame, tasks: int) -> DataFrame:
+    """Whole counts of each chunk's words (chunk, at, totals), the words of training (word, count, ending), and
+    sums over shared leaves (leaf, count, known)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(c, at, x) for b in batches for c, at, x in zip(*(b.column(k).to_pylist() for k in range(3)))]
@@ -150,8 +161,7 @@ def _count(counted: DataFrame, tasks: int, own: int) -> DataFrame:
         for n, (chunk, at, _) in zip(size, held):
             yield rows(chunk=[chunk], at=[at], totals=[_planes(total[inverse[place : place + n]])])
             place += n
-        top = np.lexsort((kinds_of, -total))[:own]
-        top = top[total[top] > 0]
+        top = np.flatnonzero(total > 0)
         yield rows(word=kinds_of[top].view(np.int64), count=total[top], ending=end[top].astype(np.int32))
         leaves = np.arange(CLASSES * SHARED)
         yield rows(leaf=leaves, count=np.bincount(end, total, len(leaves)).astype(np.int64), known=np.bincount(end, total > 0, len(leaves)).astype(np.int64))
@@ -175,8 +185,9 @@ class Model:
     leaf_weights: np.ndarray
 
     def places(self, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Leaf number (class * LEAVES + leaf) of each word."""
-        shared = (ends % CLASSES).astype(np.int64) * LEAVES + OWN + ends // CLASSES
+        """Leaf number (class * leaves of a class + leaf) of each word."""
+        n_leaves = self.leaf_weights.shape[1]
+        shared = (ends % CLASSES).astype(np.int64) * n_leaves + n_leaves - SHARED + ends // CLASSES
         if not len(self.own):
             return shared
         k = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
@@ -184,30 +195,30 @@ class Model:
 
 
 def _start(top: list, leaves: list) -> Model:
-    """The model before training: by counts alone."""
+    """The model before training: by counts alone. Its weights, all zero, take memory only where they are changed."""
     n, v = sum(r["count"] for r in leaves), sum(r["known"] for r in leaves)
+    own, rows, leaf_rows = sizes_for(v)
     mass = np.ones(CLASSES * SHARED)  # one word that training has not seen, for each shared leaf
     for r in leaves:
         mass[r["leaf"]] += r["count"] + r["known"]
-    logs = np.zeros((CLASSES, LEAVES))
-    weight = np.zeros((CLASSES, LEAVES))
+    weight = np.zeros((CLASSES, own + SHARED))
     hashes, place = [], []
     for i, r in enumerate(top):
         mass[r["ending"]] -= r["count"] + 1
         weight[i % CLASSES, i // CLASSES] = r["count"] + 1
         hashes.append(r["word"] & (1 << 64) - 1)
-        place.append(i % CLASSES * LEAVES + i // CLASSES)
+        place.append(i % CLASSES * (own + SHARED) + i // CLASSES)
     shared = np.arange(CLASSES * SHARED)
-    weight[shared % CLASSES, OWN + shared // CLASSES] = mass
+    weight[shared % CLASSES, own + shared // CLASSES] = mass
     logs = np.log(np.maximum(weight, 1e-9))
     order = np.argsort(np.array(hashes, np.uint64))
     return Model(
         np.array(hashes, np.uint64)[order], np.array(place, np.int64)[order], np.log10(mass), n, v,
-        np.log(weight.sum(1)).astype(np.float32), logs.astype(np.float32), np.zeros((ROWS, CLASSES), np.float32), np.zeros((LEAF_ROWS, LEAVES), np.float32),
+        np.log(weight.sum(1)).astype(np.float32), logs.astype(np.float32), np.zeros((rows, CLASSES), np.float32), np.zeros((leaf_rows, own + SHARED), np.float32),
     )
 
 
-def _features(words: np.ndarray, tokens: np.ndarray, first: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+def _features(words: np.ndarray, tokens: np.ndarray, first: np.ndarray, start: int, end: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Of tokens start to end, [features, token] for the class, and the hash of the word before; first: where texts start."""
     begin = max(0, start - 2)
     word, new = words[tokens[begin:end]], first[begin:end]
@@ -217,7 +228,7 @@ def _features(words: np.ndarray, tokens: np.ndarray, first: np.ndarray, start: i
     two[new] = np.uint64(_START)
     one, two = one[start - begin :], two[start - begin :]
     with np.errstate(over="ignore"):
-        rows = np.stack([_mix(one + np.uint64(1)), _mix(two + np.uint64(2)), _mix(_mix(one + np.uint64(3)) + two)]) % np.uint64(ROWS)
+        rows = np.stack([_mix(one + np.uint64(1)), _mix(two + np.uint64(2)), _mix(_mix(one + np.uint64(3)) + two)]) % np.uint64(n_rows)
         return rows.astype(np.int64), _mix(one + np.uint64(4))
 
 
@@ -230,13 +241,13 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def _forward(model: Model, weights: np.ndarray, leaf_weights: np.ndarray, rows: np.ndarray, before: np.ndarray, place: np.ndarray):
     """Probabilities of classes, of leaves in the token's class, and the rows of leaf weights."""
-    kind = place // LEAVES
+    kind = place // leaf_weights.shape[1]
     classes = weights[rows[0]]
     classes += weights[rows[1]]
     classes += weights[rows[2]]
     classes += model.class_bias
     with np.errstate(over="ignore"):
-        leaf_rows = (_mix(before + kind.astype(np.uint64)) % np.uint64(LEAF_ROWS)).astype(np.int64)
+        leaf_rows = (_mix(before + kind.astype(np.uint64)) % np.uint64(len(leaf_weights))).astype(np.int64)
     leaves = leaf_weights[leaf_rows]
     leaves += model.leaf_bias[kind]
     return _softmax(classes), _softmax(leaves), leaf_rows
@@ -255,9 +266,11 @@ def _train(chunks: DataFrame, model, tasks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        tables = [m.weights.astype(np.float32), m.leaf_weights.astype(np.float32)]
-        grown = [np.full(len(t), 1e-2, np.float32) for t in tables]
-        seen = [np.zeros(len(t), np.float64) for t in tables]
+        tables = [m.weights.copy(), m.leaf_weights.copy()]
+        n_leaves = tables[1].shape[1]
+        grown = [np.zeros(len(t), np.float32) for t in tables]
+        seen = [np.zeros(len(t), np.uint32) for t in tables]
+        slot = np.zeros(len(tables[0]), np.int32)
         any_ = False
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
@@ -268,42 +281,48 @@ def _train(chunks: DataFrame, model, tasks: int) -> DataFrame:
                     if not len(use):
                         continue
                     any_ = True
-                    rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)))
+                    rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)), len(tables[0]))
                     place, r = places[tokens[at : at + STEP][use]], rows[:, use]
                     classes, leaves, leaf_rows = _forward(m, tables[0], tables[1], r, before[use], place)
                     here = np.arange(len(use))
-                    classes[here, place // LEAVES] -= 1
-                    leaves[here, place % LEAVES] -= 1
-                    # Gradients of equal rows are summed: class by class, and sorted for leaves.
-                    count = np.bincount(r.ravel(), minlength=ROWS)
-                    hit = np.flatnonzero(count)
+                    classes[here, place // n_leaves] -= 1
+                    leaves[here, place % n_leaves] -= 1
+                    # Gradients of equal rows are summed: class by class, over numbers of the rows met, and sorted for leaves.
+                    r = r.ravel()
+                    nth = np.arange(len(r), dtype=np.int32)
+                    slot[r] = nth
+                    hit = r[slot[r] == nth]
+                    slot[hit] = nth[: len(hit)]
+                    r = slot[r]
+                    count = np.bincount(r, minlength=len(hit))
                     by_class = np.ascontiguousarray(classes.T, np.float64)
-                    g = np.stack([np.bincount(r.ravel(), np.tile(c, 3), ROWS)[hit] for c in by_class], axis=1).astype(np.float32)
+                    g = np.stack([np.bincount(r, np.tile(c, 3), len(hit)) for c in by_class], axis=1).astype(np.float32)
                     order = np.argsort(leaf_rows, kind="stable")
                     leaf_hit, starts = np.unique(leaf_rows[order], return_index=True)
                     leaf_g = np.add.reduceat(leaves[order], starts, axis=0)
-                    for t, where, grad, n in ((0, hit, g, count[hit]), (1, leaf_hit, leaf_g, np.diff(np.r_[starts, len(order)]))):
+                    for t, where, grad, n in ((0, hit, g, count), (1, leaf_hit, leaf_g, np.diff(np.r_[starts, len(order)]))):
                         grown[t][where] += (grad * grad).mean(1)
-                        tables[t][where] -= RATE * grad / np.sqrt(grown[t][where])[:, None]
-                        seen[t][where] += n
+                        tables[t][where] -= RATE * grad / np.sqrt(grown[t][where] + np.float32(1e-2))[:, None]
+                        seen[t][where] += n.astype(np.uint32)
         if not any_:
             return
         for kind, (t, n) in enumerate(zip(tables, seen)):
             for block in range(len(t) // BLOCK):
                 part = slice(block * BLOCK, (block + 1) * BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([n[part].tobytes()], pa.binary()), pa.array([t[part].tobytes()], pa.binary())], names=["kind", "block", "seen", "weights"])
+                if n[part].any():  # of rows that the task has not met, their tokens (none) go alone
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([block], pa.int32()), pa.array([n[part].tobytes()], pa.binary()), pa.array([t[part][n[part] > 0].tobytes()], pa.binary())], names=["kind", "block", "seen", "weights"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
         for b in batches:
             for kind, block, n, w in zip(*(b.column(i).to_pylist() for i in range(4))):
-                n = np.frombuffer(n, np.float64)
-                w = np.frombuffer(w, np.float32).reshape(BLOCK, -1) * n[:, None]
-                if (kind, block) in sums:
-                    sums[kind, block][0] += n
-                    sums[kind, block][1] += w
-                else:
-                    sums[kind, block] = [n.copy(), w]
+                n = np.frombuffer(n, np.uint32).astype(np.float64)
+                hit = np.flatnonzero(n)
+                w = np.frombuffer(w, np.float32).reshape(len(hit), -1) * n[hit, None]
+                if (kind, block) not in sums:
+                    sums[kind, block] = [np.zeros(BLOCK), np.zeros((BLOCK, w.shape[1]))]
+                sums[kind, block][0] += n
+                sums[kind, block][1][hit] += w
         for (kind, block), (n, w) in sums.items():
             hit = n > 0
             w = (w[hit] / n[hit, None]).astype(np.float32)
@@ -318,6 +337,8 @@ def _score(chunks: DataFrame, model, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
+        n_leaves = m.leaf_weights.shape[1]
+        own = n_leaves - SHARED
         for b in batches:
             for row in (b.slice(i, 1).to_pylist()[0] for i in range(b.num_rows)):
                 words, tokens, sizes, first, places = _chunk(row, m)
@@ -325,17 +346,17 @@ def _score(chunks: DataFrame, model, key: str) -> DataFrame:
                 for x in row["totals"]:
                     total[_unplanes(x["at"], np.uint32)] = _unplanes(x["totals"], np.int64)
                 log_base = np.log10((total + 1) / (m.n + m.v + 1))
-                leaf = places % LEAVES
-                shared = (leaf - OWN) * CLASSES + places // LEAVES
-                log_word = np.where(leaf >= OWN, np.log10(total + 1) - m.mass[np.maximum(shared, 0)], 0.0)
+                leaf = places % n_leaves
+                shared = (leaf - own) * CLASSES + places // n_leaves
+                log_word = np.where(leaf >= own, np.log10(total + 1) - m.mass[np.maximum(shared, 0)], 0.0)
                 value = log_word[tokens]
                 for at in range(0, len(tokens), STEP):
                     k = slice(at, at + STEP)
                     place = places[tokens[k]]
-                    rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)))
+                    rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)), len(m.weights))
                     classes, leaves, _ = _forward(m, m.weights, m.leaf_weights, rows, before, place)
                     here = np.arange(len(place))
-                    value[k] += np.log10(np.maximum(classes[here, place // LEAVES].astype(np.float64) * leaves[here, place % LEAVES], 1e-30))
+                    value[k] += np.log10(np.maximum(classes[here, place // n_leaves].astype(np.float64) * leaves[here, place % n_leaves], 1e-30))
                 starts = np.cumsum(sizes) - sizes
                 out = [
                     pa.array(row["ids"], b.schema.field("ids").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(sizes),
@@ -350,8 +371,8 @@ def _score(chunks: DataFrame, model, key: str) -> DataFrame:
 def maxent_lm(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Scores of all rows of doc_id, text, by a model of those whose crc32(doc_id as text) mod 7 isn't 2.
 
-    Words are known by 64-bit hashes. To the driver come the most frequent words (CLASSES * OWN at the most), sums over
-    leaves and the weights, all of fixed size. Every training token is in one gradient step.
+    Words are known by 64-bit hashes. To the driver come sums over leaves, of fixed size, the most frequent words and, block
+    by block, the weights, which each task gets whole: both grow with the vocabulary (sizes_for). Every training token is in one gradient step.
     Defined cases: a null or empty text is its end alone; a null doc_id counts as the empty text and trains; repeated rows
     count and are scored each; with no training text all words are unknown; an empty table gives no rows.
     """
@@ -359,19 +380,25 @@ def maxent_lm(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     scratch = Scratch(spark, "maxent")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     encoded = scratch.save(_encode(docs, tasks * 4), "encoded")
-    counts = scratch.save(_count(encoded.where("part IS NOT NULL").select("chunk", "part", "at", "counted"), tasks, CLASSES * OWN), "counts")
-    top = counts.where("word IS NOT NULL").orderBy(F.desc("count"), "word").select("word", "count", "ending").limit(CLASSES * OWN).collect()
+    counts = scratch.save(_count(encoded.where("part IS NOT NULL").select("chunk", "part", "at", "counted"), tasks), "counts")
     leaves = counts.where("leaf IS NOT NULL").groupBy("leaf").agg(F.sum("count").alias("count"), F.sum("known").alias("known")).collect()
+    own, n_rows, leaf_rows = sizes_for(sum(r["known"] for r in leaves))
+    top = counts.where("word IS NOT NULL").orderBy(F.desc("count"), "word").select("word", "count", "ending").limit(CLASSES * own).collect()
     model = _start(top, leaves)
     chunks = encoded.where("part IS NULL").select("chunk", "ids", "held", "sizes", "tokens", "words", "endings")
+    # As tables grow slower than the text, tasks take more of it each: else their weights would outgrow it.
+    weights = 4 * (n_rows * CLASSES + leaf_rows * (own + SHARED))
+    parts = max(spark.sparkContext.defaultParallelism, SENT * WORD_CHARS * model.n // (rounds * weights))
     for r in range(rounds):
-        mine = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == r)
+        mine = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(rounds)) == r).select("held", "sizes", "tokens", "words", "endings")
         sent = spark.sparkContext.broadcast(model)
-        for row in _train(mine.select("held", "sizes", "tokens", "words", "endings"), sent, tasks).collect():
+        after = scratch.save(_train(mine.coalesce(parts), sent, tasks), f"weights{r}")
+        sent.destroy()
+        for row in after.toLocalIterator():
             into = (model.weights, model.leaf_weights)[row["kind"]][row["block"] * BLOCK : (row["block"] + 1) * BLOCK]
             hit = np.unpackbits(np.frombuffer(row["seen"], np.uint8)).astype(bool)
             into[hit] = np.frombuffer(row["weights"], np.float32).reshape(-1, into.shape[1])
-        sent.unpersist()
+        scratch.drop(f"weights{r}")
     totals = counts.where("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("at", "totals")).alias("totals"))
     return _score(chunks.join(totals, "chunk").drop("chunk"), spark.sparkContext.broadcast(model), docs.schema["doc_id"].dataType.simpleString())
 

@@ -375,3 +375,13 @@ def test_neighbours_odd(spark):
     assert [r["vec_id"] for r in got if r["query_id"] == 104] == [2, 5, 8, 11, 14]
     assert multi_index.search(df.limit(0), df.limit(0)).count() == 0
     assert multi_index.search(df.where("vec_id < 3"), df.where("vec_id = 1")).count() == 2
+
+
+def test_model_grows(spark):
+    assert maxent_lm.sizes_for(1) == maxent_lm.sizes_for(maxent_lm.KNOWN) == (32, 1 << 16, 1 << 15)
+    assert maxent_lm.sizes_for(16 * maxent_lm.KNOWN) == (64, 1 << 18, 1 << 17)
+    leaves = [{"leaf": k, "count": 8 << 20, "known": 1 << 13} for k in range(maxent_lm.CLASSES * maxent_lm.SHARED)]
+    top = [{"word": w, "count": 4000 - w, "ending": 3} for w in range(1024)]  # more than 512 words with leaves of their own
+    m = maxent_lm._start(top, leaves)
+    assert m.weights.shape == (1 << 18, 16) and m.leaf_weights.shape == (1 << 17, 96) and m.leaf_bias.shape == (16, 96)
+    assert len(set(m.places(np.arange(1024, dtype=np.uint64), np.full(1024, 3, np.uint16)))) == 1024

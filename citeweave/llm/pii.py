@@ -20,14 +20,20 @@ _EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 _SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[0-9A-Za-z]{8,64}|(?<=token = \")[0-9A-Za-z]{16,64}(?=\")"
 _DATE = r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])|(?<![\d/])(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d(?![\d/])"
+_DATE += r"|(?<![\d/])(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])/(?:19|20)\d\d(?![\d/])|(?<![\d/])(?:19|20)\d\d/(?:0[1-9]|1[0-2])/(?:0[1-9]|[12]\d|3[01])(?![\d/])"
+_DATE += r"|(?<![\d.])(?:0[1-9]|[12]\d|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)\d\d(?!\d|\.\d)"
 _PHONE = r"(?<![\w+])\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w+])\+\d{8,15}(?!\d)|(?<![\w(])\(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\d-])"
+_PHONE += r"|(?<![\w+])\+\d(?:[ .-]?\(?\d\)?){7,14}(?!\d)|(?<![\w.])\d{3}\.\d{3}\.\d{4}(?!\d|\.\d)"
 _SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-_CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: A whole run of groups of digits, of any length; _pieces looks for cards inside.
+_CARD = r"(?<![\w.-])\d[\d -]{11,}\d(?![\w@-]|\.\d{1,3}\.\d|/\d\d/\d)"
+#: What a group inside a run may start instead of a card.
+_INNER = r"^(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])"
 #: Tried at each place in this order.
 PATTERN = "|".join((_EMAIL, _SECRET, _IP, _DATE, _PHONE, _SSN, _IBAN, _CARD))
 #: No text without one of these can hold a match; it is looked for first.
-GATE = r"@|\d\d|AKIA|password=|token = "
+GATE = r"@|\d[ -]?\d|AKIA|password=|token = "
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -97,15 +103,42 @@ def _token(value: str, tag: str, key: str) -> str:
     return f"sha2(concat_ws(':', {_quoted(key)}, '{tag}', {value}), 256)"
 
 
-def pseudonym_sql(m: str, key: str = KEY) -> tuple[str, str]:
-    """SQL for a match `m`: its kind (null where validation fails) and what stands in its place."""
+def _pieces(m: str, s: str) -> str:
+    """SQL: match `m` cut into what is judged (j) and what stays as it is, in order; only `s`, if it's a secret, is whole.
+
+    In runs of digits, every group start is tried: a date or a number in hyphens, or else the longest card of 13 to 19
+    digits that ends with a group and validates. Of a spaced IBAN, the longest validating row of groups counts, and what
+    follows it is a run again.
+    """
+    piece = lambda v, j: f"named_struct('v', {v}, 'j', {j})"
+    tried = ", ".join(f"regexp_extract(r, {_quoted(f'^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])')}, 0)" for n in range(19, 12, -1))
+    card = f"coalesce(get(filter(array({tried}), x -> x <> '' AND {_let(_digits('x'), 'q', _luhn_ok('q'))}), 0), '')"
+    inner = f"CASE WHEN p = 1 OR substr(t, p - 1, 1) = ' ' THEN regexp_extract(r, {_quoted(_INNER)}, 0) ELSE '' END"
+    # A card takes 19 digits and 18 separators at the most, and one character more shows that its last group ends.
+    found = _let("substr(t, p, 38)", "r", _let(inner, "d", f"CASE WHEN d <> '' THEN d ELSE {card} END"))
+    grown = f"named_struct('o', concat(a.o, array({piece('substr(t, a.at, p - a.at)', 'false')}, {piece('f', 'true')})), 'at', p + length(f))"
+    step = f"(a, p) -> CASE WHEN p < a.at THEN a ELSE {_let(found, 'f', f'CASE WHEN f = {_quoted(str())} THEN a ELSE {grown} END')} END"
+    starts = "filter(sequence(1, length(t)), p -> substr(t, p, 1) BETWEEN '0' AND '9' AND (p = 1 OR NOT substr(t, p - 1, 1) rlike '[0-9A-Za-z]'))"
+    run = lambda t: _let(t, "t", f"CASE WHEN t = '' THEN cast(array() as array<struct<v: string, j: boolean>>) ELSE aggregate({starts}, named_struct('o', cast(array() as array<struct<v: string, j: boolean>>), 'at', 1), {step}, a -> concat(a.o, array({piece('substr(t, a.at)', 'false')}))) END")
+    plain = "replace(x, ' ', '')"
+    rows = f"filter(transform(sequence(size(split({m}, ' ')), 1, -1), n -> array_join(slice(split({m}, ' '), 1, n), ' ')), x -> length({plain}) >= 15 AND {_mod97(f'concat(substr({plain}, 5), substr({plain}, 1, 4))')} = 1)"
+    iban = _let(f"coalesce(get({rows}, 0), '')", "b", f"concat(CASE WHEN b = '' THEN cast(array() as array<struct<v: string, j: boolean>>) ELSE array({piece('b', 'true')}) END, {run(f'substr({m}, length(b) + 1)')})")
+    return f"CASE WHEN NOT {s} AND {m} rlike '^[A-Z]{{2}}[0-9]{{2}} ' THEN {iban} WHEN NOT {s} AND {m} rlike '^[0-9][0-9 -]{{11,}}[0-9]$' THEN {run(m)} ELSE array({piece(m, 'true')}) END"
+
+
+def pseudonym_sql(m: str, s: str, key: str = KEY) -> tuple[str, str]:
+    """SQL for a match `m`: its kind (null where validation fails) and what stands in its place. s: SQL of whether the
+    text before it says that it's a secret."""
+    compact = f"replace({m}, ' ', '')"
     kind = (
-        f"CASE WHEN {m} LIKE '%@%' THEN 'email' WHEN {m} rlike '^AKIA' OR ({m} rlike '^[0-9A-Za-z]+$' AND NOT {m} rlike {_quoted('^(?:' + _IBAN + '|' + _CARD + ')$')}) THEN 'secret' "
+        f"CASE WHEN {m} LIKE '%@%' THEN 'email' WHEN {s} OR {m} rlike '^AKIA' THEN 'secret' "
         f"WHEN {m} rlike {_quoted('^' + _IP + '$')} THEN 'ip' "
         f"WHEN {m} rlike {_quoted('^[0-9]{4}-[0-9]{2}-[0-9]{2}$')} THEN CASE WHEN try_to_date({m}, 'yyyy-MM-dd') IS NOT NULL THEN 'date_ymd' END "
-        f"WHEN {m} rlike {_quoted('^[0-9]{2}/[0-9]{2}/[0-9]{4}$')} THEN CASE WHEN try_to_date({m}, 'dd/MM/yyyy') IS NOT NULL THEN 'date_dmy' END "
-        f"WHEN {m} rlike {_quoted('^[+(]|^[0-9]{3}-[0-9]{3}-[0-9]{4}$')} THEN 'phone' WHEN {m} rlike {_quoted('^[0-9]{3}-[0-9]{2}-[0-9]{4}$')} THEN 'ssn' "
-        f"WHEN {m} rlike '^[A-Z]' THEN CASE WHEN {_mod97(f'concat(substr({m}, 5), substr({m}, 1, 4))')} = 1 THEN 'iban' END "
+        f"WHEN {m} rlike {_quoted('^[0-9]{2}/[0-9]{2}/[0-9]{4}$')} THEN CASE WHEN try_to_date({m}, 'dd/MM/yyyy') IS NOT NULL THEN 'date_dmy' WHEN try_to_date({m}, 'MM/dd/yyyy') IS NOT NULL THEN 'date_mdy' END "
+        f"WHEN {m} rlike {_quoted('^[0-9]{4}/[0-9]{2}/[0-9]{2}$')} THEN CASE WHEN try_to_date({m}, 'yyyy/MM/dd') IS NOT NULL THEN 'date_ymd_slash' END "
+        f"WHEN {m} rlike {_quoted('^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$')} THEN CASE WHEN try_to_date({m}, 'dd.MM.yyyy') IS NOT NULL THEN 'date_dmy_dot' END "
+        f"WHEN {m} rlike {_quoted('^[+(]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$')} THEN 'phone' WHEN {m} rlike {_quoted('^[0-9]{3}-[0-9]{2}-[0-9]{4}$')} THEN 'ssn' "
+        f"WHEN {m} rlike '^[A-Z]' THEN CASE WHEN {_mod97(f'concat(substr({compact}, 5), substr({compact}, 1, 4))')} = 1 THEN 'iban' END "
         f"WHEN {_let(_digits(m), 'q', _luhn_ok('q'))} THEN 'card' END"
     )
     octets = f"split({m}, '[.]')"
@@ -121,12 +154,15 @@ def pseudonym_sql(m: str, key: str = KEY) -> tuple[str, str]:
     card = _let(_digits(m), "q", _let(body, "p", f"concat(p, (10 - {_luhn('p')} % 10) % 10)"))
     # The account's digits are permuted in place, up to the last 15 of them, then the two check digits made anew.
     account = f"concat(substr(q, 1, greatest(length(q) - 15, 0)), {_padded(feistel_sql('bigint(right(q, 15))', 'bigint(power(10D, least(length(q), 15)))', 'iban', key), 'least(length(q), 15)')})"
-    bban = f"CASE WHEN {_digits(f'substr({m}, 5)')} = '' THEN substr({m}, 5) ELSE {_refill(f'substr({m}, 5)', _let(_digits(f'substr({m}, 5)'), 'q', account))} END"
-    iban = _let(bban, "u", f"concat(substr({m}, 1, 2), lpad(cast(98 - {_mod97(f'''concat(u, substr({m}, 1, 2), '00')''')} as string), 2, '0'), u)")
+    bban = f"CASE WHEN {_digits(f'substr({compact}, 5)')} = '' THEN substr({compact}, 5) ELSE {_refill(f'substr({compact}, 5)', _let(_digits(f'substr({compact}, 5)'), 'q', account))} END"
+    iban = _let(bban, "u", f"concat(substr({compact}, 1, 2), lpad(cast(98 - {_mod97(f'''concat(u, substr({compact}, 1, 2), '00')''')} as string), 2, '0'), u)")
+    # Into the groups of the match, whose characters it replaces one by one.
+    iban = _let(iban, "y", f"aggregate(split({m}, ''), named_struct('o', '', 'k', 0), (s, c) -> CASE WHEN c IN ('', ' ') THEN named_struct('o', concat(s.o, c), 'k', s.k) ELSE named_struct('o', concat(s.o, substr(y, s.k + 1, 1)), 'k', s.k + 1) END, s -> s.o)")
     secret = f"CASE WHEN {m} rlike '^AKIA' THEN concat('AKIA', upper(substr({_token(m, 'secret', key)}, 1, 16))) ELSE substr(repeat({_token(m, 'secret', key)}, 2), 1, length({m})) END"
     email = f"concat('u', substr({_token(f'lower({m})', 'email', key)}, 1, 16), '@', substr({_token(f'lower({m})', 'domain', key)}, 1, 8), '.invalid')"
     out = (
         f"CASE k WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} WHEN 'ip' THEN {ip} WHEN 'date_ymd' THEN {date('yyyy-MM-dd')} WHEN 'date_dmy' THEN {date('dd/MM/yyyy')} "
+        f"WHEN 'date_mdy' THEN {date('MM/dd/yyyy')} WHEN 'date_ymd_slash' THEN {date('yyyy/MM/dd')} WHEN 'date_dmy_dot' THEN {date('dd.MM.yyyy')} "
         f"WHEN 'phone' THEN {_refill(m, phone_digits)} WHEN 'ssn' THEN {_refill(m, ssn)} WHEN 'iban' THEN {iban} WHEN 'card' THEN {_refill(m, card)} ELSE {m} END"
     )
     return kind, out
@@ -136,22 +172,25 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All columns of `docs` with `text` pseudonymised, and _pii: array of kind and pseudonym of each replaced value.
 
     Defined cases: a null text stays null and has an empty _pii; a text without a valid value is unchanged byte for byte;
-    a value that fails its validation (Luhn, mod 97, calendar) stays; equal values get equal pseudonyms in every
+    a value that fails its validation (Luhn, mod 97, calendar) stays, but cards and IBANs inside it don't; equal values get equal pseudonyms in every
     document; values are found in whole texts. Repeated rows and further columns pass through.
     """
-    kind, out = pseudonym_sql("m", key)
-    each = f"transform(_found, m -> {_let(kind, 'k', f"named_struct('k', k, 'p', {out})")})"
+    secret = "(m rlike '^[0-9A-Za-z]{8,64}$' AND (endswith(_between[i], 'password=') OR endswith(_between[i], 'token = \"')))"
+    kind, out = pseudonym_sql("m", "w", key)
+    judged = _let("e.v", "m", _let(f"CASE WHEN e.j THEN {kind} END", "k", f"named_struct('k', k, 'p', CASE WHEN k IS NULL THEN m ELSE {out} END)"))
+    each = f"transform(_found, (m, i) -> {_let(secret, 'w', f'transform({_pieces("m", "w")}, e -> {judged})')})"
     pattern = _quoted(PATTERN)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
     done = (
-        own.withColumn("_found", F.expr(f"CASE WHEN _text rlike {_quoted(GATE)} THEN regexp_extract_all(_text, {pattern}, 0) END"))
-        .withColumn("_new", F.expr(f"CASE WHEN size(_found) > 0 THEN {each} ELSE cast(array() as array<struct<k: string, p: string>>) END"))
+        own.withColumn("_between", F.expr(f"CASE WHEN _text rlike {_quoted(GATE)} THEN split(_text, {pattern}, -1) END"))
+        .withColumn("_found", F.expr(f"CASE WHEN _text rlike {_quoted(GATE)} THEN regexp_extract_all(_text, {pattern}, 0) END"))
+        .withColumn("_new", F.expr(f"CASE WHEN size(_found) > 0 THEN {each} ELSE cast(array() as array<array<struct<k: string, p: string>>>) END"))
         .withColumn(
             "_out",
-            F.expr(f"CASE WHEN size(_found) > 0 THEN concat_ws('', transform(split(_text, {pattern}, -1), (x, i) -> concat(x, coalesce(get(_new, i).p, '')))) ELSE _text END"),
+            F.expr(f"CASE WHEN size(_found) > 0 THEN concat_ws('', transform(_between, (x, i) -> concat(x, coalesce(array_join(transform(get(_new, i), y -> y.p), ''), '')))) ELSE _text END"),
         )
     )
-    done = done.select("_row", fenced(F.struct("_out", F.expr("transform(filter(_new, x -> x.k IS NOT NULL), x -> named_struct('kind', x.k, 'pseudonym', x.p))").alias("_pii"))).alias("_done"))
+    done = done.select("_row", fenced(F.struct("_out", F.expr("transform(filter(flatten(_new), x -> x.k IS NOT NULL), x -> named_struct('kind', x.k, 'pseudonym', x.p))").alias("_pii"))).alias("_done"))
     return done.select(*[F.col("_done._out").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns], F.col("_done._pii").alias("_pii"))
 
 

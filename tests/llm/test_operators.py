@@ -377,6 +377,22 @@ def test_neighbours_odd(spark):
     assert multi_index.search(df.where("vec_id < 3"), df.where("vec_id = 1")).count() == 2
 
 
+def test_pii_runs_and_forms(spark):
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{card} 123", "2 4111111111111111", "4111111111111111 12/27", f"12345 {card}", f"{card} 2021-02-28", f"{'7 ' * 300}{card}", iban, f"{iban} PAID 12", f"BE68 5390 0754 7034 PAID", "+44 20 7946 0958", "555.123.4567", "03/25/2021", "25.03.2021", "2021/03/25", "password=1234567890123", "password=4111111111111111", "1234 5678 9012 3456 78"]
+    kinds = ["card", "card", "card", "card", "card,date_ymd", "card", "iban", "iban", "iban", "phone", "phone", "date_mdy", "date_dmy_dot", "date_ymd_slash", "secret", "secret", ""]
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [",".join(k["kind"] for k in r["_pii"]) for r in rows] == kinds
+    for t, r in zip(texts, rows):
+        assert len(r["text"]) == len(t) and (r["text"] != t) == bool(r["_pii"])
+        assert not any(x in r["text"] for x in (card, card.replace(" ", ""), "2021-02-28", "1234 5698 7654 32", "5390 0754 7034"))
+        for k in r["_pii"]:
+            x = k["pseudonym"].replace(" ", "")
+            assert k["kind"] != "card" or luhn(k["pseudonym"])
+            assert k["kind"] != "iban" or int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    assert rows[0]["text"].endswith(" 123") and rows[2]["text"].endswith(" 12/27") and rows[7]["text"].endswith(" PAID 12") and rows[-1]["text"] == texts[-1]
+
+
 def test_model_grows(spark):
     assert maxent_lm.sizes_for(1) == maxent_lm.sizes_for(maxent_lm.KNOWN) == (32, 1 << 16, 1 << 15)
     assert maxent_lm.sizes_for(16 * maxent_lm.KNOWN) == (64, 1 << 18, 1 << 17)

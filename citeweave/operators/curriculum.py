@@ -86,7 +86,3 @@ def hybrid(syllabus: DataFrame, anchor: DataFrame) -> DataFrame:
     good = syllabus.groupBy("topic").agg(F.count("*").alias("n"), F.max((F.col("stage") == "anchor").cast("int")).alias("a")).where("n >= 4 AND a = 1").select("topic")
     other = anchor.join(good, "topic", "left_anti")
     return syllabus.join(good, "topic", "left_semi").unionByName(other).unionByName(syllabus.join(good, "topic", "left_anti").join(other.select("topic").distinct(), "topic", "left_anti"))
-
-
-#: Names that build_path() takes.
-STRATEGIES = ("structural", "syllabus", "anchor", "rerank", "hybrid")

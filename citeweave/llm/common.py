@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: For str.translate: lower-cases A-Z and leaves every other character alone.
 ASCII_LOWER = {ord(a): b for a, b in zip(UPPER, LOWER)}
+#: What may be broadcast: tables that, by a count of their rows, aren't larger.
+BROADCAST_BYTES = 8 << 20
 _own_root: list[str] = []
 
 
@@ -42,10 +45,13 @@ def double_array(spark: SparkSession, values: list[float]) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a folder of this process only where the session names none (tests)."""
+    """The folder that the cluster shares. Where the session names none: a temporary one if all runs in this process (as in
+    tests), else one below the warehouse, which executors share too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_citeweave"
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="citeweave-"))
         atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
@@ -76,9 +82,11 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base = spark, f"{scratch_root(spark)}/citeweave-{tag}-{uuid.uuid4().hex}"
+        self.held: set[str] = set()
 
     def save(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.base}/{name}"
+        self.held.add(name)
         with _statement(self.spark):
             df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -86,10 +94,34 @@ class Scratch:
     def drop(self, *names: str) -> None:
         jvm, sc = self.spark._jvm, self.spark.sparkContext
         for name in names:
+            self.held.discard(name)
             path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def names(self, *starts: str) -> set[str]:
+        """The tables held whose names start so."""
+        return {n for n in self.held if n.startswith(starts)}
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """`df` to be broadcast if its rows, counted, take BROADCAST_BYTES at most; else as it is, to be joined by shuffle."""
+    most = BROADCAST_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of `df` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def trimmed(function):
     """`function` of Arrow batches, after which the worker hands memory that it has freed back to the machine."""
 

@@ -15,16 +15,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import LOWER, Scratch, UPPER, table, text_chunks, trimmed
+from citeweave.llm.common import LOWER, Scratch, UPPER, free_names, small, table, text_chunks, trimmed
 from citeweave.operators.components import connected_components
 
 #: A worker forgets word hashes when it holds this many.
 MEMO_WORDS = 250_000
-#: Ids or keys are broadcast up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a row of ids or keys, and of one with a sketch, as they are broadcast (see common.small).
+KEY_BYTES, SKETCH_BYTES = 40, 160
+#: Buckets of more sets are cut before all their sketches are compared; so often at the most by signatures.
+BUCKET, LEVELS = 1024, 3
 #: Up to so many sets with one signature are tested pair by pair; of more in a chunk, one is sent to other chunks' sets.
 LOCAL = 16
 #: Bytes of signatures that one task of the join holds, about; the number of tasks follows.
@@ -167,6 +169,10 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return signed.view(np.uint64).ravel(), np.repeat(keys, counts), np.unpackbits(np.frombuffer(data, np.uint8, offset=at + 7 * n), count=n).astype(bool)
 
 
+def set_key(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
 def sketch(elements: np.ndarray) -> np.ndarray:
     """Parities, of elements by hash, as eight 64-bit words: two sets differ in as many elements as their bits, at least."""
     bits = np.bincount(mix(elements + _M1) >> np.uint64(55), minlength=512) & 1
@@ -205,7 +211,7 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, tasks: int) -> DataFr
 
         for ids, texts in text_chunks(pairs(), 1 << 20):
             sets = [shingle_set(t, width) for t in texts]
-            keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
+            keys = [set_key(s) if len(s) else None for s in sets]
             with np.errstate(over="ignore"):
                 sketches = [sketch(s) if len(s) else None for s in sets]
             yield _rows(names, schema, part=numbers[[x["t"] % parts if x["t"] is not None else 0 for x in ids]], doc_id=[x["d"] for x in ids], tid=[x["t"] for x in ids], key=keys, n=[len(s) for s in sets], sketch=sketches)
@@ -284,21 +290,36 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, tasks: int) -> DataFr
     return texts.mapInArrow(trimmed(run), ddl).repartition(tasks, "part").mapInArrow(trimmed(meet), f"doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint, other bigint, sketch array<bigint>")
 
 
-def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` to be broadcast if it has at most `most` rows; else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(key, s): the shingle set, as bytes, of each of the wanted (tid); one text for each key is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in text_chunks(batches, 2 << 20):
             sets = [s for s in (shingle_set(t, width) for t in texts) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "s"])
+
+    return _texts(docs, wanted).mapInArrow(trimmed(run), "key bigint, s binary").dropDuplicates(["key"])
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(tid, text) of the wanted (tid)."""
+    return docs.select(F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text")).join(small(wanted, KEY_BYTES), "tid", "left_semi")
 
-    found = docs.select(F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text")).join(_small(wanted), "tid", "left_semi")
-    return found.mapInArrow(trimmed(run), "key bigint, s binary").dropDuplicates(["key"])
+
+def _signs(docs: DataFrame, wanted: DataFrame, width: int, num: int, den: int, seed: int) -> DataFrame:
+    """(key, sign): the signatures of each of the wanted (tid) under a division of the domain that `seed` gives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enum = PartEnum(num, den)
+        for _, texts in text_chunks(batches, 1 << 20):
+            found = {set_key(s): s for s in (shingle_set(t, width) for t in texts) if len(s)}
+            with np.errstate(over="ignore"):
+                which, signed = enum.signatures([np.sort(mix(s + np.uint64(seed) * _M2)) for s in found.values()])
+            key = np.fromiter(found, np.int64, len(found))[which]
+            for at in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), pa.array(signed[at : at + 100_000].view(np.int64))], names=["key", "sign"])
+
+    return _texts(docs, wanted).mapInArrow(trimmed(run), "key bigint, sign bigint").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -324,39 +345,51 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(trimmed(run), "a bigint, b bigint")
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, key, d, n, pos): first elements, in an order that is the same for all, of each other's difference D to its hub.
-
-    Two sets u, v differ in |D_u| + |D_v| - 2 |D_u & D_v| elements, so to be linked, if not both are linked to their hub,
-    they must share o = (|D_u| + |D_v| - most) / 2 > 0 elements of D, hence one among the first |D| - o + 1 of each. What
-    only copies of a text add comes first, so that sets which differ in edits of their own don't meet.
-    """
-    names = ["sig", "key", "d", "n", "pos"]
+def _candidates(rows: DataFrame, most: int, num: int, den: int) -> DataFrame:
+    """(a, b, sig) of the rows (sig, key, n, sketch, label) of buckets: for each set, the nearest `most` of its bucket, by
+    sketches, that have another label and that sizes and sketches don't rule out. A row without a names a bucket in which
+    some set had more of them."""
+
+    def group(sig: int, key: np.ndarray, n: np.ndarray, bits: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+        out, cut = [], False
+        step = max(1, (1 << 19) // len(key))
+        for at in range(0, len(key), step):
+            some = slice(at, at + step)
+            far = np.zeros((len(key[some]), len(key)), np.int64)
+            for k in range(bits.shape[1]):
+                far += np.bitwise_count(bits[some, k, None] ^ bits[None, :, k])
+            m = n[some, None]
+            fit = (far <= (den - num) * (m + n) // (den + num)) & (den * np.minimum(m, n) >= num * np.maximum(m, n)) & (label[some, None] != label)
+            if len(key) > most and (fit.sum(1) > most).any():
+                cut = True
+                nearest = np.argpartition(np.where(fit, far, 1 << 30), most - 1, axis=1)[:, :most]
+                near = np.zeros_like(fit)
+                np.put_along_axis(near, nearest, True, 1)
+                fit &= near
+            i, j = np.nonzero(fit)
+            out.append(np.stack([np.minimum(key[i + at], key[j]), np.maximum(key[i + at], key[j])]))
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1)
+        a, b = pa.array(pairs[0]), pa.array(pairs[1])
+        if cut:
+            a, b = pa.concat_arrays([a, pa.nulls(1, pa.int64())]), pa.concat_arrays([b, pa.nulls(1, pa.int64())])
+        return pa.RecordBatch.from_arrays([a, b, pa.array(np.full(len(a), sig))], names=["a", "b", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            out: list[list] = [[] for _ in names]
-            for hub, other, x, y in zip(*(batch.column(k) for k in range(4))):
-                h, u = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                d = np.concatenate([np.setdiff1d(u, h, True), np.setdiff1d(h, u, True)])
-                n = len(d)
-                if (den + num) * n > (den - num) * (len(u) + len(h)):  # not linked to the hub
-                    least = ((den + num) * (n + 1) - (den - num) * (len(u) + len(h) + 1)) / (2 * (den + num))
-                else:
-                    least = n * num / (den + num)
-                first = n - max(1, int(np.ceil(least - 1e-9))) + 1
-                with np.errstate(over="ignore"):
-                    out[0].append(mix(d[:first] + mix(np.array([hub.as_py()], np.int64).view(np.uint64))).view(np.int64))
-                for k, value in ((1, other.as_py()), (2, n), (3, len(u))):
-                    out[k].append(np.full(first, value, np.int64))
-                out[4].append(np.arange(1, first + 1))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
-
-    left = sets.select(F.col("key").alias("hub"), F.col("s").alias("sa"))
-    right = sets.select(F.col("key").alias("other"), F.col("s").alias("sb"))
-    rows = pairs.join(left, "hub").join(right, "other").select("hub", "other", "sa", "sb")
-    return rows.mapInArrow(trimmed(run), "sig bigint, key bigint, d bigint, n bigint, pos bigint")
+            sig, key, n, label = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+            bits = batch.column(3).flatten().to_numpy().view(np.uint64).reshape(len(sig), -1)
+            new = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            for low, high in zip(new, np.r_[new[1:], len(sig)]):
+                if held and held[0][0][0] != sig[low]:
+                    yield group(int(held[0][0][0]), *(np.concatenate(c) for c in list(zip(*held))[1:]))
+                    held = []
+                held.append([x[low:high] for x in (sig, key, n, bits, label)])
+        if held:
+            yield group(int(held[0][0][0]), *(np.concatenate(c) for c in list(zip(*held))[1:]))
+
+    dealt = rows.select("sig", "key", "n", "sketch", "label").repartition("sig").sortWithinPartitions("sig")
+    return dealt.mapInArrow(trimmed(run), "a bigint, b bigint, sig bigint")
 
 
 class _State:
@@ -366,69 +399,111 @@ class _State:
         self.spark, self.docs, self.scratch, self.width, self.num, self.den, self.i = docs.sparkSession, docs, scratch, width, num, den, 0
         first = members.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("tid").alias("tid"))
         self.known = scratch.save(first, "known")
-        self.sketches = _small(self.known.select("key", "n", "sketch"))
+        self.sketches = small(self.known.select("key", "n", "sketch"), SKETCH_BYTES)
         self.links = self.spark.createDataFrame([], "a bigint, b bigint")
         self.tested, self.label = self.links, self.spark.createDataFrame([], "node bigint, component bigint")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs (a < b) but those that their sizes and sketches rule out."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for side in "ab":
             pairs = pairs.join(self.sketches.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
         bits = " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(8))
         fit = f"{self.den} * least(na, nb) >= {self.num} * greatest(na, nb) AND {bits} <= {self.den - self.num} * (na + nb) div {self.den + self.num}"
-        return pairs.where(fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def sets(self, keys: DataFrame, name: str) -> DataFrame:
-        """(key, s) of the distinct keys (key)."""
-        return self.scratch.save(_sets(self.docs, self.known.join(_small(keys), "key", "left_semi").select("tid"), self.width), name)
+        return pairs.where(fit).select("a", "b")
 
-    def test(self, pairs: DataFrame, sets: DataFrame | None = None) -> None:
-        """Verifies the pairs that weren't before, and joins the classes of those linked."""
+    def test(self, pairs: DataFrame, judged: bool = False) -> None:
+        """Verifies the distinct pairs (a < b, if `judged` by near() or its like) that weren't before, and joins the classes of those linked."""
         self.i += 1
-        new = self.near(pairs.toDF("a", "b"))
+        new = pairs.toDF("a", "b") if judged else self.near(pairs.toDF("a", "b"))
         new = self.scratch.save(new.join(self.tested, ["a", "b"], "left_anti") if self.i > 1 else new, f"pairs{self.i}")
-        if sets is None:
-            sets = self.sets(new.select(F.explode(F.array("a", "b")).alias("key")).distinct(), f"sets{self.i}")
-        found = self.scratch.save(_verify(new, sets, self.num, self.den), f"links{self.i}")
         self.tested = self.tested.union(new)
+        if new.isEmpty():
+            return
+        keys = new.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+        wanted = self.known.join(small(keys, KEY_BYTES), "key", "left_semi").select("tid")
+        sets = self.scratch.save(_sets(self.docs, wanted, self.width), f"sets{self.i}")
+        found = self.scratch.save(_verify(new, sets, self.num, self.den), f"links{self.i}")
+        self.scratch.drop(f"sets{self.i}")
         if not found.isEmpty():
             self.links = self.links.union(found)
-            inner = Scratch(self.spark, f"jaccard-cc{self.i}")
-            self.label = inner.save(connected_components(self.links, inner.save, inner.drop), "labels")
+            # Classes that are known already stand for their links.
+            edges = self.label.toDF("a", "b").where("a <> b").union(found)
+            name = f"labels{self.i}"
+            labels = self.scratch.save(connected_components(edges, self.scratch.save, self.scratch.drop), name)
+            for old in self.scratch.names("labels") - {name} | self.scratch.names("cc"):
+                self.scratch.drop(old)
+            self.label = labels
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         joined = rows.drop("label").join(self.label.select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left")
         return joined.withColumn("label", F.coalesce("label", "key"))
 
     def open(self, rows: DataFrame) -> DataFrame:
-        """Rows of buckets (sig, key) that hold several classes, with their class as label."""
+        """Rows of buckets (sig, key) that hold several classes, with their class as label, and the bucket's size m."""
         rows = self.labelled(rows)
-        mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
-        return rows.join(mixed, "sig", "left_semi")
-
-    def settle(self, rows: DataFrame, sets: DataFrame) -> None:
-        """Tests what may be linked in buckets of _differences(): 8 sets of each against the rest, then 64, and so on."""
-        most = lambda a, b: f"({self.den - self.num} * ({a} + {b}) div {self.den + self.num})"
-        share = lambda d, e, n, m: f"((greatest({d} + {e} - {most(n, m)}, 1) + 1) div 2)"
-        left = self.scratch.save(rows.distinct(), "differences")
-        for k in range(2):  # without what can't be linked to any other of its bucket
-            some = left.groupBy("sig").agg(F.min("d").alias("low"), F.max("n").alias("high"), F.count("*").alias("m")).where("m > 1")
-            left = left.join(some, "sig").where(f"pos <= d - {share('d', 'low', 'n', 'high')} + 1").select("sig", "key", "d", "n", "pos")
-        left = self.scratch.save(self.open(left), "left0")
-        self.scratch.drop("differences")
-        order = Window.partitionBy("sig").orderBy("d", "key")
-        for i in range(1, 22):
-            if left.isEmpty():
-                return
-            numbered = left.withColumn("r", F.row_number().over(order))
-            hubs = numbered.where(F.col("r") <= 8**i).select("sig", *(F.col(c).alias(f"{c}2") for c in ("key", "d", "n", "pos", "label", "r")))
-            o = share("d", "d2", "n", "n2")
-            near = f"r > r2 AND label <> label2 AND pos <= d - {o} + 1 AND pos2 <= d2 - {o} + 1"
-            self.test(numbered.join(hubs, (numbered["sig"] == hubs["sig"]) & F.expr(near)).select("key", "key2"), sets)
-            following = self.scratch.save(self.open(numbered.where(F.col("r") > 8**i).drop("r")), f"left{i}")
-            self.scratch.drop(f"left{i - 1}")
-            left = following
-        raise RuntimeError("buckets are left")
+        mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("sig", "m")
+        return rows.drop("m").join(mixed, "sig")
+
+    def settle(self, rows: DataFrame) -> None:
+        """Finds what is linked in the buckets (sig, key) of many sets.
+
+        First all are held against the set of each that shares most with others, its hub, which makes one class of a group
+        of copies. In buckets that still hold several classes all sketches are compared: the nearest eight of each set are
+        tested, then 64, and so on until no bucket has more. A bucket of over BUCKET sets is cut first: if BUCKET at most
+        are of other classes than its largest, into blocks of that class, each beside all of the others. Else by signatures
+        of another division of the domain; and where that was done LEVELS times, into blocks that meet each other.
+        """
+        for level in range(LEVELS + 2):
+            rows = self._hubs(rows, level) if level <= LEVELS else self.scratch.save(self.open(rows), f"open{level}")
+            if rows.isEmpty():
+                break
+            if level > LEVELS:
+                self._compare(rows, level)
+                break
+            self._compare(rows.where(f"m <= {BUCKET}").unionByName(self._led(rows.where(f"m > {BUCKET}")), True), level)
+            rest = self.scratch.save(self.open(rows.where(f"m > {BUCKET}")).transform(self._others).where(f"others > {BUCKET}"), f"rest{level}")
+            if rest.isEmpty():
+                break
+            if level < LEVELS:
+                signs = _signs(self.docs, self.known.join(small(rest.select("key").distinct(), KEY_BYTES), "key", "left_semi").select("tid"), self.width, self.num, self.den, level + 1)
+                rows = rest.join(self.scratch.save(signs, f"signs{level}"), "key").select(F.xxhash64("sig", "sign").alias("sig"), "key")
+            else:
+                blocks = rest.withColumn("k", F.expr(f"m div {BUCKET} + 1")).withColumn("c", F.expr("pmod(xxhash64(key), k)"))
+                rows = blocks.withColumn("o", F.explode(F.expr("sequence(0L, k - 1)"))).select(F.expr("xxhash64(sig, least(c, o), greatest(c, o))").alias("sig"), "key").distinct()
+        for name in self.scratch.names("open", "hubs", "buckets", "rest", "signs", "found"):
+            self.scratch.drop(name)
+
+    def _others(self, rows: DataFrame) -> DataFrame:
+        """Rows of open buckets with the largest class of each (top) and how many sets it has of others."""
+        top = rows.groupBy("sig", "label").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("others"))
+        return rows.join(top, "sig")
+
+    def _led(self, rows: DataFrame) -> DataFrame:
+        """(sig, key) of the blocks of those large buckets that hold few sets besides one class."""
+        led = self._others(rows).where(f"others <= {BUCKET}").withColumn("k", F.expr(f"m div {BUCKET} + 1"))
+        block = F.expr("if(label = top, array(pmod(xxhash64(key), k)), sequence(0L, k - 1))")
+        return led.withColumn("c", F.explode(block)).select(F.xxhash64("sig", "c").alias("sig"), "key")
+
+    def _hubs(self, rows: DataFrame, level: int) -> DataFrame:
+        """Tests the sets of each bucket against its hub; returns the rows of buckets that stay open."""
+        # Signatures with the same members are one bucket.
+        each = rows.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("h"))
+        once = each.where("m > 1").groupBy("m", "h").agg(F.min("sig").alias("sig"), F.sum("m").alias("weight")).select("sig", "weight")
+        buckets = self.scratch.save(self.open(rows.join(once, "sig").select("sig", "key", "weight")), f"buckets{level}")
+        ranked = buckets.join(buckets.groupBy("key").agg(F.sum("weight").alias("all")), "key")
+        hubs = self.scratch.save(ranked.groupBy("sig").agg(F.max_by("key", F.struct("all", "key")).alias("hub")), f"hubs{level}")
+        self.test(buckets.join(hubs, "sig").where("key <> hub").select("hub", "key"))
+        return self.scratch.save(self.open(buckets.select("sig", "key")), f"open{level}")
+
+    def _compare(self, rows: DataFrame, level: int) -> None:
+        most, i = 8, 0
+        while not rows.isEmpty():
+            known = self.known.select("key", "n", "sketch")
+            found = self.scratch.save(_candidates(self.labelled(rows.select("sig", "key")).join(known, "key"), most, self.num, self.den), f"found{level}_{i}")
+            self.test(found.where("a IS NOT NULL").select("a", "b").distinct(), True)
+            rows = self.open(rows.select("sig", "key").join(found.where("a IS NULL").select("sig"), "sig", "left_semi"))
+            most, i = 8 * most, i + 1
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -437,10 +512,9 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     Returns (members, links). members: doc_id, tid (hash of the text), key (of the set; null: empty), n (set size) and
     component (smallest doc_id reachable by links). links: a, b, pairs of keys that connect all that is linked.
 
-    Few sets that share a signature are tested pair by pair, as far as sizes and sketches don't rule a pair out. Of many, the
-    one that shares most with others is the hub, and all are held against it. Where several classes are left, the differences to the hub tell which of its sets may still be linked to each
-    other (_differences), and these are tested, if they aren't connected by then. So each link is found or its ends are
-    connected by others, and a group of copies costs as many tests as it has members, not pairs.
+    Few sets that share a signature are tested pair by pair, as far as sizes and sketches don't rule a pair out; of many,
+    those that sketches leave (_State.settle). A pair is left out only if its ends are connected already. So each link is
+    found or its ends are connected by others, and a group of copies costs as many tests as it has members, not pairs.
 
     Defined cases: null and empty texts have n 0, no key, and are a class alone; equal sets are one key however many
     documents have it; repeated rows are repeated members; further columns are ignored; an empty table gives no rows.
@@ -453,30 +527,17 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     mixed = scratch.save(_scan(docs, width, num, den, tasks), "mixed")
     members = mixed.where("sig IS NULL AND other IS NULL").drop("sig", "other")
     state = _State(docs, scratch, members, width, num, den)
-    shared = mixed.where("sig IS NOT NULL").groupBy("sig", "key").agg(F.max("n").alias("times"))
-    # Signatures with the same members are one bucket.
-    each = shared.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("h"), F.max("times").alias("times"))
-    once = each.groupBy("m", "h").agg(F.min("sig").alias("sig"), F.sum("times").alias("times")).where("m > 1").select("sig", (F.col("m") * F.col("times")).alias("weight"))
-    buckets = scratch.save(shared.drop("times").join(once, "sig"), "buckets")
-    ranked = scratch.save(buckets.select("sig", "key").join(buckets.groupBy("key").agg(F.sum("weight").alias("weight")), "key"), "ranked")
-    first = Window.partitionBy("sig").orderBy(F.desc("weight"), "key")
-    hubs = scratch.save(ranked.withColumn("r", F.row_number().over(first)).where("r = 1").select("sig", F.col("key").alias("hub")), "hubs")
-    rest = ranked.join(hubs, "sig").where("key <> hub").select("sig", "hub", "key")
-    state.test(mixed.where("other IS NOT NULL").select("key", "other").union(rest.select("hub", "key")))
-    still = scratch.save(state.open(rest).select("hub", F.col("key").alias("other")).distinct(), "still")
-    scratch.drop("buckets", "pairs1")
-    state.tested = spark.createDataFrame([], "a bigint, b bigint")
-    if not still.isEmpty():
-        sets = state.sets(still.select(F.explode(F.array("hub", "other")).alias("key")).distinct(), "sets")
-        state.settle(_differences(still, sets, num, den), sets)
-    label, links = state.label, state.links
+    state.test(mixed.where("other IS NOT NULL").select("key", "other"))
+    state.settle(mixed.where("sig IS NOT NULL").select("sig", "key").distinct())
     lowest = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low"))
-    if state.i:
-        linked = label.withColumnRenamed("node", "key").join(lowest, "key")
-        low = linked.groupBy("component").agg(F.min("low").alias("joint"))
-        lowest = lowest.join(linked.select("key", "component").join(low, "component").select("key", "joint"), "key", "left").select("key", F.coalesce("joint", "low").alias("low"))
+    linked = state.label.withColumnRenamed("node", "key").join(lowest, "key")
+    low = linked.groupBy("component").agg(F.min("low").alias("joint"))
+    lowest = lowest.join(linked.select("key", "component").join(low, "component").select("key", "joint"), "key", "left").select("key", F.coalesce("joint", "low").alias("low"))
     whole = members.where("key IS NOT NULL").join(lowest, "key").select("doc_id", "tid", "key", "n", F.col("low").alias("component"))
-    return whole.unionByName(members.where("key IS NULL").select("doc_id", "tid", "key", "n", F.col("doc_id").alias("component"))), links
+    whole = scratch.save(whole.unionByName(members.where("key IS NULL").select("doc_id", "tid", "key", "n", F.col("doc_id").alias("component"))), "whole")
+    links = scratch.save(state.links, "all_links")
+    scratch.drop(*scratch.names("") - {"whole", "all_links"})
+    return whole, links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -485,16 +546,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near copies (five words, 0.8 or more) the document of smallest doc_id stays."""
+    """Pipeline stage: of each class of near copies (five words, 0.8 or more) the document of smallest doc_id stays.
+
+    Defined cases: documents without a set (null, empty, white space) all stay; of repeated rows (same doc_id and text) one
+    stays; where one doc_id has several texts of a class, one of them stays; further columns stay as they are, whatever
+    their names; an empty table gives no rows.
+    """
     members, _ = jaccard_join(docs.select("doc_id", "text"))
-    members = Scratch(spark, "jaccard-stage").save(members, "members")
+    sets = members.where("key IS NOT NULL")
     # One row stays for each class; documents without a set stay all.
-    best = members.where("key IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "tid")).alias("best"))
-    gone = members.where("key IS NOT NULL").join(best, "component").where("NOT (doc_id <=> best.doc_id AND tid <=> best.tid)").select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid")).distinct()
-    kept = docs.join(_small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tid")), "left_anti")
-    repeated = members.where("key IS NOT NULL").groupBy("doc_id", "tid").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"))
+    best = sets.groupBy("component").agg(F.min(F.struct("doc_id", "tid")).alias("best"))
+    row, tid = free_names(docs, "row", "tid")
+    gone = sets.join(best, "component").where("NOT (doc_id <=> best.doc_id AND tid <=> best.tid)").select(F.col("doc_id").alias(row), F.col("tid").alias(tid)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(row)) & (F.xxhash64("text") == F.col(tid))
+    kept = docs.join(small(gone, KEY_BYTES), same, "left_anti")
+    repeated = sets.groupBy("doc_id", "tid").count().where("count > 1").select(F.col("doc_id").alias(row), F.col("tid").alias(tid))
     if repeated.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tid"))
-    once = kept.join(_small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(_small(repeated), same, "left_anti").unionByName(once)
+    once = kept.join(small(repeated, KEY_BYTES), same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(small(repeated, KEY_BYTES), same, "left_anti").unionByName(once)

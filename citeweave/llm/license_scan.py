@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import ascii_lower, fenced, table
+from citeweave.llm.common import ascii_lower, fenced, free_names, table
 
 #: A word of lower-cased text; WORD_ANY_CASE is the same of text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -219,7 +219,7 @@ def license_scan(docs: DataFrame, signatures: list[Rule] | None = None, gate: st
         F.expr("CASE WHEN size(_places) > 0 THEN 1D ELSE coalesce(array_max(_kept.weight), 0D) END").alias("score"),
     ]
     out = out.select("_row", fenced(F.struct(*fields)).alias("_license"))
-    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns], "_license")
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.col("_license").alias(*free_names(docs, "_license")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

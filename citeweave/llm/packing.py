@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, table, text_chunks, trimmed
+from citeweave.llm.common import Scratch, small, table, text_chunks, trimmed
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -134,7 +134,8 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
             seen[found] += n
             arrays = [pa.array(rows[0], kind), *(pa.array(c, t) for c, t in zip(rows[1:], (pa.int32(), pa.int64(), pa.int64(), pa.int64()))), pa.array(np.full(len(rank), part), pa.int64()), pa.array(rank)]
             if with_ids:
-                arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32).tolist() for x in ids], pa.list_(pa.int32())))
+                values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)], pa.int32()), values))
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     key = docs.schema["doc_id"].dataType.simpleString()
@@ -242,7 +243,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = _places(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = pieces.groupBy("part", "length").agg(F.count("*").alias("n")).select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
+    ranked = pieces.join(small(base, 64), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     keep = [c for c in pieces.columns if c not in ("part", "rank")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,5 +275,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the pieces of all documents and their places."""
-    return best_fit_packing(docs)
+    """Pipeline stage, the last: the pieces of all documents, with their ids and places; the cases of best_fit_packing() hold."""
+    return best_fit_packing(docs, with_ids=True)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import table, text_chunks, trimmed
+from citeweave.llm.common import free_names, table, text_chunks, trimmed
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -212,7 +212,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                 done += len(keys)
 
     done = own.mapInArrow(trimmed(run), f"_row {row_type}, ids array<int>, ids_crc32 bigint, n_bytes bigint, round_trip boolean")
-    return done.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.struct("ids", "ids_crc32", "n_bytes", "round_trip").alias("_pieces"))
+    return done.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.struct("ids", "ids_crc32", "n_bytes", "round_trip").alias(*free_names(docs, "_pieces")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import fenced, table
+from citeweave.llm.common import fenced, free_names, table
 
-#: Of the permutation. Callers give their own; this one makes runs repeatable.
-KEY, ROUNDS = "citeweave-pseudonyms", 6
+#: The session's setting that holds the secret key; without it, pseudonyms are made with a key that all can read, for tests.
+KEY_SETTING = "spark.citeweave.pii.key"
+KEY, ROUNDS = "not-a-secret", 6
 #: Days from 1900-01-01 that dates are permuted within (to 2099-12-31).
 DAYS = 73049
 
@@ -148,13 +149,27 @@ def pseudonym_sql(m: str, s: str, key: str = KEY) -> tuple[str, str]:
     days = lambda fmt: f"datediff(to_date({m}, {_quoted(fmt)}), {since})"
     date = lambda fmt: f"date_format(date_add({since}, int({feistel_sql(days(fmt), f'{DAYS}L', 'date', key)})), {_quoted(fmt)})"
     phone_digits = _let(_digits(m), "q", f"concat(substr(q, 1, length(q) - 7), {_padded(feistel_sql('bigint(substr(q, length(q) - 6))', '10000000L', 'phone', key), '7')})")
-    ssn = _let(_digits(m), "q", _padded(feistel_sql("bigint(q)", "1000000000L", "ssn", key), "9"))
+    # Of the numbers that can be given: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999.
+    area = "(int(substr(q, 1, 3)) - CASE WHEN q > '666' THEN 2 ELSE 1 END)"
+    number = f"(({area} * 99L + int(substr(q, 4, 2)) - 1) * 9999L + int(substr(q, 6, 4)) - 1)"
+    ssn = _let(feistel_sql(number, f"{898 * 99 * 9999}L", "ssn", key), "z", f"concat({_padded('z div 989901L + CASE WHEN z div 989901L >= 665 THEN 2 ELSE 1 END', '3')}, {_padded('(z div 9999L) % 99 + 1', '2')}, {_padded('z % 9999L + 1', '4')})")
+    ssn = _let(_digits(m), "q", ssn)
     # The first six digits (the issuer) and the length stay; the account is permuted and the check digit made anew.
     body = f"concat(substr(q, 1, 6), {_padded(feistel_sql('bigint(substr(q, 7, length(q) - 7))', 'bigint(power(10D, length(q) - 7))', 'card', key), 'length(q) - 7')})"
     card = _let(_digits(m), "q", _let(body, "p", f"concat(p, (10 - {_luhn('p')} % 10) % 10)"))
-    # The account's digits are permuted in place, up to the last 15 of them, then the two check digits made anew.
-    account = f"concat(substr(q, 1, greatest(length(q) - 15, 0)), {_padded(feistel_sql('bigint(right(q, 15))', 'bigint(power(10D, least(length(q), 15)))', 'iban', key), 'least(length(q), 15)')})"
-    bban = f"CASE WHEN {_digits(f'substr({compact}, 5)')} = '' THEN substr({compact}, 5) ELSE {_refill(f'substr({compact}, 5)', _let(_digits(f'substr({compact}, 5)'), 'q', account))} END"
+    # Digits and letters of bank and account are permuted, each in their places and in rows of up to 15 and 12 (so that a
+    # row is a number below 10^18), then the two check digits made anew.
+    rest = f"substr({compact}, 5)"
+    digits = [_let(f"substr(q, {1 + 15 * k}, 15)", "g", f"CASE WHEN g = '' THEN '' ELSE {_padded(feistel_sql('bigint(g)', 'bigint(power(10D, length(g)))', f'iban{k}', key), 'length(g)')} END") for k in (0, 1)]
+    spelt = "aggregate(filter(split(g, ''), c -> c <> ''), 0L, (a, c) -> a * 26 + ascii(c) - 65)"
+    letters = [
+        _let(f"substr(q, {1 + 12 * k}, 12)", "g", f"CASE WHEN g = '' THEN '' ELSE {_let(feistel_sql(spelt, 'bigint(power(26D, length(g)))', f'letters{k}', key), 'z', 'array_join(transform(sequence(length(g) - 1, 0, -1), i -> chr(65 + (z div bigint(power(26D, i))) % 26)), str())'.replace('str()', repr('')))} END")
+        for k in (0, 1, 2)
+    ]
+    numbers = _let(_digits(rest), "q", f"concat({', '.join(digits)})")
+    words = _let(f"regexp_replace({rest}, '[^A-Z]', '')", "q", f"concat({', '.join(letters)})")
+    step = "(s, c) -> CASE WHEN c = '' THEN s WHEN c BETWEEN '0' AND '9' THEN named_struct('o', concat(s.o, substr(d.n, s.k + 1, 1)), 'k', s.k + 1, 'l', s.l) ELSE named_struct('o', concat(s.o, substr(d.w, s.l + 1, 1)), 'k', s.k, 'l', s.l + 1) END"
+    bban = _let(f"named_struct('n', {numbers}, 'w', {words})", "d", f"aggregate(split({rest}, ''), named_struct('o', '', 'k', 0, 'l', 0), {step}, s -> s.o)")
     iban = _let(bban, "u", f"concat(substr({compact}, 1, 2), lpad(cast(98 - {_mod97(f'''concat(u, substr({compact}, 1, 2), '00')''')} as string), 2, '0'), u)")
     # Into the groups of the match, whose characters it replaces one by one.
     iban = _let(iban, "y", f"aggregate(split({m}, ''), named_struct('o', '', 'k', 0), (s, c) -> CASE WHEN c IN ('', ' ') THEN named_struct('o', concat(s.o, c), 'k', s.k) ELSE named_struct('o', concat(s.o, substr(y, s.k + 1, 1)), 'k', s.k + 1) END, s -> s.o)")
@@ -169,11 +184,13 @@ def pseudonym_sql(m: str, s: str, key: str = KEY) -> tuple[str, str]:
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns of `docs` with `text` pseudonymised, and _pii: array of kind and pseudonym of each replaced value.
+    """All columns of `docs` with `text` pseudonymised and, last, an array of kind and pseudonym of each replaced value. It is
+    named _pii, or with underscores more where `docs` has such a column.
 
-    Defined cases: a null text stays null and has an empty _pii; a text without a valid value is unchanged byte for byte;
+    Defined cases: a null text stays null and has an empty array; an empty table gives no rows; a text without a valid value is unchanged byte for byte;
     a value that fails its validation (Luhn, mod 97, calendar) stays, but cards and IBANs inside it don't; equal values get equal pseudonyms in every
-    document; values are found in whole texts. Repeated rows and further columns pass through.
+    document; values are found in whole texts of any length. Repeated rows and further columns, null or not, pass through,
+    whatever their names.
     """
     secret = "(m rlike '^[0-9A-Za-z]{8,64}$' AND (endswith(_between[i], 'password=') OR endswith(_between[i], 'token = \"')))"
     kind, out = pseudonym_sql("m", "w", key)
@@ -191,16 +208,21 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
         )
     )
     done = done.select("_row", fenced(F.struct("_out", F.expr("transform(filter(flatten(_new), x -> x.k IS NOT NULL), x -> named_struct('kind', x.k, 'pseudonym', x.p))").alias("_pii"))).alias("_done"))
-    return done.select(*[F.col("_done._out").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns], F.col("_done._pii").alias("_pii"))
+    return done.select(*[F.col("_done._out").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns], F.col("_done._pii").alias(*free_names(docs, "_pii")))
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, KEY)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark)).select(
         "doc_id", "text", F.expr("bigint(size(_pii))").alias("n_replaced"), F.expr("array_join(transform(_pii, x -> x.kind), ',')").alias("kinds")
     )
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every text with its personal values pseudonymised; no document goes. n_chars follows the text."""
-    out = pseudonymise(docs).drop("_pii")
+    """Pipeline stage: every text with its personal values pseudonymised; no document goes. n_chars follows the text. The
+    cases of pseudonymise() hold."""
+    out = pseudonymise(docs, session_key(spark)).select(*[F.col(f"`{c}`") for c in docs.columns])
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

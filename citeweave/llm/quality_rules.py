@@ -10,7 +10,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import SPACES, double_array, fenced, table
+from citeweave.llm.common import SPACES, double_array, fenced, free_names, small, table
 
 #: Buckets that words and word pairs are hashed into.
 BUCKETS = 10_000
@@ -18,9 +18,8 @@ BUCKETS = 10_000
 SMOOTHING = 1.0
 #: A document is kept if its ratio per n-gram (natural log) is at least this.
 THRESHOLD = -0.1
-#: Ids of trusted documents are broadcast up to this many (16 MB of ids); beyond it the join shuffles.
-BROADCAST_IDS = 2_000_000
-_POSITION_BITS = 20
+#: Of a long, the bits that hold a window's place; the others are its hash's.
+_POSITION_BITS = 31
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -38,31 +37,22 @@ def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
 def base_counts(docs: DataFrame) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words to rows of with_words().
 
-    Repeated windows are found by sorting one long for each window, its hash's upper bits above its place,
-    so equal windows lie side by side; neighbours are compared word by word before they count.
+    One long for each window, its hash's upper bits above its place, is sorted: windows whose hash bits are found twice lie
+    side by side. These are sorted again by their words, which alone decide; so texts of any length are counted exactly.
     """
     packed = f"transform(sequence(0, n_words - 3), i -> (xxhash64(_words[i], _words[i + 1], _words[i + 2]) & {-(1 << _POSITION_BITS)}L) | i)"
-    wide = "sort_array(transform(sequence(0, n_words - 3), i -> struct(xxhash64(_words[i], _words[i + 1], _words[i + 2]) AS h, i AS i)))"
-    place = f"int(s[{{k}}] & {(1 << _POSITION_BITS) - 1}L)"
 
-    def same(a: str, b: str) -> str:
-        return " AND ".join(f"_words[{a} + {d}] = _words[{b} + {d}]" for d in range(3))
+    def twins(items: str, same: str, out: str) -> str:
+        """SQL: `out` of those k of the sorted `items` that equal a neighbour; same: SQL of whether {a} and {b} are equal."""
+        first = f"CASE WHEN k > 0 THEN {same.format(a=f'{items}[k]', b=f'{items}[k - 1]')} ELSE false END"
+        second = f"CASE WHEN k < size({items}) - 1 THEN {same.format(a=f'{items}[k + 1]', b=f'{items}[k]')} ELSE false END"
+        return f"transform(filter(sequence(0, size({items}) - 1), k -> ({first}) OR ({second})), k -> {out})"
 
-    def near(k: str) -> str:
-        close = f"(s[{k}] & {-(1 << _POSITION_BITS)}L) = (s[{k} - 1] & {-(1 << _POSITION_BITS)}L)"
-        return f"(CASE WHEN {close} THEN {same(place.format(k=k), place.format(k=f'{k} - 1'))} ELSE false END)"
-
-    def near_wide(k: str) -> str:
-        return f"(s[{k}].h = s[{k} - 1].h)"
-
-    def covered(places: str) -> str:
-        step = "(a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last))"
-        return f"aggregate(sort_array({places}), named_struct('last', -3, 'n', 0), {step}, a -> a.n)"
-
-    def places(test, place_of: str) -> str:
-        first = f"CASE WHEN k > 0 THEN {test('k')} ELSE false END"
-        second = f"CASE WHEN k < size(s) - 1 THEN {test('(k + 1)')} ELSE false END"
-        return f"transform(filter(sequence(0, size(s) - 1), k -> ({first}) OR ({second})), k -> {place_of})"
+    near = twins("s", f"shiftright({{a}}, {_POSITION_BITS}) = shiftright({{b}}, {_POSITION_BITS})", f"int(s[k] & {(1 << _POSITION_BITS) - 1}L)")
+    spelt = f"sort_array(transform({near}, i -> struct(concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]) AS w, i AS i)))"  # no word holds a space
+    places = twins("c", "{a}.w = {b}.w", "c[k].i")
+    step = "(a, p) -> named_struct('last', p, 'n', a.n + least(3, p - a.last))"
+    covered = f"aggregate(sort_array({places}), named_struct('last', -3, 'n', 0), {step}, a -> a.n)"
 
     return (
         docs.withColumn("n_words", F.expr("size(_words)"))
@@ -70,16 +60,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
         .withColumn("n_symbols", F.expr("char_length(_text) - char_length(regexp_replace(_text, '[#*$%&|<>]', ''))"))
         .withColumn("_lines", F.expr(r"filter(split(_text, '\n', -1), x -> x rlike r'[^\x20\x09-\x0D]')"))
         .withColumn("n_dup_lines", F.expr("size(_lines) - size(array_distinct(_lines))"))
-        .withColumn("_packed", F.expr(f"CASE WHEN n_words < 4 OR n_words >= {1 << _POSITION_BITS} THEN array() ELSE {packed} END"))
+        .withColumn("_packed", F.expr(f"CASE WHEN n_words < 4 THEN array() ELSE {packed} END"))
         .withColumn("_sorted", F.expr("sort_array(_packed)"))
         .withColumn("_repeats", F.expr(f"size(array_distinct(transform(_packed, x -> shiftright(x, {_POSITION_BITS})))) < size(_packed)"))
-        .withColumn(
-            "n_repeat_words",
-            F.expr(
-                f"CASE WHEN n_words >= {1 << _POSITION_BITS} THEN {_let(wide, 's', covered(places(near_wide, 's[k].i')))} "
-                f"WHEN _repeats THEN {_let('_sorted', 's', covered(places(near, place.format(k='k'))))} ELSE 0 END"
-            ),
-        )
+        .withColumn("n_repeat_words", F.expr(f"CASE WHEN _repeats THEN {_let('_sorted', 's', _let(spelt, 'c', covered))} ELSE 0 END"))
         .drop("_lines", "_packed", "_sorted", "_repeats")
     )
 
@@ -108,11 +92,9 @@ def learn_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smo
     docs: doc_id, text. Every n-gram of every document counts. `buckets` rows come to the driver, whatever the input.
     With no trusted document all ratios are 0, so nothing is rejected by them.
     """
-    size = trusted.limit(BROADCAST_IDS + 1).count()
-    if not size:
+    if trusted.isEmpty():
         return [0.0] * buckets
-    side = F.broadcast(trusted) if size <= BROADCAST_IDS else trusted
-    seen = with_buckets(with_words(docs.select("doc_id", "text").join(side, F.col("doc_id") == F.col("_trusted_id"), "left")), buckets)
+    seen = with_buckets(with_words(docs.select("doc_id", "text").join(small(trusted, 40), F.col("doc_id") == F.col("_trusted_id"), "left")), buckets)
     counts = (
         seen.select(F.col("_trusted_id").isNotNull().cast("long").alias("t"), F.explode_outer("_buckets").alias("b"))  # explode would filter by the whole expression first
         .groupBy("b")
@@ -130,11 +112,13 @@ def learn_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, smo
 
 
 def quality_rules(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of `docs` (with a column text) and struct _quality of the counts, score, base_failed and kept.
+    """All columns of `docs` (with a column text) and, last, a struct of the counts, score, base_failed and kept. It is
+    named _quality, or with underscores more where `docs` has such a column.
 
     ratio: of learn_ratio(), at most some ten thousand numbers, carried as one literal. score: mean ratio of the
     document's n-grams, 0 with none. Defined cases: a null or empty text has zero counts, fails the base rule and
-    isn't kept; repeated rows are judged alike, each by itself; columns of other names pass through untouched.
+    isn't kept; repeated rows are judged alike, each by itself; very long texts are judged whole; an empty table gives no
+    rows; other columns, null or not, pass through untouched, whatever their names.
     """
     weights = double_array(docs.sparkSession, ratio)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text"))
@@ -145,7 +129,7 @@ def quality_rules(docs: DataFrame, ratio: list[float], threshold: float = THRESH
     fields = [F.expr(f"bigint({c})").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     fields += [F.expr(failed).alias("base_failed"), F.expr(f"NOT {failed} AND _score >= {threshold}D").alias("kept"), F.col("_score").alias("score")]
     judged = judged.select("_row", fenced(F.struct(*fields)).alias("_quality"))
-    return judged.select(*[F.col(f"_row.`{c}`") for c in docs.columns], "_quality")
+    return judged.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.col("_quality").alias(*free_names(docs, "_quality")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +139,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
+    """Pipeline stage: documents that the rules reject go; the cases of quality_rules() hold."""
     ratio = learn_ratio(docs, trusted_ids(table(spark, sf_dir, "labels")))
-    return quality_rules(docs, ratio).where("_quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = quality_rules(docs, ratio)
+    return judged.where(F.col(judged.columns[-1])["kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])

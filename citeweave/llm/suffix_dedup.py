@@ -2,10 +2,11 @@
 
 Of every stretch of LENGTH bytes, the place of the least hash among its GRAM-byte strings is its anchor, so equal
 stretches have equal anchors, and each anchor answers for the run of stretches that chose it. Anchors with equal strings
-meet; where all that they answer for is equal, it is repeated. The others' texts are sorted, to the right and to the left
-of the anchor, by a merge sort whose comparisons find common extensions from prefix hashes by binary search and verify
-them byte by byte; a stretch is repeated where its part on the right and its part on the left both fall together with
-those of another anchor.
+meet, with the bytes that they answer for. Where these are the same bytes, compared one by one, all of them are repeated,
+and one of each kind goes on. Kinds are sorted, to the right and to the left of the anchor, by a merge sort whose
+comparisons find common extensions from prefix hashes by binary search and verify them byte by byte; a stretch is repeated
+where its part on the right and its part on the left both fall together with those of another anchor. No byte is removed
+for the sake of a hash alone: hashes only decide what is compared.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, table, text_chunks, trimmed
+from citeweave.llm.common import Scratch, free_names, table, text_chunks, trimmed
 
 LENGTH, GRAM = 200, 32
 #: Bytes of anchors that one task holds, about; the number of tasks follows.
@@ -186,7 +188,14 @@ def repeated(group: np.ndarray, left: list[bytes], right: list[bytes], length: i
     return out
 
 
-_ANCHOR = np.dtype([("khash", "<u8"), ("full", "<u8"), ("tid", "<i8"), ("place", "<u4"), ("back", "u1"), ("ahead", "u1"), ("twice", "u1")])
+_ANCHOR = np.dtype([("khash", "<u8"), ("full", "<u8"), ("tid", "<i8"), ("uid", "<i8"), ("place", "<u4"), ("back", "u1"), ("ahead", "u1"), ("twice", "u1")])
+#: Of equal anchors, about so many meet in a task for their bytes to be compared.
+MEETING = 1024
+
+
+def _ids() -> tuple:
+    """What a text is known by: 64 bits of one hash, and 32 of another beside its length."""
+    return F.xxhash64("text").alias("tid"), F.coalesce(F.crc32(F.col("text").cast("binary")) * (1 << 31) + F.octet_length("text"), F.lit(0).cast("long")).alias("uid")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -205,26 +214,28 @@ def _by_part(khash: np.ndarray, parts: int):
     return found, np.split(order, at[1:])
 
 
+def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
 def _find(docs: DataFrame, parts: int, tasks: int, length: int) -> DataFrame:
-    """Rows (tid, low, high) of repeated bytes, and (tid, place, back, ahead, need, khash) of anchors still to be compared.
+    """Rows (tid, uid, low, high) of repeated bytes, and (tid, uid, place, back, ahead, need, khash, full, m) of anchors whose
+    bytes are still to be compared; m: how many have the same khash and full, alone: whether no other has this khash.
 
-    Equal anchors of a chunk are settled there and sent on once, so copies don't gather in the task that compares chunks.
+    Anchors of a chunk that answer for the same bytes are settled there and sent on once, so copies don't gather in the
+    task that compares chunks.
     """
-    found = "tid bigint, low bigint, high bigint, place bigint, back int, ahead int, need boolean, khash bigint"
-    out_schema = pa.schema([("tid", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("place", pa.int64()), ("back", pa.int32()), ("ahead", pa.int32()), ("need", pa.bool_()), ("khash", pa.int64())])
+    found = "tid bigint, uid bigint, low bigint, high bigint, place bigint, back int, ahead int, need boolean, khash bigint, full bigint, m bigint, alone boolean"
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    out_schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in found.split(", ")])
     scan_schema = pa.schema([("part", pa.int32()), ("blob", pa.binary()), *out_schema])
 
-    def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-    def spans(rows: np.ndarray) -> dict:
-        place = rows["place"].astype(np.int64)
-        return {"tid": rows["tid"], "low": place - rows["back"], "high": place - rows["ahead"] + length}
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tids, texts in text_chunks(batches, 2 << 20):
-            tids, raw = np.array(tids, np.int64), [t.encode("utf-8", "surrogatepass") for t in texts]
+        named = (pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([b.column(0), b.column(1)], names=["t", "u"]), b.column(2)], names=["k", "x"]) for b in batches)
+        for ids, texts in text_chunks(named, 2 << 20):
+            tids, uids = (np.array([x[c] for x in ids], np.int64) for c in "tu")
+            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
             data = b"".join(raw)
             ends = np.cumsum([len(x) for x in raw])
             begins = np.r_[0, ends[:-1]]
@@ -232,20 +243,30 @@ def _find(docs: DataFrame, parts: int, tasks: int, length: int) -> DataFrame:
             if not len(of):
                 continue
             rows = np.empty(len(of), _ANCHOR)
-            rows["khash"], rows["tid"], rows["place"] = khash, tids[of], place - begins[of]
+            rows["khash"], rows["tid"], rows["uid"], rows["place"] = khash, tids[of], uids[of], place - begins[of]
             rows["back"], rows["ahead"], rows["twice"] = place - first, place - last, 0
             digest = xxhash.xxh3_64_intdigest
             offsets = zip(first.tolist(), (last + length).tolist(), rows["back"].tolist())
             rows["full"] = np.fromiter((digest(data[a:b], o) for a, b, o in offsets), np.uint64, len(of))
-            rows = rows[np.lexsort((rows["full"], rows["khash"]))]
+            order = np.lexsort((rows["full"], rows["khash"]))
+            rows, first, last = rows[order], first[order], last[order] + length
             new = np.r_[True, (rows["khash"][1:] != rows["khash"][:-1]) | (rows["full"][1:] != rows["full"][:-1])]
-            twice = ~new | np.r_[~new[1:], False]
+            again = np.flatnonzero(~new)
+            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+            pairs = zip(first[again].tolist(), last[again].tolist(), first[lead[again]].tolist(), last[lead[again]].tolist())
+            equal = np.fromiter((data[a:b] == data[c:d] for a, b, c, d in pairs), bool, len(again))
+            equal &= rows["back"][again] == rows["back"][lead[again]]
+            new[again[~equal]] = True  # other bytes: a kind of its own
+            twice = ~new
+            twice[lead[again[equal]]] = True
             if twice.any():
-                yield batch(scan_schema, **spans(rows[twice]), part=(rows["tid"][twice].view(np.uint64) % np.uint64(parts)).astype(np.int32))
+                some = rows[twice]
+                at = some["place"].astype(np.int64)
+                yield _batch(scan_schema, part=(some["tid"].view(np.uint64) % np.uint64(parts)).astype(np.int32), tid=some["tid"], uid=some["uid"], low=at - some["back"], high=at - some["ahead"] + length)
             rows["twice"] = twice
             rows = rows[new]
             found_parts, groups = _by_part(rows["khash"], parts)
-            yield batch(scan_schema, part=found_parts, blob=[_planes(rows[g]) for g in groups])
+            yield _batch(scan_schema, part=found_parts, blob=[_planes(rows[g]) for g in groups])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -259,56 +280,100 @@ def _find(docs: DataFrame, parts: int, tasks: int, length: int) -> DataFrame:
             return
         rows = np.concatenate([_records(x) for x in held])
         held.clear()
-        rows = rows[np.lexsort((rows["full"], rows["khash"]))]
-        key, full = rows["khash"], rows["full"]
-        string = np.r_[True, key[1:] != key[:-1]]
-        new = string | np.r_[True, full[1:] != full[:-1]]
-        equal = ~new | np.r_[~new[1:], False]
-        for some in np.array_split(rows[equal & (rows["twice"] == 0)], 1 + int(equal.sum()) // 100_000):
-            if len(some):
-                yield batch(out_schema, **spans(some))
-        settled = equal | (rows["twice"] != 0)
-        # One of each kind of anchor whose string others share, unless all of the kinds are settled.
-        number = np.cumsum(string) - 1
-        kinds = np.bincount(number[new])
-        open_ = np.bincount(number[new], ~settled[new]) > 0
-        ask = np.flatnonzero(new & (kinds > 1)[number] & open_[number])
+        rows = rows[np.lexsort((rows["twice"], rows["full"], rows["khash"]))]
+        string = np.r_[True, rows["khash"][1:] != rows["khash"][:-1]]
+        new = string | np.r_[True, rows["full"][1:] != rows["full"][:-1]]
+        number, kind = np.cumsum(string) - 1, np.cumsum(new) - 1
+        need = rows["twice"] == 0
+        # Where others share the string and some aren't settled: these, and one of each kind.
+        ask = ((np.bincount(number) > 1) & (np.bincount(number, need) > 0))[number] & (need | np.r_[True, need[:-1]] | new)
+        m, kinds_ = np.bincount(kind, ask)[kind].astype(np.int64), np.bincount(number[new])[number]
+        ask = np.flatnonzero(ask)
         for some in np.array_split(ask, 1 + len(ask) // 100_000):
             if len(some):
                 r = rows[some]
-                yield batch(out_schema, tid=r["tid"], place=r["place"].astype(np.int64), back=r["back"].astype(np.int32), ahead=r["ahead"].astype(np.int32), need=~settled[some], khash=r["khash"].view(np.int64))
+                yield _batch(out_schema, tid=r["tid"], uid=r["uid"], place=r["place"].astype(np.int64), back=r["back"].astype(np.int32), ahead=r["ahead"].astype(np.int32), need=need[some], khash=r["khash"].view(np.int64), full=r["full"].view(np.int64), m=m[some], alone=kinds_[some] == 1)
 
-    texts = docs.select(F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(*_ids(), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(trimmed(scan), f"part int, blob binary, {found}").repartition(tasks, "part").mapInArrow(trimmed(meet), found)
 
 
+_BODY = "part int, khash bigint, full bigint, tid bigint, uid bigint, place bigint, back int, need boolean, alone boolean, low bigint, high bigint, body binary"
+
+
 def _compare(texts: DataFrame, asked: DataFrame, parts: int, tasks: int, length: int) -> DataFrame:
-    """(tid, low, high) of repeated bytes, of the anchors asked for, from the bytes that they answer for."""
+    """(tid, uid, low, high) of repeated bytes, of the anchors asked for, from the bytes that they answer for."""
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in _BODY.split(", ")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            khash, tid, place, back, ahead, need, body = ([] for _ in range(7))
-            done = set()
-            for t, text, asks in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                if t in done:  # a copy
+            rows: dict[str, list] = {f.name: [] for f in schema if f.name not in ("part", "low", "high")}
+            m, done = [], set()
+            for t, u, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if (t, u) in done:  # a copy
                     continue
-                done.add(t)
+                done.add((t, u))
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 for a in asks.as_py():
-                    body.append(raw[a["place"] - a["back"] : a["place"] - a["ahead"] + length])
-                    for column, value in zip((khash, tid, place, back, ahead, need), (a["khash"], t, a["place"], a["back"], a["ahead"], a["need"])):
-                        column.append(value)
-            part = (np.array(khash, np.int64).view(np.uint64) % np.uint64(parts)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(khash, pa.int64()), pa.array(tid, pa.int64()), pa.array(place, pa.int64()), pa.array(back, pa.int32()), pa.array(need, pa.bool_()), pa.array(body, pa.binary())], names=["part", "khash", "tid", "place", "back", "need", "body"])
+                    m.append(a["m"])
+                    rows["body"].append(raw[a["place"] - a["back"] : a["place"] - a["ahead"] + length])
+                    rows["tid"].append(t)
+                    rows["uid"].append(u)
+                    for c in ("khash", "full", "place", "back", "need", "alone"):
+                        rows[c].append(a[c])
+            # Those of one kind are dealt to as many tasks as there are meetings.
+            salt = np.array(rows["tid"], np.int64).view(np.uint64) % (np.array(m, np.uint64) // np.uint64(MEETING) + np.uint64(1))
+            with np.errstate(over="ignore"):
+                part = (_mixed(np.array(rows["full"], np.int64).view(np.uint64) + salt * _P) % np.uint64(parts)).astype(np.int32)
+            yield _batch(schema, part=part, **rows)
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Spans of those whose bytes another of their kind has; of others, and of one of each kind, the bytes go on."""
+        held = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+        if held is None:
+            return
+        khash, full, tid, uid, place, back, need, alone = (held.column(c).to_numpy() for c in ("khash", "full", "tid", "uid", "place", "back", "need", "alone"))
+        order = np.lexsort((place, uid, tid, full, khash))
+        kind = np.r_[True, (khash[order][1:] != khash[order][:-1]) | (full[order][1:] != full[order][:-1])]
+        again = ~kind & np.r_[True, (tid[order][1:] == tid[order][:-1]) & (uid[order][1:] == uid[order][:-1]) & (place[order][1:] == place[order][:-1])]
+        order, kind = order[~again], kind[~again]  # without copies of a text
+        if not len(order):
+            return
+        lead = np.flatnonzero(kind)[np.cumsum(kind) - 1]
+        body = held.column("body").combine_chunks()
+        size = pa.compute.binary_length(body).to_numpy()
+        offsets = np.r_[0, np.cumsum(size)]
+        data = b"".join(body.to_pylist()) if isinstance(body, pa.ChunkedArray) else body.buffers()[2].to_pybytes()[np.frombuffer(body.buffers()[1], np.int32)[body.offset] :]
+        ours, theirs = order, order[lead]
+        equal = np.fromiter((data[a : a + n] == data[c : c + k] for a, n, c, k in zip(offsets[ours].tolist(), size[ours].tolist(), offsets[theirs].tolist(), size[theirs].tolist())), bool, len(order))
+        equal &= back[ours] == back[theirs]
+        shared = np.bincount(lead, equal, len(order)) > 1  # by place of the lead
+        twice = equal & shared[lead]
+        some = order[twice & need[order]]
+        if len(some):
+            at = place[some] - back[some]
+            yield _batch(schema, part=np.zeros(len(some), np.int32), tid=tid[some], uid=uid[some], low=at, high=at + size[some])
+        few = np.bincount(np.cumsum(kind) - 1)[np.cumsum(kind) - 1] <= MEETING // 4  # a kind that only met here
+        on = np.flatnonzero(kind & ~(twice & alone[order] & few) | ~twice & ~kind)
+        for some in np.array_split(on, 1 + len(on) // 10_000):
+            if len(some):
+                rows = order[some]
+                part = (khash[rows].view(np.uint64) % np.uint64(parts)).astype(np.int32)
+                yield _batch(schema, part=part, khash=khash[rows], tid=tid[rows], uid=uid[rows], place=place[rows], back=back[rows], need=need[rows] & ~twice[some], body=[data[offsets[r] : offsets[r] + size[r]] for r in rows])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        span = pa.schema([schema.field(c) for c in ("tid", "uid", "low", "high")])
+        rest = []
+        for b in batches:
+            low = b.column(b.schema.get_field_index("low"))
+            yield pa.RecordBatch.from_arrays([b.filter(low.is_valid()).column(b.schema.get_field_index(c)) for c in span.names], schema=span)
+            rest.append(b.filter(low.is_null()))
+        held = pa.Table.from_batches(rest) if rest else None
         if held is None or not held.num_rows:
             return
-        khash, tid, place, back = (held.column(c).to_numpy() for c in ("khash", "tid", "place", "back"))
-        order = np.lexsort((place, tid, khash))
-        again = np.r_[False, (khash[order][1:] == khash[order][:-1]) & (tid[order][1:] == tid[order][:-1]) & (place[order][1:] == place[order][:-1])]
-        order = order[~again]
+        khash, tid, uid, place, back = (held.column(c).to_numpy() for c in ("khash", "tid", "uid", "place", "back"))
+        order = np.argsort(khash, kind="stable")
         number = np.cumsum(np.r_[True, khash[order][1:] != khash[order][:-1]]) - 1
         need, body = held.column("need"), held.column("body")
         start = 0
@@ -323,46 +388,56 @@ def _compare(texts: DataFrame, asked: DataFrame, parts: int, tasks: int, length:
             row, first = np.nonzero(edge == 1)
             last = np.nonzero(edge == -1)[1] - 1
             if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(tid[some[row]]), pa.array(place[some[row]] - last), pa.array(place[some[row]] - first + length)], names=["tid", "low", "high"])
+                rows = some[row]
+                yield _batch(span, tid=tid[rows], uid=uid[rows], low=place[rows] - last, high=place[rows] - first + length)
             start = end
 
-    bodies = texts.join(asked, "tid").select("tid", "text", "asks").mapInArrow(trimmed(cut), "part int, khash bigint, tid bigint, place bigint, back int, need boolean, body binary")
-    return bodies.repartition(tasks, "part").drop("part").mapInArrow(trimmed(settle), "tid bigint, low bigint, high bigint")
+    bodies = texts.join(asked, ["tid", "uid"]).select("tid", "uid", "text", "asks").mapInArrow(trimmed(cut), _BODY).repartition(tasks, "part")
+    return bodies.mapInArrow(trimmed(same), _BODY).repartition(tasks, "part").mapInArrow(trimmed(settle), "tid bigint, uid bigint, low bigint, high bigint")
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each text's spans: sorted by their starts, one opens a run where it starts after all before it have ended."""
+    for b in batches:
+        rows = []
+        for spans in b.column(2).to_pylist():
+            x = np.array(sorted((s["low"], s["high"]) for s in spans), np.int64)
+            high = np.maximum.accumulate(x[:, 1])
+            new = np.flatnonzero(np.r_[True, x[1:, 0] > high[:-1]])
+            rows.append([{"low": a, "high": b} for a, b in zip(x[new, 0].tolist(), high[np.r_[new[1:], len(x)] - 1].tolist())])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))], names=["tid", "uid", "spans"])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(tid, spans): of each text with repeated bytes, by the hash of the text, their maximal runs [low, high) in order."""
+    """(tid, uid, spans): of each text with repeated bytes, by its hashes (_ids), their maximal runs [low, high) in order."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
     size = docs.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size * 2 // 5 // TASK_BYTES)
     found = scratch.save(_find(docs, 4 * tasks, tasks, length), "found")
-    asked = found.where("low IS NULL").groupBy("tid").agg(F.collect_list(F.struct("place", "back", "ahead", "need", "khash")).alias("asks"))
-    texts = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
+    asked = found.where("low IS NULL").groupBy("tid", "uid").agg(F.collect_list(F.struct("place", "back", "ahead", "need", "khash", "full", "m", "alone")).alias("asks"))
+    texts = docs.where(F.octet_length("text") >= length).select(*_ids(), F.col("text").cast("string").alias("text"))
     edges = scratch.save(_compare(texts, asked, 4 * tasks, tasks, length), "edges")
-    spans = found.where("low IS NOT NULL").select("tid", "low", "high").union(edges).distinct()
-    # Sorted by their starts, a span opens a run where it starts after all before it have ended.
-    merged = """aggregate(array_sort(s), cast(array() as array<struct<low: bigint, high: bigint>>), (a, x) ->
-        CASE WHEN size(a) > 0 AND element_at(a, -1).high >= x.low
-             THEN concat(slice(a, 1, size(a) - 1), array(named_struct('low', element_at(a, -1).low, 'high', greatest(element_at(a, -1).high, x.high))))
-             ELSE concat(a, array(x)) END)"""
-    out = spans.groupBy("tid").agg(F.collect_list(F.struct("low", "high")).alias("s")).select("tid", F.expr(merged).alias("spans"))
-    out = scratch.save(out, "spans")
+    spans = found.where("low IS NOT NULL").select("tid", "uid", "low", "high").union(edges)
+    lists = spans.groupBy("tid", "uid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    out = scratch.save(lists.mapInArrow(trimmed(_merge), "tid bigint, uid bigint, spans array<struct<low: bigint, high: bigint>>"), "spans")
     scratch.drop("found", "edges")
     return out
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """All columns of `docs` (with a column text), and struct _dedup of n_bytes, spans (removed runs of bytes, [low, high)),
-    kept (text of the remaining bytes; a character cut in two goes) and kept_sha256 (of the remaining bytes).
+    """All columns of `docs` (with a column text) and, last, a struct of n_bytes, spans (removed runs of bytes, [low, high)),
+    kept (text of the remaining bytes; a character cut in two goes) and kept_sha256 (of the remaining bytes). It is named
+    _dedup, or with underscores more where `docs` has such a column.
 
     Every byte is removed that lies in `length` bytes that also start anywhere else, in any text or the same one; texts
     are judged as they come in. Defined cases: a null text counts as empty and has a null kept; shorter texts lose
-    nothing; of repeated rows each repeats the others; overlapping repeats count (a run of one letter is removed whole).
+    nothing; of repeated rows each repeats the others; overlapping repeats count (a run of one letter is removed whole);
+    very long texts are judged whole; an empty table gives no rows; other columns pass through, whatever their names.
     """
     spans = repeated_spans(docs.select("text"), length)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64("text").alias("tid"))
-    joined = own.join(spans, "tid", "left").select("_row", "spans")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_ids())
+    joined = own.join(spans, ["tid", "uid"], "left").select("_row", "spans")
     at = docs.columns.index("text")
     row_type = joined.schema["_row"].dataType.simpleString()
 
@@ -387,7 +462,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), spans_column, pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=["_row", "n_bytes", "spans", "kept", "kept_sha256"])
 
     done = joined.mapInArrow(trimmed(cut), f"_row {row_type}, n_bytes bigint, spans array<struct<low: bigint, high: bigint>>, kept string, kept_sha256 string")
-    return done.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.struct("n_bytes", F.coalesce("spans", F.expr("cast(array() as array<struct<low: bigint, high: bigint>>)")).alias("spans"), "kept", "kept_sha256").alias("_dedup"))
+    return done.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.struct("n_bytes", F.coalesce("spans", F.expr("cast(array() as array<struct<low: bigint, high: bigint>>)")).alias("spans"), "kept", "kept_sha256").alias(*free_names(docs, "_dedup")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,9 +476,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated passages go from the texts; no document goes. n_chars follows the text."""
+    """Pipeline stage: repeated passages go from the texts; no document goes, one of which nothing stays has an empty text.
+    n_chars follows the text. The cases of suffix_dedup() hold."""
     out = suffix_dedup(docs)
-    columns = {"text": F.col("_dedup.kept")}
+    kept = F.col(out.columns[-1])["kept"]
+    columns = {"text": kept}
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.char_length("_dedup.kept").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.char_length(kept).cast(docs.schema["n_chars"].dataType)
     return out.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])

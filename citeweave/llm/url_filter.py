@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import UPPER, LOWER, table
+from citeweave.llm.common import LOWER, UPPER, free_names, table
 
 #: (allow or block, host and path). A rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -149,7 +149,7 @@ def url_filter(pages: DataFrame, model: tuple[np.ndarray, float], rules=RULES, u
     judged = judged.withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules))
     verdict = F.coalesce(F.col("_rule.action"), F.when(F.col("_p") > 0.5, "block").otherwise("allow"))
     fields = F.struct(F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_rule.rule").alias("rule"), verdict.alias("verdict"), F.col("_p").alias("p_block"))
-    return judged.select(*[F.col(f"_row.`{c}`") for c in pages.columns], fields.alias("_url"))
+    return judged.select(*[F.col(f"_row.`{c}`") for c in pages.columns], fields.alias(*free_names(pages, "_url")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

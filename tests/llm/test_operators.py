@@ -22,8 +22,9 @@ ODD = [(1, None), (2, ""), (3, " \n\t "), (4, BASE), (4, BASE), (5, BASE + " mor
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empties, copies and columns whose names operators use inside."""
-    rows = [(i, t, "w", 1) for i, t in ODD]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, _text string, n_words int")
+    rows = [(i, t, "w", 1, "r", "q", "p", "l", "d", "e", i, None) for i, t in ODD]
+    names = "doc_id bigint, text string, _text string, n_words int, _row string, _quality string, _pii string, _license string, _dedup string, _pieces string, row bigint, tid bigint"
+    return spark.createDataFrame(rows, names)
 
 
 @pytest.fixture(scope="module")
@@ -51,12 +52,41 @@ def base_counts(text):
 def test_quality_counts(documents, odd):
     for df in (documents, odd):
         for r in quality_rules.quality_rules(df, [0.0] * 16).collect():
-            q = r["_quality"]
+            q = r[-1]
             n, *_, again = expected = base_counts(r["text"])
             assert tuple(q[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == expected
             assert q["base_failed"] == (n < 50 or 100 * again > 50 * n) and q["kept"] == (not q["base_failed"])
 
 
+def test_quality_long_and_tied(spark):
+    """Windows A B A B ... in every order of their hashes, and a text of two million words."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in range(3, 60)] + [" ".join(f"w{i}" for i in range(1 << 20)) + " w1 w2 w3 x" + " y" * (1 << 20)]
+    for r in quality_rules.quality_rules(spark.createDataFrame([(t,) for t in texts], "text string"), [0.0] * 16).collect():
+        assert r["_quality"]["n_repeat_words"] == base_counts(r["text"])[-1]
+
+
+def test_quality_score(spark, documents):
+    """The score of each document against counts made in Python; a document is kept if it is high enough."""
+    labels = spark.createDataFrame([(i, i % 2, int(i % 10 == 1)) for i in range(200)], "doc_id bigint, quality int, toxic int")
+    ratio = quality_rules.learn_ratio(documents, quality_rules.trusted_ids(labels), 64)
+    rows = quality_rules.with_buckets(quality_rules.with_words(documents), 64).collect()
+    raw, good = collections.Counter(), collections.Counter()
+    for r in rows:
+        raw.update(r["_buckets"])
+        if r["doc_id"] % 2 and r["doc_id"] % 10 != 1:
+            good.update(r["_buckets"])
+        w = words(r["text"])
+        assert len(r["_buckets"]) == len(w) + max(len(w) - 1, 0)
+    expected = [math.log((good[b] + 1) / (sum(good.values()) + 64)) - math.log((raw[b] + 1) / (sum(raw.values()) + 64)) for b in range(64)]
+    assert np.allclose(ratio, expected)
+    score = {r["doc_id"]: sum(expected[b] for b in r["_buckets"]) / max(len(r["_buckets"]), 1) for r in rows}
+    for r in quality_rules.quality_rules(documents, ratio, 0.01).collect():
+        q = r["_quality"]
+        assert abs(q["score"] - score[r["doc_id"]]) < 1e-9
+        assert q["kept"] == (not q["base_failed"] and q["score"] >= 0.01)
+
+
 def test_quality_ratio(spark):
     rows = [(i, "good fine word", 1) for i in range(5)] + [(i, "bad ### junk", 0) for i in range(5, 10)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
@@ -73,7 +103,7 @@ def test_license_places(documents, odd):
         for r in license_scan.license_scan(df).collect():
             w = re.findall(license_scan.WORD, lowered(r["text"]))
             places = [(i, label) for i in range(len(w)) for phrase, label in license_scan.PHRASES.items() if w[i : i + len(phrase.split())] == phrase.split()]
-            got = r["_license"]
+            got = r[-1]
             assert got["n_words"] == len(w) and [(p["start"], p["label"]) for p in got["places"]] == sorted(places)
             assert {x for _, x in places} <= set(got["labels"]) and 0 <= got["score"] <= 1
             spans = [(d["start"], d["end"]) for d in got["detections"]]
@@ -115,7 +145,34 @@ def test_pii_values(spark, odd):
     iban = re.search(r"IBAN (\w+)", out)[1]
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
     assert {k["kind"] for k in rows[0]["_pii"]} == {"card", "date_ymd", "phone", "ip", "email", "iban", "ssn", "secret"}
-    assert [(r["doc_id"], r["text"]) for r in pii.pseudonymise(odd).collect()] == [(r["doc_id"], r["text"]) for r in odd.collect()]
+    assert [tuple(r)[:-1] for r in pii.pseudonymise(odd).collect()] == [tuple(r) for r in odd.collect()] == [tuple(r) for r in pii.stage(spark, odd, "").collect()]
+    assert pii.pseudonymise(odd.limit(0)).count() == 0
+
+
+def test_pii_formats(spark):
+    """Pseudonyms of many values: each valid in its own format, none the same as another, all others under another key."""
+    ssns = [f"{a:03d}-{g:02d}-{s:04d}" for a, g, s in itertools.product((1, 665, 667, 899), (1, 99), (1, 9999, 77))]
+    ibans = []
+    for bban in ("WEST12345698765432", "NWBK60161331926819", "370400440532013000", "TBNKABCDEFGHIJKLMNOPQRSTUVWX", "10003400010123456789012345678"):
+        check = 98 - int("".join(str(int(c, 36)) for c in bban + "GB00")) % 97
+        ibans.append(f"GB{check:02d}{bban}")
+    dates = [f"{y}-02-28" for y in range(1950, 2020)]
+    values = ssns + ibans + dates
+    df = spark.createDataFrame([(v,) for v in values], "text string")
+    out, other = ([r["text"] for r in pii.pseudonymise(df, k).collect()] for k in ("k", "l"))
+    assert len(set(out)) == len(values) and all(a != b for a, b in zip(out, values)) and sum(a == b for a, b in zip(out, other)) < 3
+    for v, p in zip(values, out):
+        assert len(p) == len(v)
+        if v in ssns:
+            assert re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", p)
+        elif v in ibans:
+            assert int("".join(str(int(c, 36)) for c in p[4:] + p[:4])) % 97 == 1 and re.sub(r"\d", "0", p) != re.sub(r"\d", "0", v) or v[4:].isdigit()
+            assert all(a.isdigit() == b.isdigit() for a, b in zip(v, p)) and sum(a == b for a, b in zip(v[4:], p[4:])) < len(v) // 2
+    spark.conf.set(pii.KEY_SETTING, "l")
+    try:
+        assert [r["text"] for r in pii.stage(spark, df, "").collect()] == other
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
 
 
 def test_url_rules(spark):
@@ -225,6 +282,27 @@ def test_jaccard(spark, odd, width, num, den):
         assert sorted(((r["doc_id"], r["n"], r["component"]) for r in members.collect()), key=str) == classes(rows, width, num, den)
 
 
+def test_jaccard_buckets(spark, monkeypatch):
+    """Small buckets, so that all ways of cutting large ones are gone: one class and strangers, other signatures, blocks."""
+    rng, rows = random.Random(9), []
+    common = [f"c{i}" for i in range(12)]
+    for _ in range(150):  # texts that share little but a passage
+        rows.append(common + [rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(2, 9))])
+    for _ in range(60):
+        w = list(rows[3]) + ["z"] * rng.randint(0, 3)
+        w[rng.randrange(len(w))] = rng.choice("abc")
+        rows.append(w)
+    rows = list(enumerate(" ".join(w) for w in rows)) + [(1000 + i, t) for i, t in near_copies(10, (30, 60), 30, 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = classes(rows, 3, 4, 5)
+    monkeypatch.setattr(jaccard_join, "LOCAL", 2)
+    for bucket, levels in ((1024, 3), (4, 1), (3, 0)):
+        monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
+        monkeypatch.setattr(jaccard_join, "LEVELS", levels)
+        members, _ = jaccard_join.jaccard_join(df, 3, 4, 5)
+        assert sorted(((r["doc_id"], r["n"], r["component"]) for r in members.collect()), key=str) == expected
+
+
 def test_jaccard_signatures():
     rng = np.random.default_rng(3)
     for num, den in ((9, 10), (4, 5)):
@@ -263,7 +341,7 @@ def removed(rows, length=200):
 
 def dedup_rows(df):
     rows = suffix_dedup.suffix_dedup(df).collect()
-    return sorted(((r["doc_id"], r["_dedup"]["n_bytes"], sum(s["high"] - s["low"] for s in r["_dedup"]["spans"]), len(r["_dedup"]["spans"]), r["_dedup"]["kept_sha256"]) for r in rows), key=str)
+    return sorted(((r["doc_id"], r[-1]["n_bytes"], sum(s["high"] - s["low"] for s in r[-1]["spans"]), len(r[-1]["spans"]), r[-1]["kept_sha256"]) for r in rows), key=str)
 
 
 def test_suffix_dedup(spark, odd, documents):
@@ -277,7 +355,7 @@ def test_suffix_dedup(spark, odd, documents):
     few = documents.limit(60)
     assert dedup_rows(few) == removed([tuple(r) for r in few.collect()])
     row = suffix_dedup.stage(spark, odd, "").where("doc_id = 6").first()
-    assert row["text"] == "" and row["n_words"] == 1
+    assert row["text"] == "" and row["n_words"] == 1 and row["_dedup"] == "d"
 
 
 def test_suffix_sort():
@@ -302,7 +380,7 @@ def test_pieces(spark, odd, documents):
     extra = spark.createDataFrame([(1, "a  b "), (2, "▁x ▁▁ y"), (3, "  "), (4, "\t\n漢 é\x00")], "doc_id bigint, text string")
     for df in (documents, odd, extra):
         for r in piece_encoding.encode_pieces(df).collect():
-            p = r["_pieces"]
+            p = r[-1]
             assert p["ids"] == model.encode(r["text"] or "") and piece_encoding.decode(p["ids"], parts) == model.decode(p["ids"])
             assert p["round_trip"] == ("▁" not in (r["text"] or ""))
 

@@ -20,9 +20,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the table documents."""
-    scratch = Scratch(spark, "pipeline")
+    """The last stage's rows over the table documents: pieces of what the others have kept, with their ids and places.
+
+    A stage's output goes as soon as the next one's is written. Defined cases: those of the stages; null texts fail the
+    quality rules; an empty table gives no rows.
+    """
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)

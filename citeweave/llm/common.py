@@ -6,7 +6,9 @@ import atexit
 import ctypes
 import re
 import shutil
+import sys
 import tempfile
+import types
 import uuid
 from contextlib import contextmanager
 
@@ -122,10 +124,18 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def trimmed(function):
-    """`function` of Arrow batches, after which the worker hands memory that it has freed back to the machine."""
+def memo(name: str) -> dict:
+    """What this worker process keeps between tasks under `name`, as long as these are tasks of the same kind (see trimmed)."""
+    return sys.modules.setdefault(f"_citeweave_{name}", types.ModuleType(f"_citeweave_{name}")).__dict__
+
+
+def trimmed(function, keeps: str = ""):
+    """`function` of Arrow batches, before which the worker forgets what others keep (all but the memo that this one
+    `keeps`), and after which it hands memory that it has freed back to the machine."""
 
     def run(batches):
+        for name in [n for n in sys.modules if n.startswith("_citeweave_") and n != f"_citeweave_{keeps}"]:
+            del sys.modules[name]
         try:
             yield from function(batches)
         finally:

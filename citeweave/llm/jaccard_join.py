@@ -8,8 +8,6 @@ cells. (For small sets, n1 > k parts are taken whole: one of them is without any
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import LOWER, Scratch, UPPER, free_names, small, table, text_chunks, trimmed
+from citeweave.llm.common import LOWER, Scratch, UPPER, free_names, memo, small, table, text_chunks, trimmed
 from citeweave.operators.components import connected_components
 
 #: A worker forgets word hashes when it holds this many.
@@ -44,13 +42,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    kept = sys.modules.setdefault("_citeweave_words", types.ModuleType("_citeweave_words")).__dict__
-    memo = kept.setdefault("memo", {})
-    if len(memo) > MEMO_WORDS:
-        memo.clear()
-    for w in set(words).difference(memo):
-        memo[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    known = memo("words").setdefault("known", {})
+    if len(known) > MEMO_WORDS:
+        known.clear()
+    for w in set(words).difference(known):
+        known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -287,7 +284,7 @@ def _scan(docs: DataFrame, width: int, num: int, den: int, tasks: int) -> DataFr
             yield _rows(out, schema, key=key[some], n=weight[some], sig=signed[some].view(np.int64))
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(trimmed(run), ddl).repartition(tasks, "part").mapInArrow(trimmed(meet), f"doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint, other bigint, sketch array<bigint>")
+    return texts.mapInArrow(trimmed(run, "words"), ddl).repartition(tasks, "part").mapInArrow(trimmed(meet), f"doc_id {key_type.simpleString()}, tid bigint, key bigint, n bigint, sig bigint, other bigint, sketch array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -298,7 +295,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             sets = [s for s in (shingle_set(t, width) for t in texts) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "s"])
 
-    return _texts(docs, wanted).mapInArrow(trimmed(run), "key bigint, s binary").dropDuplicates(["key"])
+    return _texts(docs, wanted).mapInArrow(trimmed(run, "words"), "key bigint, s binary").dropDuplicates(["key"])
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -319,7 +316,7 @@ def _signs(docs: DataFrame, wanted: DataFrame, width: int, num: int, den: int, s
             for at in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 100_000]), pa.array(signed[at : at + 100_000].view(np.int64))], names=["key", "sign"])
 
-    return _texts(docs, wanted).mapInArrow(trimmed(run), "key bigint, sign bigint").distinct()
+    return _texts(docs, wanted).mapInArrow(trimmed(run, "words"), "key bigint, sign bigint").distinct()
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:

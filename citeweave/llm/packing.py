@@ -10,8 +10,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
-import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, small, table, text_chunks, trimmed
+from citeweave.llm.common import Scratch, memo, small, table, text_chunks, trimmed
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -39,7 +37,7 @@ MEMO_CHARS = 96 << 20
 
 def _worker(path: str):
     """Tokenizer and encoded words of this worker process, kept between tasks."""
-    kept = sys.modules.setdefault("_citeweave_packing", types.ModuleType("_citeweave_packing")).__dict__
+    kept = memo("packing")
     if kept.get("path") != path:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -140,7 +138,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
 
     key = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {key}, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, rank bigint" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run, "packing"), schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:

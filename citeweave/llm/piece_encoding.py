@@ -11,8 +11,6 @@ from __future__ import annotations
 
 import re
 import struct
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import free_names, table, text_chunks, trimmed
+from citeweave.llm.common import free_names, memo, table, text_chunks, trimmed
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -137,7 +135,7 @@ def load(path: str) -> tuple[Pieces, list[bytes], object]:
 
 
 def _worker(path: str) -> dict:
-    kept = sys.modules.setdefault("_citeweave_pieces", types.ModuleType("_citeweave_pieces")).__dict__
+    kept = memo("pieces")
     if kept.get("path") != path:
         vocabulary, parts, _ = load(path)
         kept.update(path=path, vocabulary=vocabulary, parts=parts, words={}, size=0)
@@ -211,7 +209,7 @@ def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield finish([b.column(0).slice(done, len(keys))], encode(texts, kept), texts)
                 done += len(keys)
 
-    done = own.mapInArrow(trimmed(run), f"_row {row_type}, ids array<int>, ids_crc32 bigint, n_bytes bigint, round_trip boolean")
+    done = own.mapInArrow(trimmed(run, "pieces"), f"_row {row_type}, ids array<int>, ids_crc32 bigint, n_bytes bigint, round_trip boolean")
     return done.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.struct("ids", "ids_crc32", "n_bytes", "round_trip").alias(*free_names(docs, "_pieces")))
 
 

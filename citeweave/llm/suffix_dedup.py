@@ -417,6 +417,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = scratch.save(_find(docs, 4 * tasks, tasks, length), "found")
     asked = found.where("low IS NULL").groupBy("tid", "uid").agg(F.collect_list(F.struct("place", "back", "ahead", "need", "khash", "full", "m", "alone")).alias("asks"))
     texts = docs.where(F.octet_length("text") >= length).select(*_ids(), F.col("text").cast("string").alias("text"))
+    tasks = max(tasks, 2 * size // TASK_BYTES)  # stretches overlap, so all of them may take five times the bytes
     edges = scratch.save(_compare(texts, asked, 4 * tasks, tasks, length), "edges")
     spans = found.where("low IS NOT NULL").select("tid", "uid", "low", "high").union(edges)
     lists = spans.groupBy("tid", "uid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))

@@ -12,6 +12,7 @@ import types
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,6 +140,7 @@ def trimmed(function, keeps: str = ""):
         try:
             yield from function(batches)
         finally:
+            pa.default_memory_pool().release_unused()
             try:
                 ctypes.CDLL(None).malloc_trim(0)
             except (AttributeError, OSError):  # not glibc

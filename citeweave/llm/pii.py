@@ -46,7 +46,8 @@ def _quoted(x: str) -> str:
 
 
 def feistel_sql(value: str, modulus: str, tag: str, key: str = KEY, rounds: int = ROUNDS) -> str:
-    """SQL: a keyed permutation of 0 .. modulus - 1 of `value` (decimal(38,0) or less; modulus up to 10^18).
+    """SQL: a keyed permutation of 0 .. modulus - 1 of `value` (decimal(38,0) or less; modulus up to 10^18). tag: SQL of a
+    string, another permutation for each.
 
     A balanced network over a x b >= modulus with a = ceil(sqrt(modulus)): each round adds a keyed hash of one half to
     the other, modulo its size. Results of modulus and more are put through it again, up to 40 times: they are fewer than
@@ -56,7 +57,7 @@ def feistel_sql(value: str, modulus: str, tag: str, key: str = KEY, rounds: int
     state = "named_struct('l', x div b, 'r', x % b)"
     steps = state
     for i in range(rounds):
-        digest = lambda half: f"cast(conv(substr(sha2(concat_ws(':', {_quoted(key)}, '{tag}', '{i}', cast(s.{half} as string), cast(n as string)), 256), 1, 15), 16, 10) as bigint)"
+        digest = lambda half: f"cast(conv(substr(sha2(concat_ws(':', {_quoted(key)}, {tag}, '{i}', cast(s.{half} as string), cast(n as string)), 256), 1, 15), 16, 10) as bigint)"
         if i % 2:
             change = f"named_struct('l', s.l, 'r', (s.r + {digest('l')} % b) % b)"
         else:
@@ -142,44 +143,47 @@ def pseudonym_sql(m: str, s: str, key: str = KEY) -> tuple[str, str]:
         f"WHEN {m} rlike '^[A-Z]' THEN CASE WHEN {_mod97(f'concat(substr({compact}, 5), substr({compact}, 1, 4))')} = 1 THEN 'iban' END "
         f"WHEN {_let(_digits(m), 'q', _luhn_ok('q'))} THEN 'card' END"
     )
-    octets = f"split({m}, '[.]')"
-    ip_number = f"aggregate({octets}, 0L, (a, o) -> a * 256 + int(o))"
-    ip = _let(feistel_sql(ip_number, "4294967296L", "ip", key), "z", "concat_ws('.', z div 16777216, (z div 65536) % 256, (z div 256) % 256, z % 256)")
     since = "DATE'1900-01-01'"
-    days = lambda fmt: f"datediff(to_date({m}, {_quoted(fmt)}), {since})"
-    date = lambda fmt: f"date_format(date_add({since}, int({feistel_sql(days(fmt), f'{DAYS}L', 'date', key)})), {_quoted(fmt)})"
-    phone_digits = _let(_digits(m), "q", f"concat(substr(q, 1, length(q) - 7), {_padded(feistel_sql('bigint(substr(q, length(q) - 6))', '10000000L', 'phone', key), '7')})")
-    # Of the numbers that can be given: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999.
-    area = "(int(substr(q, 1, 3)) - CASE WHEN q > '666' THEN 2 ELSE 1 END)"
-    number = f"(({area} * 99L + int(substr(q, 4, 2)) - 1) * 9999L + int(substr(q, 6, 4)) - 1)"
-    ssn = _let(feistel_sql(number, f"{898 * 99 * 9999}L", "ssn", key), "z", f"concat({_padded('z div 989901L + CASE WHEN z div 989901L >= 665 THEN 2 ELSE 1 END', '3')}, {_padded('(z div 9999L) % 99 + 1', '2')}, {_padded('z % 9999L + 1', '4')})")
-    ssn = _let(_digits(m), "q", ssn)
+    forms = {"date_ymd": "yyyy-MM-dd", "date_dmy": "dd/MM/yyyy", "date_mdy": "MM/dd/yyyy", "date_ymd_slash": "yyyy/MM/dd", "date_dmy_dot": "dd.MM.yyyy"}
+    # What is permuted, as numbers below others. x.q: the digits, x.w: the letters of an IBAN.
+    pair = lambda v, n: f"named_struct('v', bigint({v}), 'n', bigint({n}))"
+    row = lambda v, n: f"array({pair(v, n)})"
+    ip_number = f"aggregate(split({m}, '[.]'), 0L, (a, o) -> a * 256 + int(o))"
+    days = "CASE k " + " ".join(f"WHEN '{k}' THEN datediff(to_date({m}, '{f}'), {since})" for k, f in forms.items()) + " END"
+    # SSNs that can be given: area 001 to 899 but 666, group 01 to 99, serial 0001 to 9999.
+    area = "(int(substr(x.q, 1, 3)) - CASE WHEN x.q > '666' THEN 2 ELSE 1 END)"
+    ssn_number = f"({area} * 99L + int(substr(x.q, 4, 2)) - 1) * 9999L + int(substr(x.q, 6, 4)) - 1"
+    # Digits and letters of an IBAN's bank and account, each in their places and in rows of up to 15 and 12 (below 10^18).
+    digits = lambda i: f"substr(x.q, {1 + 15 * i}, 15)"
+    letters = lambda i: f"substr(x.w, {1 + 12 * i}, 12)"
+    spelt = lambda g: f"aggregate(filter(split({g}, ''), c -> c <> ''), 0L, (a, c) -> a * 26 + ascii(c) - 65)"
+    iban_rows = [pair(f"CASE WHEN {digits(i)} = '' THEN '0' ELSE {digits(i)} END", f"power(10D, length({digits(i)}))") for i in (0, 1)] + [pair(spelt(letters(i)), f"power(26D, length({letters(i)}))") for i in (0, 1, 2)]
+    numbers = (
+        f"CASE WHEN k = 'ip' THEN {row(ip_number, '4294967296L')} WHEN k LIKE 'date%' THEN {row(days, DAYS)} WHEN k = 'phone' THEN {row('right(x.q, 7)', 10**7)} "
+        f"WHEN k = 'ssn' THEN {row(ssn_number, 898 * 99 * 9999)} WHEN k = 'card' THEN {row('substr(x.q, 7, length(x.q) - 7)', 'power(10D, length(x.q) - 7)')} WHEN k = 'iban' THEN array({', '.join(iban_rows)}) END"
+    )
+    tag = "concat(CASE WHEN k LIKE 'date%' THEN 'date' ELSE k END, ':', i)"
+    permuted = f"transform({numbers}, (r, i) -> {feistel_sql('r.v', 'r.n', tag, key)})"
+    # And how it is written: z is the array of the permuted numbers.
+    ip = "concat_ws('.', z[0] div 16777216, (z[0] div 65536) % 256, (z[0] div 256) % 256, z[0] % 256)"
+    date = f"date_format(date_add({since}, int(z[0])), CASE k " + " ".join(f"WHEN '{k}' THEN '{f}'" for k, f in forms.items()) + " END)"
+    phone = f"concat(substr(x.q, 1, length(x.q) - 7), {_padded('z[0]', '7')})"
+    ssn = f"concat({_padded('z[0] div 989901L + CASE WHEN z[0] div 989901L >= 665 THEN 2 ELSE 1 END', '3')}, {_padded('(z[0] div 9999L) % 99 + 1', '2')}, {_padded('z[0] % 9999L + 1', '4')})"
     # The first six digits (the issuer) and the length stay; the account is permuted and the check digit made anew.
-    body = f"concat(substr(q, 1, 6), {_padded(feistel_sql('bigint(substr(q, 7, length(q) - 7))', 'bigint(power(10D, length(q) - 7))', 'card', key), 'length(q) - 7')})"
-    card = _let(_digits(m), "q", _let(body, "p", f"concat(p, (10 - {_luhn('p')} % 10) % 10)"))
-    # Digits and letters of bank and account are permuted, each in their places and in rows of up to 15 and 12 (so that a
-    # row is a number below 10^18), then the two check digits made anew.
-    rest = f"substr({compact}, 5)"
-    digits = [_let(f"substr(q, {1 + 15 * k}, 15)", "g", f"CASE WHEN g = '' THEN '' ELSE {_padded(feistel_sql('bigint(g)', 'bigint(power(10D, length(g)))', f'iban{k}', key), 'length(g)')} END") for k in (0, 1)]
-    spelt = "aggregate(filter(split(g, ''), c -> c <> ''), 0L, (a, c) -> a * 26 + ascii(c) - 65)"
-    letters = [
-        _let(f"substr(q, {1 + 12 * k}, 12)", "g", f"CASE WHEN g = '' THEN '' ELSE {_let(feistel_sql(spelt, 'bigint(power(26D, length(g)))', f'letters{k}', key), 'z', 'array_join(transform(sequence(length(g) - 1, 0, -1), i -> chr(65 + (z div bigint(power(26D, i))) % 26)), str())'.replace('str()', repr('')))} END")
-        for k in (0, 1, 2)
-    ]
-    numbers = _let(_digits(rest), "q", f"concat({', '.join(digits)})")
-    words = _let(f"regexp_replace({rest}, '[^A-Z]', '')", "q", f"concat({', '.join(letters)})")
+    card = _let(f"concat(substr(x.q, 1, 6), {_padded('z[0]', 'length(x.q) - 7')})", "p", f"concat(p, (10 - {_luhn('p')} % 10) % 10)")
+    refilled = _refill(m, f"CASE k WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {ssn} ELSE {card} END")
+    padded = lambda i: f"CASE WHEN {digits(i)} = '' THEN '' ELSE {_padded(f'z[{i}]', f'length({digits(i)})')} END"
+    written = lambda i: f"CASE WHEN {letters(i)} = '' THEN '' ELSE array_join(transform(sequence(length({letters(i)}) - 1, 0, -1), j -> chr(65 + (z[{2 + i}] div bigint(power(26D, j))) % 26)), '') END"
     step = "(s, c) -> CASE WHEN c = '' THEN s WHEN c BETWEEN '0' AND '9' THEN named_struct('o', concat(s.o, substr(d.n, s.k + 1, 1)), 'k', s.k + 1, 'l', s.l) ELSE named_struct('o', concat(s.o, substr(d.w, s.l + 1, 1)), 'k', s.k, 'l', s.l + 1) END"
-    bban = _let(f"named_struct('n', {numbers}, 'w', {words})", "d", f"aggregate(split({rest}, ''), named_struct('o', '', 'k', 0, 'l', 0), {step}, s -> s.o)")
-    iban = _let(bban, "u", f"concat(substr({compact}, 1, 2), lpad(cast(98 - {_mod97(f'''concat(u, substr({compact}, 1, 2), '00')''')} as string), 2, '0'), u)")
-    # Into the groups of the match, whose characters it replaces one by one.
+    bban = _let(f"named_struct('n', concat({padded(0)}, {padded(1)}), 'w', concat({written(0)}, {written(1)}, {written(2)}))", "d", f"aggregate(split(substr({compact}, 5), ''), named_struct('o', '', 'k', 0, 'l', 0), {step}, s -> s.o)")
+    # Two check digits are made anew, and all goes into the groups of the match, whose characters it replaces one by one.
+    iban = _let(bban, "u", f"concat(substr({compact}, 1, 2), lpad(cast(98 - {_mod97(f"concat(u, substr({compact}, 1, 2), '00')")} as string), 2, '0'), u)")
     iban = _let(iban, "y", f"aggregate(split({m}, ''), named_struct('o', '', 'k', 0), (s, c) -> CASE WHEN c IN ('', ' ') THEN named_struct('o', concat(s.o, c), 'k', s.k) ELSE named_struct('o', concat(s.o, substr(y, s.k + 1, 1)), 'k', s.k + 1) END, s -> s.o)")
     secret = f"CASE WHEN {m} rlike '^AKIA' THEN concat('AKIA', upper(substr({_token(m, 'secret', key)}, 1, 16))) ELSE substr(repeat({_token(m, 'secret', key)}, 2), 1, length({m})) END"
     email = f"concat('u', substr({_token(f'lower({m})', 'email', key)}, 1, 16), '@', substr({_token(f'lower({m})', 'domain', key)}, 1, 8), '.invalid')"
-    out = (
-        f"CASE k WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} WHEN 'ip' THEN {ip} WHEN 'date_ymd' THEN {date('yyyy-MM-dd')} WHEN 'date_dmy' THEN {date('dd/MM/yyyy')} "
-        f"WHEN 'date_mdy' THEN {date('MM/dd/yyyy')} WHEN 'date_ymd_slash' THEN {date('yyyy/MM/dd')} WHEN 'date_dmy_dot' THEN {date('dd.MM.yyyy')} "
-        f"WHEN 'phone' THEN {_refill(m, phone_digits)} WHEN 'ssn' THEN {_refill(m, ssn)} WHEN 'iban' THEN {iban} WHEN 'card' THEN {_refill(m, card)} ELSE {m} END"
-    )
+    formatted = f"CASE WHEN k = 'ip' THEN {ip} WHEN k = 'iban' THEN {iban} WHEN k LIKE 'date%' THEN {date} ELSE {refilled} END"
+    found = f"named_struct('q', CASE WHEN k = 'iban' THEN {_digits(f'substr({compact}, 5)')} ELSE {_digits(m)} END, 'w', CASE WHEN k = 'iban' THEN regexp_replace(substr({compact}, 5), '[^A-Z]', '') ELSE '' END)"
+    out = f"CASE k WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} ELSE {_let(found, 'x', _let(permuted, 'z', formatted))} END"
     return kind, out
 
 

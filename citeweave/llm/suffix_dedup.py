@@ -26,6 +26,7 @@ from citeweave.llm.common import Scratch, free_names, table, text_chunks, trimme
 LENGTH, GRAM = 200, 32
 #: Bytes of anchors that one task holds, about; the number of tasks follows.
 TASK_BYTES = 24 << 20
+SOME_BYTES = 1 << 19
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 8
 
@@ -239,7 +240,11 @@ def _find(docs: DataFrame, parts: int, tasks: int, length: int) -> DataFrame:
             data = b"".join(raw)
             ends = np.cumsum([len(x) for x in raw])
             begins = np.r_[0, ends[:-1]]
-            of, place, first, last, khash = anchors(np.frombuffer(data, np.uint8), ends, length)
+            # Anchors are looked for in some texts at a time, for they take many times a text's size.
+            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(SOME_BYTES, len(data), SOME_BYTES)), len(ends)])
+            some = [(a, begins[a], anchors(np.frombuffer(data, np.uint8)[begins[a] : ends[b - 1]], ends[a:b] - begins[a], length)) for a, b in zip(cuts[:-1], cuts[1:])]
+            of, place, first, last = (np.concatenate([x[k] + (at if k else a) for a, at, x in some]) for k in range(4))
+            khash = np.concatenate([x[4] for _, _, x in some])
             if not len(of):
                 continue
             rows = np.empty(len(of), _ANCHOR)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import shutil
 import sys
@@ -107,6 +108,13 @@ class Scratch:
         return {n for n in self.held if n.startswith(starts)}
 
 
+def forget(spark: SparkSession) -> None:
+    """Has the driver drop what it holds for finished steps (plans, broadcasts, shuffles), which stays else until it happens
+    to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """`df` to be broadcast if its rows, counted, take BROADCAST_BYTES at most; else as it is, to be joined by shuffle."""
     most = BROADCAST_BYTES // row_bytes

@@ -16,13 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import LOWER, Scratch, UPPER, free_names, memo, small, table, text_chunks, trimmed
+from citeweave.llm.common import LOWER, Scratch, UPPER, forget, free_names, memo, small, table, text_chunks, trimmed
 from citeweave.operators.components import connected_components
 
 #: A worker forgets word hashes when it holds this many.
 MEMO_WORDS = 250_000
-#: Bytes of a row of ids or keys, and of one with a sketch, as they are broadcast (see common.small).
-KEY_BYTES, SKETCH_BYTES = 40, 160
+#: Bytes of a row of ids as it is broadcast (see common.small).
+KEY_BYTES = 40
 #: Buckets of more sets are cut before all their sketches are compared; so often at the most by signatures.
 BUCKET, LEVELS = 1024, 3
 #: Up to so many sets with one signature are tested pair by pair; of more in a chunk, one is sent to other chunks' sets.
@@ -396,7 +396,6 @@ class _State:
         self.spark, self.docs, self.scratch, self.width, self.num, self.den, self.i = docs.sparkSession, docs, scratch, width, num, den, 0
         first = members.where("key IS NOT NULL").groupBy("key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("tid").alias("tid"))
         self.known = scratch.save(first, "known")
-        self.sketches = small(self.known.select("key", "n", "sketch"), SKETCH_BYTES)
         self.links = self.spark.createDataFrame([], "a bigint, b bigint")
         self.tested, self.label = self.links, self.spark.createDataFrame([], "node bigint, component bigint")
 
@@ -404,7 +403,7 @@ class _State:
         """Distinct pairs (a < b) but those that their sizes and sketches rule out."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         for side in "ab":
-            pairs = pairs.join(self.sketches.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+            pairs = pairs.join(self.known.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
         bits = " + ".join(f"bit_count(sa[{k}] ^ sb[{k}])" for k in range(8))
         fit = f"{self.den} * least(na, nb) >= {self.num} * greatest(na, nb) AND {bits} <= {self.den - self.num} * (na + nb) div {self.den + self.num}"
         return pairs.where(fit).select("a", "b")
@@ -418,10 +417,10 @@ class _State:
         if new.isEmpty():
             return
         keys = new.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-        wanted = self.known.join(small(keys, KEY_BYTES), "key", "left_semi").select("tid")
+        wanted = self.scratch.save(self.known.join(keys, "key", "left_semi").select("tid"), f"wanted{self.i}")
         sets = self.scratch.save(_sets(self.docs, wanted, self.width), f"sets{self.i}")
         found = self.scratch.save(_verify(new, sets, self.num, self.den), f"links{self.i}")
-        self.scratch.drop(f"sets{self.i}")
+        self.scratch.drop(f"sets{self.i}", f"wanted{self.i}")
         if not found.isEmpty():
             self.links = self.links.union(found)
             # Classes that are known already stand for their links.
@@ -431,6 +430,7 @@ class _State:
             for old in self.scratch.names("labels") - {name} | self.scratch.names("cc"):
                 self.scratch.drop(old)
             self.label = labels
+        forget(self.spark)
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         joined = rows.drop("label").join(self.label.select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left")
@@ -442,8 +442,8 @@ class _State:
         mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("sig", "m")
         return rows.drop("m").join(mixed, "sig")
 
-    def settle(self, rows: DataFrame) -> None:
-        """Finds what is linked in the buckets (sig, key) of many sets.
+    def settle(self, rows: DataFrame, pairs: DataFrame) -> None:
+        """Finds what is linked among the pairs (key, other), and in the buckets (sig, key) of many sets.
 
         First all are held against the set of each that shares most with others, its hub, which makes one class of a group
         of copies. In buckets that still hold several classes all sketches are compared: the nearest eight of each set are
@@ -452,23 +452,23 @@ class _State:
         of another division of the domain; and where that was done LEVELS times, into blocks that meet each other.
         """
         for level in range(LEVELS + 2):
-            rows = self._hubs(rows, level) if level <= LEVELS else self.scratch.save(self.open(rows), f"open{level}")
+            rows = self._hubs(rows, level, None if level else pairs) if level <= LEVELS else self.scratch.save(self.open(rows), f"open{level}")
             if rows.isEmpty():
                 break
             if level > LEVELS:
                 self._compare(rows, level)
                 break
-            self._compare(rows.where(f"m <= {BUCKET}").unionByName(self._led(rows.where(f"m > {BUCKET}")), True), level)
+            self._compare(rows.where(f"m <= {BUCKET}").select("sig", "key").union(self._led(rows.where(f"m > {BUCKET}"))), level)
             rest = self.scratch.save(self.open(rows.where(f"m > {BUCKET}")).transform(self._others).where(f"others > {BUCKET}"), f"rest{level}")
             if rest.isEmpty():
                 break
             if level < LEVELS:
-                signs = _signs(self.docs, self.known.join(small(rest.select("key").distinct(), KEY_BYTES), "key", "left_semi").select("tid"), self.width, self.num, self.den, level + 1)
+                signs = _signs(self.docs, self.scratch.save(self.known.join(rest.select("key").distinct(), "key", "left_semi").select("tid"), f"signed{level}"), self.width, self.num, self.den, level + 1)
                 rows = rest.join(self.scratch.save(signs, f"signs{level}"), "key").select(F.xxhash64("sig", "sign").alias("sig"), "key")
             else:
                 blocks = rest.withColumn("k", F.expr(f"m div {BUCKET} + 1")).withColumn("c", F.expr("pmod(xxhash64(key), k)"))
                 rows = blocks.withColumn("o", F.explode(F.expr("sequence(0L, k - 1)"))).select(F.expr("xxhash64(sig, least(c, o), greatest(c, o))").alias("sig"), "key").distinct()
-        for name in self.scratch.names("open", "hubs", "buckets", "rest", "signs", "found"):
+        for name in self.scratch.names("open", "hubs", "buckets", "rest", "signs", "signed", "rows", "found"):
             self.scratch.drop(name)
 
     def _others(self, rows: DataFrame) -> DataFrame:
@@ -482,25 +482,29 @@ class _State:
         block = F.expr("if(label = top, array(pmod(xxhash64(key), k)), sequence(0L, k - 1))")
         return led.withColumn("c", F.explode(block)).select(F.xxhash64("sig", "c").alias("sig"), "key")
 
-    def _hubs(self, rows: DataFrame, level: int) -> DataFrame:
-        """Tests the sets of each bucket against its hub; returns the rows of buckets that stay open."""
+    def _hubs(self, rows: DataFrame, level: int, pairs: DataFrame | None) -> DataFrame:
+        """Tests `pairs`, and the sets of each bucket against its hub; returns the rows of buckets that stay open."""
         # Signatures with the same members are one bucket.
         each = rows.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("h"))
         once = each.where("m > 1").groupBy("m", "h").agg(F.min("sig").alias("sig"), F.sum("m").alias("weight")).select("sig", "weight")
         buckets = self.scratch.save(self.open(rows.join(once, "sig").select("sig", "key", "weight")), f"buckets{level}")
         ranked = buckets.join(buckets.groupBy("key").agg(F.sum("weight").alias("all")), "key")
         hubs = self.scratch.save(ranked.groupBy("sig").agg(F.max_by("key", F.struct("all", "key")).alias("hub")), f"hubs{level}")
-        self.test(buckets.join(hubs, "sig").where("key <> hub").select("hub", "key"))
+        held = buckets.join(hubs, "sig").where("key <> hub").select("hub", "key")
+        self.test(held if pairs is None else held.union(pairs))
         return self.scratch.save(self.open(buckets.select("sig", "key")), f"open{level}")
 
     def _compare(self, rows: DataFrame, level: int) -> None:
         most, i = 8, 0
+        rows = self.scratch.save(rows, f"rows{level}_0")
         while not rows.isEmpty():
             known = self.known.select("key", "n", "sketch")
-            found = self.scratch.save(_candidates(self.labelled(rows.select("sig", "key")).join(known, "key"), most, self.num, self.den), f"found{level}_{i}")
+            found = self.scratch.save(_candidates(self.labelled(rows).join(known, "key"), most, self.num, self.den), f"found{level}_{i}")
             self.test(found.where("a IS NOT NULL").select("a", "b").distinct(), True)
-            rows = self.open(rows.select("sig", "key").join(found.where("a IS NULL").select("sig"), "sig", "left_semi"))
+            more = found.where("a IS NULL").select("sig")
             most, i = 8 * most, i + 1
+            rows = self.scratch.save(self.open(rows.join(more, "sig", "left_semi")).select("sig", "key"), f"rows{level}_{i}")
+            self.scratch.drop(f"rows{level}_{i - 1}", f"found{level}_{i - 1}")
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -524,8 +528,7 @@ def jaccard_join(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) ->
     mixed = scratch.save(_scan(docs, width, num, den, tasks), "mixed")
     members = mixed.where("sig IS NULL AND other IS NULL").drop("sig", "other")
     state = _State(docs, scratch, members, width, num, den)
-    state.test(mixed.where("other IS NOT NULL").select("key", "other"))
-    state.settle(mixed.where("sig IS NOT NULL").select("sig", "key").distinct())
+    state.settle(mixed.where("sig IS NOT NULL").select("sig", "key").distinct(), mixed.where("other IS NOT NULL").select("key", "other"))
     lowest = members.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("low"))
     linked = state.label.withColumnRenamed("node", "key").join(lowest, "key")
     low = linked.groupBy("component").agg(F.min("low").alias("joint"))

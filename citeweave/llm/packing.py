@@ -31,7 +31,7 @@ END_ID = 0
 _MARKS = (".", ",")
 _LOWER = re.compile("[a-zß-öø-ÿ]+").fullmatch
 _PLAIN = "".join(c for c in map(chr, range(256)) if c.isalnum() or c in " .,").encode("latin-1")
-#: A worker forgets the words it has encoded when they hold this many characters.
+#: A worker forgets the words it has encoded when they hold this many characters; a third, where ids are written beside.
 MEMO_CHARS = 96 << 20
 
 
@@ -72,7 +72,7 @@ def _parts(text: str) -> list[str]:
     return line.split(" ")
 
 
-def encode(texts: list[str], path: str) -> list[bytes]:
+def encode(texts: list[str], path: str, memo_chars: int = MEMO_CHARS) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers.
 
     No token spans white space, so a text's ids are those of the parts between spaces and newlines, and each distinct
@@ -80,7 +80,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
     """
     kept = _worker(path)
     words = kept["words"]
-    if kept["size"] > MEMO_CHARS:
+    if kept["size"] > memo_chars:
         words.clear()
         kept["size"] = 0
     parts = [_parts(t) for t in texts]
@@ -116,7 +116,7 @@ def tokenise(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: boo
         for keys, texts in text_chunks(batches, 1 << 20):
             rows: list[list] = [[] for _ in range(5)]
             ids = []
-            for key, own in zip(keys, encode(texts, path)):
+            for key, own in zip(keys, encode(texts, path, MEMO_CHARS // 3 if with_ids else MEMO_CHARS)):
                 own += end
                 for piece, at in enumerate(range(0, len(own), 4 * capacity)):
                     data = own[at : at + 4 * capacity]
@@ -216,45 +216,36 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     return [g for g in groups if g[1]]
 
 
-def _places(groups) -> tuple[np.ndarray, ...]:
-    """For runs of ranks of one length: key (length and first rank), first sequence, offset and pieces in a sequence."""
+def _places(groups) -> list[tuple[int, int, int, int, int, int]]:
+    """For runs of ranks of one length: length, first and last rank, first sequence, offset and pieces in a sequence."""
     used: dict[int, int] = {}
     rows, first = [], 0
     for items, count in groups:
         offset = 0
         for length, each in items:
             rank = used.get(length, 0)
-            rows.append(((length << 48) | rank, first, offset, each))
             used[length] = rank + each * count
+            rows.append((length, rank, used[length] - 1, first, offset, each))
             offset += each * length
         first += count
-    rows.sort()
-    return tuple(np.array(c, np.int64) for c in zip(*rows)) if rows else (np.empty(0, np.int64),) * 4
+    return rows
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a written table of tokenise(); part and rank go.
 
-    Bounded: the histogram has `capacity` rows, the plan a few runs for each length.
+    Bounded: the histogram has `capacity` rows, the plan a few runs for each length. Runs are broadcast, and each piece
+    finds the one of its length that holds its rank.
     """
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    runs = _places(plan(histogram, capacity))
+    runs = pieces.sparkSession.createDataFrame(_places(plan(histogram, capacity)), "_length bigint, _low bigint, _high bigint, _first bigint, _offset bigint, _each bigint")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = pieces.groupBy("part", "length").agg(F.count("*").alias("n")).select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = pieces.join(small(base, 64), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     keep = [c for c in pieces.columns if c not in ("part", "rank")]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, firsts, offsets, eachs = runs
-        for batch in batches:
-            length, rank = (np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("length", "rank"))
-            k = np.searchsorted(keys, (length << 48) | rank, "right") - 1
-            nth = rank - (keys[k] & ((1 << 48) - 1))
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(firsts[k] + nth // eachs[k]), pa.array(offsets[k] + nth % eachs[k] * length)], names=[*keep, "sequence_id", "offset"])
-
-    schema = ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in keep)
-    return ranked.select(*keep, "rank").mapInArrow(trimmed(place), f"{schema}, sequence_id bigint, offset bigint")
+    placed = ranked.join(F.broadcast(runs), F.expr("length = _length AND rank BETWEEN _low AND _high"))
+    nth = "(rank - _low)"
+    return placed.select(*keep, F.expr(f"_first + {nth} div _each").alias("sequence_id"), F.expr(f"_offset + {nth} % _each * length").alias("offset"))
 
 
 def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:

@@ -441,34 +441,37 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     nothing; of repeated rows each repeats the others; overlapping repeats count (a run of one letter is removed whole);
     very long texts are judged whole; an empty table gives no rows; other columns pass through, whatever their names.
     """
+    scratch = Scratch(docs.sparkSession, "cuts")
     spans = repeated_spans(docs.select("text"), length)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_ids())
-    joined = own.join(spans, ["tid", "uid"], "left").select("_row", "spans")
-    at = docs.columns.index("text")
-    row_type = joined.schema["_row"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
         for b in batches:
-            n, kept, digest = [], [], []
-            for text, runs in zip(b.column(0).field(at), b.column(1)):
-                text = text.as_py()
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                n.append(len(raw))
-                if runs.is_valid:
-                    parts, end = [], 0
-                    for r in runs.as_py():
-                        parts.append(raw[end : r["low"]])
-                        end = r["high"]
-                    raw = b"".join([*parts, raw[end:]])
-                    text = "".join(p.decode("utf-8", "ignore") for p in [*parts, raw[sum(map(len, parts)) :]])
-                kept.append(text)
-                digest.append(hashlib.sha256(raw).hexdigest())
-            spans_column = b.column(1).cast(span)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), spans_column, pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=["_row", "n_bytes", "spans", "kept", "kept_sha256"])
-
-    done = joined.mapInArrow(trimmed(cut), f"_row {row_type}, n_bytes bigint, spans array<struct<low: bigint, high: bigint>>, kept string, kept_sha256 string")
-    return done.select(*[F.col(f"_row.`{c}`") for c in docs.columns], F.struct("n_bytes", F.coalesce("spans", F.expr("cast(array() as array<struct<low: bigint, high: bigint>>)")).alias("spans"), "kept", "kept_sha256").alias(*free_names(docs, "_dedup")))
+            kept, digest = [], []
+            for text, runs in zip(b.column(3), b.column(2)):
+                raw, parts, end = text.as_py().encode("utf-8", "surrogatepass"), [], 0
+                for r in runs.as_py():
+                    parts.append(raw[end : r["low"]])
+                    end = r["high"]
+                parts.append(raw[end:])
+                digest.append(hashlib.sha256(b"".join(parts)).hexdigest())
+                kept.append("".join(p.decode("utf-8", "ignore") for p in parts))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=["tid", "uid", "spans", "kept", "kept_sha256"])
+
+    runs = "array<struct<low: bigint, high: bigint>>"
+    texts = docs.where(F.octet_length("text") >= length).select(*_ids(), F.col("text").cast("string").alias("text"))
+    once = texts.groupBy("tid", "uid").agg(F.first("text").alias("text"))  # copies fall together before they are sent
+    cuts = once.join(spans, ["tid", "uid"]).select("tid", "uid", "spans", "text").mapInArrow(trimmed(cut), f"tid bigint, uid bigint, spans {runs}, kept string, kept_sha256 string")
+    cuts = scratch.save(cuts, "cuts").withColumnRenamed("tid", "_tid").withColumnRenamed("uid", "_uid")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *_ids())
+    joined = own.join(cuts, (F.col("tid") == F.col("_tid")) & (F.col("uid") == F.col("_uid")), "left")
+    text, whole = F.col("_row.text").cast("string"), F.col("_tid").isNull()
+    out = F.struct(
+        F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce("spans", F.expr(f"cast(array() as {runs})")).alias("spans"),
+        F.when(whole, text).otherwise(F.col("kept")).alias("kept"),
+        F.when(whole, F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+    )
+    return joined.select(*[F.col(f"_row.`{c}`") for c in docs.columns], out.alias(*free_names(docs, "_dedup")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

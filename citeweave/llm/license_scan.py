@@ -35,7 +35,7 @@ class Rule:
 
 #: Names as they are written: label, SPDX prefix, keyword, regex of the name. Each gives one rule for each of FORMS.
 FAMILIES = [
-    ("mit", "mit", "mit", r"(?:mit|expat)"),
+    ("mit", "mit", "mit", r"mit"),
     ("apache", "apache-", "apache", r"apache(?: software)?"),
     ("gpl", "gpl-", "general public", r"(?:gnu )?general public"),
     ("lgpl", "lgpl-", "general public", r"(?:gnu )?(?:lesser|library) general public"),
@@ -65,7 +65,7 @@ FAMILIES = [
     ("openssl", "openssl", "openssl", r"openssl"),
     ("ssleay", "ssleay", "ssleay", r"ssleay"),
     ("postgresql", "postgresql", "postgresql", r"postgresql"),
-    ("unlicense", "unlicense", "unlicense", r"(?:the )?unlicense,? (?:public domain)?"),
+    ("unlicense", "unlicense", "unlicense", r"(?:the )?unlicense"),
     ("wtfpl", "wtfpl", "want to public", r"do what the fuck you want to public"),
     ("eupl", "eupl-", "european union", r"european union public"),
     ("cecill", "cecill-", "cecill", r"cecill(?:-[abc])?"),
@@ -74,12 +74,12 @@ FAMILIES = [
     ("upl", "upl-", "universal permissive", r"universal permissive"),
     ("ncsa", "ncsa", "ncsa", r"(?:university of illinois/)?ncsa(?: open source)?"),
     ("ofl", "ofl-", "open font", r"(?:sil )?open font"),
-    ("odbl", "odbl-", "open database", r"open (?:data commons )?(?:open )?database"),
+    ("odbl", "odbl-", "database", r"open (?:data commons )?(?:open )?database"),
     ("odc-by", "odc-by", "open data commons", r"open data commons attribution"),
     ("pddl", "pddl-", "public domain dedication", r"public domain dedication and"),
-    ("cc-by", "cc-by-4", "attribution", r"creative commons attribution(?: \d\.\d)?(?: international| unported)?(?: public)?"),
+    ("cc-by", "cc-by-", "attribution", r"creative commons attribution(?: \d\.\d)?(?: international| unported)?(?: public)?"),
     ("cc-by-sa", "cc-by-sa", "alike", r"creative commons attribution[- ]share[- ]?alike(?: \d\.\d)?(?: international| unported)?(?: public)?"),
-    ("cc-by-nc", "cc-by-nc-4", "commercial", r"creative commons attribution[- ]non-?commercial(?: \d\.\d)?(?: international| unported)?(?: public)?"),
+    ("cc-by-nc", "cc-by-nc", "commercial", r"creative commons attribution[- ]non-?commercial(?: \d\.\d)?(?: international| unported)?(?: public)?"),
     ("cc-by-nd", "cc-by-nd", "deriv", r"creative commons attribution[- ]no-?deriv(?:ative)?s(?: \d\.\d)?(?: international| unported)?(?: public)?"),
     ("cc-by-nc-sa", "cc-by-nc-sa", "alike", r"creative commons attribution[- ]non-?commercial[- ]share[- ]?alike(?: \d\.\d)?(?: international| unported)?(?: public)?"),
     ("cc0", "cc0-", "cc0", r"cc0(?: \d\.\d)?(?: universal)?"),
@@ -108,7 +108,7 @@ FAMILIES = [
     ("ricoh", "rscpl", "ricoh", r"ricoh source code public"),
     ("watcom", "watcom-", "watcom", r"sybase open watcom public"),
     ("xnet", "xnet", "x.net", r"x\.net"),
-    ("openrail", "openrail", "openrail", r"(?:creativeml |bigscience )?open ?rail(?:-m)?"),
+    ("openrail", "openrail", "rail", r"(?:creativeml |bigscience )?open(?: )?rail(?:-m)?"),
 ]
 #: A form in which a licence is named: suffix, text before the name, text after it, priority, weight.
 FORMS = [
@@ -119,6 +119,7 @@ FORMS = [
 #: Signatures with a text of their own: name, label, keyword, regex, priority, weight.
 TEXTS = [
     ("mit-permission", "mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 10, 1.0),
+    ("expat", "mit", "expat", r"\bexpat licen[sc]e\b", 40, 0.8),
     ("mit-short", "mit", "mit-licensed", r"\bmit-licensed\b", 50, 0.8),
     ("isc-permission", "isc", "permission to use, copy", r"permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee", 10, 1.0),
     ("bsd-redistribution", "bsd", "redistribution and use", r"redistribution and use in source and binary forms,? with or without modification", 10, 1.0),
@@ -135,26 +136,70 @@ TEXTS = [
     ("unlicense-text", "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 10, 1.0),
     ("public-domain", "public-domain", "public domain", r"(?:dedicated|released|placed|is) (?:to|into|in) the public domain", 50, 0.7),
     ("cc-url", "cc", "creativecommons.org", r"(?:https?://)?(?:www\.)?creativecommons\.org/(?:licenses|publicdomain)/[a-z-]+(?:/\d\.\d)?", 15, 0.95),
-    ("cc-code", "cc", "cc by", r"\bcc[ -]by(?:-(?:nc|sa|nd))*(?: \d\.\d)?\b", 50, 0.7),
+    ("cc-code", "cc", "cc by", r"\bcc by(?:[- ](?:nc|sa|nd))*(?:[- ]\d\.\d)?\b", 50, 0.7),
+    ("cc-code-joined", "cc", "cc-by", r"\bcc-by(?:[- ](?:nc|sa|nd))*(?:[- ]\d\.\d)?\b", 50, 0.7),
+    ("unlicense-the", "unlicense", "the unlicense", r"\bthe unlicense\b", 40, 0.8),
+    ("mit-notice", "mit", "this permission notice", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies", 12, 1.0),
+    ("mit-warranty", "mit", "the authors or copyright holders", r"in no event shall the authors or copyright holders be liable for any claim", 50, 0.7),
+    ("bsd-neither", "bsd", "endorse or promote products", r"may be used to endorse or promote products derived from this software", 50, 0.8),
+    ("bsd-source", "bsd", "redistributions of source code", r"redistributions of source code must retain the above copyright notice", 50, 0.8),
+    ("bsd-advertising", "bsd", "all advertising materials", r"all advertising materials mentioning features or use of this software", 50, 0.8),
+    ("apache-notice", "apache", "this file except in compliance", r"you may not use this file except in compliance with the licen[sc]e", 12, 0.95),
+    ("apache-basis", "apache", "warranties or conditions of any kind", r"without warranties or conditions of any kind, either express or implied", 50, 0.7),
+    ("apache-product", "apache", "apache software foundation", r"this product includes software developed (?:by|at) the apache software foundation", 50, 0.7),
+    ("gpl-either", "gpl", "free software foundation", r"as published by the free software foundation[;,] either version \d", 12, 0.9),
+    ("gpl-warranty", "gpl", "even the implied warranty", r"without even the implied warranty of merchantability or fitness for a particular purpose", 50, 0.6),
+    ("gpl-copy", "gpl", "general public", r"you should have received a copy of the gnu general public licen[sc]e", 12, 0.95),
+    ("lgpl-copy", "lgpl", "general public", r"you should have received a copy of the gnu (?:lesser|library) general public licen[sc]e", 12, 0.95),
+    ("agpl-copy", "agpl", "general public", r"you should have received a copy of the gnu affero general public licen[sc]e", 12, 0.95),
+    ("gfdl-notice", "gfdl", "free documentation", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[sc]e", 10, 1.0),
+    ("mpl-copy", "mpl", "a copy of the mpl", r"if a copy of the mpl was not distributed with this file", 12, 0.95),
+    ("epl-notice", "epl", "eclipse public", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e", 10, 1.0),
+    ("cddl-notice", "cddl", "development and distribution", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 10, 1.0),
+    ("openssl-product", "openssl", "openssl project", r"this product includes software developed by the openssl project", 12, 0.95),
+    ("ssleay-product", "ssleay", "eric young", r"this product includes cryptographic software written by eric young", 12, 0.95),
+    ("zlib-altered", "zlib", "altered source versions", r"altered source versions must be plainly marked as such", 12, 0.95),
+    ("zlib-removed", "zlib", "any source distribution", r"this notice may not be removed or altered from any source distribution", 50, 0.8),
+    ("boost-text", "boost", "machine-executable object code", r"machine-executable object code generated by a source language processor", 50, 0.8),
+    ("postgresql-text", "postgresql", "without a written agreement", r"without fee, and without a written agreement is hereby granted", 12, 0.95),
+    ("wtfpl-copies", "wtfpl", "verbatim or modified copies", r"everyone is permitted to copy and distribute verbatim or modified copies", 50, 0.8),
+    ("php-product", "php", "php software", r"this product includes php software, freely available", 12, 0.95),
+    ("ofl-notice", "ofl", "reserved font name", r"with reserved font name", 50, 0.7),
+    ("artistic-text", "artistic", "artistic control", r"some semblance of artistic control over the development", 12, 0.95),
+    ("cc0-text", "cc0", "waived all copyright", r"has waived all copyright and related or neighboring rights", 12, 0.95),
+    ("ncsa-text", "ncsa", "to deal with the software without", r"to deal with the software without restriction", 50, 0.8),
     ("zlib-text", "zlib", "origin of this software", r"the origin of this software must not be misrepresented", 10, 1.0),
     ("wtfpl-text", "wtfpl", "you just do what", r"you just do what the fuck you want to", 10, 1.0),
     ("boost-url", "boost", "license_1_0", r"(?:https?://)?(?:www\.)?boost\.org/license_1_0\.txt", 15, 0.95),
     ("warranty-as-is", "notice", "as is", r"(?:is )?provided [\"']?as is[\"']?,? without warranty of any kind", 60, 0.4),
     ("all-rights", "proprietary", "all rights reserved", r"\ball rights reserved\b", 60, 0.5),
     ("confidential", "proprietary", "proprietary", r"\bproprietary and confidential\b", 60, 0.6),
-    ("no-redistribution", "proprietary", "redistribut", r"\bmay not be (?:copied|redistributed|reproduced)\b", 60, 0.5),
+    ("no-redistribution", "proprietary", "may not be", r"\bmay not be (?:copied|redistributed|reproduced)\b", 60, 0.5),
     ("eula", "proprietary", "end user", r"\bend user licen[sc]e agreement\b", 40, 0.8),
 ]
-#: Any keyword-gated rule needs one of these words; texts without them have no detections at all.
-GATE = r"(?i)licen[sc]e|gpl|spdx|public domain|permission (?:is|to)|redistribut|free software|all rights reserved|creativecommons|\bcc[ -]by|\basl 2|mozilla\.org|boost\.org|origin of this|as is|proprietary|may not be|you just do what|unencumbered"
+#: White space and comment marks, which may part the words of a signature that runs over lines.
+BETWEEN = r"[\s*#/]+"
+#: A text without any of these has no detections: whatever a rule matches holds one of them, as the tests check.
+GATE = (
+    r"(?i)licen[sc]e|gpl|spdx|public[\s*#/]+domain|permission|redistribut|free[\s*#/]+software|rights[\s*#/]+reserved|creativecommons|\bcc[\s*#/-]+by|\basl[\s*#/]+2|mozilla\.org|boost\.org|origin[\s*#/]+of|as[\s*#/]+is"
+    r"|proprietary|may[\s*#/]+not[\s*#/]+be|you[\s*#/]+just[\s*#/]+do|unencumbered|copyright|endorse|advertising|without[\s*#/]+warrant|implied|software|of[\s*#/]+the[\s*#/]+mpl|plainly|machine-executable|written[\s*#/]+agreement|verbatim|font[\s*#/]+name|semblance"
+)
+
+
+def _spread(regex: str) -> str:
+    """`regex` in which spaces, and spaces in a choice with a hyphen, stand for BETWEEN."""
+    return re.sub(r"\[- \]|\[ -\]", "(?:-| )", regex).replace(" ", BETWEEN)
 
 
 def rules() -> list[Rule]:
     out = [Rule(*x) for x in TEXTS]
+    prefixes = [x[1] for x in FAMILIES]
     for label, spdx, keyword, name in FAMILIES:
         out += [Rule(f"{label}-{form}", label, keyword, f"{before}{name}{after}", priority, weight) for form, before, after, priority, weight in FORMS]
-        out.append(Rule(f"{label}-spdx", label, "spdx-license-identifier", rf"spdx-license-identifier:\s*[(\s]*{re.escape(spdx)}[a-z0-9.+-]*", 5, 1.0))
-    return out
+        # Of an expression of several identifiers each is a detection; the one of the longest prefix counts.
+        special = any(spdx != x and spdx.startswith(x) for x in prefixes)
+        out.append(Rule(f"{label}-spdx", label, "spdx-license-identifier", rf"(?<=spdx-license-identifier:[^\n]{{0,200}})(?<=[\s(:]){re.escape(spdx)}[a-z0-9.+-]*", 4 if special else 5, 1.0))
+    return [Rule(r.name, r.label, r.keyword, _spread(r.regex), r.priority, r.weight) for r in out]
 
 
 def _quoted(x: str) -> str:
@@ -162,12 +207,15 @@ def _quoted(x: str) -> str:
 
 
 def license_scan(docs: DataFrame, signatures: list[Rule] | None = None, gate: str = GATE) -> DataFrame:
-    """All columns of `docs` (with a column text) and struct _license.
+    """All columns of `docs` (with a column text) and, last, a struct. It is named _license, or with underscores more where
+    `docs` has such a column.
 
     Fields: n_words; places (array of start word and base label, by start); detections that stay (array of start and
     end character, rule, label, priority and weight); labels of both; score, the greatest weight of a label, 1 for a base one.
     Defined cases: a null or empty text has no words and no labels; equal detections leave the one of smaller priority,
-    then of the smaller name; very long texts are scanned whole; repeated rows are judged each by itself.
+    then of the smaller name; very long texts are scanned whole; repeated rows are judged each by itself; an empty table
+    gives no rows; other columns pass through, whatever their names. A signature's words may be parted by white space and
+    comment marks of any number; keywords are looked for in the text, and in the text with these made one space.
     """
     signatures = rules() if signatures is None else signatures
     # As SQL text: a nested literal that the optimizer folds into one array.
@@ -188,13 +236,11 @@ def license_scan(docs: DataFrame, signatures: list[Rule] | None = None, gate: st
     empty_places = "cast(array() as array<struct<start: bigint, label: string>>)"
     kind = "array<struct<start: int, end: int, priority: int, rule: string, label: string, weight: double>>"
     # Pieces between matches give each match's place: the lengths of all pieces and matches before it.
-    found = (
-        "transform(sequence(0, size(m) - 1), i -> named_struct("
-        "'start', aggregate(slice(s, 1, i + 1), 0, (a, x) -> a + char_length(x)) + aggregate(slice(m, 1, i), 0, (a, x) -> a + char_length(x)), 'n', char_length(m[i])))"
-    )
+    place = "named_struct('start', a.at + char_length(s[i]), 'n', char_length(m[i]))"
+    found = f"aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'o', cast(array() as array<struct<start: int, n: int>>)), (a, i) -> named_struct('at', a.at + char_length(s[i]) + char_length(m[i]), 'o', concat(a.o, array({place}))), a -> a.o)"
     located = f"transform(array(named_struct('m', regexp_extract_all(_low, r.r, 0), 's', split(_low, r.r, -1))), b -> CASE WHEN size(b.m) = 0 THEN array() ELSE transform(array(b.m), m -> transform(array(b.s), s -> {found})[0])[0] END)[0]"
     as_detection = "d -> named_struct('start', d.start, 'end', d.start + d.n, 'priority', r.p, 'rule', r.n, 'label', r.l, 'weight', r.w)"
-    detected = f"flatten(transform(filter(array({listed}), r -> contains(_low, r.k)), r -> transform({located}, {as_detection})))"
+    detected = f"flatten(transform(filter(array({listed}), r -> contains(_flat, r.k) OR contains(_low, r.k)), r -> transform({located}, {as_detection})))"
     # By start, the wider first, then by priority and name: what lies within an earlier one ends no later than the furthest end so far.
     order = "(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start WHEN a.end <> b.end THEN b.end - a.end WHEN a.priority <> b.priority THEN a.priority - b.priority WHEN a.rule < b.rule THEN -1 WHEN a.rule > b.rule THEN 1 ELSE 0 END"
     keep = (
@@ -205,6 +251,7 @@ def license_scan(docs: DataFrame, signatures: list[Rule] | None = None, gate: st
     out = (
         own.withColumn("_n", F.expr(f"size(regexp_extract_all(_text, r'{WORD_ANY_CASE}', 0))"))
         .withColumn("_low", F.when(F.col("_text").rlike(gate), ascii_lower(F.col("_text"))))
+        .withColumn("_flat", F.regexp_replace("_low", BETWEEN.replace("\\s", r"\x20\x09-\x0D"), " "))
         .withColumn("_words", F.when(F.col("_low").contains("license"), F.expr(f"regexp_extract_all(_low, r'{WORD}', 0)")))
         .withColumn("_places", F.expr(f"CASE WHEN size(_words) > 0 THEN {places} ELSE {empty_places} END"))
         .withColumn("_found", F.expr(f"cast(CASE WHEN _low IS NOT NULL THEN {detected} ELSE array() END as {kind})"))

@@ -19,10 +19,11 @@ from citeweave.llm.common import Scratch, table, trimmed
 
 #: The quantisers are fitted on at most this many vectors, those of the smallest hashes of their ids.
 SAMPLE = 20_000
-#: Centroids of a half. Cells are their square, so their counts, which go to every query, are bounded.
-CENTROIDS = 64
-#: A query visits cells until they hold this share of all vectors, and at least so many.
-SHARE, LEAST = 0.5, 2000
+#: Centroids of a half: this many times the fourth root of the number of vectors, and no more than MOST_CENTROIDS. Cells are
+#: their square, so their counts, which go to every query, are bounded.
+CENTROIDS, MOST_CENTROIDS = 4, 512
+#: A query visits cells until they hold the share of all vectors at which this recall was reached on so many of the sample.
+RECALL, PROBES = 0.96, 256
 TOP = 20
 #: Vectors that are compared at once, and queries.
 VECTOR_BLOCK, QUERY_BLOCK = 4096, 256
@@ -60,6 +61,24 @@ def nearest_pairs(a: np.ndarray, b: np.ndarray, counts: np.ndarray, enough: int)
     return out
 
 
+def share_for(x: np.ndarray, books: list[np.ndarray], top: int = TOP, recall: float = RECALL, probes: int = PROBES) -> float:
+    """The share of the sample `x` that queries must visit to find `recall` of their `top` nearest in it. More vectors than
+    the sample's lie closer to a query, so it is enough for them too. On vectors without structure it is large."""
+    n, half = len(x), books[0].shape[1]
+    code = [np.argmin((c**2).sum(1) - 2 * part @ c.T, axis=1) for c, part in zip(books, (x[:, :half], x[:, half:]))]
+    cell = code[0] * len(books[1]) + code[1]
+    counts = np.bincount(cell, minlength=len(books[0]) * len(books[1]))
+    at = []
+    for q in np.linspace(0, n - 1, min(n, probes)).astype(int):
+        order = np.argsort(-((books[0] @ x[q, :half])[:, None] + books[1] @ x[q, half:]).ravel(), kind="stable")
+        before = np.empty(len(order), np.int64)
+        before[order] = np.cumsum(counts[order])
+        score = x @ x[q]
+        score[q] = -np.inf
+        at.append(before[cell[np.argpartition(-score, min(top, n - 1) - 1)[: min(top, n - 1)]]] if n > 1 else np.array([n]))
+    return float(np.quantile(np.concatenate(at), recall)) / n
+
+
 def _usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     """(vec_id, v): rows whose vector has only finite components and isn't zero, as doubles."""
     v = F.col(vector).cast("array<double>")
@@ -72,13 +91,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(n, -1) if n else np.empty((0, 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: int = CENTROIDS, share: float = SHARE, least: int = LEAST, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, recall: float = RECALL, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` (same columns) the `top` best of `vectors` but itself.
 
     Equal vectors are one entry with the top + 1 smallest of their ids, which is all that any answer can hold of them, so
-    a very common vector costs as much as a rare one. Defined cases: vectors null, zero or with null or non-finite
+    a very common vector costs as much as a rare one. How much of the table a query visits follows from the sample, alike at
+    every size (share_for). Defined cases: vectors null, zero or with null or non-finite
     components take no part; those of another length than most of the sample take none either; ties go to smaller ids;
-    repeated rows of one id are one; fewer candidates than `top` are all returned; an empty table gives no rows.
+    repeated rows of one id are one; fewer candidates than `top` are all returned; an empty table gives no rows; further columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "multi-index")
@@ -91,8 +111,10 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
     dim = max(sorted(set(sizes)), key=sizes.count)
     fitted = np.array([v for v in sample if len(v) == dim])
     half = dim // 2
+    centroids = max(1, min(MOST_CENTROIDS, int(CENTROIDS * rows.count() ** 0.25)))
     books = [_kmeans(fitted[:, :half], centroids), _kmeans(fitted[:, half:], centroids)]
     n_b = len(books[1])
+    share = share_for(fitted, books, top, recall)
 
     # Equal vectors are one. The smallest ids are merged as sorted arrays, so that none grows beyond top + 1.
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +140,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
     counts = np.zeros(len(books[0]) * n_b, np.int64)
     for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():
         counts[r["cell"]] = r["n"]
-    enough = max(least, int(share * counts.sum()))
+    enough = max(top + 1, int(np.ceil(share * counts.sum())))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +165,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
     once = asked.groupBy("x").agg(F.min("vec_id").alias("qid"))
     # A shard is the cells of SPAN centroids of the first half: a query goes to it once, with a mask of what it visits.
     blocks = max(1, -(-once.count() // QUERY_BLOCK))
-    visits = once.select("qid", "x").mapInArrow(trimmed(visit), "query_id bigint, shard int, mask binary, x binary")
+    tasks = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    visits = once.select("qid", "x").repartition(tasks, "qid").mapInArrow(trimmed(visit), "query_id bigint, shard int, mask binary, x binary")
     visits = visits.groupBy("shard", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "mask", "x")).alias("queries"))
     held = [int(counts[k * SPAN * n_b : (k + 1) * SPAN * n_b].sum()) for k in range(-(-len(books[0]) // SPAN))]
     parts = F.array([F.lit(max(1, -(-n // VECTOR_BLOCK))) for n in held])
@@ -175,7 +198,9 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, centroids: in
                     scores += [g for g, _ in got]
                 yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], names=["qid", "vec_id", "score"])
 
-    met = packed.join(visits, "shard").select("queries", "vectors").mapInArrow(trimmed(compare), "qid bigint, vec_id bigint, score double")
+    # Block by block, so that many tasks share the work of a shard.
+    visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.get(parts, F.col("shard")).cast("long") - 1)))
+    met = packed.join(visits.repartition(tasks, "shard", "part", "block"), ["shard", "part"]).select("queries", "vectors").mapInArrow(trimmed(compare), "qid bigint, vec_id bigint, score double")
     order = [F.desc("score"), "vec_id"]
     best = met.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("r") <= top + 1).drop("r")
     best = best.groupBy("qid").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i"))).alias("found"))

@@ -179,11 +179,12 @@ TEXTS = [
 ]
 #: White space and comment marks, which may part the words of a signature that runs over lines.
 BETWEEN = r"[\s*#/]+"
-#: A text without any of these has no detections: whatever a rule matches holds one of them, as the tests check.
-GATE = (
-    r"(?i)licen[sc]e|gpl|spdx|public[\s*#/]+domain|permission|redistribut|free[\s*#/]+software|rights[\s*#/]+reserved|creativecommons|\bcc[\s*#/-]+by|\basl[\s*#/]+2|mozilla\.org|boost\.org|origin[\s*#/]+of|as[\s*#/]+is"
-    r"|proprietary|may[\s*#/]+not[\s*#/]+be|you[\s*#/]+just[\s*#/]+do|unencumbered|copyright|endorse|advertising|without[\s*#/]+warrant|implied|software|of[\s*#/]+the[\s*#/]+mpl|plainly|machine-executable|written[\s*#/]+agreement|verbatim|font[\s*#/]+name|semblance"
-)
+#: A text whose lower case holds none of STEMS, and in which GATE isn't found, has no detections, as the tests check.
+STEMS = (
+    "licen gpl spdx domain permission redistribut software reserved creativecommons mozilla boost origin warrant proprietary copied reproduced fuck unencumbered copyright endorse advertising implied distributed "
+    "altered plainly machine-executable agreement verbatim font semblance"
+).split()
+GATE = r"(?i)\bcc[\s*#/-]+by|\basl[\s*#/]+2"
 
 
 def _spread(regex: str) -> str:
@@ -206,7 +207,11 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def license_scan(docs: DataFrame, signatures: list[Rule] | None = None, gate: str = GATE) -> DataFrame:
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def license_scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     """All columns of `docs` (with a column text) and, last, a struct. It is named _license, or with underscores more where
     `docs` has such a column.
 
@@ -215,12 +220,12 @@ def license_scan(docs: DataFrame, signatures: list[Rule] | None = None, gate: st
     Defined cases: a null or empty text has no words and no labels; equal detections leave the one of smaller priority,
     then of the smaller name; very long texts are scanned whole; repeated rows are judged each by itself; an empty table
     gives no rows; other columns pass through, whatever their names. A signature's words may be parted by white space and
-    comment marks of any number; keywords are looked for in the text, and in the text with these made one space.
+    comment marks of any number; keywords of several words are looked for in the text with these made one space.
     """
     signatures = rules() if signatures is None else signatures
     # As SQL text: a nested literal that the optimizer folds into one array.
     listed = ", ".join(
-        f"named_struct('n', {_quoted(r.name)}, 'l', {_quoted(r.label)}, 'k', {_quoted(r.keyword)}, 'r', {_quoted(r.regex)}, 'p', {r.priority}, 'w', {r.weight}D)"
+        f"named_struct('n', {_quoted(r.name)}, 'l', {_quoted(r.label)}, 'k', {_quoted(r.keyword)}, 'f', {str(' ' in r.keyword).lower()}, 'r', {_quoted(r.regex)}, 'p', {r.priority}, 'w', {r.weight}D)"
         for r in signatures
     )
     word_at = lambda k: f"get(_words, {k})"
@@ -240,7 +245,7 @@ def license_scan(docs: DataFrame, signatures: list[Rule] | None = None, gate: st
     found = f"aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'o', cast(array() as array<struct<start: int, n: int>>)), (a, i) -> named_struct('at', a.at + char_length(s[i]) + char_length(m[i]), 'o', concat(a.o, array({place}))), a -> a.o)"
     located = f"transform(array(named_struct('m', regexp_extract_all(_low, r.r, 0), 's', split(_low, r.r, -1))), b -> CASE WHEN size(b.m) = 0 THEN array() ELSE transform(array(b.m), m -> transform(array(b.s), s -> {found})[0])[0] END)[0]"
     as_detection = "d -> named_struct('start', d.start, 'end', d.start + d.n, 'priority', r.p, 'rule', r.n, 'label', r.l, 'weight', r.w)"
-    detected = f"flatten(transform(filter(array({listed}), r -> contains(_flat, r.k) OR contains(_low, r.k)), r -> transform({located}, {as_detection})))"
+    detected = f"flatten(transform(filter(array({listed}), r -> contains(CASE WHEN r.f THEN _flat ELSE _low END, r.k)), r -> transform({located}, {as_detection})))"
     # By start, the wider first, then by priority and name: what lies within an earlier one ends no later than the furthest end so far.
     order = "(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start WHEN a.end <> b.end THEN b.end - a.end WHEN a.priority <> b.priority THEN a.priority - b.priority WHEN a.rule < b.rule THEN -1 WHEN a.rule > b.rule THEN 1 ELSE 0 END"
     keep = (
@@ -250,7 +255,7 @@ def license_scan(docs: DataFrame, signatures: list[Rule] | None = None, gate: st
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     out = (
         own.withColumn("_n", F.expr(f"size(regexp_extract_all(_text, r'{WORD_ANY_CASE}', 0))"))
-        .withColumn("_low", F.when(F.col("_text").rlike(gate), ascii_lower(F.col("_text"))))
+        .withColumn("_low", F.when(F.expr(f"{_let('lower(_text)', 't', ' OR '.join(f'contains(t, {_quoted(x)})' for x in STEMS))} OR _text rlike {_quoted(GATE)}"), ascii_lower(F.col("_text"))))
         .withColumn("_flat", F.regexp_replace("_low", BETWEEN.replace("\\s", r"\x20\x09-\x0D"), " "))
         .withColumn("_words", F.when(F.col("_low").contains("license"), F.expr(f"regexp_extract_all(_low, r'{WORD}', 0)")))
         .withColumn("_places", F.expr(f"CASE WHEN size(_words) > 0 THEN {places} ELSE {empty_places} END"))

@@ -140,8 +140,8 @@ def test_license_every_rule(spark):
         for x in seen:
             for text in (lead + x, lead + x.replace(" ", "\n# ") if not lead else lead + x):
                 flat = re.sub(r"[\s*#/]+", " ", text)
-                assert rule.keyword in flat or rule.keyword in text, (rule.name, text)
-                assert re.search(license_scan.GATE, text) and regex.search(rule.regex, text), (rule.name, text)
+                assert rule.keyword in (flat if " " in rule.keyword else text), (rule.name, text)
+                assert (re.search(license_scan.GATE, text) or any(x in text for x in license_scan.STEMS)) and regex.search(rule.regex, text), (rule.name, text)
         shortest = min(seen, key=len)
         texts.append((rule.name, lead + shortest))
     rows = license_scan.license_scan(spark.createDataFrame(texts, "name string, text string")).collect()

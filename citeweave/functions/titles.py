@@ -44,19 +44,33 @@ def coverage(query: Column, candidate: Column) -> Column:
     return F.when(F.size(query) == 0, 0.0).otherwise(F.size(F.array_intersect(query, candidate)) / F.size(query))
 
 
+def content_words(title: Column) -> Column:
+    """Canonical words of a title in their order, without function words."""
+    return _ordered(title, False)
+
+
+def qualified(wanted: Column, ordered: Column) -> Column:
+    """has_qualifier_prefix() of the query's tokens and the candidate's content words."""
+    seen = F.transform(ordered, lambda t: F.array_contains(wanted, t))
+    return F.coalesce((F.array_position(seen, True) - 1).between(1, VARIANT_WORDS), F.lit(False))
+
+
 def has_qualifier_prefix(query: Column, candidate: Column) -> Column:
     """Whether one or two words stand in the candidate before the first that the query has too."""
-    wanted = tokenize(query)
-    seen = F.transform(_ordered(candidate, False), lambda t: F.array_contains(wanted, t))
-    return F.coalesce((F.array_position(seen, True) - 1).between(1, VARIANT_WORDS), F.lit(False))
+    return qualified(tokenize(query), content_words(candidate))
+
+
+def similarity(wanted: Column, plain: Column, tokens: Column, main: Column, ordered: Column) -> Column:
+    """title_similarity() of arrays that were made once: tokens of the query, and whether it has no colon; tokens of the
+    candidate, of its main title, and its content words."""
+    f1 = token_f1(wanted, tokens)
+    exact = plain & (F.size(wanted) > 0) & (main == wanted)
+    return F.when(exact, 1.0).when(qualified(wanted, ordered), F.least(f1, F.lit(VARIANT_CAP))).otherwise(f1)
 
 
 def title_similarity(query: Column, candidate: Column) -> Column:
     """1 where the main title is the query's words; else F1, capped for what looks like a variant of the title."""
-    a, b = tokenize(query), tokenize(candidate)
-    f1 = token_f1(a, b)
-    exact = ~query.contains(":") & (F.size(a) > 0) & (tokenize(main_title(candidate)) == a)
-    return F.when(exact, 1.0).when(has_qualifier_prefix(query, candidate), F.least(f1, F.lit(VARIANT_CAP))).otherwise(f1)
+    return similarity(tokenize(query), ~query.contains(":"), tokenize(candidate), tokenize(main_title(candidate)), content_words(candidate))
 
 
 def looks_like_a_paper(title: Column, authors: Column) -> Column:

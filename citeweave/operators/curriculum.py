@@ -86,3 +86,31 @@ def hybrid(syllabus: DataFrame, anchor: DataFrame) -> DataFrame:
     good = syllabus.groupBy("topic").agg(F.count("*").alias("n"), F.max((F.col("stage") == "anchor").cast("int")).alias("a")).where("n >= 4 AND a = 1").select("topic")
     other = anchor.join(good, "topic", "left_anti")
     return syllabus.join(good, "topic", "left_semi").unionByName(other).unionByName(syllabus.join(good, "topic", "left_anti").join(other.select("topic").distinct(), "topic", "left_anti"))
+
+
+def most_cited(edges: DataFrame, papers: DataFrame, of: DataFrame, end: str, most: int) -> DataFrame:
+    """(topic, paper_id, year, position): of the papers at the other `end` (cited_id or citing_id) of edges from those in
+    `of` (topic, paper_id), the `most` that are cited most often, ties to smaller ids."""
+    here = "citing_id" if end == "cited_id" else "cited_id"
+    met = edges.join(of.select("topic", F.col("paper_id").alias(here)), ["topic", here]).select("topic", F.col(end).alias("paper_id")).distinct()
+    rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("citation_count"), "paper_id"))
+    return met.join(papers.select("topic", "paper_id", "year", "citation_count"), ["topic", "paper_id"]).withColumn("position", rank).where(F.col("position") <= most).select("topic", "paper_id", "year", "position")
+
+
+def answered(offered: DataFrame, answers: DataFrame | None, concept: str) -> DataFrame:
+    """Offered papers (topic, paper_id, year, position) as a model's answers (topic, paper_id, position, concept) order
+    them: what wasn't offered goes, what wasn't answered too. Without answers all stay in their order."""
+    if answers is None:
+        return offered.withColumn("concept", F.lit(concept))
+    once = answers.groupBy("topic", "paper_id").agg(F.min(F.struct(F.col("position").cast("int").alias("position"), F.col("concept").alias("concept"))).alias("a"))
+    return offered.drop("position").join(once, ["topic", "paper_id"]).select("topic", "paper_id", "year", "a.position", F.coalesce("a.concept", F.lit(concept)).alias("concept"))
+
+
+def rerank_steps(offered: DataFrame, answers: DataFrame, papers: DataFrame, budget: int = 24) -> DataFrame:
+    """Steps of shortlisted papers (topic, paper_id, position) in the order of answers (topic, paper_id, position, stage,
+    concept): what wasn't offered goes, each paper once, `budget` at most; an unknown stage is a followup."""
+    once = answers.withColumn("p", F.col("position").cast("int")).withColumn("r", F.row_number().over(Window.partitionBy("topic", "paper_id").orderBy("p", "stage"))).where("r = 1")
+    rows = offered.select("topic", "paper_id").join(once, ["topic", "paper_id"]).join(papers.select("topic", "paper_id", "year"), ["topic", "paper_id"])
+    number = F.row_number().over(Window.partitionBy("topic").orderBy("p", "paper_id")) - 1
+    stage = F.when(F.col("stage").isin("prerequisite", "anchor"), F.col("stage")).otherwise("followup")
+    return rows.withColumn("position", number).where(F.col("position") < budget).select("topic", "position", "paper_id", "year", stage.alias("stage"), "concept", F.lit(False).alias("approximate"))

@@ -13,23 +13,33 @@ def resolve_titles(planned: DataFrame, papers: DataFrame) -> DataFrame:
 
     planned: topic, step, title, year; papers: topic, paper_id, title, year, citation_count. Candidates are papers of the
     topic that share one of the planned title's rarest words: 0.8 of its words must be covered, so of one more than may be
-    missing, one is met. A title that looks like a variant isn't accepted, whatever its year.
+    missing, one is met. Slides, errata and the like aren't candidates, nor are papers without authors where papers has that
+    column. A title that looks like a variant isn't accepted, whatever its year.
     """
-    words = papers.select("topic", "paper_id", F.explode(T.tokenize(F.col("title"))).alias("word"))
+    # Words of each title are made once, below the joins.
+    fits = T.looks_like_a_paper(F.col("title"), F.col("authors")) if "authors" in papers.columns else ~F.coalesce(F.col("title"), F.lit("")).rlike(T.NOT_A_PAPER)
+    held = papers.where(fits).select("topic", "paper_id", "year", "citation_count", T.tokenize(F.col("title")).alias("tokens"), T.tokenize(T.main_title(F.col("title"))).alias("main"), T.content_words(F.col("title")).alias("ordered"))
+    asked = planned.select("topic", "step", F.col("year").alias("wanted_year"), (~F.col("title").contains(":")).alias("plain"), T.tokenize(F.col("title")).alias("wanted"))
+    words = held.select("topic", "paper_id", F.explode("tokens").alias("word"))
     common = words.groupBy("topic", "word").agg(F.count("*").alias("papers"))
-    wanted = planned.select("topic", "step", F.explode(T.tokenize(F.col("title"))).alias("word")).join(common, ["topic", "word"], "left")
+    sought = asked.select("topic", "step", F.explode("wanted").alias("word")).join(common, ["topic", "word"], "left")
     n = F.count("*").over(Window.partitionBy("topic", "step"))
     rarest = F.row_number().over(Window.partitionBy("topic", "step").orderBy(F.coalesce("papers", F.lit(0)), "word"))
     # n - ceil(0.8 n) words may be missing: one more than these is looked for.
-    blocks = wanted.withColumn("n", n).withColumn("r", rarest).where("r <= n - ceil(0.8 * n) + 1").select("topic", "step", "word")
+    blocks = sought.withColumn("n", n).withColumn("r", rarest).where("r <= n - ceil(0.8 * n) + 1").select("topic", "step", "word")
     met = blocks.join(words, ["topic", "word"]).select("topic", "step", "paper_id").distinct()
-    pairs = met.join(planned.select("topic", "step", F.col("title").alias("wanted"), F.col("year").alias("wanted_year")), ["topic", "step"]).join(papers, ["topic", "paper_id"])
-    similarity = T.title_similarity(F.col("wanted"), F.col("title"))
+    pairs = met.join(asked, ["topic", "step"]).join(held, ["topic", "paper_id"])
+    similarity = T.similarity(F.col("wanted"), F.col("plain"), F.col("tokens"), F.col("main"), F.col("ordered"))
     bonus = F.when(F.abs(F.col("wanted_year") - F.col("year")) <= 1, T.YEAR_BONUS).otherwise(0.0)
     scored = pairs.withColumn("similarity", similarity).withColumn("score", F.least(F.lit(1.0), F.col("similarity") + bonus))
-    scored = scored.withColumn("coverage", T.coverage(T.tokenize(F.col("wanted")), T.tokenize(F.col("title"))))
-    scored = scored.withColumn("variant", (F.col("similarity") < 1) & T.has_qualifier_prefix(F.col("wanted"), F.col("title")))
-    order = Window.partitionBy("topic", "step").orderBy(F.desc("score"), F.desc("citation_count"), "paper_id")
-    best = scored.withColumn("r", F.row_number().over(order)).where("r = 1")
+    scored = scored.withColumn("coverage", T.coverage(F.col("wanted"), F.col("tokens")))
+    scored = scored.withColumn("variant", (F.col("similarity") < 1) & T.qualified(F.col("wanted"), F.col("ordered")))
+    kept = ("paper_id", "score", "coverage", "variant")
+    order = F.struct("score", F.coalesce("citation_count", F.lit(-1)).alias("c"), (-F.col("paper_id")).alias("i")) if dict(papers.dtypes)["paper_id"] in ("int", "bigint") else None
+    if order is not None:  # combined before its shuffle
+        best = scored.groupBy("topic", "step").agg(F.max_by(F.struct(*kept), order).alias("b")).select("topic", "step", "b.*")
+    else:
+        ranks = Window.partitionBy("topic", "step").orderBy(F.desc("score"), F.desc("citation_count"), "paper_id")
+        best = scored.withColumn("r", F.row_number().over(ranks)).where("r = 1")
     accepted = (F.col("score") >= T.ACCEPT) & (F.col("coverage") >= T.COVER) & ~F.col("variant")
     return best.select("topic", "step", "paper_id", "score", "coverage", accepted.alias("accepted"), (accepted & (F.col("score") >= T.CONFIDENT)).alias("confident"))

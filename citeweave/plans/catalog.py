@@ -416,3 +416,41 @@ def _(spark, d):
 def _(spark, d):
     s = x.seeds(spark, d)
     return curriculum.shortlist(expansion.co_citations(x.citations(spark, d), s), s).withColumn("position", F.col("position").cast("long"))
+
+
+def _answers(spark, d):
+    """Every second paper, in the order of its number, with a stage by that number."""
+    stage = F.element_at(F.array(*map(F.lit, ("prerequisite", "anchor", "followup"))), (F.col("rn") % 3 + 1).cast("int"))
+    return x.papers(spark, d).where("rn % 2 = 0").select("topic", "paper_id", F.col("rn").alias("position"), stage.alias("stage"), F.lit("c").alias("concept"))
+
+
+_STEPS = ("topic", "position", "paper_id", "stage", "prerequisite_id", "role", "confidence")
+_ROLES = "CASE stage WHEN 'prerequisite' THEN 'foundation' WHEN 'anchor' THEN 'breakthrough' ELSE 'extension' END"
+
+
+@query("q51_rerank_path", f"""WITH {x.SEEDS}, c AS (SELECT c.topic, c.cited_id AS paper_id, count(DISTINCT c.citing_id) AS n FROM x_cites c JOIN x_seeds s ON s.topic = c.topic AND s.paper_id = c.citing_id AND s.seed_rank <= 25 GROUP BY ALL),
+ o AS (SELECT topic, paper_id, 0 AS k, -n AS o FROM c WHERE n >= 2 UNION ALL SELECT topic, paper_id, 1, seed_rank FROM x_seeds WHERE seed_rank <= 20),
+ f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY topic, paper_id ORDER BY k, o) = 1), l AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY topic ORDER BY k, o, paper_id) <= 40),
+ s AS (SELECT topic, paper_id, year, ['prerequisite', 'anchor', 'followup'][rn % 3 + 1] AS stage, row_number() OVER (PARTITION BY topic ORDER BY rn, paper_id) - 1 AS position FROM l JOIN x_papers USING (topic, paper_id) WHERE rn % 2 = 0),
+ t AS (SELECT * FROM s WHERE position < 24), y AS (SELECT topic, year, lag(year) OVER (PARTITION BY topic ORDER BY position) AS before FROM t WHERE year IS NOT NULL),
+ i AS (SELECT topic, count(*) AS dated, count(*) FILTER (year < before - 2) AS inv FROM y GROUP BY 1),
+ q AS (SELECT topic, 1.0::DOUBLE - CASE WHEN count(*) FILTER (stage = 'anchor') = 0 THEN 0.45 ELSE 0 END - CASE WHEN count(*) FILTER (stage = 'prerequisite') = 0 THEN 0.2 ELSE 0 END - CASE WHEN count(*) < 5 THEN 0.15 ELSE 0 END
+   - max(CASE WHEN inv > 0 AND inv >= dated // 3 THEN 0.1 ELSE 0 END) AS c FROM t LEFT JOIN i USING (topic) GROUP BY 1)
+ SELECT topic, position, paper_id, stage, lag(paper_id) OVER (PARTITION BY topic ORDER BY position) AS prerequisite_id, {_ROLES} AS role, round(greatest(0, least(1, c)), 6)::DOUBLE AS confidence FROM t JOIN q USING (topic)""")
+def _(spark, d):
+    return paths.build_path("rerank", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), answers=_answers(spark, d)).select(*_STEPS).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("q52_syllabus_path")
+def _(spark, d):
+    return paths.build_path("syllabus", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "approximate", "concept")
+
+
+@query("q53_anchor_path")
+def _(spark, d):
+    return paths.build_path("anchor", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "concept")
+
+
+@query("q54_hybrid_path")
+def _(spark, d):
+    return paths.build_path("hybrid", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "concept")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.operators import expansion, graph, identity, judgment, ordering, selection
+from citeweave.operators import curriculum, expansion, graph, identity, judgment, ordering, resolver, selection
 from citeweave.operators.fusion import reciprocal_rank_fusion, top_per_topic
 from citeweave.operators.judgment import structural_role, with_median_year
 from citeweave.sources.settings import Settings
@@ -34,7 +34,8 @@ def structural_paths(papers: DataFrame, citations: DataFrame, seeds: DataFrame,
     save = identity.saver(papers.sparkSession, "paths")  # what several steps use is written once
     papers, citations, seeds = save(papers.select("topic", "paper_id", "title", "year"), "papers"), save(citations, "citations"), save(seeds, "seeds")
     first = seeds.where(F.col("seed_rank") <= e.seed_papers)
-    edges = save(expansion.expand(citations, first, e.min_co_citations, e.max_ancestors, e.ancestor_seeds, e.forward_seeds), "expanded")
+    ancestor_seeds, forward_seeds = e.ancestor_seeds if e.expand_ancestors else 0, e.forward_seeds if e.forward_enabled else 0
+    edges = save(expansion.expand(citations, first, e.min_co_citations, e.max_ancestors, ancestor_seeds, forward_seeds), "expanded")
     ends = edges.select("topic", F.explode(F.array("citing_id", "cited_id")).alias("paper_id"))
     nodes = save(ends.union(seeds.select("topic", "paper_id")).distinct().join(papers, ["topic", "paper_id"]), "nodes")
     edges = save(expansion.clean_edges(edges, nodes), "edges")
@@ -53,6 +54,51 @@ def structural_paths(papers: DataFrame, citations: DataFrame, seeds: DataFrame,
     return order.join(roles.select("topic", "paper_id", "title", "year", "role", "reason", "explanation"), ["topic", "paper_id"]).select("topic", "position", "level", "paper_id", "title", "year", "role", "reason", "prerequisites", "explanation")
 
 
+#: Names that build_path() takes.
+STRATEGIES = ("structural", "syllabus", "anchor", "rerank", "hybrid")
+REFERENCES_SHOWN, CITERS_SHOWN = 40, 30
+
+
+def build_path(strategy: str, papers: DataFrame, citations: DataFrame, seeds: DataFrame, plan: DataFrame | None = None, answers: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """One path a topic, by `strategy`.
+
+    structural: structural_paths(). The others return (topic, position, paper_id, year, stage, concept, approximate, level,
+    prerequisite_id, role, why_for_you, confidence, reasons). plan: topic, step, title, year, stage, concept, as a model has
+    planned it; answers: topic, paper_id, position, stage, concept, as a model has chosen among what it was shown (without
+    answers, anchor takes the most cited; rerank needs them). Titles that aren't found are dropped and cost confidence.
+    """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}: one of {', '.join(STRATEGIES)}")
+    if strategy == "structural":
+        return structural_paths(papers, citations, seeds, settings)
+    budget, e = settings.graph.max_path_papers, settings.expansion
+    lost = seeds.select("topic").limit(0)
+    if strategy == "rerank":
+        first = seeds.where(F.col("seed_rank") <= e.seed_papers)
+        offered = curriculum.shortlist(expansion.co_citations(citations, first), seeds)
+        steps = curriculum.rerank_steps(offered, answers, papers, budget)
+    else:
+        resolved = identity.saver(papers.sparkSession, "plan")(resolver.resolve_titles(plan, papers), "resolved")
+        found = resolved.where("accepted")
+        lost = plan.select("topic", "step").join(found.select("topic", "step"), ["topic", "step"], "left_anti").select("topic")
+        syllabus = curriculum.syllabus_steps(plan, resolved, papers, budget)
+        if strategy == "syllabus":
+            steps = syllabus
+        else:
+            named = plan.where("stage = 'anchor'").select("topic", "step", "concept").join(found.select("topic", "step", "paper_id"), ["topic", "step"])
+            number = F.row_number().over(Window.partitionBy("topic").orderBy("step"))
+            anchors = named.join(papers.select("topic", "paper_id", "year"), ["topic", "paper_id"]).withColumn("position", number).where("position <= 2")
+            one = anchors.where("position = 1")
+            pick = lambda stage: None if answers is None else answers.where(F.col("stage") == stage)
+            before = curriculum.answered(curriculum.most_cited(citations, papers, one, "cited_id", REFERENCES_SHOWN), pick("prerequisite"), "its references")
+            after = curriculum.answered(curriculum.most_cited(citations, papers, one, "citing_id", CITERS_SHOWN), pick("followup"), "what cites it")
+            steps = curriculum.anchor_steps(before, anchors, after, budget)
+            if strategy == "hybrid":
+                steps = curriculum.hybrid(syllabus, steps)
+    path = curriculum.assemble(steps)
+    return path.join(curriculum.confidence(steps, lost), "topic")
+
+
 def to_json(path: DataFrame) -> DataFrame:
     """(topic, json): a path as one document a topic."""
     rows = F.array_sort(F.collect_list(F.struct(*[c for c in ("position", *[x for x in path.columns if x not in ("topic", "position")])])))

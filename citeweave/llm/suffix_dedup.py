@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import Scratch, free_names, table, text_chunks, trimmed
+from citeweave.llm.common import Scratch, free_names, small, table, text_chunks, trimmed
 
 LENGTH, GRAM = 200, 32
 #: Bytes of anchors that one task holds, about; the number of tasks follows.
@@ -316,7 +316,7 @@ def _compare(texts: DataFrame, asked: DataFrame, parts: int, tasks: int, length:
             rows: dict[str, list] = {f.name: [] for f in schema if f.name not in ("part", "low", "high")}
             m, done = [], set()
             for t, u, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                if (t, u) in done:  # a copy
+                if (t, u) in done:  # a copy, for which _copies() answers
                     continue
                 done.add((t, u))
                 raw = text.as_py().encode("utf-8", "surrogatepass")
@@ -413,6 +413,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))], names=["tid", "uid", "spans"])
 
 
+def _copies(texts: DataFrame) -> DataFrame:
+    """(tid, uid, low, high): all bytes of texts that are there more than once, if the least of them is the greatest too."""
+    several = texts.groupBy("tid", "uid").agg(F.count("*").alias("n")).where("n > 1").select("tid", "uid")
+    once = texts.join(small(several, 48), ["tid", "uid"], "left_semi").groupBy("tid", "uid").agg(F.min("text").alias("low"), F.max("text").alias("high"))
+    return once.where("low = high").select("tid", "uid", F.lit(0).cast("long").alias("low"), F.octet_length("high").cast("long").alias("high"))
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(tid, uid, spans): of each text with repeated bytes, by its hashes (_ids), their maximal runs [low, high) in order."""
     spark = docs.sparkSession
@@ -424,7 +431,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.where(F.octet_length("text") >= length).select(*_ids(), F.col("text").cast("string").alias("text"))
     tasks = max(tasks, 2 * size // TASK_BYTES)  # stretches overlap, so all of them may take five times the bytes
     edges = scratch.save(_compare(texts, asked, 4 * tasks, tasks, length), "edges")
-    spans = found.where("low IS NOT NULL").select("tid", "uid", "low", "high").union(edges)
+    spans = found.where("low IS NOT NULL").select("tid", "uid", "low", "high").union(edges).union(_copies(texts))
     lists = spans.groupBy("tid", "uid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     out = scratch.save(lists.mapInArrow(trimmed(_merge), "tid bigint, uid bigint, spans array<struct<low: bigint, high: bigint>>"), "spans")
     scratch.drop("found", "edges")

@@ -410,6 +410,9 @@ def test_suffix_dedup(spark, odd, documents):
     same = [(i, "ab" * rng.randint(50, 200) + letters(20)) for i in range(8)]
     for rows in (mixed, same, [(r["doc_id"], r["text"]) for r in odd.collect()], []):
         assert dedup_rows(spark.createDataFrame(rows, "doc_id bigint, text string")) == removed(rows)
+    # Copies of texts, and passages, that lie in chunks of their own.
+    apart = mixed[:20] + [(100 + i, t) for i, t in mixed[:12]] + [(200 + i, t) for i, t in mixed[:4]] + [(300, "x" + mixed[0][1])]
+    assert dedup_rows(spark.createDataFrame(apart, "doc_id bigint, text string").repartition(len(apart))) == removed(apart)
     few = documents.limit(60)
     assert dedup_rows(few) == removed([tuple(r) for r in few.collect()])
     row = suffix_dedup.stage(spark, odd, "").where("doc_id = 6").first()

@@ -30,6 +30,8 @@ LEAVES = OWN + SHARED
 STEP, RATE, ROUNDS = 1 << 15, 0.1, 2
 #: Characters of a chunk: its distinct words and its tokens are held by one task.
 CHUNK_CHARS = 8 << 20
+#: Tokens whose probabilities are computed at a time.
+CACHED = 1 << 11
 #: Rows of weights that travel together between tasks.
 BLOCK = 2048
 #: Characters of a word and the space after it; bytes of weights that a round's tasks send, at the most, for each of its
@@ -233,24 +235,51 @@ def _features(words: np.ndarray, tokens: np.ndarray, first: np.ndarray, start: i
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
-
-
-def _forward(model: Model, weights: np.ndarray, leaf_weights: np.ndarray, rows: np.ndarray, before: np.ndarray, place: np.ndarray):
-    """Probabilities of classes, of leaves in the token's class, and the rows of leaf weights."""
-    kind = place // leaf_weights.shape[1]
-    classes = weights[rows[0]]
-    classes += weights[rows[1]]
-    classes += weights[rows[2]]
-    classes += model.class_bias
+    """Of each row, in place. Logits are near logarithms of counts, so their largest needs no subtraction unless sums say so."""
     with np.errstate(over="ignore"):
-        leaf_rows = (_mix(before + kind.astype(np.uint64)) % np.uint64(len(leaf_weights))).astype(np.int64)
-    leaves = leaf_weights[leaf_rows]
-    leaves += model.leaf_bias[kind]
-    return _softmax(classes), _softmax(leaves), leaf_rows
+        e = np.exp(x)
+    total = np.einsum("ij->i", e)
+    if not ((total > 1e-20) & (total < 1e30)).all():
+        np.exp(x - x.max(1, keepdims=True), out=e)
+        total = np.einsum("ij->i", e)
+    return np.divide(e, total[:, None], out=x)
+
+
+def _leaf_rows(before: np.ndarray, kind: np.ndarray, n_rows: int) -> np.ndarray:
+    """Rows of leaf weights: of the word before and the token's class."""
+    with np.errstate(over="ignore"):
+        return (_mix(before + kind.astype(np.uint64)) % np.uint64(n_rows)).astype(np.int64)
+
+
+def _forward(model: Model, weights: np.ndarray, leaf_weights: np.ndarray, rows: np.ndarray, leaf_rows: np.ndarray, kind: np.ndarray):
+    """Probabilities of classes, and of leaves in the token's class (kind); few tokens at a time, as many as stay in cache."""
+    n = len(kind)
+    classes, leaves = np.empty((n, weights.shape[1]), np.float32), np.empty((n, leaf_weights.shape[1]), np.float32)
+    for at in range(0, n, CACHED):
+        k = slice(at, at + CACHED)
+        c, x = classes[k], leaves[k]
+        np.take(weights, rows[0, k], axis=0, out=c, mode="clip")
+        c += weights[rows[1, k]]
+        c += weights[rows[2, k]]
+        c += model.class_bias
+        np.take(leaf_weights, leaf_rows[k], axis=0, out=x, mode="clip")
+        x += model.leaf_bias[kind[k]]
+        _softmax(c)
+        _softmax(x)
+    return classes, leaves
+
+
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows that begin at `starts`, pair by pair; x is used up."""
+    sizes = np.diff(np.r_[starts, len(x)])
+    place = np.arange(len(x)) - np.repeat(starts, sizes)
+    left = np.repeat(sizes, sizes) - place  # rows from this one to its run's end
+    at, step = np.flatnonzero(left > 1), 1
+    while len(at):
+        at = at[(place[at] & (2 * step - 1) == 0) & (left[at] > step)]
+        x[at] += x[at + step]
+        step *= 2
+    return x[starts]
 
 
 def _chunk(row: dict, model: Model):
@@ -282,12 +311,15 @@ def _train(chunks: DataFrame, model, tasks: int) -> DataFrame:
                         continue
                     any_ = True
                     rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)), len(tables[0]))
-                    place, r = places[tokens[at : at + STEP][use]], rows[:, use]
-                    classes, leaves, leaf_rows = _forward(m, tables[0], tables[1], r, before[use], place)
+                    place = places[tokens[at : at + STEP][use]]
+                    leaf_rows = _leaf_rows(before[use], place // n_leaves, len(tables[1]))
+                    order = np.argsort(leaf_rows, kind="stable")  # those of one row of leaf weights follow each other
+                    place, leaf_rows, r = place[order], leaf_rows[order], rows[:, use[order]]
+                    classes, leaves = _forward(m, tables[0], tables[1], r, leaf_rows, place // n_leaves)
                     here = np.arange(len(use))
                     classes[here, place // n_leaves] -= 1
                     leaves[here, place % n_leaves] -= 1
-                    # Gradients of equal rows are summed: class by class, over numbers of the rows met, and sorted for leaves.
+                    # Gradients of equal rows are summed: class by class, over numbers of the rows met, and by runs for leaves.
                     r = r.ravel()
                     nth = np.arange(len(r), dtype=np.int32)
                     slot[r] = nth
@@ -297,12 +329,13 @@ def _train(chunks: DataFrame, model, tasks: int) -> DataFrame:
                     count = np.bincount(r, minlength=len(hit))
                     by_class = np.ascontiguousarray(classes.T, np.float64)
                     g = np.stack([np.bincount(r, np.tile(c, 3), len(hit)) for c in by_class], axis=1).astype(np.float32)
-                    order = np.argsort(leaf_rows, kind="stable")
-                    leaf_hit, starts = np.unique(leaf_rows[order], return_index=True)
-                    leaf_g = np.add.reduceat(leaves[order], starts, axis=0)
+                    starts = np.flatnonzero(np.r_[True, leaf_rows[1:] != leaf_rows[:-1]])
+                    leaf_hit = leaf_rows[starts]
+                    leaf_g = _sums(leaves, starts)
                     for t, where, grad, n in ((0, hit, g, count), (1, leaf_hit, leaf_g, np.diff(np.r_[starts, len(order)]))):
-                        grown[t][where] += (grad * grad).mean(1)
-                        tables[t][where] -= RATE * grad / np.sqrt(grown[t][where] + np.float32(1e-2))[:, None]
+                        grown[t][where] += np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+                        grad *= (np.float32(RATE) / np.sqrt(grown[t][where] + np.float32(1e-2)))[:, None]
+                        tables[t][where] -= grad
                         seen[t][where] += n.astype(np.uint32)
         if not any_:
             return
@@ -354,9 +387,10 @@ def _score(chunks: DataFrame, model, key: str) -> DataFrame:
                     k = slice(at, at + STEP)
                     place = places[tokens[k]]
                     rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)), len(m.weights))
-                    classes, leaves, _ = _forward(m, m.weights, m.leaf_weights, rows, before, place)
+                    kind = place // n_leaves
+                    classes, leaves = _forward(m, m.weights, m.leaf_weights, rows, _leaf_rows(before, kind, len(m.leaf_weights)), kind)
                     here = np.arange(len(place))
-                    value[k] += np.log10(np.maximum(classes[here, place // n_leaves].astype(np.float64) * leaves[here, place % n_leaves], 1e-30))
+                    value[k] += np.log10(np.maximum(classes[here, kind].astype(np.float64) * leaves[here, place % n_leaves], 1e-30))
                 starts = np.cumsum(sizes) - sizes
                 out = [
                     pa.array(row["ids"], b.schema.field("ids").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(sizes),

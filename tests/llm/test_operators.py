@@ -479,13 +479,31 @@ def test_language_model(spark, documents, odd):
 def test_model_sums_to_one():
     rng = np.random.default_rng(6)
     top = [{"word": int(w), "count": 50 - i, "ending": i % 7} for i, w in enumerate(rng.integers(1, 1 << 40, 20))]
-    leaves = [{"leaf": k, "count": 100, "known": 10} for k in range(maxent_lm.CLASSES * maxent_lm.SHARED)]
+    leaves = [{"leaf": k, "count": 1000, "known": 100} for k in range(maxent_lm.CLASSES * maxent_lm.SHARED)]
     m = maxent_lm._start(top, leaves)
     m.weights[:] = rng.normal(size=m.weights.shape)
     m.leaf_weights[:] = rng.normal(size=m.leaf_weights.shape)
     place = np.arange(maxent_lm.CLASSES * maxent_lm.LEAVES)
-    classes_, leaves_, _ = maxent_lm._forward(m, m.weights, m.leaf_weights, np.zeros((3, len(place)), np.int64), np.zeros(len(place), np.uint64), place)
-    assert abs((classes_[place, place // maxent_lm.LEAVES] * leaves_[place, place % maxent_lm.LEAVES]).sum() - 1) < 1e-3
+    kind, leaf = np.divmod(place, maxent_lm.LEAVES)
+    rows = maxent_lm._leaf_rows(np.zeros(len(place), np.uint64), kind, len(m.leaf_weights))
+    classes_, leaves_ = maxent_lm._forward(m, m.weights, m.leaf_weights, np.zeros((3, len(place)), np.int64), rows, kind)
+    assert abs((classes_[place, kind] * leaves_[place, leaf]).sum() - 1) < 1e-3
+    # Of words in a shared leaf: their counts and one each, and one word that training has not seen.
+    ours = [r for r in top if r["ending"] == 3]
+    counted = leaves[3]["count"] + leaves[3]["known"] - sum(r["count"] + 1 for r in ours)
+    assert abs(10 ** m.mass[3] - counted - 1) < 1e-6
+
+
+def test_model_softmax_and_sums():
+    """Rows whose exponentials overflow or vanish, and sums of runs of any length."""
+    rng = np.random.default_rng(8)
+    for x in (rng.normal(size=(9, 16)), np.array([[200.0, 1, 0], [-300, -301, -400], [1, 2, 3]])):
+        e = np.exp(x - x.max(1, keepdims=True))
+        assert np.allclose(maxent_lm._softmax(x.astype(np.float32)), e / e.sum(1, keepdims=True), atol=1e-5)
+    for n in (1, 2, 3, 64, 1000):
+        run = np.sort(rng.integers(0, n // 3 + 1, n))
+        starts, x = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]), rng.normal(size=(n, 5))
+        assert np.allclose(maxent_lm._sums(x.copy(), starts), [x[run == k].sum(0) for k in np.unique(run)])
 
 
 def test_neighbours(spark, sf_dir):

@@ -34,6 +34,8 @@ CHUNK_CHARS = 8 << 20
 CACHED = 1 << 11
 #: Rows of weights that travel together between tasks.
 BLOCK = 2048
+#: Bytes of counted words that a task of the count holds, about; COUNTED bytes are for each byte of text, measured as 0.7.
+TASK_BYTES, COUNTED = 32 << 20, 0.7
 #: Characters of a word and the space after it; bytes of weights that a round's tasks send, at the most, for each of its
 #: characters (they send less, as no task meets all rows).
 WORD_CHARS, SENT = 6, 3
@@ -413,6 +415,8 @@ def maxent_lm(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "maxent")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("b")).first()["b"] or 0
+    tasks = max(tasks, int(size * COUNTED) // TASK_BYTES)
     encoded = scratch.save(_encode(docs, tasks * 4), "encoded")
     counts = scratch.save(_count(encoded.where("part IS NOT NULL").select("chunk", "part", "at", "counted"), tasks), "counts")
     leaves = counts.where("leaf IS NOT NULL").groupBy("leaf").agg(F.sum("count").alias("count"), F.sum("known").alias("known")).collect()

@@ -70,6 +70,25 @@ def replace_edges(structural: DataFrame, judged: DataFrame, answered: DataFrame)
     return structural.join(topics, "topic", "left_anti").unionByName(judged.join(topics, "topic", "left_semi"))
 
 
+def named_subtopics(groups: DataFrame, names: DataFrame | None, most: int = 6) -> DataFrame:
+    """(topic, community, name, shown, position) of structural_subtopics(): `most` members are shown to a model, and its
+    answers (topic, community, name) name them; groups without an answer go by their number."""
+    own = F.concat(F.lit("Group "), F.col("position"))
+    shown = F.array_sort(F.slice("members", 1, most)).alias("shown")
+    if names is None:
+        return groups.select("topic", "community", own.alias("name"), shown, "position")
+    once = names.groupBy("topic", "community").agg(F.min("name").alias("name"))
+    return groups.join(once, ["topic", "community"], "left").select("topic", "community", F.coalesce("name", own).alias("name"), shown, "position")
+
+
+def assess(structural: DataFrame, edges: DataFrame, groups: DataFrame, explained: tuple | None = None, judged: tuple | None = None, names: DataFrame | None = None, columns: tuple = ("role",)) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Structural rows, edges and subtopics, each with what its model call has answered: explained (answers, labels), judged
+    (answers, labels), names. A call that failed is None and leaves its table as it is, whatever the others did."""
+    rows = structural if explained is None else refine(structural, *explained, list(columns))
+    kept = edges if judged is None else replace_edges(edges, judged_edges(*judged), judged[0])
+    return rows, kept, named_subtopics(groups, names)
+
+
 def labelled(rows: DataFrame, prefix: str, *order: str, batch: int = 6) -> DataFrame:
     """Adds label (prefix and number from 1) and the batch that a row is asked in, by topic."""
     number = F.row_number().over(Window.partitionBy("topic").orderBy(*order))

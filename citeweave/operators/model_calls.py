@@ -94,6 +94,30 @@ def ask(misses: DataFrame, client: Callable[[str, str, str], str], repairs: int
     return misses.select("id", "role", "system", "user", "schema").mapInPandas(run, f"id {kind}, data string, error string")
 
 
+def answer(requests: DataFrame, chain: DataFrame, cache: DataFrame, client: Callable[[str, str, str, str, str], str], save: Callable[[DataFrame, str], DataFrame], repairs: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(answers, written): answers (id, data, model, fell_back) of requests (id, role, prompt_version, system, user, schema),
+    and rows (key, data) for the cache.
+
+    The cache is asked for every model of a role's chain first; then its models are tried in order, each with what those
+    before left: client(provider, model, role, system, user). `save` writes a table, so that nothing is asked for twice.
+    Requests that no model answers have no row.
+    """
+    hits, left = probe(requests, chain, cache)
+    models = sorted({(r["chain_pos"], r["provider"], r["model"]) for r in chain.select("chain_pos", "provider", "model").distinct().collect()})
+    columns, new = requests.columns, []
+    for i, (pos, provider, model) in enumerate(models):
+        here = F.col("chain_pos") == pos
+        mine = left.join(chain.where(here & (F.col("provider") == provider) & (F.col("model") == model)), "role")
+        got = ask(mine, lambda role, system, user, p=provider, m=model: client(p, m, role, system, user), repairs)
+        got = save(mine.withColumn("key", cache_key()).select("id", "key", "model", (F.col("chain_pos") > 0).alias("fell_back")).join(got.where("error IS NULL").select("id", "data"), "id"), f"answers{i}")
+        new.append(got)
+        left = left.join(got.select("id"), "id", "left_anti").select(*columns)
+    answers, written = hits.select("id", "data", "model", "fell_back"), cache.select("key", "data").limit(0)
+    for got in new:
+        answers, written = answers.unionByName(got.select("id", "data", "model", "fell_back")), written.unionByName(got.select("key", "data"))
+    return answers, written
+
+
 def prompt(title: str, rows: Column) -> Column:
     """A prompt of numbered rows (array of strings) under a title, in words of its own."""
     return F.concat(F.lit(title + "\n"), F.array_join(F.transform(rows, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.functions import ids, text, titles
-from citeweave.operators import curriculum, expansion, fusion, graph, identity, judgment, model_calls, ordering, resolver, selection
+from citeweave.operators import curriculum, expansion, fusion, graph, identity, judgment, model_calls, ordering, resolver, selection, summaries
 from citeweave.plans import paths
 from citeweave.sources import stand_ins as x
 from citeweave.sources.response_cache import request_key
@@ -63,9 +63,12 @@ def _(spark, d):
     return x.papers(spark, d).select("paper_id", text.title_fingerprint(F.col("title")).alias("fp"))
 
 
-@query("q05_canonical_id", f"WITH {x.PAPERS} SELECT paper_id, 'sig:' || substr(sha1({FP.format('title')} || '|' || coalesce(CAST(year AS VARCHAR), '')), 1, 16) AS id FROM x_papers")
+@query("q05_canonical_id", f"WITH {x.PAPERS} SELECT paper_id, CASE WHEN paper_id % 4 < 2 THEN 'arxiv:' || (paper_id // 2) WHEN paper_id % 4 = 2 THEN 'doi:10.1/' || paper_id ELSE 'sig:' || substr(sha1({FP.format('title')} || '|' || coalesce(CAST(year AS VARCHAR), '')), 1, 16) END AS id FROM x_papers")
 def _(spark, d):
-    return x.papers(spark, d).select("paper_id", ids.signature(F.col("title"), F.col("year")).alias("id"))
+    pair = lambda ns, value: F.struct(F.lit(ns).alias("ns"), value.cast("string").alias("value"))
+    p = F.col("paper_id")
+    own = F.when(p % 4 < 2, F.array(pair("pmid", p), pair("arxiv", F.floor(p / 2)))).when(p % 4 == 2, F.array(pair("arxiv", p), pair("doi", F.concat(F.lit("10.1/"), p)))).otherwise(F.array())
+    return x.papers(spark, d).select("paper_id", ids.canonical_id(own, F.col("title"), F.col("year")).alias("id"))
 
 
 def _records(spark, d):
@@ -313,13 +316,33 @@ def _(spark, d):
     return x.papers(spark, d).select("paper_id", F.round(titles.token_f1(a, b), 9).alias("f1"), F.round(titles.coverage(a, b), 9).alias("coverage"))
 
 
-@query("q37_similarity")
+_RAW = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+_WANTED = "array_to_string(list_slice(string_split(title, ' '), 1, 8), ' ')"
+#: x_held: papers with their tokens, those of the main title and the content words; x_asked: planned titles likewise.
+_TITLES = f"""{x.PAPERS}, x_held AS (SELECT topic, paper_id, year, citation_count, title, {tokens_sql('title')} AS b, {tokens_sql("split_part(title, ':', 1)")} AS main,
+  list_transform(list_filter({_RAW.format('title')}, lambda t: NOT list_contains({STOP}, t)), lambda t: {SAME}) AS o FROM x_papers),
+ x_asked AS (SELECT topic, rn AS step, year AS wy, {_WANTED} AS wanted, {tokens_sql(_WANTED)} AS a FROM x_papers)"""
+_BOTH = "len(list_intersect(a, b))"
+_F1 = f"CASE WHEN {_BOTH} = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {_BOTH} / (len(a) + len(b)) END"
+_QUALIFIED = "coalesce(list_position(list_transform(o, lambda t: list_contains(a, t)), true), 0) BETWEEN 2 AND 3"
+_SIMILAR = f"CASE WHEN NOT contains(wanted, ':') AND len(a) > 0 AND main = a THEN 1.0::DOUBLE WHEN {_QUALIFIED} THEN least({_F1}, 0.7::DOUBLE) ELSE {_F1} END"
+
+
+@query("q37_similarity", f"WITH {_TITLES} SELECT h.paper_id, round({_SIMILAR}, 9) AS similarity FROM x_held h JOIN x_papers p USING (topic, paper_id) JOIN x_asked q ON q.topic = h.topic AND q.step = p.rn")
 def _(spark, d):
     plan = _plan(spark, d).select("topic", F.col("step").alias("rn"), F.col("title").alias("wanted"))
     return x.papers(spark, d).join(plan, ["topic", "rn"]).select("paper_id", F.round(titles.title_similarity(F.col("wanted"), F.col("title")), 9).alias("similarity"))
 
 
-@query("q38_resolve_titles")
+@query("q38_resolve_titles", f"""WITH {_TITLES}, h AS (SELECT * FROM x_held WHERE NOT regexp_matches(title, '{titles.NOT_A_PAPER}')), w AS (SELECT topic, paper_id, unnest(b) AS word FROM h),
+ c AS (SELECT topic, word, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT topic, step, len(a) AS n, unnest(a) AS word FROM x_asked),
+ k AS (SELECT s.topic, step, word FROM s LEFT JOIN c USING (topic, word) QUALIFY row_number() OVER (PARTITION BY s.topic, step ORDER BY coalesce(c.n, 0), word) <= s.n - ceil(0.8 * s.n) + 1),
+ m AS (SELECT DISTINCT topic, step, paper_id FROM k JOIN w USING (topic, word)),
+ v AS (SELECT m.topic, step, paper_id, citation_count, wy, year, {_SIMILAR} AS sim, {_BOTH} / len(a) AS coverage, {_QUALIFIED} AS q FROM m JOIN x_asked USING (topic, step) JOIN h USING (topic, paper_id)),
+ z AS (SELECT *, least(1.0::DOUBLE, sim + CASE WHEN abs(wy - year) <= 1 THEN 0.05::DOUBLE ELSE 0 END) AS score FROM v),
+ best AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY topic, step ORDER BY score DESC, coalesce(citation_count, -1) DESC, paper_id) = 1)
+ SELECT topic, step, paper_id, round(score, 9) AS score, round(coverage, 9) AS coverage, score >= 0.75::DOUBLE AND coverage >= 0.8::DOUBLE AND NOT (sim < 1 AND q) AS accepted,
+  score >= 0.9::DOUBLE AND coverage >= 0.8::DOUBLE AND NOT (sim < 1 AND q) AS confident FROM best""")
 def _(spark, d):
     return resolver.resolve_titles(_plan(spark, d), x.papers(spark, d)).withColumn("score", F.round("score", 9)).withColumn("coverage", F.round("coverage", 9))
 
@@ -405,7 +428,7 @@ def _(spark, d):
     return paths.search(records, hits.drop("topic").join(records.select("topic", "row_id"), "row_id")).select("topic", "position", "paper_id", F.round("score", 9).alias("score"))
 
 
-@query("q49_response_key", "SELECT page_id, sha256('web' || chr(0) || url || chr(0) || 'a=1&page=' || page_id) AS key FROM pages")
+@query("q49_response_key", """SELECT page_id, sha256('web' || chr(0) || url || chr(0) || '{"a":"1","page":"' || page_id || '"}') AS key FROM pages""")
 def _(spark, d):
     params = F.create_map(F.lit("page"), F.col("page_id").cast("string"), F.lit("a"), F.lit("1"))
     return x.table(spark, d, "pages").select("page_id", request_key(F.lit("web"), F.col("url"), params).alias("key"))
@@ -454,3 +477,50 @@ def _(spark, d):
 @query("q54_hybrid_path")
 def _(spark, d):
     return paths.build_path("hybrid", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "concept")
+
+
+@query("q55_notes", f"WITH {x.COUNTS} SELECT topic, count(*) AS papers, count(*) FILTER (WHERE year IS NULL) AS undated, count(*) FILTER (WHERE seed_rank IS NULL) AS discovered, CAST(sum(out_degree) AS BIGINT) AS edges FROM x_facts GROUP BY 1")
+def _(spark, d):
+    return summaries.notes(x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d))
+
+
+@query("q56_path_parts", f"WITH {x.PAPERS} SELECT topic, ['prerequisite', 'anchor', 'followup'][paper_id % 3 + 1] AS part, count(*) AS steps, min(rn) AS first_position, min(year) AS first_year, max(year) AS last_year FROM x_papers GROUP BY ALL")
+def _(spark, d):
+    return summaries.parts(_steps(spark, d)).withColumn("first_position", F.col("first_position").cast("long"))
+
+
+@query("q57_prompt_rows", f"WITH {x.PAPERS} SELECT paper_id, substr(text, 1, 400) AS shown, coalesce(CAST(year AS VARCHAR), 'n.d.') AS year, CASE WHEN year IS NULL THEN 'undated' WHEN year < 2015 THEN 'earlier' ELSE 'recent' END AS era FROM x_papers JOIN documents ON doc_id = paper_id")
+def _(spark, d):
+    texts = x.table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    return x.papers(spark, d).join(texts, "paper_id").select("paper_id", summaries.shown(F.col("text"), "explain").alias("shown"), summaries.shown_year(F.col("year")).alias("year"), summaries.era(F.col("year")).alias("era"))
+
+
+@query("q58_subtopic_names", f"""WITH {x.PAPERS}, g AS (SELECT topic, rn % 3 AS community, list_sort(list(paper_id)) AS members FROM x_papers GROUP BY ALL HAVING count(*) > 1),
+ o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY community) AS position FROM g QUALIFY count(*) OVER (PARTITION BY topic) > 1)
+ SELECT topic, community, CASE WHEN community = 1 THEN 'name of 1' ELSE 'Group ' || position END AS name, array_to_string(list_slice(members, 1, 6), ',') AS shown FROM o""")
+def _(spark, d):
+    nodes = x.papers(spark, d).withColumn("community", (F.col("rn") % 3).cast("long"))
+    names = nodes.where("community = 1").select("topic", "community", F.lit("name of 1").alias("name")).distinct()
+    named = judgment.named_subtopics(judgment.structural_subtopics(nodes), names)
+    return named.select("topic", "community", "name", F.array_join(F.col("shown").cast("array<string>"), ",").alias("shown"))
+
+
+@query("q59_refined_roles", f"WITH {x.PAPERS} SELECT topic, paper_id, CASE WHEN rn % 2 = 1 THEN 'foundation' ELSE 'unclassified' END AS role FROM x_papers")
+def _(spark, d):
+    labels = judgment.labelled(x.papers(spark, d), "p", "rn")
+    answers = labels.where(F.substring("label", 2, 9).cast("int") % 2 == 0).select("topic", "label", F.lit("foundation").alias("role"))
+    return judgment.refine(x.papers(spark, d).select("topic", "paper_id", F.lit("unclassified").alias("role")), answers, labels, ["role"])
+
+
+@query("q60_replaced_edges", f"WITH {x.CITES}, t AS (SELECT min(topic) AS topic FROM x_papers) SELECT topic, cited_id AS prerequisite_id, citing_id AS dependent_id, CASE WHEN topic IN (FROM t) THEN 'llm_judgment' ELSE 'co_citation' END AS source FROM x_cites WHERE topic NOT IN (FROM t) OR citing_id % 2 = 0")
+def _(spark, d):
+    edges = x.citations(spark, d).select("topic", F.col("cited_id").alias("prerequisite_id"), F.col("citing_id").alias("dependent_id"))
+    first = x.papers(spark, d).agg(F.min("topic").alias("topic"))
+    model = edges.where("dependent_id % 2 = 0").withColumn("source", F.lit("llm_judgment"))
+    return judgment.replace_edges(edges.withColumn("source", F.lit("co_citation")), model, first)
+
+
+@query("q61_remapped_edges", f"""WITH {x.CITES} SELECT DISTINCT topic, citing_id // 2 AS citing_id, cited_id // 2 AS cited_id FROM x_cites WHERE citing_id // 2 <> cited_id // 2""")
+def _(spark, d):
+    raw = x.citations(spark, d).select("topic", F.col("citing_id").alias("citing_row"), F.col("cited_id").alias("cited_row"))
+    return expansion.remap_edges(raw, x.papers(spark, d).select(F.col("paper_id").alias("row_id"), F.floor(F.col("paper_id") / 2).alias("paper_id")))

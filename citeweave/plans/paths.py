@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from citeweave.operators import curriculum, expansion, graph, identity, judgment, ordering, resolver, selection
 from citeweave.operators.fusion import reciprocal_rank_fusion, top_per_topic
 from citeweave.operators.judgment import structural_role, with_median_year
+from citeweave.sources import parsers
 from citeweave.sources.settings import Settings
 
 
@@ -19,7 +20,7 @@ def search(records: DataFrame, hits: DataFrame, settings: Settings = Settings())
     roots = identity.resolve_entities(records)
     papers = identity.merge_papers(records, roots)
     of = roots.select("topic", "row_id", "root").join(papers.select("root", "paper_id"), "root")
-    fused = reciprocal_rank_fusion(hits.join(of.select("row_id", "paper_id"), "row_id"), settings.rrf_k)
+    fused = reciprocal_rank_fusion(hits.where(F.col("rank") <= settings.candidates_per_provider).join(of.select("row_id", "paper_id"), "row_id"), settings.rrf_k)
     named = fused.join(papers.select("topic", "paper_id", "title", "year"), ["topic", "paper_id"])
     return top_per_topic(named.withColumn("_t", F.lower("title")), settings.max_candidates, "_t").drop("_t")
 
@@ -99,7 +100,32 @@ def build_path(strategy: str, papers: DataFrame, citations: DataFrame, seeds: Da
     return path.join(curriculum.confidence(steps, lost), "topic")
 
 
+#: Digits of numbers in JSON.
+DIGITS = {"score": 6, "pagerank": 8, "z": 4, "confidence": 2}
+
+
 def to_json(path: DataFrame) -> DataFrame:
-    """(topic, json): a path as one document a topic."""
+    """(topic, json): a path as one document a topic, its numbers rounded."""
+    path = path.withColumns({c: F.round(c, n) for c, n in DIGITS.items() if c in path.columns})
     rows = F.array_sort(F.collect_list(F.struct(*[c for c in ("position", *[x for x in path.columns if x not in ("topic", "position")])])))
     return path.groupBy("topic").agg(F.to_json(F.struct(rows.alias("steps"))).alias("json"))
+
+
+def to_markdown(path: DataFrame, papers: DataFrame) -> DataFrame:
+    """(topic, markdown): a heading and a numbered line for each step."""
+    named = path.select("topic", "position", "paper_id", "year", "role").join(papers.select("topic", "paper_id", "title"), ["topic", "paper_id"])
+    line = F.format_string("%d. %s (%s): %s", F.col("position") + 1, F.coalesce("title", F.lit("untitled")), F.coalesce(F.col("year").cast("string"), F.lit("n.d.")), "role")
+    rows = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
+    return named.groupBy("topic").agg(F.concat(F.lit("# "), F.first("topic"), F.lit("\n\n"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n")).alias("markdown"))
+
+
+def write_report(path: DataFrame, papers: DataFrame, folder: str, run: str, strategy: str, model: str) -> None:
+    """Folders <folder>/<run>/<strategy>__<model>.json and .md: a row of JSON and one of Markdown for each topic."""
+    base = f"{folder}/{run}/{strategy}__{model}"
+    to_json(path).write.mode("overwrite").json(f"{base}.json")
+    to_markdown(path, papers).write.mode("overwrite").json(f"{base}.md")
+
+
+def health(settings: Settings = Settings()) -> dict:
+    """What a service reports of itself: its sources with what they can do, and its strategies."""
+    return {"status": "ok", "strategy": settings.strategy, "strategies": list(STRATEGIES), "sources": {name: sorted(can) for name, (_, can) in parsers.REGISTRY.items()}}

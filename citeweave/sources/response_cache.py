@@ -10,8 +10,8 @@ NOT_EMPTY = ("arxiv", "crossref")
 
 
 def request_key(provider: Column, url: Column, params: Column) -> Column:
-    """Of provider, url and parameters (map of strings) in the order of their names."""
-    listed = F.array_join(F.transform(F.array_sort(F.map_entries(params)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "&")
+    """Of provider, url and parameters (map of strings) as JSON in the order of their names; a null value is null."""
+    listed = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))), {"ignoreNullFields": "false"})
     return F.sha2(F.concat_ws("\0", provider, url, listed), 256)
 
 

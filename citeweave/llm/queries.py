@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citeweave.llm import jaccard_join, license_scan, maxent_lm, multi_index, packing, pii, piece_encoding, quality_rules, suffix_dedup, url_filter
+from citeweave.llm import jaccard_join, license_scan, maxent_lm, multi_index, packing, pii, piece_encoding, quality_rules, source_audit, source_mix, spelling_variants, suffix_dedup, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_encoding": piece_encoding.query,
         "op9_quality_rules": quality_rules.query,
         "op10_maxent_lm": maxent_lm.query,
+        "op11_source_audit": source_audit.query,
+        "op12_source_mix": source_mix.query,
+        "op13_spelling_variants": spelling_variants.query,
     }
 
 
@@ -44,4 +47,4 @@ _REPEATS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FRO
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for what SQL can express; the others are held against brute force in tests/llm."""
-    return {"op6_jaccard_join": _JACCARD, "op7_suffix_dedup": _REPEATS}
+    return {"op6_jaccard_join": _JACCARD, "op7_suffix_dedup": _REPEATS, "op11_source_audit": source_audit.SQL, "op12_source_mix": source_mix.SQL, "op13_spelling_variants": spelling_variants.SQL}

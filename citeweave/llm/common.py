@@ -40,6 +40,24 @@ def fenced(value: Column) -> Column:
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
+def let_sql(value: str, name: str, body: str) -> str:
+    """SQL: `body` with `name` bound to `value`, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def scan_sql(items: str, state: str, step: str, emits: str, block: int = 128) -> str:
+    """SQL: what `step` emits over the array `items`, in order, with a state carried along.
+
+    state: SQL of the first state; step: SQL of a struct of the next state n and an array e of what is emitted, for the state
+    s and the item x; emits: the type of an item of e. Outputs are gathered block by block: appending to one array would copy
+    it each time, which is quadratic in a long one, as is slice() inside of lambdas.
+    """
+    none = f"cast(array() as array<{emits}>)"
+    inner = f"aggregate(_q, named_struct('s', _b.s, 'o', {none}), (_a, x) -> {let_sql('_a.s', 's', let_sql(step, '_r', "named_struct('s', _r.n, 'o', concat(_a.o, _r.e))"))})"
+    outer = f"(_b, _k) -> {let_sql(f'CASE WHEN size(_v) > 0 THEN transform(sequence(_k * {block}, least((_k + 1) * {block}, size(_v)) - 1), _i -> _v[_i]) ELSE _v END', '_q', let_sql(inner, '_w', "named_struct('s', _w.s, 'o', concat(_b.o, array(_w.o)))"))}"
+    return let_sql(items, "_v", f"aggregate(sequence(0, (size(_v) - 1) div {block}), named_struct('s', {state}, 'o', cast(array() as array<array<{emits}>>)), {outer}, _b -> flatten(_b.o))")
+
+
 def double_array(spark: SparkSession, values: list[float]) -> Column:
     """One array literal; an array of literals would be rebuilt, or folded again, wherever it is used."""
     out = spark.sparkContext._gateway.new_array(spark._jvm.double, len(values))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import ascii_lower, fenced, free_names, table
+from citeweave.llm.common import ascii_lower, fenced, free_names, let_sql, scan_sql, table
 
 #: A word of lower-cased text; WORD_ANY_CASE is the same of text as it is.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -110,10 +110,11 @@ FAMILIES = [
     ("xnet", "xnet", "x.net", r"x\.net"),
     ("openrail", "openrail", "rail", r"(?:creativeml |bigscience )?open(?: )?rail(?:-m)?"),
 ]
-#: A form in which a licence is named: suffix, text before the name, text after it, priority, weight.
+#: A form in which a licence is named: suffix, text before the name, text after it, priority, weight. Groups that repeat
+#: without bound are possessive here and below: else the engine would recurse once for each time.
 FORMS = [
-    ("grant", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of the )?", r" licen[sc]e\b(?:,? (?:version |v)\d+(?:\.\d+)*)?", 20, 0.95),
-    ("version", r"\b", r" licen[sc]e,? (?:version |v)\d+(?:\.\d+)*(?: or (?:later|any later version))?", 30, 0.9),
+    ("grant", r"\b(?:licen[sc]ed|released|distributed|available|published) under (?:the )?(?:terms of the )?", r" licen[sc]e\b(?:,? (?:version |v)\d+(?:\.\d+)*+)?", 20, 0.95),
+    ("version", r"\b", r" licen[sc]e,? (?:version |v)\d+(?:\.\d+)*+(?: or (?:later|any later version))?", 30, 0.9),
     ("name", r"\b", r" licen[sc]e\b", 40, 0.8),
 ]
 #: Signatures with a text of their own: name, label, keyword, regex, priority, weight.
@@ -136,8 +137,8 @@ TEXTS = [
     ("unlicense-text", "unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 10, 1.0),
     ("public-domain", "public-domain", "public domain", r"(?:dedicated|released|placed|is) (?:to|into|in) the public domain", 50, 0.7),
     ("cc-url", "cc", "creativecommons.org", r"(?:https?://)?(?:www\.)?creativecommons\.org/(?:licenses|publicdomain)/[a-z-]+(?:/\d\.\d)?", 15, 0.95),
-    ("cc-code", "cc", "cc by", r"\bcc by(?:[- ](?:nc|sa|nd))*(?:[- ]\d\.\d)?\b", 50, 0.7),
-    ("cc-code-joined", "cc", "cc-by", r"\bcc-by(?:[- ](?:nc|sa|nd))*(?:[- ]\d\.\d)?\b", 50, 0.7),
+    ("cc-code", "cc", "cc by", r"\bcc by(?:[- ](?:nc|sa|nd)){0,8}(?:[- ]\d\.\d)?\b", 50, 0.7),
+    ("cc-code-joined", "cc", "cc-by", r"\bcc-by(?:[- ](?:nc|sa|nd)){0,8}(?:[- ]\d\.\d)?\b", 50, 0.7),
     ("unlicense-the", "unlicense", "the unlicense", r"\bthe unlicense\b", 40, 0.8),
     ("mit-notice", "mit", "this permission notice", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies", 12, 1.0),
     ("mit-warranty", "mit", "the authors or copyright holders", r"in no event shall the authors or copyright holders be liable for any claim", 50, 0.7),
@@ -199,7 +200,7 @@ def rules() -> list[Rule]:
         out += [Rule(f"{label}-{form}", label, keyword, f"{before}{name}{after}", priority, weight) for form, before, after, priority, weight in FORMS]
         # Of an expression of several identifiers each is a detection; the one of the longest prefix counts.
         special = any(spdx != x and spdx.startswith(x) for x in prefixes)
-        out.append(Rule(f"{label}-spdx", label, "spdx-license-identifier", rf"(?<=spdx-license-identifier:[^\n]{{0,200}})(?<=[\s(:]){re.escape(spdx)}[a-z0-9.+-]*", 4 if special else 5, 1.0))
+        out.append(Rule(f"{label}-spdx", label, "spdx-license-identifier", rf"(?<=[\s(:])(?={re.escape(spdx)})(?<=spdx-license-identifier:[^\n]{{0,200}})[a-z0-9.+-]*", 4 if special else 5, 1.0))
     return [Rule(r.name, r.label, r.keyword, _spread(r.regex), r.priority, r.weight) for r in out]
 
 
@@ -207,10 +208,6 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _let(value: str, name: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def license_scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataFrame:
     """All columns of `docs` (with a column text) and, last, a struct. It is named _license, or with underscores more where
     `docs` has such a column.
@@ -223,11 +220,12 @@ def license_scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataF
     comment marks of any number; keywords of several words are looked for in the text with these made one space.
     """
     signatures = rules() if signatures is None else signatures
-    # As SQL text: a nested literal that the optimizer folds into one array.
-    listed = ", ".join(
-        f"named_struct('n', {_quoted(r.name)}, 'l', {_quoted(r.label)}, 'k', {_quoted(r.keyword)}, 'f', {str(' ' in r.keyword).lower()}, 'r', {_quoted(r.regex)}, 'p', {r.priority}, 'w', {r.weight}D)"
-        for r in signatures
-    )
+    # As SQL text: a nested literal that the optimizer folds into one array. A keyword is looked for once for all its rules.
+    gates: dict[str, list[Rule]] = {}
+    for r in signatures:
+        gates.setdefault(r.keyword, []).append(r)
+    as_rule = lambda r: f"named_struct('n', {_quoted(r.name)}, 'l', {_quoted(r.label)}, 'r', {_quoted(r.regex)}, 'p', {r.priority}, 'w', {r.weight}D)"
+    listed = ", ".join(f"named_struct('k', {_quoted(k)}, 'f', {str(' ' in k).lower()}, 'o', array({', '.join(map(as_rule, own))}))" for k, own in gates.items())
     word_at = lambda k: f"get(_words, {k})"
     starts = []
     for phrase, label in PHRASES.items():
@@ -239,23 +237,23 @@ def license_scan(docs: DataFrame, signatures: list[Rule] | None = None) -> DataF
     as_place = "CASE " + " ".join(f"WHEN {test} THEN struct(bigint(i - {back}) AS start, '{label}' AS label)" for test, back, label in starts) + " END"
     places = f"sort_array(transform(filter(sequence(0, size(_words) - 1), i -> {any_phrase}), i -> {as_place}))"
     empty_places = "cast(array() as array<struct<start: bigint, label: string>>)"
-    kind = "array<struct<start: int, end: int, priority: int, rule: string, label: string, weight: double>>"
+    # Fields in the order in which detections are sorted: by start, the wider first, then by priority and name.
+    kind = "array<struct<start: int, minus_end: int, priority: int, rule: string, label: string, weight: double>>"
     # Pieces between matches give each match's place: the lengths of all pieces and matches before it.
-    place = "named_struct('start', a.at + char_length(s[i]), 'n', char_length(m[i]))"
-    found = f"aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'o', cast(array() as array<struct<start: int, n: int>>)), (a, i) -> named_struct('at', a.at + char_length(s[i]) + char_length(m[i]), 'o', concat(a.o, array({place}))), a -> a.o)"
-    located = f"transform(array(named_struct('m', regexp_extract_all(_low, r.r, 0), 's', split(_low, r.r, -1))), b -> CASE WHEN size(b.m) = 0 THEN array() ELSE transform(array(b.m), m -> transform(array(b.s), s -> {found})[0])[0] END)[0]"
-    as_detection = "d -> named_struct('start', d.start, 'end', d.start + d.n, 'priority', r.p, 'rule', r.n, 'label', r.l, 'weight', r.w)"
-    detected = f"flatten(transform(filter(array({listed}), r -> contains(CASE WHEN r.f THEN _flat ELSE _low END, r.k)), r -> transform({located}, {as_detection})))"
-    # By start, the wider first, then by priority and name: what lies within an earlier one ends no later than the furthest end so far.
-    order = "(a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start WHEN a.end <> b.end THEN b.end - a.end WHEN a.priority <> b.priority THEN a.priority - b.priority WHEN a.rule < b.rule THEN -1 WHEN a.rule > b.rule THEN 1 ELSE 0 END"
-    keep = (
-        f"aggregate(array_sort(_found, {order}), named_struct('last', 0, 'kept', cast(array() as {kind})), "
-        "(a, d) -> CASE WHEN d.end <= a.last THEN a ELSE named_struct('last', d.end, 'kept', concat(a.kept, array(d))) END, a -> a.kept)"
-    )
+    place = "named_struct('n', s + char_length(b.s[x]) + char_length(b.m[x]), 'e', array(named_struct('start', s + char_length(b.s[x]), 'n', char_length(b.m[x]))))"
+    found = scan_sql("sequence(0, size(b.m) - 1)", "0", place, "struct<start: int, n: int>")
+    located = let_sql("named_struct('m', regexp_extract_all(_low, r.r, 0), 's', split(_low, r.r, -1))", "b", f"CASE WHEN size(b.m) = 0 THEN array() ELSE {found} END")
+    as_detection = "d -> named_struct('start', d.start, 'minus_end', -d.start - d.n, 'priority', r.p, 'rule', r.n, 'label', r.l, 'weight', r.w)"
+    gated = f"flatten(transform(filter(array({listed}), g -> contains(CASE WHEN g.f THEN _flat ELSE _low END, g.k)), g -> g.o))"
+    detected = f"flatten(transform({gated}, r -> transform({located}, {as_detection})))"
+    # What lies within an earlier one ends no later than the furthest end so far.
+    stays = "CASE WHEN -x.minus_end <= s THEN named_struct('n', s, 'e', array()) ELSE named_struct('n', -x.minus_end, 'e', array(x)) END"
+    kept = scan_sql("sort_array(_found)", "0", stays, kind[len("array<") : -1])
+    keep = f"transform({kept}, d -> named_struct('start', d.start, 'end', -d.minus_end, 'priority', d.priority, 'rule', d.rule, 'label', d.label, 'weight', d.weight))"
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     out = (
         own.withColumn("_n", F.expr(f"size(regexp_extract_all(_text, r'{WORD_ANY_CASE}', 0))"))
-        .withColumn("_low", F.when(F.expr(f"{_let('lower(_text)', 't', ' OR '.join(f'contains(t, {_quoted(x)})' for x in STEMS))} OR _text rlike {_quoted(GATE)}"), ascii_lower(F.col("_text"))))
+        .withColumn("_low", F.when(F.expr(f"{let_sql('lower(_text)', 't', ' OR '.join(f'contains(t, {_quoted(x)})' for x in STEMS))} OR _text rlike {_quoted(GATE)}"), ascii_lower(F.col("_text"))))
         .withColumn("_flat", F.regexp_replace("_low", BETWEEN.replace("\\s", r"\x20\x09-\x0D"), " "))
         .withColumn("_words", F.when(F.col("_low").contains("license"), F.expr(f"regexp_extract_all(_low, r'{WORD}', 0)")))
         .withColumn("_places", F.expr(f"CASE WHEN size(_words) > 0 THEN {places} ELSE {empty_places} END"))

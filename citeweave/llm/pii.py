@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citeweave.llm.common import fenced, free_names, table
+from citeweave.llm.common import fenced, free_names, let_sql, scan_sql, table
 
 #: The session's setting that holds the secret key; without it, pseudonyms are made with a key that all can read, for tests.
 KEY_SETTING = "spark.citeweave.pii.key"
@@ -17,7 +17,9 @@ KEY, ROUNDS = "not-a-secret", 6
 #: Days from 1900-01-01 that dates are permuted within (to 2099-12-31).
 DAYS = 73049
 
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Java's engine recurses once for each time that a group repeats, so groups repeat a bounded number of times (labels of a domain
+# as in the DNS, 127 of 63 characters at the most) or possessively; and no long run of characters is tried from each of its places.
+_EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,63}"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 _SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?<=password=)[0-9A-Za-z]{8,64}|(?<=token = \")[0-9A-Za-z]{16,64}(?=\")"
 _DATE = r"(?<![\d-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])|(?<![\d/])(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d(?![\d/])"
@@ -27,8 +29,11 @@ _PHONE = r"(?<![\w+])\+\d{1,3} \(\d{3}\) \d{3}-\d{4}(?!\d)|(?<![\w+])\+\d{8,15}(
 _PHONE += r"|(?<![\w+])\+\d(?:[ .-]?\(?\d\)?){7,14}(?!\d)|(?<![\w.])\d{3}\.\d{3}\.\d{4}(?!\d|\.\d)"
 _SSN = r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}(?![\d-])"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])|(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-#: A whole run of groups of digits, of any length; _pieces looks for cards inside.
-_CARD = r"(?<![\w.-])\d[\d -]{11,}\d(?![\w@-]|\.\d{1,3}\.\d|/\d\d/\d)"
+#: What may not follow a group of digits, and groups joined by hyphens before it.
+_AFTER = r"(?![\w@-]|\.\d{1,3}\.\d|/\d\d/\d)"
+_JOINED = rf"\d++(?:-\d++)*+{_AFTER}"
+#: Groups of digits joined by single hyphens and spaces, of any length; _pieces looks for cards inside.
+_CARD = rf"(?<![\w.-])(?=\d[\d -]{{12}}){_JOINED}(?: {_JOINED})*+"
 #: What a group inside a run may start instead of a card.
 _INNER = r"^(?:(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])|(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}|\d{3}-\d{3}-\d{4})(?![\d-])"
 #: Tried at each place in this order.
@@ -37,10 +42,6 @@ PATTERN = "|".join((_EMAIL, _SECRET, _IP, _DATE, _PHONE, _SSN, _IBAN, _CARD))
 GATE = r"@|\d[ -]?\d|AKIA|password=|token = "
 
 
-def _let(value: str, name: str, body: str) -> str:
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -62,7 +63,7 @@ def feistel_sql(value: str, modulus: str, tag: str, key: str = KEY, rounds: int
             change = f"named_struct('l', s.l, 'r', (s.r + {digest('l')} % b) % b)"
         else:
             change = f"named_struct('l', (s.l + {digest('r')} % a) % a, 'r', s.r)"
-        steps = _let(steps, "s", change)
+        steps = let_sql(steps, "s", change)
     once = f"transform(array({steps}), s -> s.l * b + s.r)[0]"
     walk = f"aggregate(sequence(1, 40), named_struct('x', v, 'd', false), (w, k) -> CASE WHEN w.d THEN w ELSE transform(transform(array(w.x), x -> {once}), y -> named_struct('x', y, 'd', y < n))[0] END, w -> w.x)"
     body = f"transform(array(bigint(ceil(sqrt(n)))), a -> transform(array((n + a - 1) div a), b -> {walk})[0])[0]"
@@ -76,7 +77,7 @@ def _digits(x: str) -> str:
 def _refill(shape: str, digits: str) -> str:
     """SQL: `shape` with its digits replaced, in order, by those of `digits`."""
     step = "(s, c) -> CASE WHEN c BETWEEN '0' AND '9' THEN named_struct('o', concat(s.o, substr(d, s.k + 1, 1)), 'k', s.k + 1) ELSE named_struct('o', concat(s.o, c), 'k', s.k) END"
-    return _let(digits, "d", f"aggregate(split({shape}, ''), named_struct('o', '', 'k', 0), {step}, s -> s.o)")
+    return let_sql(digits, "d", f"aggregate(split({shape}, ''), named_struct('o', '', 'k', 0), {step}, s -> s.o)")
 
 
 def _luhn(d: str) -> str:
@@ -109,22 +110,24 @@ def _pieces(m: str, s: str) -> str:
     """SQL: match `m` cut into what is judged (j) and what stays as it is, in order; only `s`, if it's a secret, is whole.
 
     In runs of digits, every group start is tried: a date or a number in hyphens, or else the longest card of 13 to 19
-    digits that ends with a group and validates. Of a spaced IBAN, the longest validating row of groups counts, and what
+    digits that ends with a group and validates; groups inside one aren't tried. Of a spaced IBAN, the longest validating row of groups counts, and what
     follows it is a run again.
     """
+    kind = "struct<v: string, j: boolean>"
     piece = lambda v, j: f"named_struct('v', {v}, 'j', {j})"
     tried = ", ".join(f"regexp_extract(r, {_quoted(f'^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])')}, 0)" for n in range(19, 12, -1))
-    card = f"coalesce(get(filter(array({tried}), x -> x <> '' AND {_let(_digits('x'), 'q', _luhn_ok('q'))}), 0), '')"
-    inner = f"CASE WHEN p = 1 OR substr(t, p - 1, 1) = ' ' THEN regexp_extract(r, {_quoted(_INNER)}, 0) ELSE '' END"
-    # A card takes 19 digits and 18 separators at the most, and one character more shows that its last group ends.
-    found = _let("substr(t, p, 38)", "r", _let(inner, "d", f"CASE WHEN d <> '' THEN d ELSE {card} END"))
-    grown = f"named_struct('o', concat(a.o, array({piece('substr(t, a.at, p - a.at)', 'false')}, {piece('f', 'true')})), 'at', p + length(f))"
-    step = f"(a, p) -> CASE WHEN p < a.at THEN a ELSE {_let(found, 'f', f'CASE WHEN f = {_quoted(str())} THEN a ELSE {grown} END')} END"
-    starts = "filter(sequence(1, length(t)), p -> substr(t, p, 1) BETWEEN '0' AND '9' AND (p = 1 OR NOT substr(t, p - 1, 1) rlike '[0-9A-Za-z]'))"
-    run = lambda t: _let(t, "t", f"CASE WHEN t = '' THEN cast(array() as array<struct<v: string, j: boolean>>) ELSE aggregate({starts}, named_struct('o', cast(array() as array<struct<v: string, j: boolean>>), 'at', 1), {step}, a -> concat(a.o, array({piece('substr(t, a.at)', 'false')}))) END")
+    card = f"coalesce(get(filter(array({tried}), y -> y <> '' AND {let_sql(_digits('y'), 'q', _luhn_ok('q'))}), 0), '')"
+    # g: groups with what parts each from the next; x: a group's place. A card takes 19 digits and 18 separators at the most,
+    # and one character more shows that its last group ends. s: how many groups belong to the last piece found.
+    inner = f"CASE WHEN x = 0 OR endswith(g[x - 1], ' ') THEN regexp_extract(r, {_quoted(_INNER)}, 0) ELSE '' END"
+    found = let_sql(f"substr(concat_ws('', {', '.join(f'substr(get(g, x + {i}), 1, 38)' for i in range(19))}), 1, 38)", "r", let_sql(inner, "d", f"named_struct('r', r, 'f', CASE WHEN d <> '' THEN d ELSE {card} END)"))
+    takes = f"named_struct('n', size(split(z.f, '[ -]')) - 1, 'e', array({piece('z.f', 'true')}, {piece('substr(z.r, length(z.f) + 1, CASE WHEN substr(z.r, length(z.f) + 1, 1) IN (' + _quoted(' ') + ', ' + _quoted('-') + ') THEN 1 ELSE 0 END)', 'false')}))"
+    passes = f"named_struct('n', 0, 'e', array({piece('g[x]', 'false')}))"
+    step = f"CASE WHEN s > 0 THEN named_struct('n', s - 1, 'e', array()) WHEN NOT g[x] rlike '^[0-9]' THEN {passes} ELSE {let_sql(found, 'z', f'CASE WHEN z.f = {_quoted(str())} THEN {passes} ELSE {takes} END')} END"
+    run = lambda t: let_sql(f"split({t}, '(?<=[ -])')", "g", scan_sql("sequence(0, size(g) - 1)", "0", step, kind))
     plain = "replace(x, ' ', '')"
     rows = f"filter(transform(sequence(size(split({m}, ' ')), 1, -1), n -> array_join(slice(split({m}, ' '), 1, n), ' ')), x -> length({plain}) >= 15 AND {_mod97(f'concat(substr({plain}, 5), substr({plain}, 1, 4))')} = 1)"
-    iban = _let(f"coalesce(get({rows}, 0), '')", "b", f"concat(CASE WHEN b = '' THEN cast(array() as array<struct<v: string, j: boolean>>) ELSE array({piece('b', 'true')}) END, {run(f'substr({m}, length(b) + 1)')})")
+    iban = let_sql(f"coalesce(get({rows}, 0), '')", "b", f"concat(CASE WHEN b = '' THEN cast(array() as array<{kind}>) ELSE array({piece('b', 'true')}) END, {run(f'substr({m}, length(b) + 1)')})")
     return f"CASE WHEN NOT {s} AND {m} rlike '^[A-Z]{{2}}[0-9]{{2}} ' THEN {iban} WHEN NOT {s} AND {m} rlike '^[0-9][0-9 -]{{11,}}[0-9]$' THEN {run(m)} ELSE array({piece(m, 'true')}) END"
 
 
@@ -141,7 +144,7 @@ def pseudonym_sql(m: str, s: str, key: str = KEY) -> tuple[str, str]:
         f"WHEN {m} rlike {_quoted('^[0-9]{2}[.][0-9]{2}[.][0-9]{4}$')} THEN CASE WHEN try_to_date({m}, 'dd.MM.yyyy') IS NOT NULL THEN 'date_dmy_dot' END "
         f"WHEN {m} rlike {_quoted('^[+(]|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$')} THEN 'phone' WHEN {m} rlike {_quoted('^[0-9]{3}-[0-9]{2}-[0-9]{4}$')} THEN 'ssn' "
         f"WHEN {m} rlike '^[A-Z]' THEN CASE WHEN {_mod97(f'concat(substr({compact}, 5), substr({compact}, 1, 4))')} = 1 THEN 'iban' END "
-        f"WHEN {_let(_digits(m), 'q', _luhn_ok('q'))} THEN 'card' END"
+        f"WHEN {let_sql(_digits(m), 'q', 'CASE WHEN length(q) >= 13 THEN ' + _luhn_ok('q') + ' END')} THEN 'card' END"
     )
     since = "DATE'1900-01-01'"
     forms = {"date_ymd": "yyyy-MM-dd", "date_dmy": "dd/MM/yyyy", "date_mdy": "MM/dd/yyyy", "date_ymd_slash": "yyyy/MM/dd", "date_dmy_dot": "dd.MM.yyyy"}
@@ -170,20 +173,20 @@ def pseudonym_sql(m: str, s: str, key: str = KEY) -> tuple[str, str]:
     phone = f"concat(substr(x.q, 1, length(x.q) - 7), {_padded('z[0]', '7')})"
     ssn = f"concat({_padded('z[0] div 989901L + CASE WHEN z[0] div 989901L >= 665 THEN 2 ELSE 1 END', '3')}, {_padded('(z[0] div 9999L) % 99 + 1', '2')}, {_padded('z[0] % 9999L + 1', '4')})"
     # The first six digits (the issuer) and the length stay; the account is permuted and the check digit made anew.
-    card = _let(f"concat(substr(x.q, 1, 6), {_padded('z[0]', 'length(x.q) - 7')})", "p", f"concat(p, (10 - {_luhn('p')} % 10) % 10)")
+    card = let_sql(f"concat(substr(x.q, 1, 6), {_padded('z[0]', 'length(x.q) - 7')})", "p", f"concat(p, (10 - {_luhn('p')} % 10) % 10)")
     refilled = _refill(m, f"CASE k WHEN 'phone' THEN {phone} WHEN 'ssn' THEN {ssn} ELSE {card} END")
     padded = lambda i: f"CASE WHEN {digits(i)} = '' THEN '' ELSE {_padded(f'z[{i}]', f'length({digits(i)})')} END"
     written = lambda i: f"CASE WHEN {letters(i)} = '' THEN '' ELSE array_join(transform(sequence(length({letters(i)}) - 1, 0, -1), j -> chr(65 + (z[{2 + i}] div bigint(power(26D, j))) % 26)), '') END"
     step = "(s, c) -> CASE WHEN c = '' THEN s WHEN c BETWEEN '0' AND '9' THEN named_struct('o', concat(s.o, substr(d.n, s.k + 1, 1)), 'k', s.k + 1, 'l', s.l) ELSE named_struct('o', concat(s.o, substr(d.w, s.l + 1, 1)), 'k', s.k, 'l', s.l + 1) END"
-    bban = _let(f"named_struct('n', concat({padded(0)}, {padded(1)}), 'w', concat({written(0)}, {written(1)}, {written(2)}))", "d", f"aggregate(split(substr({compact}, 5), ''), named_struct('o', '', 'k', 0, 'l', 0), {step}, s -> s.o)")
+    bban = let_sql(f"named_struct('n', concat({padded(0)}, {padded(1)}), 'w', concat({written(0)}, {written(1)}, {written(2)}))", "d", f"aggregate(split(substr({compact}, 5), ''), named_struct('o', '', 'k', 0, 'l', 0), {step}, s -> s.o)")
     # Two check digits are made anew, and all goes into the groups of the match, whose characters it replaces one by one.
-    iban = _let(bban, "u", f"concat(substr({compact}, 1, 2), lpad(cast(98 - {_mod97(f"concat(u, substr({compact}, 1, 2), '00')")} as string), 2, '0'), u)")
-    iban = _let(iban, "y", f"aggregate(split({m}, ''), named_struct('o', '', 'k', 0), (s, c) -> CASE WHEN c IN ('', ' ') THEN named_struct('o', concat(s.o, c), 'k', s.k) ELSE named_struct('o', concat(s.o, substr(y, s.k + 1, 1)), 'k', s.k + 1) END, s -> s.o)")
+    iban = let_sql(bban, "u", f"concat(substr({compact}, 1, 2), lpad(cast(98 - {_mod97(f"concat(u, substr({compact}, 1, 2), '00')")} as string), 2, '0'), u)")
+    iban = let_sql(iban, "y", f"aggregate(split({m}, ''), named_struct('o', '', 'k', 0), (s, c) -> CASE WHEN c IN ('', ' ') THEN named_struct('o', concat(s.o, c), 'k', s.k) ELSE named_struct('o', concat(s.o, substr(y, s.k + 1, 1)), 'k', s.k + 1) END, s -> s.o)")
     secret = f"CASE WHEN {m} rlike '^AKIA' THEN concat('AKIA', upper(substr({_token(m, 'secret', key)}, 1, 16))) ELSE substr(repeat({_token(m, 'secret', key)}, 2), 1, length({m})) END"
     email = f"concat('u', substr({_token(f'lower({m})', 'email', key)}, 1, 16), '@', substr({_token(f'lower({m})', 'domain', key)}, 1, 8), '.invalid')"
     formatted = f"CASE WHEN k = 'ip' THEN {ip} WHEN k = 'iban' THEN {iban} WHEN k LIKE 'date%' THEN {date} ELSE {refilled} END"
     found = f"named_struct('q', CASE WHEN k = 'iban' THEN {_digits(f'substr({compact}, 5)')} ELSE {_digits(m)} END, 'w', CASE WHEN k = 'iban' THEN regexp_replace(substr({compact}, 5), '[^A-Z]', '') ELSE '' END)"
-    out = f"CASE k WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} ELSE {_let(found, 'x', _let(permuted, 'z', formatted))} END"
+    out = f"CASE k WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} ELSE {let_sql(found, 'x', let_sql(permuted, 'z', formatted))} END"
     return kind, out
 
 
@@ -198,14 +201,17 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     secret = "(m rlike '^[0-9A-Za-z]{8,64}$' AND (endswith(_between[i], 'password=') OR endswith(_between[i], 'token = \"')))"
     kind, out = pseudonym_sql("m", "w", key)
-    judged = _let("e.v", "m", _let(f"CASE WHEN e.j THEN {kind} END", "k", f"named_struct('k', k, 'p', CASE WHEN k IS NULL THEN m ELSE {out} END)"))
-    each = f"transform(_found, (m, i) -> {_let(secret, 'w', f'transform({_pieces("m", "w")}, e -> {judged})')})"
+    judged = let_sql("e.v", "m", let_sql(f"CASE WHEN e.j THEN {kind} END", "k", f"named_struct('k', k, 'p', CASE WHEN k IS NULL THEN m ELSE {out} END)"))
+    # In two columns, as the analyzer goes through nested functions level by level, a limited number of times.
+    cut = f"transform(_found, (m, i) -> {let_sql(secret, 'w', f"named_struct('w', w, 'p', {_pieces('m', 'w')})")})"
+    each = f"transform(_cut, c -> {let_sql('c.w', 'w', f'transform(c.p, e -> {judged})')})"
     pattern = _quoted(PATTERN)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
     done = (
         own.withColumn("_between", F.expr(f"CASE WHEN _text rlike {_quoted(GATE)} THEN split(_text, {pattern}, -1) END"))
         .withColumn("_found", F.expr(f"CASE WHEN _text rlike {_quoted(GATE)} THEN regexp_extract_all(_text, {pattern}, 0) END"))
-        .withColumn("_new", F.expr(f"CASE WHEN size(_found) > 0 THEN {each} ELSE cast(array() as array<array<struct<k: string, p: string>>>) END"))
+        .withColumn("_cut", F.expr(f"CASE WHEN size(_found) > 0 THEN {cut} END"))
+        .withColumn("_new", F.expr(f"CASE WHEN size(_cut) > 0 THEN {each} ELSE cast(array() as array<array<struct<k: string, p: string>>>) END"))
         .withColumn(
             "_out",
             F.expr(f"CASE WHEN size(_found) > 0 THEN concat_ws('', transform(_between, (x, i) -> concat(x, coalesce(array_join(transform(get(_new, i), y -> y.p), ''), '')))) ELSE _text END"),

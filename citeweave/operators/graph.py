@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeweave.operators.steps import Steps, few, small
+
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(topic, paper_id, in_degree, out_degree) of all nodes, over distinct edges."""
@@ -15,50 +17,83 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.fillna(0, ["in_degree", "out_degree"])
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.5, iterations: int = 100, tolerance: float = 1e-9) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.5, iterations: int = 100, tolerance: float = 1e-9, per_step: int = 2) -> DataFrame:
     """(topic, paper_id, pagerank), each topic by itself: uniform teleport, the rank of dangling papers spread evenly,
-    until a step changes less than `tolerance` in sum. A topic's subgraph is some hundred papers, so one task holds it."""
-    import numpy as np
-
-    def one(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(n["paper_id"].unique())
-        size = len(ids)
-        if not size:
-            return pd.DataFrame({"topic": [], "paper_id": [], "pagerank": []})
-        citing, cited = np.searchsorted(ids, e["citing_id"]), np.searchsorted(ids, e["cited_id"])
-        out = np.bincount(citing, minlength=size)
-        rank = np.full(size, 1.0 / size)
-        for _ in range(iterations):
-            share = np.where(out > 0, rank / np.maximum(out, 1), 0.0)
-            new = (1 - damping) / size + damping * (np.bincount(cited, share[citing], size) + rank[out == 0].sum() / size)
-            change = np.abs(new - rank).sum()
-            rank = new
-            if change < tolerance:
+    until no topic's ranks change by more than `tolerance` in sum.
+
+    edges (topic, citing_id, cited_id) are distinct and among the nodes. They are dealt once by citing paper, and ranks lie in
+    the same buckets; an iteration sends shares to the cited papers, summed before they travel, and one number a topic. Ranks
+    are written every `per_step` iterations. A paper cited by very many is a sum, not a group.
+    """
+    steps = Steps(nodes.sparkSession, "pagerank")
+    ids = nodes.select("topic", "paper_id").distinct()
+    sizes = steps.save(ids.groupBy("topic").agg(F.count("*").alias("n")), "sizes")
+    topics = F.broadcast if few(sizes) else (lambda df: df)
+    links = steps.save_by(edges.select(*[F.col(c).alias(c) for c in ("topic", "citing_id", "cited_id")]), "links", "topic", "citing_id")
+    cites = links.groupBy("topic", F.col("citing_id").alias("paper_id")).agg(F.count("*").alias("cites"))
+    start = ids.join(cites, ["topic", "paper_id"], "left").join(topics(sizes), "topic")
+    start = start.select("topic", "paper_id", "n", F.coalesce("cites", F.lit(0)).alias("cites"), (1.0 / F.col("n")).alias("rank"), F.lit(0.0).alias("old"))
+    rank = steps.save_by(start, "rank0", "topic", "paper_id")
+
+    def following(rank: DataFrame) -> DataFrame:
+        share = rank.where("cites > 0").select("topic", F.col("paper_id").alias("citing_id"), (F.col("rank") / F.col("cites")).alias("share"))
+        sent = links.join(share, ["topic", "citing_id"]).select("topic", F.col("cited_id").alias("paper_id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("cites"), F.lit(None).cast("double").alias("old"), "share")
+        own = rank.select("topic", "paper_id", "n", "cites", F.col("rank").alias("old"), F.lit(0.0).alias("share"))
+        sums = own.unionByName(sent).groupBy("topic", "paper_id").agg(F.max("n").alias("n"), F.max("cites").alias("cites"), F.max("old").alias("old"), F.sum("share").alias("sum"))
+        loose = rank.where("cites = 0").groupBy("topic").agg(F.sum("rank").alias("loose"))
+        new = (1 - damping) / F.col("n") + damping * (F.col("sum") + F.coalesce("loose", F.lit(0.0)) / F.col("n"))
+        return sums.join(topics(loose), "topic", "left").select("topic", "paper_id", "n", "cites", new.alias("rank"), "old")
+
+    done = 0
+    while done < iterations:
+        now = min(per_step, iterations - done)
+        new = rank
+        for _ in range(now):
+            new = following(new)
+        new = steps.save_by(new, f"rank{done + now}", "topic", "paper_id")
+        steps.drop(f"rank{done}")
+        rank, done = new, done + now
+        if tolerance > 0:
+            change = rank.groupBy("topic").agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("c")).agg(F.max("c")).first()[0]
+            if change is None or change < tolerance:
                 break
-        return pd.DataFrame({"topic": n["topic"].iloc[0], "paper_id": ids, "pagerank": rank})
-
-    kept = edges.select(*[F.col(c).alias(c) for c in ("topic", "citing_id", "cited_id")])  # other columns than the nodes', even if derived from them
-    schema = f"topic {nodes.schema['topic'].dataType.simpleString()}, paper_id {nodes.schema['paper_id'].dataType.simpleString()}, pagerank double"
-    return nodes.select("topic", "paper_id").groupBy("topic").cogroup(kept.groupBy("topic")).applyInPandas(one, schema)
+    return rank.select("topic", "paper_id", F.col("rank").alias("pagerank"))
 
 
 def age_rescale(scores: DataFrame, score: str = "score", window: int = 3, least: int = 5) -> DataFrame:
     """Adds z: the score against papers of the topic within `window` years, or the `least` nearest in time where these are
-    fewer. 0 for undated papers and flat cohorts. scores: topic, paper_id, year and `score`."""
-    near = Window.partitionBy("topic").orderBy("year").rangeBetween(-window, window)
-    stats = lambda o: [f(score).over(o).alias(n) if o is not None else f(score).alias(n) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max), ("c", F.count))]
-    dated = scores.where("year IS NOT NULL")
-    wide = dated.select("*", *stats(near))
-    z = F.when((F.col("c") < 2) | (F.col("lo") == F.col("hi")), 0.0).otherwise((F.col(score) - F.col("m")) / F.col("s"))
-    enough = wide.where(F.col("c") >= least)
-    short = wide.where(F.col("c") < least).select("topic", F.col("paper_id").alias("of"), F.col("year").alias("own"))
-    order = Window.partitionBy("topic", "of").orderBy(F.abs(F.col("year") - F.col("own")), "year", "paper_id")
-    nearest = short.join(dated.select("topic", "paper_id", "year", score), "topic").withColumn("r", F.row_number().over(order)).where(F.col("r") <= least)
-    cohort = nearest.groupBy("topic", "of").agg(*stats(None)).withColumnRenamed("of", "paper_id")
-    sparse = dated.join(cohort, ["topic", "paper_id"])
-    columns = scores.columns
+    fewer. 0 for undated papers and flat cohorts. scores: topic, paper_id, year and `score`.
+
+    Cohorts come from one row for each topic and year: count, mean, squared deviations, least and greatest, merged over the
+    years of the window. Where a cohort is small, so are its years, and the nearest papers are looked for in the years that
+    hold `least` of them, nearest first; of each year only the `least` smallest ids can matter.
+    """
+    columns, dated = scores.columns, scores.where("year IS NOT NULL")
+    value = F.col(score).cast("double")
+    years = dated.groupBy("topic", "year").agg(F.count(value).alias("c"), F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    near = years.withColumnRenamed("year", "other").withColumn("year", F.explode(F.expr(f"sequence(other - {window}, other + {window})")))
+    near = near.join(years.select("topic", "year"), ["topic", "year"], "left_semi")
+    total, mean = F.sum("c"), F.sum(F.col("c") * F.col("m")) / F.sum("c")
+    cohort = near.groupBy("topic", "year").agg(total.alias("c"), mean.alias("m"), F.collect_list(F.struct("c", "m", "v")).alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # Squares are summed around the window's mean: no difference of large numbers. A window has 2 * window + 1 years at the most.
+    squares = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["c"] * (p["v"] + (p["m"] - F.col("m")) * (p["m"] - F.col("m"))))
+    cohort = cohort.select("topic", "year", "c", "m", F.sqrt(squares / F.col("c")).alias("s"), "lo", "hi")
+    flat = lambda z: F.when((F.col("c") < 2) | (F.col("lo") == F.col("hi")), 0.0).otherwise(z)
+    placed = dated.join(small(cohort), ["topic", "year"])
+    enough = placed.where(F.col("c") >= least).select(*columns, flat((value - F.col("m")) / F.col("s")).alias("z"))
+    # A short cohort's nearest: years in order of their distance until `least` papers are there, by their counts. All papers of a
+    # topic and year share them, so they are found once for each.
+    short = cohort.where(F.col("c") < least).select("topic", F.col("year").alias("own"))
+    by_year = Window.partitionBy("topic", "own").orderBy("gap", "year").rowsBetween(Window.unboundedPreceding, -1)
+    options = short.join(years.select("topic", "year", "c"), "topic").withColumn("gap", F.abs(F.col("year") - F.col("own"))).withColumn("before", F.coalesce(F.sum("c").over(by_year), F.lit(0)))
+    options = options.where(F.col("before") < least).select("topic", "own", "year", "gap", "before")
+    wanted = options.groupBy("topic", "year").agg(F.max(least - F.col("before")).alias("most"))
+    firsts = dated.join(small(wanted), ["topic", "year"]).withColumn("r", F.row_number().over(Window.partitionBy("topic", "year").orderBy("paper_id"))).where(F.col("r") <= least)
+    nearest = options.join(firsts.select("topic", "year", "r", value.alias("o")), ["topic", "year"]).where(F.col("r") + F.col("before") <= least)
+    sparse = nearest.groupBy("topic", F.col("own").alias("year")).agg(F.avg("o").alias("m"), F.stddev_pop("o").alias("s"), F.min("o").alias("lo"), F.max("o").alias("hi"), F.count("*").alias("c"))
+    rest = dated.join(small(sparse), ["topic", "year"]).select(*columns, flat((value - F.col("m")) / F.col("s")).alias("z"))
     undated = scores.where("year IS NULL").select(*columns, F.lit(0.0).alias("z"))
-    return enough.select(*columns, z.alias("z")).unionByName(sparse.select(*columns, z.alias("z"))).unionByName(undated)
+    return enough.unionByName(rest).unionByName(undated)
 
 
 def _louvain(nodes: list, weights: dict, resolution: float) -> list[int]:

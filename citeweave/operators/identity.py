@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,27 +10,15 @@ from pyspark.sql import functions as F
 from citeweave.functions.ids import canonical_id
 from citeweave.functions.text import title_fingerprint
 from citeweave.operators.components import connected_components
+from citeweave.operators.steps import Steps
 
 #: Titles of fewer letters don't merge records.
 LEAST_TITLE = 12
-_own: list[str] = []
 
 
 def saver(spark: SparkSession, tag: str) -> Callable[[DataFrame, str], DataFrame]:
-    """Writes a table into the folder that the cluster shares (spark.checkpoint.dir) and reads it again."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="citeweave-ops-"))
-            atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-        root = f"file://{_own[0]}"
-    base = f"{root.rstrip('/')}/citeweave-{tag}-{uuid.uuid4().hex}"
-
-    def save(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{base}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{base}/{name}")
-
-    return save
+    """Writes a table into the folder that the cluster shares and reads it again."""
+    return Steps(spark, tag).save
 
 
 def _to_lowest(keyed: DataFrame, *keys: str) -> DataFrame:

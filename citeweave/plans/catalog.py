@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import ids, text, titles
 from citeweave.operators import curriculum, expansion, fusion, graph, identity, judgment, model_calls, ordering, resolver, selection, summaries
+from citeweave.operators.steps import Steps
 from citeweave.plans import paths
 from citeweave.sources import stand_ins as x
 from citeweave.sources.response_cache import request_key
@@ -261,8 +262,9 @@ def _(spark, d):
     return judgment.structural_subtopics(graph.communities(x.papers(spark, d), x.citations(spark, d)))
 
 
-def _order(spark, d):
-    return ordering.order_paths(x.papers(spark, d).withColumn("rank", F.col("rn")), x.citations(spark, d), x.citations(spark, d).select("topic", F.col("cited_id").alias("prerequisite_id"), F.col("citing_id").alias("dependent_id")))
+def _order(spark, d, claim: bool = False):
+    claimed = x.citations(spark, d).select("topic", F.col("cited_id").alias("prerequisite_id"), F.col("citing_id").alias("dependent_id")) if claim else None
+    return ordering.order_paths(x.papers(spark, d).withColumn("rank", F.col("rn")), x.citations(spark, d), claimed)
 
 
 _LEVELS = f"""{x.CITES}, lv(topic, paper_id, level) AS (SELECT topic, paper_id, 0 FROM x_papers UNION SELECT c.topic, c.citing_id, l.level + 1 FROM lv l JOIN x_cites c ON c.topic = l.topic AND c.cited_id = l.paper_id),
@@ -282,14 +284,27 @@ def _(spark, d):
 @query("q32_reduction", f"""WITH RECURSIVE {x.CITES}, reach(topic, a, b) AS (SELECT topic, cited_id, citing_id FROM x_cites UNION SELECT r.topic, r.a, c.citing_id FROM reach r JOIN x_cites c ON c.topic = r.topic AND c.cited_id = r.b)
  SELECT topic, cited_id AS prerequisite_id, citing_id AS dependent_id FROM x_cites e WHERE NOT EXISTS (SELECT 1 FROM x_cites f JOIN reach r ON r.topic = f.topic AND r.a = f.citing_id WHERE f.topic = e.topic AND f.cited_id = e.cited_id AND r.b = e.citing_id)""")
 def _(spark, d):
-    return _order(spark, d).select("topic", F.explode("prerequisites").alias("prerequisite_id"), F.col("paper_id").alias("dependent_id"))
+    return _order(spark, d, True).select("topic", F.explode("prerequisites").alias("prerequisite_id"), F.col("paper_id").alias("dependent_id"))
 
 
-@query("q33_cycles")
-def _(spark, d):
+def _turned(spark, d):
+    """Citations, and some of them the other way round too."""
     edges = x.citations(spark, d)
     back = edges.where((F.col("citing_id") + F.col("cited_id")) % 41 == 0).select("topic", F.col("cited_id").alias("citing_id"), F.col("citing_id").alias("cited_id"))
-    return ordering.order_paths(x.papers(spark, d).withColumn("rank", F.col("rn")), edges.union(back)).select("topic", F.col("paper_id").alias("from_id"), F.explode("broken").alias("to_id"))
+    return edges.union(back)
+
+
+@query("q33_cycles")
+def _(spark, d):
+    return ordering.order_paths(x.papers(spark, d).withColumn("rank", F.col("rn")), _turned(spark, d)).select("topic", F.col("paper_id").alias("from_id"), F.explode("broken").alias("to_id"))
+
+
+@query("q62_strong_components", f"""WITH RECURSIVE {x.CITES}, e AS (SELECT topic, citing_id AS a, cited_id AS b FROM x_cites UNION SELECT topic, cited_id, citing_id FROM x_cites WHERE (citing_id + cited_id) % 41 = 0),
+ r(topic, a, b) AS (SELECT topic, a, b FROM e UNION SELECT r.topic, r.a, e.b FROM r JOIN e ON e.topic = r.topic AND e.a = r.b)
+ SELECT f.topic, f.a AS paper_id, min(f.b) AS component FROM r f JOIN r g ON g.topic = f.topic AND g.a = f.b AND g.b = f.a GROUP BY ALL""")
+def _(spark, d):
+    links = _turned(spark, d).select("topic", F.col("citing_id").alias("a"), F.col("cited_id").alias("b"))
+    return ordering.strong_components(links, Steps(spark, "components"))
 
 
 @query("q34_structural_paths")

@@ -118,7 +118,6 @@ def test_order(spark):
     nodes = papers(spark, {"x": 2019, "y": 2021}).withColumn("rank", F.lit(0))
     got = {r["paper_id"]: r for r in ordering.order_paths(nodes, edges(spark, [("x", "y"), ("y", "x")])).collect()}
     assert got["x"]["position"] == 0 and sum(len(r["broken"]) for r in got.values()) == 1
-    assert ordering.reduce_transitively({("a", "b"), ("b", "c"), ("a", "c")}) == {("a", "b"), ("b", "c")}
 
 
 def test_selection(spark):

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from citeweave.operators.steps import Steps, few, small
+from citeweave.operators.steps import Steps, few, ranked, small
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -96,69 +96,107 @@ def age_rescale(scores: DataFrame, score: str = "score", window: int = 3, least:
     return enough.unionByName(rest).unionByName(undated)
 
 
-def _louvain(nodes: list, weights: dict, resolution: float) -> list[int]:
-    """Community of each node 0 .. n - 1 (in order), numbered by their first members."""
-    n = len(nodes)
-    belongs = list(range(n))
-    level = [dict(w) for w in weights]
-    loops = [0.0] * n
-    total = sum(sum(w.values()) for w in level) / 2
-    if not total:
-        return belongs
-    while True:
-        size = len(level)
-        degree = [sum(level[i].values()) + 2 * loops[i] for i in range(size)]
-        group, mass = list(range(size)), degree[:]
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for i in range(size):
-                links: dict[int, float] = {}
-                for j, w in level[i].items():
-                    links[group[j]] = links.get(group[j], 0.0) + w
-                own = group[i]
-                mass[own] -= degree[i]
-                gain = lambda c: links.get(c, 0.0) - resolution * mass[c] * degree[i] / (2 * total)  # noqa: B023, E731
-                best, value = own, gain(own)
-                for c in sorted(links):
-                    if c != own and gain(c) > value + 1e-12:
-                        best, value = c, gain(c)
-                mass[best] += degree[i]
-                if best != own:
-                    group[i], moved, moved_any = best, True, True
-        names: dict[int, int] = {}
-        for g in group:
-            names.setdefault(g, len(names))
-        group = [names[g] for g in group]
-        belongs = [group[b] for b in belongs]
-        if not moved_any or len(names) == 1:
-            return belongs
-        merged: list[dict] = [{} for _ in names]
-        inner = [0.0] * len(names)
-        for i in range(size):
-            inner[group[i]] += loops[i]
-            for j, w in level[i].items():
-                if group[i] == group[j]:
-                    inner[group[i]] += w / 2
-                else:
-                    merged[group[i]][group[j]] = merged[group[i]].get(group[j], 0.0) + w
-        level, loops = merged, inner
-
-
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """(topic, paper_id, community) by the Louvain method on undirected weights (citations both ways weigh 2), visiting
-    papers in order of their ids and breaking ties for the lowest; it is sequential, so a topic is one task."""
-
-    def one(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(n["paper_id"].unique())
-        place = {p: i for i, p in enumerate(ids)}
-        weights: list[dict] = [{} for _ in ids]
-        for a, b in zip(e["citing_id"], e["cited_id"]):
-            i, j = place[a], place[b]
-            weights[i][j] = weights[i].get(j, 0.0) + 1.0
-            weights[j][i] = weights[j].get(i, 0.0) + 1.0
-        return pd.DataFrame({"topic": n["topic"].iloc[0], "paper_id": ids, "community": _louvain(ids, weights, resolution)}) if ids else pd.DataFrame({"topic": [], "paper_id": [], "community": []})
-
-    kept = edges.select(*[F.col(c).alias(c) for c in ("topic", "citing_id", "cited_id")])  # other columns than the nodes', even if derived from them
-    schema = f"topic {nodes.schema['topic'].dataType.simpleString()}, paper_id {nodes.schema['paper_id'].dataType.simpleString()}, community int"
-    return nodes.select("topic", "paper_id").groupBy("topic").cogroup(kept.groupBy("topic")).applyInPandas(one, schema)
+def _moves(nodes: pd.DataFrame, links: pd.DataFrame, resolution: float) -> pd.DataFrame:
+    """(topic, paper_id, group, moved): one block's papers after sweeps until none moves, groups outside standing still.
+
+    nodes: group, degree, the group's mass and the topic's total of each paper; links: weight to a neighbour, its group and that
+    group's mass. Papers go in the order of their ids; of equal gains the smallest group counts, and staying over both.
+    """
+    import numpy as np
+
+    nodes = nodes.sort_values("paper_id", kind="stable")
+    ids, degree = nodes["paper_id"].to_numpy(), nodes["degree"].to_numpy(float)
+    groups = np.unique(np.concatenate([nodes["group"].to_numpy(), links["group"].to_numpy()]) if len(links) else nodes["group"].to_numpy())
+    at = lambda g: np.searchsorted(groups, g)
+    mass = np.zeros(len(groups))
+    mass[at(nodes["group"].to_numpy())] = nodes["mass"].to_numpy(float)
+    before = group = at(nodes["group"].to_numpy())
+    if len(links):
+        mass[at(links["group"].to_numpy())] = links["mass"].to_numpy(float)
+        links = links.iloc[np.argsort(np.searchsorted(ids, links["paper_id"].to_numpy()), kind="stable")]
+        ends = np.searchsorted(np.searchsorted(ids, links["paper_id"].to_numpy()), np.arange(len(ids) + 1))
+        other, weight = links["other"].to_numpy(), links["weight"].to_numpy(float)
+        place = np.minimum(np.searchsorted(ids, other), len(ids) - 1)
+        here, outside = ids[place] == other, at(links["group"].to_numpy())
+        pull = resolution / nodes["total"].to_numpy(float)  # total: of both directions
+        group, restless = before.copy(), True
+        while restless:
+            restless = False
+            for i in range(len(ids)):
+                span = slice(ends[i], ends[i + 1])
+                if span.start == span.stop:
+                    continue
+                mass[group[i]] -= degree[i]
+                near, back = np.unique(np.append(np.where(here[span], group[place[span]], outside[span]), group[i]), return_inverse=True)
+                gain = np.bincount(back, np.append(weight[span], 0.0)) - pull[i] * degree[i] * mass[near]
+                stay = gain[back[-1]]
+                if gain.max() > stay + 1e-12:
+                    group[i] = near[np.argmax(gain > gain.max() - 1e-12)]
+                    restless = True
+                mass[group[i]] += degree[i]
+    return pd.DataFrame({"topic": nodes["topic"].to_numpy(), "paper_id": ids, "group": groups[group], "moved": group != before})
+
+
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, block: int = 50_000, rounds: int = 12) -> DataFrame:
+    """(topic, paper_id, community) by the Louvain method on undirected weights (citations both ways weigh 2), numbered from 0 by
+    first members.
+
+    A level moves papers in blocks of about `block` papers of one topic: papers are visited in order of their ids and ties go to the
+    lowest, so a topic of one block comes out as by a sequential pass. A larger topic's blocks move in turns, even and odd
+    ones, against the groups of the others as they stand, until nothing moves or `rounds` are over. Groups then become the papers of
+    the next level, by sums of weights, until a topic's groups stay or are one. Papers without links are communities of their own.
+    """
+    steps, key = Steps(nodes.sparkSession, "louvain"), ["topic", "paper_id"]
+    kinds = {c: nodes.schema[c].dataType.simpleString() for c in key}
+    schema = f"topic {kinds['topic']}, paper_id {kinds['paper_id']}, group {kinds['paper_id']}, moved boolean"
+    every = steps.save(nodes.select(*key).distinct(), "nodes")
+    ends = [F.col(c).alias(n) for c, n in (("citing_id", "paper_id"), ("cited_id", "other"))]
+    one = edges.where("citing_id <> cited_id").select("topic", *ends)
+    links = one.unionByName(one.select("topic", F.col("other").alias("paper_id"), F.col("paper_id").alias("other"))).groupBy(*key, "other").agg(F.count("*").cast("double").alias("weight"))
+    links = steps.save(links, "links0")
+    loops = None  # weight inside a paper of this level
+    belongs = steps.save(every.withColumn("group", F.col("paper_id")), "belongs0")  # where each first paper is by now
+    level = 0
+    while not links.isEmpty():
+        level += 1
+        degree = links.groupBy(*key).agg(F.sum("weight").alias("degree"))
+        if loops is not None:
+            degree = degree.join(loops, key, "left").select(*key, (F.col("degree") + 2 * F.coalesce("inside", F.lit(0.0))).alias("degree"))
+        papers = steps.save(degree, f"degree{level}")
+        totals = papers.groupBy("topic").agg(F.sum("degree").alias("total"), F.ceil(F.count("*") / block).alias("blocks"))
+        totals = steps.save(totals, f"totals{level}")
+        own = F.pmod(F.xxhash64("paper_id"), F.col("blocks"))
+        papers = steps.save(papers.join(small(totals), "topic").withColumn("block", own), f"papers{level}")
+        state, turn, most = papers.select(*key, F.col("paper_id").alias("group")), 0, totals.agg(F.max("blocks")).first()[0]
+        changed = None
+        while True:
+            mass = state.join(papers, key).groupBy("topic", "group").agg(F.sum("degree").alias("mass"))
+            stands = state.join(mass, ["topic", "group"])
+            moving = F.col("blocks") > 1 if turn > 1 else F.lit(True)
+            turns = moving & ((F.col("blocks") == 1) | (F.pmod(F.col("block") + turn, F.lit(2)) == 0))
+            left = papers.where(turns).join(stands, key)
+            right = links.join(papers.where(turns).select(*key, "block"), key).join(stands.withColumnRenamed("paper_id", "other"), ["topic", "other"])
+            right = right.select(*[F.col(c).alias(c) for c in right.columns])  # columns of their own, though derived from the same tables
+            moved = left.groupBy("topic", "block").cogroup(right.groupBy("topic", "block")).applyInPandas(lambda a, b: _moves(a, b, resolution), schema)
+            rest = state.join(papers.where(turns), key, "left_anti").withColumn("moved", F.lit(False))
+            out = steps.save(moved.unionByName(rest), f"state{level}x{turn}")
+            now = out.where("moved").select("topic").distinct()
+            changed = now if changed is None else changed.unionByName(now)
+            state, turn = out.select(*key, "group"), turn + 1
+            if most == 1 or turn >= rounds or (turn > 1 and turn % 2 == 0 and out.where("moved").isEmpty()):
+                break
+        # Groups take the name of their first member, which keeps the order of the next level.
+        names = state.groupBy("topic", "group").agg(F.min("paper_id").alias("name"))
+        state = steps.save(state.join(names, ["topic", "group"]).select(*key, "name"), f"named{level}")
+        belongs = steps.save(belongs.join(state.withColumnRenamed("paper_id", "group"), ["topic", "group"], "left").select(*key, F.coalesce("name", "group").alias("group")), f"belongs{level}")
+        # Topics in which something moved, and that have several groups left, go on.
+        on = steps.save(changed.distinct().join(state.groupBy("topic").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b"), "topic").select("topic"), f"on{level}")
+        merged = links.join(small(on), "topic", "left_semi").join(state, key).join(state.select("topic", F.col("paper_id").alias("other"), F.col("name").alias("to")), ["topic", "other"])
+        sums = steps.save(merged.groupBy("topic", F.col("name").alias("paper_id"), F.col("to").alias("other")).agg(F.sum("weight").alias("weight")), f"links{level}")
+        inside = sums.where("paper_id = other").select(*key, (F.col("weight") / 2).alias("inside"))
+        if loops is not None:
+            earlier = loops.join(state, key).select("topic", F.col("name").alias("paper_id"), "inside")
+            inside = inside.unionByName(earlier).groupBy(*key).agg(F.sum("inside").alias("inside"))
+        loops, links = steps.save(inside, f"loops{level}"), sums.where("paper_id <> other")
+    numbers = ranked(belongs.select("topic", F.col("group").alias("first")).distinct(), "topic", ["first"], "community", steps)
+    return belongs.join(numbers.withColumnRenamed("first", "group"), ["topic", "group"]).select(*key, "community")

@@ -111,3 +111,77 @@ def test_age_rescale_against_all_pairs(spark, window, least):
                 m = sum(values) / len(values)
                 z = (g["score"] - m) / (sum((v - m) ** 2 for v in values) / len(values)) ** 0.5
         assert abs(g["z"] - z) < 1e-6
+
+
+def plain_louvain(ids, pairs):
+    """The sequential method on dictionaries: each level from single papers, ties to the smallest group."""
+    weight = {}
+    for a, b in pairs:
+        for e in ((a, b), (b, a)):
+            weight[e] = weight.get(e, 0) + 1
+    belongs, inside = {p: p for p in ids}, {}
+    while weight:
+        papers = sorted(set(belongs.values()))
+        degree = {p: sum(w for (a, _), w in weight.items() if a == p) + 2 * inside.get(p, 0) for p in papers}
+        total, group, moved, again = sum(degree.values()), {p: p for p in papers}, False, True
+        while again:
+            again = False
+            for p in papers:
+                gain = lambda g: sum(w for (a, b), w in weight.items() if a == p and b != p and group[b] == g) - degree[p] * sum(degree[q] for q in papers if q != p and group[q] == g) / total  # noqa: B023, E731
+                best, value = group[p], gain(group[p])
+                for g in sorted({group[b] for a, b in weight if a == p} - {group[p]}):
+                    if gain(g) > value + 1e-12:
+                        best, value = g, gain(g)
+                if best != group[p]:
+                    group[p], moved, again = best, True, True
+        first = {g: min(p for p in papers if group[p] == g) for g in group.values()}
+        name = {p: first[g] for p, g in group.items()}
+        belongs = {p: name[g] for p, g in belongs.items()}
+        if not moved or len(first) == 1:
+            break
+        sums, loops = {}, {}
+        for p, w in inside.items():
+            loops[name[p]] = loops.get(name[p], 0) + w
+        for (a, b), w in weight.items():
+            if name[a] == name[b]:
+                loops[name[a]] = loops.get(name[a], 0) + w / 2
+            else:
+                sums[name[a], name[b]] = sums.get((name[a], name[b]), 0) + w
+        weight, inside = sums, loops
+    numbers = {g: i for i, g in enumerate(sorted(set(belongs.values())))}
+    return {p: numbers[g] for p, g in belongs.items()}
+
+
+def modularity(groups, pairs):
+    degree, m = {}, len(pairs)
+    for a, b in pairs:
+        degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
+    own = {}
+    for p, d in degree.items():
+        own[groups[p]] = own.get(groups[p], 0) + d
+    return sum(groups[a] == groups[b] for a, b in pairs) / m - sum((d / 2 / m) ** 2 for d in own.values())
+
+
+def test_communities_are_the_sequential_ones(spark, sf_dir):
+    r = random.Random(11)
+    pairs = {"cliques": [(a, b) for c in range(4) for a in range(c * 5, c * 5 + 5) for b in range(c * 5, a)] + [(0, 5), (5, 10), (10, 15)], "any": [(r.randint(0, 19), r.randint(0, 19)) for _ in range(45)], "both": [(1, 2), (2, 1), (2, 3), (3, 4), (4, 5), (5, 4)], "none": []}
+    for e in x.citations(spark, sf_dir).where("topic IN ('src0', 'src1')").collect():
+        pairs.setdefault(e["topic"], []).append((e["citing_id"], e["cited_id"]))
+    pairs = {t: [(a, b) for a, b in of if a != b] for t, of in pairs.items()}
+    ids = {t: sorted({p for e in of for p in e} | {0, 1}) for t, of in pairs.items()}
+    n = spark.createDataFrame([(t, p) for t, of in ids.items() for p in of], "topic string, paper_id long")
+    e = spark.createDataFrame([(t, a, b) for t, of in pairs.items() for a, b in of], "topic string, citing_id long, cited_id long")
+    got = {(r["topic"], r["paper_id"]): r["community"] for r in graph.communities(n, e).collect()}
+    for t, of in ids.items():
+        assert {p: got[t, p] for p in of} == plain_louvain(of, pairs[t])
+
+
+def test_communities_of_several_blocks(spark):
+    """A topic that no block holds: as good as the sequential result, nearly."""
+    r = random.Random(4)
+    pairs = sorted({(a, b) for a in range(120) for b in range(a) if r.random() < (0.3 if a // 15 == b // 15 else 0.01)})
+    n = spark.createDataFrame([("t", p) for p in range(120)], "topic string, paper_id long")
+    e = spark.createDataFrame([("t", a, b) for a, b in pairs], "topic string, citing_id long, cited_id long")
+    got = {r["paper_id"]: r["community"] for r in graph.communities(n, e, block=30).collect()}
+    assert modularity(got, pairs) > 0.99 * modularity(plain_louvain(list(range(120)), pairs), pairs)
+    assert sorted(set(got.values())) == list(range(len(set(got.values()))))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.operators.steps import top_of
+
 
 def reciprocal_rank_fusion(hits: DataFrame, k: int = 60) -> DataFrame:
     """(topic, paper_id, score, found_by, ranks) of hits (topic, provider, paper_id, rank): the sum of 1 / (k + rank) over
@@ -18,5 +20,4 @@ def reciprocal_rank_fusion(hits: DataFrame, k: int = 60) -> DataFrame:
 
 def top_per_topic(fused: DataFrame, limit: int, *more: str) -> DataFrame:
     """The `limit` best of each topic with their position from 1: by score, number of providers, then `more` and the id."""
-    order = Window.partitionBy("topic").orderBy(F.desc("score"), F.desc(F.size("found_by")), *more, "paper_id")
-    return fused.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
+    return top_of(fused.withColumn("_n", F.size("found_by")), ["topic"], [F.desc("score"), F.desc("_n"), *map(F.col, more), F.col("paper_id")], limit).drop("_n")

@@ -68,16 +68,18 @@ def age_rescale(scores: DataFrame, score: str = "score", window: int = 3, least:
     years of the window. Where a cohort is small, so are its years, and the nearest papers are looked for in the years that
     hold `least` of them, nearest first; of each year only the `least` smallest ids can matter.
     """
+    steps = Steps(scores.sparkSession, "cohorts")  # what several steps use is written once
+    scores = steps.save(scores, "scores")
     columns, dated = scores.columns, scores.where("year IS NOT NULL")
     value = F.col(score).cast("double")
-    years = dated.groupBy("topic", "year").agg(F.count(value).alias("c"), F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    years = steps.save(dated.groupBy("topic", "year").agg(F.count(value).alias("c"), F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.min(value).alias("lo"), F.max(value).alias("hi")), "years")
     near = years.withColumnRenamed("year", "other").withColumn("year", F.explode(F.expr(f"sequence(other - {window}, other + {window})")))
     near = near.join(years.select("topic", "year"), ["topic", "year"], "left_semi")
     total, mean = F.sum("c"), F.sum(F.col("c") * F.col("m")) / F.sum("c")
     cohort = near.groupBy("topic", "year").agg(total.alias("c"), mean.alias("m"), F.collect_list(F.struct("c", "m", "v")).alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     # Squares are summed around the window's mean: no difference of large numbers. A window has 2 * window + 1 years at the most.
     squares = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["c"] * (p["v"] + (p["m"] - F.col("m")) * (p["m"] - F.col("m"))))
-    cohort = cohort.select("topic", "year", "c", "m", F.sqrt(squares / F.col("c")).alias("s"), "lo", "hi")
+    cohort = steps.save(cohort.select("topic", "year", "c", "m", F.sqrt(squares / F.col("c")).alias("s"), "lo", "hi"), "cohorts")
     flat = lambda z: F.when((F.col("c") < 2) | (F.col("lo") == F.col("hi")), 0.0).otherwise(z)
     placed = dated.join(small(cohort), ["topic", "year"])
     enough = placed.where(F.col("c") >= least).select(*columns, flat((value - F.col("m")) / F.col("s")).alias("z"))

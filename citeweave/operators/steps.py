@@ -64,6 +64,18 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if few(df) else df
 
 
+def top_of(df: DataFrame, keys: list[str], order: list[str | Column], k: int, name: str = "position", salts: int = 32) -> DataFrame:
+    """The first k rows of each key, with their place (int, from 1) as `name`. Best lists merge: each task keeps k rows of a
+    key, then each of `salts` parts of it, and only these k * salts meet; so a key of any size is spread over tasks. Rows that
+    tie in all of `order` come in any order."""
+    held = [c for c in df.columns if c != name]
+    plain = [c for c, kind in df.dtypes if c in held and c not in keys and not kind.startswith(("map", "array", "struct"))]
+    dealt = df.select(*held).withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
+    part = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+    few_of = dealt.withColumn("_r", part).where(F.col("_r") <= k)
+    return few_of.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k).select(*held, name)
+
+
 def ranked(df: DataFrame, key: str, order: list[str | Column], name: str, steps: Steps) -> DataFrame:
     """Adds `name`, the row's place (int, from 0) in the order of its key. Rows are dealt out by ranges of key and order, so
     that a key with many rows is spread over tasks; each task's count then gives the places at which the others start."""

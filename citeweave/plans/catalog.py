@@ -178,6 +178,18 @@ def _(spark, d):
     return graph.pagerank(x.papers(spark, d), x.citations(spark, d), iterations=20, tolerance=0.0).withColumn("pagerank", F.round("pagerank", 9))
 
 
+@query("q63_limited_expansion", f"""WITH {x.SEEDS}, n AS (SELECT topic, paper_id, citation_count AS c FROM x_papers), s AS (SELECT * FROM x_seeds WHERE seed_rank <= 25),
+ one AS (SELECT e.* FROM x_cites e SEMI JOIN s ON s.topic = e.topic AND s.paper_id = e.citing_id JOIN n ON n.topic = e.topic AND n.paper_id = e.cited_id QUALIFY row_number() OVER (PARTITION BY e.topic, e.citing_id ORDER BY c DESC NULLS LAST, e.cited_id) <= 2),
+ k AS (SELECT topic, cited_id AS paper_id, count(*) AS n FROM one GROUP BY ALL),
+ a AS (SELECT topic, paper_id, row_number() OVER (PARTITION BY topic ORDER BY n DESC, paper_id) AS position FROM k WHERE n >= 2 AND (topic, paper_id) NOT IN (SELECT topic, paper_id FROM s)),
+ two AS (SELECT e.* FROM x_cites e SEMI JOIN (SELECT * FROM a WHERE position <= 12) b ON b.topic = e.topic AND b.paper_id = e.citing_id JOIN n ON n.topic = e.topic AND n.paper_id = e.cited_id QUALIFY row_number() OVER (PARTITION BY e.topic, e.citing_id ORDER BY c DESC NULLS LAST, e.cited_id) <= 2),
+ three AS (SELECT e.* FROM x_cites e SEMI JOIN (SELECT * FROM a WHERE position <= 6) b ON b.topic = e.topic AND b.paper_id = e.cited_id JOIN n ON n.topic = e.topic AND n.paper_id = e.citing_id QUALIFY row_number() OVER (PARTITION BY e.topic, e.cited_id ORDER BY c DESC NULLS LAST, e.citing_id) <= 1)
+ SELECT topic, citing_id, cited_id, list_aggregate(list_sort(list_distinct(list(p))), 'string_agg', ',') AS passes FROM (SELECT *, 1 AS p FROM one UNION ALL SELECT *, 2 FROM two UNION ALL SELECT *, 3 FROM three) GROUP BY ALL""")
+def _(spark, d):
+    edges = expansion.expand(x.citations(spark, d), x.seeds(spark, d).where("seed_rank <= 25"), least=2, references_per_paper=2, citations_per_paper=1, papers=x.papers(spark, d))
+    return edges.withColumn("passes", F.array_join(F.col("passes").cast("array<string>"), ","))
+
+
 def zed(window: int) -> str:
     """x_z: x_facts with the age-rescaled in-degree z."""
     return f"""{x.COUNTS}, x_near AS (SELECT a.topic, a.paper_id, a.in_degree AS v, b.in_degree AS o, abs(b.year - a.year) <= {window} AS same, row_number() OVER (PARTITION BY a.topic, a.paper_id ORDER BY abs(b.year - a.year), b.year, b.paper_id) AS r

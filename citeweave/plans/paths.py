@@ -28,15 +28,16 @@ def search(records: DataFrame, hits: DataFrame, settings: Settings = Settings())
 def structural_paths(papers: DataFrame, citations: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(topic, position, level, paper_id, title, year, role, reason, prerequisites, explanation) of one path a topic.
 
-    papers: topic, paper_id, title, year; citations: topic, citing_id, cited_id; seeds: topic, paper_id, seed_rank. A topic
+    papers: topic, paper_id, title, year and, for the limits per paper, citation_count if known; citations: topic, citing_id, cited_id; seeds: topic, paper_id, seed_rank. A topic
     without seeds has no path.
     """
     g, e = settings.graph, settings.expansion
     save = identity.saver(papers.sparkSession, "paths")  # what several steps use is written once
-    papers, citations, seeds = save(papers.select("topic", "paper_id", "title", "year"), "papers"), save(citations, "citations"), save(seeds, "seeds")
+    counted = papers if "citation_count" in papers.columns else papers.withColumn("citation_count", F.lit(None).cast("long"))
+    papers, citations, seeds = save(counted.select("topic", "paper_id", "title", "year", "citation_count"), "papers"), save(citations, "citations"), save(seeds, "seeds")
     first = seeds.where(F.col("seed_rank") <= e.seed_papers)
     ancestor_seeds, forward_seeds = e.ancestor_seeds if e.expand_ancestors else 0, e.forward_seeds if e.forward_enabled else 0
-    edges = save(expansion.expand(citations, first, e.min_co_citations, e.max_ancestors, ancestor_seeds, forward_seeds), "expanded")
+    edges = save(expansion.expand(citations, first, e.min_co_citations, e.max_ancestors, ancestor_seeds, forward_seeds, e.references_per_paper, e.citations_per_paper, papers), "expanded")
     ends = edges.select("topic", F.explode(F.array("citing_id", "cited_id")).alias("paper_id"))
     nodes = save(ends.union(seeds.select("topic", "paper_id")).distinct().join(papers, ["topic", "paper_id"]), "nodes")
     edges = save(expansion.clean_edges(edges, nodes), "edges")

@@ -2,44 +2,40 @@
 
 from __future__ import annotations
 
+import string
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _folds() -> tuple[str, str]:
-    """Latin letters and what is left of them without their accents, for those that fold to one character."""
-    pairs = []
-    for code in range(0xC0, 0x250):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain.isascii():
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters beyond ASCII by what a fingerprint keeps of them: those that become one letter or digit, these, and those that
+    become several. By compatibility decomposition, which covers accents, full-width and mathematical forms and ligatures."""
+    ones, letters, several = [], [], {}
+    for code in range(0x80, 0x20000):
+        if 0xD800 <= code < 0xE000:
+            continue
+        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)).lower() if c in string.ascii_lowercase + string.digits)
+        if len(plain) == 1:
+            ones.append(chr(code))
+            letters.append(plain)
+        elif plain:
+            several[chr(code)] = plain
+    return "".join(ones), "".join(letters), several
 
 
-_ACCENTED, _PLAIN = _folds()
+_FOLDED, _LETTERS, _SEVERAL = _folds()
+_LIGATURE = "[" + "".join(_SEVERAL) + "]"
 
 
 def title_fingerprint(title: Column) -> Column:
-    """Letters and digits of a title, lower-cased and without accents. Latin script; see title_fingerprint_full."""
-    return F.regexp_replace(F.lower(F.translate(title, _ACCENTED, _PLAIN)), "[^a-z0-9]+", "")
-
-
-def title_fingerprint_full(title: Column) -> Column:
-    """The same for all of Unicode, with compatibility forms unfolded (NFKD), which Spark has no function for."""
-
-    def one(x):
-        if x is None:
-            return None
-        plain = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower()
-        return "".join(c for c in plain if "a" <= c <= "z" or "0" <= c <= "9")
-
-    def fold(x: pd.Series) -> pd.Series:
-        return x.map(one)
-
-    return F.pandas_udf(fold, "string")(title)
+    """Letters and digits of a title, lower-cased, without accents and with compatibility forms unfolded; the rest goes. Titles with
+    a character that becomes several are gone through by character, others by one translation."""
+    table = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    spread = F.array_join(F.transform(F.split(title, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    whole = F.when(title.rlike(_LIGATURE), spread).otherwise(title)
+    return F.regexp_replace(F.lower(F.translate(whole, _FOLDED, _LETTERS)), "[^a-z0-9]+", "")
 
 
 def collapse(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from citeweave.functions.text import upper_median
 from citeweave.functions.titles import CRITIQUE, SURVEY
+from citeweave.operators.model_calls import prompt
 
 LEAST_CONFIDENCE = 0.6
 
@@ -96,8 +97,22 @@ def labelled(rows: DataFrame, prefix: str, *order: str, batch: int = 6) -> DataF
 
 
 def refine(structural: DataFrame, answers: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
-    """`columns` of structural rows (topic, paper_id, ...) replaced by those of answers to labels, where there are any."""
-    by_paper = answers.join(labels.select("topic", "label", "paper_id"), ["topic", "label"]).dropDuplicates(["topic", "paper_id"])
-    new = by_paper.select("topic", "paper_id", *(F.col(c).alias(f"_{c}") for c in columns))
+    """`columns` of structural rows (topic, paper_id, ...) replaced by those of answers to labels, where there are any. Of several
+    answers for one paper, that of the smallest label and then the smallest values counts, whole; a null in it leaves the
+    structural value."""
+    known = answers.join(labels.select("topic", "label", "paper_id"), ["topic", "label"])
+    picked = F.min_by(F.struct(*[F.col(c) for c in columns]), F.struct(F.length("label"), "label", *[F.col(c) for c in columns]))
+    new = known.groupBy("topic", "paper_id").agg(picked.alias("_new"))
     joined = structural.join(new, ["topic", "paper_id"], "left")
-    return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in structural.columns])
+    return joined.select(*[F.coalesce(F.col("_new")[c], F.col(c)).alias(c) if c in columns else F.col(c) for c in structural.columns])
+
+
+def requests(rows: DataFrame, labels: DataFrame, shown: Column, role: str, title: str, system: str, schema: str, version: str = "1") -> DataFrame:
+    """(id, role, prompt_version, system, user, schema), one row for each topic and batch of labels, as model_calls.answer() takes
+    them: the batch's rows (topic, paper_id, and what `shown` needs), each behind its label, in the order of labels."""
+    known = labels.select("topic", "paper_id", "label", "batch").join(rows, ["topic", "paper_id"])
+    line = F.struct(F.length("label").alias("n"), F.col("label").alias("label"), F.concat("label", F.lit(": "), F.coalesce(shown, F.lit(""))).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    batches = known.groupBy("topic", "batch").agg(lines.alias("lines"))
+    told = [F.lit(x).alias(n) for n, x in (("role", role), ("prompt_version", version), ("system", system))]
+    return batches.select(F.concat_ws("/", F.lit(role), "topic", F.col("batch")).alias("id"), *told, prompt(title, F.col("lines")).alias("user"), F.lit(schema).alias("schema"))

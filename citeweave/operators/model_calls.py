@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.sources.store import Store
+
 KEYED = ("provider", "model", "prompt_version", "role", "system", "user")
 
 
@@ -118,6 +120,14 @@ def answer(requests: DataFrame, chain: DataFrame, cache: DataFrame, client: Call
     return answers, written
 
 
+def answer_and_keep(requests: DataFrame, chain: DataFrame, store: Store, client: Callable[[str, str, str, str, str], str], save: Callable[[DataFrame, str], DataFrame], repairs: int = 2) -> DataFrame:
+    """answer() over a store of (key, data), into which what is new is written: a second run asks for nothing."""
+    answers, written = answer(requests, chain, store.read(), client, save, repairs)
+    answers = save(answers, "answered")
+    store.upsert(written)
+    return answers
+
+
 def prompt(title: str, rows: Column) -> Column:
     """A prompt of numbered rows (array of strings) under a title, in words of its own."""
     return F.concat(F.lit(title + "\n"), F.array_join(F.transform(rows, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n"))

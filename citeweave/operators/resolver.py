@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.functions import titles as T
+from citeweave.operators.steps import small
 
 
-def resolve_titles(planned: DataFrame, papers: DataFrame) -> DataFrame:
+#: Papers of a topic that one task meets for one word; a word in more of them is split.
+HOT = 10_000
+
+
+def resolve_titles(planned: DataFrame, papers: DataFrame, hot: int = HOT) -> DataFrame:
     """(topic, step, paper_id, score, coverage, accepted, confident): the best candidate of each planned title.
 
     planned: topic, step, title, year; papers: topic, paper_id, title, year, citation_count. Candidates are papers of the
     topic that share one of the planned title's rarest words: 0.8 of its words must be covered, so of one more than may be
     missing, one is met. Slides, errata and the like aren't candidates, nor are papers without authors where papers has that
-    column. A title that looks like a variant isn't accepted, whatever its year.
+    column. A title that looks like a variant isn't accepted, whatever its year. Of equal scores the most cited counts (unknown last), then
+    the smaller id. A word that is in more than `hot` papers of a topic is split: its papers are dealt out, and the titles that
+    look for it are repeated for each part.
     """
     # Words of each title are made once, below the joins.
     fits = T.looks_like_a_paper(F.col("title"), F.col("authors")) if "authors" in papers.columns else ~F.coalesce(F.col("title"), F.lit("")).rlike(T.NOT_A_PAPER)
@@ -26,20 +33,37 @@ def resolve_titles(planned: DataFrame, papers: DataFrame) -> DataFrame:
     n = F.count("*").over(Window.partitionBy("topic", "step"))
     rarest = F.row_number().over(Window.partitionBy("topic", "step").orderBy(F.coalesce("papers", F.lit(0)), "word"))
     # n - ceil(0.8 n) words may be missing: one more than these is looked for.
-    blocks = sought.withColumn("n", n).withColumn("r", rarest).where("r <= n - ceil(0.8 * n) + 1").select("topic", "step", "word")
-    met = blocks.join(words, ["topic", "word"]).select("topic", "step", "paper_id").distinct()
+    parts = F.greatest(F.lit(1), F.ceil(F.coalesce("papers", F.lit(0)) / hot)).cast("int")
+    blocks = sought.withColumn("n", n).withColumn("r", rarest).where("r <= n - ceil(0.8 * n) + 1")
+    blocks = blocks.select("topic", "step", "word", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    frequent = common.where(F.col("papers") > hot).select("topic", "word", parts.alias("parts"))
+    dealt = words.join(small(frequent), ["topic", "word"], "left").select("topic", "paper_id", "word", F.pmod(F.xxhash64("paper_id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    met = blocks.join(dealt, ["topic", "word", "part"]).select("topic", "step", "paper_id").distinct()
     pairs = met.join(asked, ["topic", "step"]).join(held, ["topic", "paper_id"])
     similarity = T.similarity(F.col("wanted"), F.col("plain"), F.col("tokens"), F.col("main"), F.col("ordered"))
     bonus = F.when(F.abs(F.col("wanted_year") - F.col("year")) <= 1, T.YEAR_BONUS).otherwise(0.0)
     scored = pairs.withColumn("similarity", similarity).withColumn("score", F.least(F.lit(1.0), F.col("similarity") + bonus))
     scored = scored.withColumn("coverage", T.coverage(F.col("wanted"), F.col("tokens")))
     scored = scored.withColumn("variant", (F.col("similarity") < 1) & T.qualified(F.col("wanted"), F.col("ordered")))
-    kept = ("paper_id", "score", "coverage", "variant")
-    order = F.struct("score", F.coalesce("citation_count", F.lit(-1)).alias("c"), (-F.col("paper_id")).alias("i")) if dict(papers.dtypes)["paper_id"] in ("int", "bigint") else None
-    if order is not None:  # combined before its shuffle
-        best = scored.groupBy("topic", "step").agg(F.max_by(F.struct(*kept), order).alias("b")).select("topic", "step", "b.*")
-    else:
-        ranks = Window.partitionBy("topic", "step").orderBy(F.desc("score"), F.desc("citation_count"), "paper_id")
-        best = scored.withColumn("r", F.row_number().over(ranks)).where("r = 1")
+    # Combined before its shuffle: the least by score and citations downwards and id upwards.
+    order = F.struct((-F.col("score")).alias("s"), (-F.coalesce(F.col("citation_count").cast("long"), F.lit(-1))).alias("c"), F.col("paper_id").alias("i"))
+    best = scored.groupBy("topic", "step").agg(F.min_by(F.struct("paper_id", "score", "coverage", "variant"), order).alias("b")).select("topic", "step", "b.*")
     accepted = (F.col("score") >= T.ACCEPT) & (F.col("coverage") >= T.COVER) & ~F.col("variant")
     return best.select("topic", "step", "paper_id", "score", "coverage", accepted.alias("accepted"), (accepted & (F.col("score") >= T.CONFIDENT)).alias("confident"))
+
+
+def notes(planned: DataFrame, resolved: DataFrame, papers: DataFrame) -> DataFrame:
+    """(topic, step, note) of every planned title: found, found by a near title only, or why not: nothing shares its words, too many
+    of its words are missing (which ones), it is a variant of what was asked for, or not alike enough."""
+    known = papers.select("topic", "paper_id", F.col("title").alias("_found"), T.tokenize(F.col("title")).alias("_tokens"))
+    rows = planned.select("topic", "step", "title").join(resolved, ["topic", "step"], "left").join(known, ["topic", "paper_id"], "left")
+    missing = F.array_join(F.array_sort(F.array_except(T.tokenize(F.col("title")), F.col("_tokens"))), ", ")
+    note = (
+        F.when(F.col("paper_id").isNull(), F.concat(F.lit("nothing found for "), "title"))
+        .when(F.col("confident"), F.concat(F.lit("found as "), "_found"))
+        .when(F.col("accepted"), F.concat(F.lit("only near: "), "_found"))
+        .when(F.col("coverage") < T.COVER, F.concat(F.lit("refused "), "_found", F.lit(": without "), missing))
+        .when(F.col("score") < T.ACCEPT, F.concat(F.lit("refused "), "_found", F.lit(": not alike enough")))
+        .otherwise(F.concat(F.lit("refused "), "_found", F.lit(": a variant of it")))
+    )
+    return rows.select("topic", "step", note.alias("note"))

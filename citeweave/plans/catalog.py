@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from citeweave.functions import ids, text, titles
 from citeweave.operators import curriculum, expansion, fusion, graph, identity, judgment, model_calls, ordering, resolver, selection, summaries
-from citeweave.operators.steps import Steps
+from citeweave.operators.steps import Steps, shared_folder
 from citeweave.plans import paths
+from citeweave.sources import payloads, response_cache
 from citeweave.sources import stand_ins as x
 from citeweave.sources.response_cache import request_key
+from citeweave.sources.store import Store
 from citeweave.streaming.hits import windowed_hits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,20 +88,26 @@ _KEYS = f"""{x.PAPERS}, f AS (SELECT topic, paper_id, year, {FP.format('title')}
  r(a, b) AS (SELECT paper_id, paper_id FROM x_papers UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), one AS (SELECT a AS paper_id, min(b) AS root FROM r GROUP BY 1)"""
 
 
-@query("q06_resolve_entities", f"""WITH RECURSIVE {_KEYS},
+#: roots: row_id and root of every record.
+_ROOTS = f"""{_KEYS},
  seen AS (SELECT topic, fp, min(root) AS lo, max(root) AS hi FROM f JOIN one USING (paper_id) WHERE year IS NOT NULL AND length(fp) >= 12 GROUP BY ALL),
  mates AS (SELECT topic, fp, min(paper_id) AS v FROM f WHERE year IS NULL AND length(fp) >= 12 GROUP BY ALL),
  e2 AS (SELECT paper_id AS a, root AS b FROM one UNION SELECT root, paper_id FROM one
    UNION SELECT f.paper_id, s.lo FROM f JOIN seen s USING (topic, fp) WHERE f.year IS NULL AND lo = hi UNION SELECT s.lo, f.paper_id FROM f JOIN seen s USING (topic, fp) WHERE f.year IS NULL AND lo = hi
    UNION SELECT f.paper_id, m.v FROM f JOIN mates m USING (topic, fp) LEFT JOIN seen s USING (topic, fp) WHERE f.year IS NULL AND s.lo IS NULL
    UNION SELECT m.v, f.paper_id FROM f JOIN mates m USING (topic, fp) LEFT JOIN seen s USING (topic, fp) WHERE f.year IS NULL AND s.lo IS NULL),
- r2(a, b) AS (SELECT paper_id, paper_id FROM x_papers UNION SELECT r2.a, e2.b FROM r2 JOIN e2 ON r2.b = e2.a)
- SELECT a AS row_id, min(b) AS root FROM r2 GROUP BY 1""")
+ r2(a, b) AS (SELECT paper_id, paper_id FROM x_papers UNION SELECT r2.a, e2.b FROM r2 JOIN e2 ON r2.b = e2.a),
+ roots AS (SELECT a AS row_id, min(b) AS root FROM r2 GROUP BY 1)"""
+_CANONICAL = f"coalesce('arxiv:' || own, 'sig:' || substr(sha1({FP.format('title')} || '|' || coalesce(CAST(year AS VARCHAR), '')), 1, 16))"
+
+
+@query("q06_resolve_entities", f"WITH RECURSIVE {_ROOTS} SELECT row_id, root FROM roots")
 def _(spark, d):
     return identity.resolve_entities(_records(spark, d)).select("row_id", "root")
 
 
-@query("q07_merge_papers")
+@query("q07_merge_papers", f"""WITH RECURSIVE {_ROOTS}, m AS (SELECT f.topic, r.root, arg_min(p.title, f.paper_id) AS title, min(f.year) AS year, min(CAST(f.own AS VARCHAR)) AS own FROM roots r JOIN f ON f.paper_id = r.row_id JOIN x_papers p ON p.paper_id = f.paper_id GROUP BY ALL)
+ SELECT topic, root, title, year, {_CANONICAL} AS paper_id FROM m""")
 def _(spark, d):
     records = _records(spark, d)
     return identity.merge_papers(records, identity.resolve_entities(records)).select("topic", "root", "title", "year", "paper_id")
@@ -321,7 +330,7 @@ def _(spark, d):
 
 @query("q34_structural_paths")
 def _(spark, d):
-    return paths.structural_paths(x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d)).select("topic", "position", "level", "paper_id", "year", "role", "reason", "prerequisites")
+    return paths.structural_paths(x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d)).select("topic", "position", "level", "paper_id", "year", "role", "reason", "prerequisites", "explanation.*", "provenance")
 
 
 @query("q35_tokens", f"WITH {x.PAPERS} SELECT paper_id, array_to_string({tokens_sql('title')}, ' ') AS tokens FROM x_papers")
@@ -448,7 +457,11 @@ def _(spark, d):
     return windowed_hits(events).withColumn("score", F.round("score", 9))
 
 
-@query("q48_search")
+@query("q48_search", f"""WITH RECURSIVE {_ROOTS}, m AS (SELECT f.topic, r.root, arg_min(p.title, f.paper_id) AS title, min(f.year) AS year, min(CAST(f.own AS VARCHAR)) AS own FROM roots r JOIN f ON f.paper_id = r.row_id JOIN x_papers p ON p.paper_id = f.paper_id GROUP BY ALL),
+ n AS (SELECT topic, root, title, {_CANONICAL} AS paper_id FROM m),
+ h AS (SELECT p.topic, n.paper_id, v, min(CASE v WHEN 'a' THEN rn + 1 ELSE (rn * 7) % 1009 + 1 END) AS rank FROM x_papers p, (VALUES ('a'), ('b')) t(v), roots r, n WHERE r.row_id = p.paper_id AND n.root = r.root AND n.topic = p.topic AND CASE v WHEN 'a' THEN rn + 1 ELSE (rn * 7) % 1009 + 1 END <= 25 GROUP BY ALL),
+ s AS (SELECT topic, paper_id, sum(1.0::DOUBLE / (60 + rank) ORDER BY v) AS score, count(*) AS k FROM h GROUP BY ALL)
+ SELECT topic, CAST(row_number() OVER (PARTITION BY topic ORDER BY score DESC, k DESC, lower(title), paper_id) AS INTEGER) AS position, paper_id, round(score, 9) AS score FROM s JOIN n USING (topic, paper_id) QUALIFY position <= 300""")
 def _(spark, d):
     records = _records(spark, d)
     hits = x.papers(spark, d).select(F.col("paper_id").alias("row_id"), "topic", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("provider"), "rn").select("row_id", "topic", "provider", F.when(F.col("provider") == "a", F.col("rn") + 1).otherwise((F.col("rn") * 7) % 1009 + 1).alias("rank"))
@@ -551,3 +564,46 @@ def _(spark, d):
 def _(spark, d):
     raw = x.citations(spark, d).select("topic", F.col("citing_id").alias("citing_row"), F.col("cited_id").alias("cited_row"))
     return expansion.remap_edges(raw, x.papers(spark, d).select(F.col("paper_id").alias("row_id"), F.floor(F.col("paper_id") / 2).alias("paper_id")))
+
+
+def _fresh(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/citeweave-{name}-{uuid.uuid4().hex}"
+
+
+@query("q64_cache_upsert", """SELECT sha256(conv_id || ':' || turn) AS key, 'crossref' AS provider, min(CASE WHEN turn % 2 = 0 THEN 'again ' || text ELSE text END) AS body FROM conversations GROUP BY conv_id, turn""")
+def _(spark, d):
+    turns = x.table(spark, d, "conversations")
+    rows = turns.select(F.sha2(F.concat_ws(":", "conv_id", "turn"), 256).alias("key"), F.lit("crossref").alias("provider"), F.col("text").alias("body"), F.lit(1).alias("results"), "turn")
+    store = Store(spark, _fresh(spark, "cache"), response_cache.STORED, prefix=1)
+    response_cache.keep(store, rows)
+    later = rows.where("turn % 2 = 0").withColumn("body", F.concat(F.lit("again "), "body"))
+    for _ in range(2):
+        response_cache.keep(store, later)
+    response_cache.keep(store, rows.withColumn("results", F.lit(0)).withColumn("body", F.lit("empty")))
+    return store.read()
+
+
+def _saved(spark, d):
+    """Papers as pages of 25 search results, and citations as what each paper cites, in payloads of two services."""
+    p = x.papers(spark, d)
+    work = lambda n: F.struct(F.concat(F.lit("https://openalex.org/w"), F.col("paper_id")).alias("id"), F.col("title").alias("title"), F.col("year").alias("publication_year"), F.col("citation_count").cast("int").alias("cited_by_count"))
+    pages = p.groupBy("topic", F.floor(F.col("rn") / 25).alias("page")).agg(F.array_sort(F.collect_list(F.struct("rn", work(0).alias("w")))).alias("r"))
+    search = pages.select(F.lit("openalex").alias("provider"), F.lit("search").alias("mode"), "topic", F.lit(None).alias("of"), "page", F.to_json(F.struct(F.transform("r", lambda v: v["w"]).alias("results"))).alias("payload"))
+    record = F.struct(F.col("cited_id").cast("string").alias("paperId"), F.concat(F.lit("Paper "), "cited_id").alias("title"))
+    cited = x.citations(spark, d).groupBy("topic", F.col("citing_id").alias("of")).agg(F.array_sort(F.collect_list(record)).alias("r"))
+    refs = cited.select(F.lit("semantic_scholar").alias("provider"), F.lit("cited_by").alias("mode"), "topic", "of", F.lit(0).alias("page"), F.to_json(F.struct(F.col("r").alias("data"))).alias("payload"))
+    path = _fresh(spark, "payloads")
+    payloads.save(search, path)
+    payloads.save(refs, path)
+    return path
+
+
+@query("q65_saved_search", rf"WITH {x.PAPERS} SELECT topic, rn + 1 AS rank, trim(regexp_replace(title, '\s+', ' ', 'g')) AS title, year, 'W' || paper_id AS id FROM x_papers WHERE trim(title) <> ''")
+def _(spark, d):
+    found = payloads.records(spark, _saved(spark, d), "openalex")
+    return found.select("topic", F.col("rank").cast("long").alias("rank"), "title", "year", F.get("external_ids", F.lit(0))["value"].alias("id"))
+
+
+@query("q66_saved_citations", f"WITH {x.CITES} SELECT topic, CAST(citing_id AS VARCHAR) AS citing_id, CAST(cited_id AS VARCHAR) AS cited_id FROM x_cites")
+def _(spark, d):
+    return payloads.links(payloads.records(spark, _saved(spark, d), "semantic_scholar", "cited_by"), "cited_by").select("topic", "citing_id", "cited_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citeweave.functions.text import band, provenance_stamp
 from citeweave.operators import curriculum, expansion, graph, identity, judgment, ordering, resolver, selection
 from citeweave.operators.fusion import reciprocal_rank_fusion, top_per_topic
 from citeweave.operators.judgment import structural_role, with_median_year
@@ -26,7 +27,7 @@ def search(records: DataFrame, hits: DataFrame, settings: Settings = Settings())
 
 
 def structural_paths(papers: DataFrame, citations: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(topic, position, level, paper_id, title, year, role, reason, prerequisites, explanation) of one path a topic.
+    """(topic, position, level, paper_id, title, year, role, reason, prerequisites, explanation, provenance) of one path a topic.
 
     papers: topic, paper_id, title, year and, for the limits per paper, citation_count if known; citations: topic, citing_id, cited_id; seeds: topic, paper_id, seed_rank. A topic
     without seeds has no path.
@@ -53,7 +54,7 @@ def structural_paths(papers: DataFrame, citations: DataFrame, seeds: DataFrame,
     roles = with_median_year(chosen).withColumn("role", structural_role()).withColumn("discovered", F.col("seed_rank").isNull()).withColumn("explanation", judgment.structural_explanation())
     rank = F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("z"), F.desc("co_citations"), F.coalesce("year", F.lit(9999)), "paper_id"))
     order = ordering.order_paths(chosen.withColumn("rank", rank), expansion.clean_edges(edges, chosen), claimed)
-    return order.join(roles.select("topic", "paper_id", "title", "year", "role", "reason", "explanation"), ["topic", "paper_id"]).select("topic", "position", "level", "paper_id", "title", "year", "role", "reason", "prerequisites", "explanation")
+    return order.join(roles.select("topic", "paper_id", "title", "year", "role", "reason", "explanation"), ["topic", "paper_id"]).select("topic", "position", "level", "paper_id", "title", "year", "role", "reason", "prerequisites", "explanation", provenance_stamp(F.lit("citation-graph"), F.lit(None), F.lit(None)).alias("provenance"))
 
 
 #: Names that build_path() takes.
@@ -65,7 +66,7 @@ def build_path(strategy: str, papers: DataFrame, citations: DataFrame, seeds: Da
     """One path a topic, by `strategy`.
 
     structural: structural_paths(). The others return (topic, position, paper_id, year, stage, concept, approximate, level,
-    prerequisite_id, role, why_for_you, confidence, reasons). plan: topic, step, title, year, stage, concept, as a model has
+    prerequisite_id, role, why_for_you, confidence, band, reasons). plan: topic, step, title, year, stage, concept, as a model has
     planned it; answers: topic, paper_id, position, stage, concept, as a model has chosen among what it was shown (without
     answers, anchor takes the most cited; rerank needs them). Titles that aren't found are dropped and cost confidence.
     """
@@ -98,7 +99,7 @@ def build_path(strategy: str, papers: DataFrame, citations: DataFrame, seeds: Da
             if strategy == "hybrid":
                 steps = curriculum.hybrid(syllabus, steps)
     path = curriculum.assemble(steps)
-    return path.join(curriculum.confidence(steps, lost), "topic")
+    return path.join(curriculum.confidence(steps, lost).withColumn("band", band(F.col("confidence"))), "topic")
 
 
 #: Digits of numbers in JSON.
@@ -121,10 +122,10 @@ def to_markdown(path: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 def write_report(path: DataFrame, papers: DataFrame, folder: str, run: str, strategy: str, model: str) -> None:
-    """Folders <folder>/<run>/<strategy>__<model>.json and .md: a row of JSON and one of Markdown for each topic."""
+    """Folders <folder>/<run>/<strategy>__<model>.json and .md: lines of JSON, one for each topic, and Markdown as plain text."""
     base = f"{folder}/{run}/{strategy}__{model}"
-    to_json(path).write.mode("overwrite").json(f"{base}.json")
-    to_markdown(path, papers).write.mode("overwrite").json(f"{base}.md")
+    to_json(path).select(F.col("json").alias("value")).write.mode("overwrite").text(f"{base}.json")
+    to_markdown(path, papers).select("markdown").write.mode("overwrite").option("lineSep", "\n\n").text(f"{base}.md")
 
 
 def health(settings: Settings = Settings()) -> dict:

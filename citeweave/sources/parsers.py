@@ -1,4 +1,4 @@
-"""Payloads of paper services as papers: one row of text in, one row for each record out."""
+"""Payloads of paper services as papers: one row of text in, one row for each record out, with the columns to `keep` before it."""
 
 from __future__ import annotations
 
@@ -24,51 +24,51 @@ def _ids(*ids: Column) -> Column:
     return F.array_compact(F.array(*ids)).alias("external_ids")
 
 
-def parse_arxiv(payloads: DataFrame, column: str = "payload") -> DataFrame:
+def parse_arxiv(payloads: DataFrame, column: str = "payload", keep: tuple = ()) -> DataFrame:
     """Atom feeds. A record without id or title goes but keeps its rank."""
     feed = F.from_xml(F.col(column), F.lit(f"struct<{ARXIV.replace('entry ', 'entry: ', 1)}>"), {"rowTag": "feed"})
     rows = payloads.select("*", F.posexplode(feed["entry"]).alias("i", "e")).where("e.id IS NOT NULL AND trim(e.title) <> ''")
     arxiv = normalize_arxiv_id(F.col("e.id"))
     pdf = F.get(F.filter("e.link", lambda x: x["_title"] == "pdf"), F.lit(0))["_href"]
     return rows.select(
-        F.lit("arxiv").alias("provider"), (F.col("i") + 1).alias("rank"), collapse(F.col("e.title")).alias("title"), collapse(F.col("e.summary")).alias("abstract"),
+        *keep, F.lit("arxiv").alias("provider"), (F.col("i") + 1).alias("rank"), collapse(F.col("e.title")).alias("title"), collapse(F.col("e.summary")).alias("abstract"),
         F.expr("try_cast(substr(e.published, 1, 4) AS int)").alias("year"), F.filter(F.transform("e.author", lambda a: a["name"]), lambda n: n != "").alias("authors"),
         F.lit(None).cast("string").alias("venue"), F.lit(None).cast("int").alias("citation_count"), pdf.alias("pdf_url"), F.col("e.id").alias("landing_url"),
         _ids(_id("arxiv", arxiv), _id("doi", normalize_doi(F.col("e.doi"))), _id("url", F.trim("e.id"))),
     )
 
 
-def parse_crossref(payloads: DataFrame, column: str = "payload") -> DataFrame:
+def parse_crossref(payloads: DataFrame, column: str = "payload", keep: tuple = ()) -> DataFrame:
     """Records of readable types with title and DOI, ranked after the others have gone."""
-    rows = payloads.select("*", F.posexplode(F.from_json(column, CROSSREF)["message"]["items"]).alias("i", "e")).select("i", "e", F.monotonically_increasing_id().alias("o"))
+    rows = payloads.select("*", F.posexplode(F.from_json(column, CROSSREF)["message"]["items"]).alias("i", "e")).select(*keep, "i", "e", F.monotonically_increasing_id().alias("o"))
     good = rows.where(F.col("e.DOI").isNotNull() & (F.size("e.title") > 0) & F.col("e.type").isin(*READABLE))
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy(F.col("o") - F.col("i")).orderBy("i"))
     return good.select(
-        F.lit("crossref").alias("provider"), rank.alias("rank"), collapse(F.col("e.title")[0]).alias("title"), strip_tags(F.col("e.abstract")).alias("abstract"),
+        *keep, F.lit("crossref").alias("provider"), rank.alias("rank"), collapse(F.col("e.title")[0]).alias("title"), strip_tags(F.col("e.abstract")).alias("abstract"),
         F.get(F.get(F.col("e.issued.date-parts"), F.lit(0)), F.lit(0)).alias("year"), F.transform("e.author", lambda a: F.concat_ws(" ", a["given"], a["family"])).alias("authors"),
         F.get(F.col("e.container-title"), F.lit(0)).alias("venue"), F.col("e.is-referenced-by-count").alias("citation_count"), F.lit(None).cast("string").alias("pdf_url"), F.col("e.URL").alias("landing_url"),
         _ids(_id("doi", normalize_doi(F.col("e.DOI")))),
     )
 
 
-def parse_openalex(payloads: DataFrame, column: str = "payload") -> DataFrame:
+def parse_openalex(payloads: DataFrame, column: str = "payload", keep: tuple = ()) -> DataFrame:
     rows = payloads.select("*", F.posexplode(F.from_json(column, OPENALEX)["results"]).alias("i", "e")).where("e.id IS NOT NULL AND trim(e.title) <> ''")
     place = F.col("e.primary_location")
     return rows.select(
-        F.lit("openalex").alias("provider"), (F.col("i") + 1).alias("rank"), collapse(F.col("e.title")).alias("title"), abstract_from_positions(F.col("e.abstract_inverted_index")).alias("abstract"),
+        *keep, F.lit("openalex").alias("provider"), (F.col("i") + 1).alias("rank"), collapse(F.col("e.title")).alias("title"), abstract_from_positions(F.col("e.abstract_inverted_index")).alias("abstract"),
         F.col("e.publication_year").alias("year"), F.filter(F.transform("e.authorships", lambda a: a["author"]["display_name"]), lambda n: n.isNotNull()).alias("authors"),
         place["source"]["display_name"].alias("venue"), F.col("e.cited_by_count").alias("citation_count"), place["pdf_url"].alias("pdf_url"), F.coalesce(place["landing_page_url"], F.col("e.doi"), F.col("e.id")).alias("landing_url"),
         _ids(_id("openalex", normalize_openalex_id(F.col("e.id"))), _id("doi", normalize_doi(F.col("e.doi"))), _id("pmid", F.substring_index(F.try_element_at("e.ids", F.lit("pmid")), "/", -1))),
     )
 
 
-def parse_semantic_scholar(payloads: DataFrame, column: str = "payload") -> DataFrame:
+def parse_semantic_scholar(payloads: DataFrame, column: str = "payload", keep: tuple = ()) -> DataFrame:
     rows = payloads.select("*", F.posexplode(F.from_json(column, SEMANTIC)["data"]).alias("i", "e")).where("e.paperId IS NOT NULL AND trim(e.title) <> ''")
     other = lambda k: F.try_element_at("e.externalIds", F.lit(k))
     return rows.select(
-        F.lit("semantic_scholar").alias("provider"), (F.col("i") + 1).alias("rank"), collapse(F.col("e.title")).alias("title"), F.col("e.abstract").alias("abstract"), F.col("e.year").alias("year"),
+        *keep, F.lit("semantic_scholar").alias("provider"), (F.col("i") + 1).alias("rank"), collapse(F.col("e.title")).alias("title"), F.col("e.abstract").alias("abstract"), F.col("e.year").alias("year"),
         F.transform("e.authors", lambda a: a["name"]).alias("authors"), F.nullif(F.col("e.venue"), F.lit("")).alias("venue"), F.col("e.citationCount").alias("citation_count"),
         F.col("e.openAccessPdf.url").alias("pdf_url"), F.col("e.url").alias("landing_url"),
         _ids(_id("s2", F.col("e.paperId")), _id("doi", normalize_doi(other("DOI"))), _id("arxiv", normalize_arxiv_id(other("ArXiv"))), _id("pmid", normalize_external_id(F.lit("pmid"), other("PubMed")))),

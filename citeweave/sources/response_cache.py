@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from citeweave.sources.store import Store
+
 #: Sources whose empty results aren't kept.
 NOT_EMPTY = ("arxiv", "crossref")
 
@@ -23,3 +25,12 @@ def probe(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
 def worth_keeping(responses: DataFrame) -> DataFrame:
     """Responses (provider, key, body, results) to be written."""
     return responses.where(~(F.col("provider").isin(*NOT_EMPTY) & (F.col("results") == 0)))
+
+
+#: Columns of the stored responses.
+STORED = "key string, provider string, body string"
+
+
+def keep(store: Store, responses: DataFrame) -> None:
+    """Responses (provider, key, body, results) that are worth keeping, into a store of STORED."""
+    store.upsert(worth_keeping(responses).select("key", "provider", "body"))

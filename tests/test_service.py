@@ -69,7 +69,7 @@ def test_reports(spark, tmp_path):
     papers = spark.createDataFrame([("t", 7, "Seven"), ("t", 8, None)], "topic string, paper_id int, title string")
     assert [(r["paper_id"], r["others"]) for r in summaries.other_prerequisites(path).orderBy("position").collect()] == [(7, []), (8, [9])]
     paths.write_report(path, papers, str(tmp_path), "run", "structural", "none")
-    steps = json.loads(spark.read.json(f"{tmp_path}/run/structural__none.json").first()["json"])["steps"]
+    steps = json.loads(spark.read.text(f"{tmp_path}/run/structural__none.json").first()["value"])["steps"]
     assert [s["paper_id"] for s in steps] == [7, 8] and steps[0]["confidence"] == 0.12
-    assert spark.read.json(f"{tmp_path}/run/structural__none.md").first()["markdown"] == "# t\n\n1. Seven (n.d.): foundation\n2. untitled (2001): extension"
+    assert spark.read.text(f"{tmp_path}/run/structural__none.md", wholetext=True).first()["value"].strip() == "# t\n\n1. Seven (n.d.): foundation\n2. untitled (2001): extension"
     assert paths.health()["status"] == "ok" and "search" in paths.health()["sources"]["arxiv"]

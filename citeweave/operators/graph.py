@@ -21,7 +21,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.5, iteration
     """(topic, paper_id, pagerank), each topic by itself: uniform teleport, the rank of dangling papers spread evenly,
     until no topic's ranks change by more than `tolerance` in sum.
 
-    edges (topic, citing_id, cited_id) are distinct and among the nodes. They are dealt once by citing paper, and ranks lie in
+    edges (topic, citing_id, cited_id) are distinct and among the nodes; loops don't count. They are dealt once by citing paper, and ranks lie in
     the same buckets; an iteration sends shares to the cited papers, summed before they travel, and one number a topic. Ranks
     are written every `per_step` iterations. A paper cited by very many is a sum, not a group.
     """
@@ -29,20 +29,22 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.5, iteration
     ids = nodes.select("topic", "paper_id").distinct()
     sizes = steps.save(ids.groupBy("topic").agg(F.count("*").alias("n")), "sizes")
     topics = F.broadcast if few(sizes) else (lambda df: df)
-    links = steps.save_by(edges.select(*[F.col(c).alias(c) for c in ("topic", "citing_id", "cited_id")]), "links", "topic", "citing_id")
+    links = steps.save(edges.where("citing_id <> cited_id").select(*[F.col(c).alias(c) for c in ("topic", "citing_id", "cited_id")]), "links")
     cites = links.groupBy("topic", F.col("citing_id").alias("paper_id")).agg(F.count("*").alias("cites"))
     start = ids.join(cites, ["topic", "paper_id"], "left").join(topics(sizes), "topic")
     start = start.select("topic", "paper_id", "n", F.coalesce("cites", F.lit(0)).alias("cites"), (1.0 / F.col("n")).alias("rank"), F.lit(0.0).alias("old"))
     rank = steps.save_by(start, "rank0", "topic", "paper_id")
+    # A paper's way to itself carries what it knows; so one join sends all.
+    ways = links.select("topic", F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("to")).unionByName(ids.select("topic", "paper_id", F.col("paper_id").alias("to")))
+    ways = steps.save_by(ways, "ways", "topic", "paper_id")
 
     def following(rank: DataFrame) -> DataFrame:
-        share = rank.where("cites > 0").select("topic", F.col("paper_id").alias("citing_id"), (F.col("rank") / F.col("cites")).alias("share"))
-        sent = links.join(share, ["topic", "citing_id"]).select("topic", F.col("cited_id").alias("paper_id"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("cites"), F.lit(None).cast("double").alias("old"), "share")
-        own = rank.select("topic", "paper_id", "n", "cites", F.col("rank").alias("old"), F.lit(0.0).alias("share"))
-        sums = own.unionByName(sent).groupBy("topic", "paper_id").agg(F.max("n").alias("n"), F.max("cites").alias("cites"), F.max("old").alias("old"), F.sum("share").alias("sum"))
+        own = F.col("to") == F.col("paper_id")
+        kept = [F.max(F.when(own, F.col(c))).alias(n) for c, n in (("n", "n"), ("cites", "cites"), ("rank", "old"))]
+        sums = ways.join(rank.drop("old"), ["topic", "paper_id"]).groupBy("topic", "to").agg(*kept, F.sum(F.when(own, 0.0).otherwise(F.col("rank") / F.col("cites"))).alias("sum"))
         loose = rank.where("cites = 0").groupBy("topic").agg(F.sum("rank").alias("loose"))
         new = (1 - damping) / F.col("n") + damping * (F.col("sum") + F.coalesce("loose", F.lit(0.0)) / F.col("n"))
-        return sums.join(topics(loose), "topic", "left").select("topic", "paper_id", "n", "cites", new.alias("rank"), "old")
+        return sums.join(topics(loose), "topic", "left").select("topic", F.col("to").alias("paper_id"), "n", "cites", new.alias("rank"), "old")
 
     done = 0
     while done < iterations:

@@ -370,7 +370,7 @@ def _(spark, d):
     return x.papers(spark, d).join(plan, ["topic", "rn"]).select("paper_id", F.round(titles.title_similarity(F.col("wanted"), F.col("title")), 9).alias("similarity"))
 
 
-@query("q38_resolve_titles", f"""WITH {_TITLES}, h AS (SELECT * FROM x_held WHERE NOT regexp_matches(title, '{titles.NOT_A_PAPER}')), w AS (SELECT topic, paper_id, unnest(b) AS word FROM h),
+_RESOLVED = f"""WITH {_TITLES}, h AS (SELECT * FROM x_held WHERE NOT regexp_matches(title, '{titles.NOT_A_PAPER}')), w AS (SELECT topic, paper_id, unnest(b) AS word FROM h),
  c AS (SELECT topic, word, count(*) AS n FROM w GROUP BY ALL), s AS (SELECT topic, step, len(a) AS n, unnest(a) AS word FROM x_asked),
  k AS (SELECT s.topic, step, word FROM s LEFT JOIN c USING (topic, word) QUALIFY row_number() OVER (PARTITION BY s.topic, step ORDER BY coalesce(c.n, 0), word) <= s.n - ceil(0.8 * s.n) + 1),
  m AS (SELECT DISTINCT topic, step, paper_id FROM k JOIN w USING (topic, word)),
@@ -378,7 +378,10 @@ def _(spark, d):
  z AS (SELECT *, least(1.0::DOUBLE, sim + CASE WHEN abs(wy - year) <= 1 THEN 0.05::DOUBLE ELSE 0 END) AS score FROM v),
  best AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY topic, step ORDER BY score DESC, coalesce(citation_count, -1) DESC, paper_id) = 1)
  SELECT topic, step, paper_id, round(score, 9) AS score, round(coverage, 9) AS coverage, score >= 0.75::DOUBLE AND coverage >= 0.8::DOUBLE AND NOT (sim < 1 AND q) AS accepted,
-  score >= 0.9::DOUBLE AND coverage >= 0.8::DOUBLE AND NOT (sim < 1 AND q) AS confident FROM best""")
+  score >= 0.9::DOUBLE AND coverage >= 0.8::DOUBLE AND NOT (sim < 1 AND q) AS confident FROM best"""
+
+
+@query("q38_resolve_titles", _RESOLVED)
 def _(spark, d):
     return resolver.resolve_titles(_plan(spark, d), x.papers(spark, d)).withColumn("score", F.round("score", 9)).withColumn("coverage", F.round("coverage", 9))
 
@@ -504,19 +507,43 @@ def _(spark, d):
     return paths.build_path("rerank", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), answers=_answers(spark, d)).select(*_STEPS).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("q52_syllabus_path")
+#: x_syllabus and x_anchor: steps (topic, position, paper_id, year, stage, concept, approximate) of both planners; x_lost: topics with a title that wasn't found.
+_PLANNED = f"""{x.CITES}, res AS ({_RESOLVED}), pl AS (SELECT topic, rn AS step, ['prerequisite', 'anchor', 'followup'][rn % 3 + 1] AS stage FROM x_papers),
+ x_lost AS (SELECT DISTINCT topic FROM pl ANTI JOIN (SELECT topic, step FROM res WHERE accepted) f USING (topic, step)),
+ ph AS (SELECT pl.topic, pl.step, pl.stage, r.paper_id, p.year, r.confident, {FP.format('p.title')} AS fp FROM pl JOIN res r ON r.topic = pl.topic AND r.step = pl.step JOIN x_papers p ON p.topic = r.topic AND p.paper_id = r.paper_id WHERE r.accepted),
+ pa AS (SELECT * FROM ph QUALIFY row_number() OVER (PARTITION BY topic, paper_id ORDER BY step) = 1), pb AS (SELECT * FROM pa QUALIFY row_number() OVER (PARTITION BY topic, fp ORDER BY step) = 1),
+ x_syllabus AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY step) - 1 AS position, paper_id, year, stage, 'step' AS concept, NOT confident AS approximate FROM pb QUALIFY position < 24),
+ an AS (SELECT topic, paper_id, year, row_number() OVER (PARTITION BY topic ORDER BY step) AS r FROM ph WHERE stage = 'anchor' QUALIFY r <= 2), a1 AS (SELECT topic, paper_id FROM an WHERE r = 1),
+ bf AS (SELECT p.topic, p.paper_id, p.year, row_number() OVER (PARTITION BY p.topic ORDER BY p.citation_count DESC, p.paper_id) AS r FROM a1 JOIN x_cites c ON c.topic = a1.topic AND c.citing_id = a1.paper_id JOIN x_papers p ON p.topic = c.topic AND p.paper_id = c.cited_id QUALIFY r <= 12),
+ af AS (SELECT p.topic, p.paper_id, p.year, row_number() OVER (PARTITION BY p.topic ORDER BY p.citation_count DESC, p.paper_id) AS r FROM a1 JOIN x_cites c ON c.topic = a1.topic AND c.cited_id = a1.paper_id JOIN x_papers p ON p.topic = c.topic AND p.paper_id = c.citing_id QUALIFY r <= 24),
+ al AS (SELECT *, 0 AS k, 'prerequisite' AS stage, 'its references' AS concept FROM bf UNION ALL SELECT *, 1, 'anchor', 'step' FROM an UNION ALL SELECT *, 2, 'followup', 'what cites it' FROM af),
+ ao AS (SELECT * FROM al QUALIFY row_number() OVER (PARTITION BY topic, paper_id ORDER BY k, r) = 1),
+ x_anchor AS (SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY k, r) - 1 AS position, paper_id, year, stage, concept, false AS approximate FROM ao QUALIFY position < 24)"""
+
+
+def _assembled(steps: str, more: str) -> str:
+    """SQL: `steps` with what stands before, roles and confidence."""
+    return f"""t AS ({steps}), y AS (SELECT topic, year, lag(year) OVER (PARTITION BY topic ORDER BY position) AS before FROM t WHERE year IS NOT NULL),
+ i AS (SELECT topic, count(*) AS dated, count(*) FILTER (year < before - 2) AS inv FROM y GROUP BY 1),
+ q AS (SELECT t.topic, 1.0::DOUBLE - CASE WHEN count(*) FILTER (stage = 'anchor') = 0 THEN 0.45 ELSE 0 END - CASE WHEN count(*) FILTER (stage = 'prerequisite') = 0 THEN 0.2 ELSE 0 END - least(0.3, 0.1 * count(*) FILTER (approximate))
+   - max(CASE WHEN l.topic IS NULL THEN 0 ELSE 0.15 END) - CASE WHEN count(*) < 5 THEN 0.15 ELSE 0 END - max(CASE WHEN inv > 0 AND inv >= dated // 3 THEN 0.1 ELSE 0 END) AS c FROM t LEFT JOIN i USING (topic) LEFT JOIN x_lost l USING (topic) GROUP BY 1)
+ SELECT topic, position, paper_id, stage, lag(paper_id) OVER (PARTITION BY topic ORDER BY position) AS prerequisite_id, {_ROLES} AS role, round(greatest(0, least(1, c)), 6)::DOUBLE AS confidence, {more} FROM t JOIN q USING (topic)"""
+
+
+@query("q52_syllabus_path", f"WITH {_PLANNED}, {_assembled('FROM x_syllabus', 'approximate, concept')}")
 def _(spark, d):
-    return paths.build_path("syllabus", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "approximate", "concept")
+    return paths.build_path("syllabus", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "approximate", "concept").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("q53_anchor_path")
+@query("q53_anchor_path", f"WITH {_PLANNED}, {_assembled('FROM x_anchor', 'concept')}")
 def _(spark, d):
-    return paths.build_path("anchor", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "concept")
+    return paths.build_path("anchor", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "concept").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("q54_hybrid_path")
+@query("q54_hybrid_path", f"""WITH {_PLANNED}, good AS (SELECT topic FROM x_syllabus GROUP BY 1 HAVING count(*) >= 4 AND count(*) FILTER (stage = 'anchor') > 0), other AS (SELECT DISTINCT topic FROM x_anchor WHERE topic NOT IN (FROM good)),
+ {_assembled("SELECT * FROM x_syllabus WHERE topic NOT IN (FROM other) UNION ALL SELECT * FROM x_anchor WHERE topic IN (FROM other)", "concept")}""")
 def _(spark, d):
-    return paths.build_path("hybrid", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "concept")
+    return paths.build_path("hybrid", x.papers(spark, d), x.citations(spark, d), x.seeds(spark, d), _plan(spark, d)).select(*_STEPS, "concept").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("q55_notes", f"WITH {x.COUNTS} SELECT topic, count(*) AS papers, count(*) FILTER (WHERE year IS NULL) AS undated, count(*) FILTER (WHERE seed_rank IS NULL) AS discovered, CAST(sum(out_degree) AS BIGINT) AS edges FROM x_facts GROUP BY 1")

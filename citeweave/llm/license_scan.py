@@ -198,9 +198,10 @@ def rules() -> list[Rule]:
     prefixes = [x[1] for x in FAMILIES]
     for label, spdx, keyword, name in FAMILIES:
         out += [Rule(f"{label}-{form}", label, keyword, f"{before}{name}{after}", priority, weight) for form, before, after, priority, weight in FORMS]
-        # Of an expression of several identifiers each is a detection; the one of the longest prefix counts.
+        # Of an expression of several identifiers each is a detection; the one of the longest prefix counts. What it starts with is
+        # looked at first, so that few places look back.
         special = any(spdx != x and spdx.startswith(x) for x in prefixes)
-        out.append(Rule(f"{label}-spdx", label, "spdx-license-identifier", rf"(?<=[\s(:])(?={re.escape(spdx)})(?<=spdx-license-identifier:[^\n]{{0,200}})[a-z0-9.+-]*", 4 if special else 5, 1.0))
+        out.append(Rule(f"{label}-spdx", label, "spdx-license-identifier", rf"(?={re.escape(spdx)})(?<=spdx-license-identifier:[^\n]{{0,200}})(?<=[\s(:]){re.escape(spdx)}[a-z0-9.+-]*", 4 if special else 5, 1.0))
     return [Rule(r.name, r.label, r.keyword, _spread(r.regex), r.priority, r.weight) for r in out]
 
 

@@ -261,3 +261,17 @@ def test_license_detections_by_hand(spark, sf_dir):
     assert any(r["_license"]["detections"] for r in rows)
     for r in rows:
         assert [(d["start"], d["end"], d["rule"]) for d in r["_license"]["detections"]] == detections_by_hand(r["text"])
+
+
+@pytest.mark.parametrize("name", ["op11_source_audit", "op12_source_mix", "op13_spelling_variants"])
+def test_queries_against_sql(spark, sf_dir, name):
+    """Whole tables, by the SQL that the query is registered with."""
+    import duckdb
+
+    from citeweave.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    got, want = queries.queries()[name](spark, sf_dir), con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, want.fetchall()))

@@ -6,6 +6,9 @@ import tomllib
 from dataclasses import dataclass, field, fields, replace
 
 
+# Names and defaults are fixed values: users' files name them.
+
+
 @dataclass(frozen=True)
 class Expansion:
     seed_papers: int = 25

@@ -7,6 +7,11 @@ and one of each kind goes on. Kinds are sorted, to the right and to the left of
 comparisons find common extensions from prefix hashes by binary search and verify them byte by byte; a stretch is repeated
 where its part on the right and its part on the left both fall together with those of another anchor. No byte is removed
 for the sake of a hash alone: hashes only decide what is compared.
+
+A string that stands in many surroundings would bring all of these together. Such strings are counted in a sample of the
+texts, and an anchor with one of them is split by how many bytes of a stretch lie before it: stretches that agree have
+equal cells, and all stretches of a cell share the bytes around the anchor, which take the string's place. Cells that are
+still frequent are split into single stretches. The split drops no pair of equal stretches, whichever strings are split.
 """
 
 from __future__ import annotations
@@ -27,6 +32,11 @@ LENGTH, GRAM = 200, 32
 #: Bytes of anchors that one task holds, about; the number of tasks follows.
 TASK_BYTES = 24 << 20
 SOME_BYTES = 1 << 19
+#: Frequent strings are looked for in one text of so many; each stands in at least so many surroundings there, and there are
+#: at most so many of them.
+SAMPLED, FREQUENT, MOST_FREQUENT = 64, 64, 1 << 18
+#: Widths of the cells that an anchor is split into where its string is frequent, and where such a cell is.
+CELLS = (22, 1)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 8
 
@@ -70,6 +80,54 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
     return of[new], place[new].astype(np.int64), start[new], start[last], _mixed(h[place[new]])
 
 
+def split(data: bytes, found: tuple[np.ndarray, ...], frequent: np.ndarray, width: int, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """anchors() of `data`, those whose hash is in `frequent` (sorted) split into cells: a cell answers for the stretches that
+    begin c * width to (c + 1) * width - 1 bytes before the anchor, and its hash is that of the bytes that all of these hold."""
+    of, place, first, last, khash = found
+    if not len(frequent) or not len(of):
+        return found
+    at = np.minimum(np.searchsorted(frequent, khash), len(frequent) - 1)
+    some = np.flatnonzero(frequent[at] == khash)
+    if not len(some):
+        return found
+    low, high = (place[some] - last[some]) // width, (place[some] - first[some]) // width
+    count = high - low + 1
+    row = np.repeat(some, count)
+    start = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)) * width
+    held = zip((place[row] - start).tolist(), (place[row] - start - width + 1 + length).tolist(), khash[row].tolist(), start.tolist())
+    cell = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b], (k + c) & (1 << 64) - 1) for a, b, k, c in held), np.uint64, len(row))
+    rest = np.ones(len(of), bool)
+    rest[some] = False
+    return (
+        np.r_[of[rest], of[row]],
+        np.r_[place[rest], place[row]],
+        np.r_[first[rest], np.maximum(first[row], place[row] - start - width + 1)],
+        np.r_[last[rest], np.minimum(last[row], place[row] - start)],
+        np.r_[khash[rest], cell],
+    )
+
+
+def _anchored(raw: list[bytes], frequent: list[np.ndarray], length: int) -> tuple[bytes, np.ndarray, tuple[np.ndarray, ...]]:
+    """(data, where each text begins in it, anchors), with what is frequent split level by level."""
+    data = b"".join(raw)
+    ends = np.cumsum([len(x) for x in raw])
+    begins = np.r_[0, ends[:-1]]
+    # Anchors are looked for in some texts at a time, for they take many times a text's size.
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(SOME_BYTES, len(data), SOME_BYTES)), len(ends)])
+    some = [(a, begins[a], anchors(np.frombuffer(data, np.uint8)[begins[a] : ends[b - 1]], ends[a:b] - begins[a], length)) for a, b in zip(cuts[:-1], cuts[1:])]
+    found = *(np.concatenate([x[k] + (at if k else a) for a, at, x in some]) for k in range(4)), np.concatenate([x[4] for _, _, x in some])
+    for names, width in zip(frequent, CELLS):
+        found = split(data, found, names, width, length)
+    return data, begins, found
+
+
+def _full(data: bytes, found: tuple[np.ndarray, ...], length: int) -> np.ndarray:
+    """Hashes of all the bytes that each anchor answers for."""
+    _, place, first, last, _ = found
+    held = zip(first.tolist(), (last + length).tolist(), (place - first).tolist())
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b], o) for a, b, o in held), np.uint64, len(first))
+
+
 class Suffixes:
     """Rows of bytes, each of its own length, in groups; sorted within each group.
 
@@ -220,7 +278,32 @@ def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def _find(docs: DataFrame, parts: int, tasks: int, length: int) -> DataFrame:
+def frequent_strings(docs: DataFrame, size: int, length: int = LENGTH) -> list[np.ndarray]:
+    """For each width of CELLS, sorted hashes of the strings that are split so: of the texts whose hash SAMPLED divides (copies
+    are in it together), those with at least FREQUENT different surroundings, more in larger tables: a 2^18th of all anchors,
+    so that a list is of bounded size. What is split changes where anchors meet, not what is found. Without frequent strings this is one job."""
+    least = max(FREQUENT, size // (length // 2) // SAMPLED // MOST_FREQUENT)
+    texts = docs.where(F.octet_length("text") >= length).select(F.xxhash64("text").alias("tid"), F.col("text").cast("string").alias("text"))
+    texts = texts.where(F.pmod("tid", F.lit(SAMPLED)) == 0)
+    out: list[np.ndarray] = []
+    for _ in CELLS:
+        known = list(out)
+
+        def strings(batches: Iterator[pa.RecordBatch], known: list[np.ndarray] = known) -> Iterator[pa.RecordBatch]:
+            for _, some in text_chunks(batches, 2 << 20):
+                data, _, found = _anchored([t.encode("utf-8", "surrogatepass") for t in some], known, length)
+                pairs = np.unique(np.stack([found[4], _full(data, found, length)]), axis=1) if len(found[4]) else np.empty((2, 0), np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in np.ascontiguousarray(pairs)], names=["khash", "full"])
+
+        counted = texts.mapInArrow(trimmed(strings), "khash bigint, full bigint").distinct().groupBy("khash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        names = np.array([r["khash"] for r in counted.orderBy(F.desc("n"), "khash").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64)
+        if not len(names):
+            break
+        out.append(np.sort(names))
+    return out
+
+
+def _find(docs: DataFrame, parts: int, tasks: int, length: int, frequent: list[np.ndarray]) -> DataFrame:
     """Rows (tid, uid, low, high) of repeated bytes, and (tid, uid, place, back, ahead, need, khash, full, m) of anchors whose
     bytes are still to be compared; m: how many have the same khash and full, alone: whether no other has this khash.
 
@@ -237,22 +320,14 @@ def _find(docs: DataFrame, parts: int, tasks: int, length: int) -> DataFrame:
         for ids, texts in text_chunks(named, 2 << 20):
             tids, uids = (np.array([x[c] for x in ids], np.int64) for c in "tu")
             raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            data = b"".join(raw)
-            ends = np.cumsum([len(x) for x in raw])
-            begins = np.r_[0, ends[:-1]]
-            # Anchors are looked for in some texts at a time, for they take many times a text's size.
-            cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(SOME_BYTES, len(data), SOME_BYTES)), len(ends)])
-            some = [(a, begins[a], anchors(np.frombuffer(data, np.uint8)[begins[a] : ends[b - 1]], ends[a:b] - begins[a], length)) for a, b in zip(cuts[:-1], cuts[1:])]
-            of, place, first, last = (np.concatenate([x[k] + (at if k else a) for a, at, x in some]) for k in range(4))
-            khash = np.concatenate([x[4] for _, _, x in some])
+            data, begins, found_here = _anchored(raw, frequent, length)
+            of, place, first, last, khash = found_here
             if not len(of):
                 continue
             rows = np.empty(len(of), _ANCHOR)
             rows["khash"], rows["tid"], rows["uid"], rows["place"] = khash, tids[of], uids[of], place - begins[of]
             rows["back"], rows["ahead"], rows["twice"] = place - first, place - last, 0
-            digest = xxhash.xxh3_64_intdigest
-            offsets = zip(first.tolist(), (last + length).tolist(), rows["back"].tolist())
-            rows["full"] = np.fromiter((digest(data[a:b], o) for a, b, o in offsets), np.uint64, len(of))
+            rows["full"] = _full(data, found_here, length)
             order = np.lexsort((rows["full"], rows["khash"]))
             rows, first, last = rows[order], first[order], last[order] + length
             new = np.r_[True, (rows["khash"][1:] != rows["khash"][:-1]) | (rows["full"][1:] != rows["full"][:-1])]
@@ -426,7 +501,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     scratch = Scratch(spark, "suffixes")
     size = docs.select(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size * 2 // 5 // TASK_BYTES)
-    found = scratch.save(_find(docs, 4 * tasks, tasks, length), "found")
+    found = scratch.save(_find(docs, 4 * tasks, tasks, length, frequent_strings(docs, size, length)), "found")
     asked = found.where("low IS NULL").groupBy("tid", "uid").agg(F.collect_list(F.struct("place", "back", "ahead", "need", "khash", "full", "m", "alone")).alias("asks"))
     texts = docs.where(F.octet_length("text") >= length).select(*_ids(), F.col("text").cast("string").alias("text"))
     tasks = max(tasks, 2 * size // TASK_BYTES)  # stretches overlap, so all of them may take five times the bytes

@@ -577,3 +577,23 @@ def test_model_grows(spark):
     m = maxent_lm._start(top, leaves)
     assert m.weights.shape == (1 << 18, 16) and m.leaf_weights.shape == (1 << 17, 96) and m.leaf_bias.shape == (16, 96)
     assert len(set(m.places(np.arange(1024, dtype=np.uint64), np.full(1024, 3, np.uint16)))) == 1024
+
+
+def test_suffix_frequent_strings(spark, monkeypatch):
+    """Passages of less and more than 200 bytes that stand in many surroundings are split into cells and single stretches."""
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    monkeypatch.setattr(suffix_dedup, "FREQUENT", 3)
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    passages = [letters(n) for n in (40, 120, 170, 190, 260)]
+    rows = [(i, letters(rng.randint(0, 250)) + "".join(rng.choice(passages) + letters(rng.choice([0, 1, 9, 180])) for _ in range(4)) + letters(150)) for i in range(60)]
+    rows += [(60 + i, t) for i, t in rows[:5]] + [(70 + i, "z" + t[1:]) for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    frequent = suffix_dedup.frequent_strings(df, 10_000)
+    assert len(frequent) == 2 and all(len(x) for x in frequent)
+    assert dedup_rows(df) == removed(rows)
+    # An anchor's cells answer for each of its stretches once.
+    raw = [t.encode() for _, t in rows]
+    whole, cells = suffix_dedup._anchored(raw, [], 200)[2], suffix_dedup._anchored(raw, frequent, 200)[2]
+    stretches = lambda x: sorted((p, k) for p, a, b in zip(*map(np.ndarray.tolist, x[1:4])) for k in range(a, b + 1))
+    assert stretches(whole) == stretches(cells) and len(cells[0]) > len(whole[0])

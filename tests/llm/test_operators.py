@@ -233,14 +233,15 @@ def test_url_rules(spark):
 
 
 def test_url_held_out():
-    # Hosts and paths of forms that aren't learnt; and words that aren't.
-    rows = [(f"https://best{w}777.biz/page/{i}", 1) for i, w in enumerate(url_filter.BAD_WORDS)]
-    rows += [(f"https://shop.the{w}.biz/page/{i}", 0) for i, w in enumerate(url_filter.GOOD_WORDS + url_filter.NEUTRAL_HOSTS)]
-    unseen = [f"https://www.{w}.biz/about" for w in "pottery granite lagoon harvest lantern meadow quartz saddle timber velvet walnut zephyr anchor basket copper dagger ember feather glacier hazel".split()]
+    """Bad words in frames that aren't learnt are found, and fine words that aren't learnt are left alone."""
+    fine = "pottery granite lagoon harvest lantern meadow quartz saddle timber velvet walnut zephyr anchor basket copper dagger ember feather glacier hazel ivory jasmine kettle lemon marble needle oyster pepper ribbon saffron thunder umbrella violet window yonder compass blanket candle dolphin engine fabric guitar hammer island jacket ladder mirror orange pencil rocket silver teapot village winter bridge cotton desert forest".split()
+    assert not set(fine[:-8]) & set(url_filter.GOOD_WORDS + url_filter.BAD_WORDS)
+    rows = [(f.format(w, i), y) for words, y in ((url_filter.BAD_WORDS, 1), (fine, 0)) for i, w in enumerate(words) for f in ("https://best{}777.biz/page/{}", "http://www.{}.example.org/en/{}.html", "https://news.{}s.net/{}#top", "http://site.eu/tag/{}/{}")]
     w, b = url_filter.fit(url_filter.labelled_urls())
-    right = [(m > 0) == bool(y) for m, (_, y) in zip(url_filter._margins(w, b, [url_filter._split(u) for u, _ in rows]), rows)]
-    blocked = url_filter._margins(w, b, [url_filter._split(u) for u in unseen]) > 0
-    assert np.mean(right) > 0.9 and blocked.mean() < 0.5 and not url_filter.fit([("http://a", 1)])[0].any()
+    blocked = url_filter._margins(w, b, [url_filter._split(u) for u, _ in rows]) > 0
+    bad = np.array([y == 1 for _, y in rows])
+    assert blocked[bad].mean() > 0.9 and blocked[~bad].mean() < 0.05
+    assert not url_filter.fit([("http://a", 1)])[0].any()
 
 
 def test_url_odd(spark):

@@ -342,7 +342,9 @@ def _find(docs: DataFrame, parts: int, tasks: int, length: int, frequent: list[n
             if twice.any():
                 some = rows[twice]
                 at = some["place"].astype(np.int64)
-                yield _batch(scan_schema, part=(some["tid"].view(np.uint64) % np.uint64(parts)).astype(np.int32), tid=some["tid"], uid=some["uid"], low=at - some["back"], high=at - some["ahead"] + length)
+                # Once for all copies of a text, and to any task: these only pass through it.
+                spans = np.unique(np.stack([some["tid"], some["uid"], at - some["back"], at - some["ahead"] + length]), axis=1)
+                yield _batch(scan_schema, part=((np.arange(spans.shape[1]) + spans[0]) % parts).astype(np.int32), **dict(zip(("tid", "uid", "low", "high"), np.ascontiguousarray(spans))))
             rows["twice"] = twice
             rows = rows[new]
             found_parts, groups = _by_part(rows["khash"], parts)

@@ -410,7 +410,9 @@ def maxent_lm(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Words are known by 64-bit hashes. To the driver come sums over leaves, of fixed size, the most frequent words and, block
     by block, the weights, which each task gets whole: both grow with the vocabulary (sizes_for). Every training token is in one gradient step.
     Defined cases: a null or empty text is its end alone; a null doc_id counts as the empty text and trains; repeated rows
-    count and are scored each; with no training text all words are unknown; an empty table gives no rows.
+    count and are scored each; with no training text all words are unknown; an empty table gives no rows; very long texts are read
+    whole; further columns, whatever their names, are ignored. How texts fall into tasks decides which gradients are averaged, so `score`
+    (nothing else) may change a little where the input is partitioned otherwise.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "maxent")

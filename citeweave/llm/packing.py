@@ -252,7 +252,8 @@ def best_fit_packing(docs: DataFrame, tokenizer: str | None = None, capacity: in
     """Packs doc_id, text of `docs`; of a sequence, the pieces by offset make up its ids.
 
     Defined cases: a null or empty text is one piece, the closing id alone; a longer document is cut into full pieces
-    and a last one; repeated rows are packed each for itself; an empty table gives no rows; further columns are ignored.
+    and a last one, however long it is; repeated rows are packed each for itself; an empty table gives no rows; further columns, whatever
+    their names, are ignored.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
     pieces = Scratch(docs.sparkSession, "pieces").save(tokenise(docs, path, capacity, with_ids), "pieces")

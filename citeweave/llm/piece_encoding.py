@@ -181,7 +181,8 @@ def encode_pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     little-endian form), n_bytes (ids of single bytes) and round_trip (whether decoding gives the text again).
 
     Defined cases: a null or empty text has no ids; characters outside the vocabulary become bytes; white space stays as
-    it is, each space one mark; repeated rows are encoded each; texts are encoded whole.
+    it is, each space one mark; repeated rows are encoded each; texts, very long ones too, are encoded whole; an empty table gives no rows;
+    other columns, null or not, pass through, whatever their names.
     """
     path = path or public_tokenizers.path(MODEL)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))

@@ -598,3 +598,26 @@ def test_suffix_frequent_strings(spark, monkeypatch):
     whole, cells = suffix_dedup._anchored(raw, [], 200)[2], suffix_dedup._anchored(raw, frequent, 200)[2]
     stretches = lambda x: sorted((p, k) for p, a, b in zip(*map(np.ndarray.tolist, x[1:4])) for k in range(a, b + 1))
     assert stretches(whole) == stretches(cells) and len(cells[0]) > len(whole[0])
+
+
+@pytest.mark.parametrize("operator", [packing.best_fit_packing, piece_encoding.encode_pieces, maxent_lm.maxent_lm])
+def test_empty_and_long(spark, odd, operator):
+    """An empty table gives no rows, and a text of a megabyte is read whole."""
+    assert operator(odd.limit(0)).count() == 0
+    text = "word and another, " * 60_000
+    df = spark.createDataFrame([(1, text, "w"), (2, None, "v")], "doc_id bigint, text string, _text string")
+    rows = operator(df).collect()
+    if operator is packing.best_fit_packing:
+        ids = len(packing_ids(text))
+        assert sum(r["length"] for r in rows if r["doc_id"] == 1) == ids + 1 and [r["length"] for r in rows if r["doc_id"] == 2] == [1]
+    elif operator is piece_encoding.encode_pieces:
+        _, parts, _ = piece_encoding.load(public_tokenizers.path(piece_encoding.MODEL))
+        assert [piece_encoding.decode(r["_pieces"]["ids"], parts) for r in sorted(rows, key=lambda r: r["doc_id"])] == [text, ""]
+    else:
+        assert {r["doc_id"]: r["n_tokens"] for r in rows} == {1: 180_001, 2: 1}
+
+
+def packing_ids(text):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER)).encode(text, add_special_tokens=False).ids

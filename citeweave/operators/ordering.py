@@ -1,6 +1,6 @@
 """Reading order under the rule that cited work comes first: cycles, levels, reduction and positions.
 
-Graphs are walked in blocks of bounded size: papers of one topic and neighbouring years. A block peels off what waits for
+Topics of bounded size are walked in one task each, in linear time. Larger graphs are walked in blocks of bounded size: papers of one topic and neighbouring years. A block peels off what waits for
 nothing, as far as it gets by itself, and sends the rest of the news to other blocks, one row for each paper told; so rounds
 grow with the crossings of blocks, not with the depth of the graph, and no topic needs to fit a task.
 """
@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citeweave.operators.steps import Steps, ranked, small
 
-#: Papers of a block, about.
-BLOCK = 50_000
+#: Papers of a block, about; topics of no more are walked whole.
+BLOCK = 200_000
 
 
 def _years(nodes: DataFrame, block: int) -> DataFrame:
@@ -162,9 +163,107 @@ def _settle(papers: DataFrame, links: DataFrame, named: bool, steps: Steps, tag:
     return everything.where("kind = 'd'"), out.where("kind = 'w'"), everything.where("kind = 'x'")
 
 
-def strong_components(links: DataFrame, steps: Steps, tag: str = "scc") -> DataFrame:
+def _coded(ids: np.ndarray, links: pd.DataFrame) -> tuple[list, list]:
+    """Numbers of the papers that each of the sorted ids leads to, in order: where they start, and all of them."""
+    a, b = np.searchsorted(ids, links["a"].to_numpy()), np.searchsorted(ids, links["b"].to_numpy())
+    order = np.lexsort((b, a))
+    return np.searchsorted(a[order], np.arange(len(ids) + 1)).tolist(), b[order].tolist()
+
+
+def _walk(papers: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """A topic's papers with their levels (kind d) and the links dropped for cycles (x, from paper_id to other)."""
+    names = ["topic", "paper_id", "kind", "level", "other"]
+    ids = np.sort(papers["paper_id"].to_numpy())
+    at, to = _coded(ids, links)
+    year = np.empty(len(ids), np.int64)
+    year[np.searchsorted(ids, papers["paper_id"].to_numpy())] = papers["root_year"].to_numpy()
+    new, open_, done = 0, 1, 2
+    state, following, finished, gone = [new] * len(ids), at[:-1], [], []
+    for root in np.lexsort((np.arange(len(ids)), year)).tolist():
+        if state[root] != new:
+            continue
+        state[root], path = open_, [root]
+        while path:
+            p = path[-1]
+            k = following[p]
+            if k == at[p + 1]:
+                path.pop()
+                state[p] = done
+                finished.append(p)
+                continue
+            following[p] = k + 1
+            if state[to[k]] == open_:
+                gone.append(k)
+            elif state[to[k]] == new:
+                state[to[k]] = open_
+                path.append(to[k])
+    level, left = [0] * len(ids), set(gone)
+    for p in reversed(finished):  # an order in which what is kept leads forward
+        for k in range(at[p], at[p + 1]):
+            if k not in left and level[to[k]] <= level[p]:
+                level[to[k]] = level[p] + 1
+    topic = papers["topic"].iloc[0] if len(papers) else None
+    settled = pd.DataFrame({"topic": topic, "paper_id": ids, "kind": "d", "level": level, "other": ids})
+    if not gone:
+        return settled[names]
+    back = pd.DataFrame({"topic": topic, "paper_id": ids[np.searchsorted(at, gone, "right") - 1], "kind": "x", "level": 0, "other": ids[[to[k] for k in gone]]})
+    return pd.concat([settled, back])[names]
+
+
+def _strong(links: pd.DataFrame) -> pd.DataFrame:
+    """(topic, paper_id, component) of the papers in cycles of one topic's links, by one walk with a stack of open papers."""
+    ids = np.unique(np.concatenate([links["a"].to_numpy(), links["b"].to_numpy()]))
+    at, to = _coded(ids, links)
+    number, low, waiting, following, stack, count, found = [0] * len(ids), [0] * len(ids), [False] * len(ids), at[:-1], [], 0, []
+    for root in range(len(ids)):
+        path = [] if number[root] else [root]
+        while path:
+            p = path[-1]
+            if not number[p]:
+                count += 1
+                number[p] = low[p] = count
+                waiting[p] = True
+                stack.append(p)
+            if following[p] < at[p + 1]:
+                b = to[following[p]]
+                following[p] += 1
+                if not number[b]:
+                    path.append(b)
+                elif waiting[b]:
+                    low[p] = min(low[p], number[b])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[p])
+            if low[p] == number[p]:
+                of = [stack.pop()]
+                while of[-1] != p:
+                    of.append(stack.pop())
+                for q in of:
+                    waiting[q] = False
+                if len(of) > 1:
+                    found += [(q, min(of)) for q in of]
+    p, c = np.array(found, np.int64).reshape(-1, 2).T
+    return pd.DataFrame({"topic": links["topic"].iloc[0], "paper_id": ids[p], "component": ids[c]})
+
+
+def strong_components(links: DataFrame, steps: Steps, tag: str = "scc", block: int = BLOCK) -> DataFrame:
     """(topic, paper_id, component) of papers in cycles of links (topic, a, b); a component is named by its smallest paper.
 
+    Topics of `block` linked papers at the most are walked in one task each; larger ones are coloured (_coloured)."""
+    links = steps.save(links.select("topic", "a", "b"), f"{tag}all")
+    sizes = links.select("topic", F.explode(F.array("a", "b")).alias("paper_id")).distinct().groupBy("topic").agg(F.count("*").alias("n"))
+    sizes = steps.save(sizes, f"{tag}sizes")
+    kind = links.schema["a"].dataType.simpleString()
+    one = links.join(small(sizes.where(F.col("n") <= block).select("topic")), "topic", "left_semi")
+    walked = steps.save(one.groupBy("topic").applyInPandas(_strong, f"topic {links.schema['topic'].dataType.simpleString()}, paper_id {kind}, component {kind}"), f"{tag}walked")
+    large = sizes.where(F.col("n") > block).select("topic")
+    return walked if large.isEmpty() else walked.unionByName(_coloured(links.join(small(large), "topic", "left_semi"), steps, tag))
+
+
+def _coloured(links: DataFrame, steps: Steps, tag: str) -> DataFrame:
+    """strong_components() of topics of any size.
+
     Forward-backward colouring: the smallest paper that reaches a paper is its colour; those of a colour that also reach its
     name are a component. What is left is coloured again. Each step of a wave is a minimum by paper, summed before it travels.
     """
@@ -204,7 +303,7 @@ def settle_order(nodes: DataFrame, links: DataFrame, block: int = BLOCK) -> tupl
 
     nodes: topic, paper_id, year, each once; links: topic, a, b (a comes before b), distinct, among the nodes. The walk that
     finds what to drop starts at the oldest (undated papers stand at the upper median of the topic's years), goes by id, and
-    drops what leads back to a paper still open. It is made of one walk for each strong component, from the paper at which a
+    drops what leads back to a paper still open. Topics of `block` papers at the most are walked so in one task each. For larger ones it is made of one walk for each strong component, from the paper at which a
     walk over all would enter it; a component has to fit a task, a topic hasn't.
     """
     steps = Steps(nodes.sparkSession, "order")
@@ -213,6 +312,22 @@ def settle_order(nodes: DataFrame, links: DataFrame, block: int = BLOCK) -> tupl
     placed = nodes.join(small(years), (F.col("topic") == F.col("_topic")) & F.col("year").eqNullSafe(F.col("_year")))
     papers = steps.save(placed.select("topic", spot.cast("long").alias("block"), "paper_id", F.col("paper_id").alias("component"), F.coalesce("year", "middle").cast("int").alias("root_year")), "papers")
     links = steps.save(links.select("topic", "a", "b"), "links")
+    sizes = steps.save(papers.groupBy("topic").agg(F.count("*").alias("n")), "sizes")
+    one, large = (small(sizes.where(c).select("topic")) for c in (F.col("n") <= block, F.col("n") > block))
+    kinds = {c: papers.schema[c].dataType.simpleString() for c in ("topic", "paper_id")}
+    schema = f"topic {kinds['topic']}, paper_id {kinds['paper_id']}, kind string, level int, other {kinds['paper_id']}"
+    whole = papers.join(one, "topic", "left_semi").groupBy("topic").cogroup(links.join(one, "topic", "left_semi").groupBy("topic")).applyInPandas(_walk, schema)
+    whole = steps.save(whole, "whole")
+    levels = whole.where("kind = 'd'").select("topic", "paper_id", "level")
+    dropped = whole.where("kind = 'x'").select("topic", F.col("paper_id").alias("a"), F.col("other").alias("b"))
+    if large.isEmpty():
+        return levels, dropped
+    more = _settle_large(papers.join(large, "topic", "left_semi"), steps.save(links.join(large, "topic", "left_semi"), "largelinks"), steps, block)
+    return levels.unionByName(more[0]), dropped.unionByName(more[1])
+
+
+def _settle_large(papers: DataFrame, links: DataFrame, steps: Steps, block: int) -> tuple[DataFrame, DataFrame]:
+    """settle_order() of topics of more than one block."""
     settled, waiting, _ = _settle(papers, links, False, steps, "first")
     waiting = steps.save(waiting.select("topic", "paper_id"), "waiting")
     none = links.limit(0)
@@ -225,7 +340,7 @@ def settle_order(nodes: DataFrame, links: DataFrame, block: int = BLOCK) -> tupl
     _, core, _ = _settle(held, rest.select("topic", F.col("b").alias("a"), F.col("a").alias("b")), False, steps, "back")
     core = steps.save(core.select("topic", "paper_id"), "core")
     inner = rest.join(core.withColumnRenamed("paper_id", "a"), ["topic", "a"], "left_semi").join(core.withColumnRenamed("paper_id", "b"), ["topic", "b"], "left_semi")
-    components = steps.save(strong_components(inner, steps), "components")
+    components = steps.save(strong_components(inner, steps, block=block), "components")
     # Topics with cycles, once more, by component and with the ways to each paper. A component lies where its name does.
     topics = components.select("topic").distinct()
     named = components.select("topic", "paper_id", F.col("component").alias("_c"))

@@ -480,7 +480,7 @@ class _State:
         """Finds what is linked among the pairs (key, other), and in the buckets (sig, key) of many sets.
 
         First all are held against the set of each that shares most with others, its hub, which makes one class of a group
-        of copies. In buckets that still hold several classes all sketches are compared: the nearest eight of each set are
+        of copies. Buckets that still hold several classes are merged by their hubs (_merged), and all sketches compared: the nearest eight of each set are
         tested, then, of sets that have more, 64, and so on until none has. A bucket of over BUCKET sets is cut first: if BUCKET at most
         are of other classes than its largest, into blocks of that class, each beside all of the others. Else by signatures
         of another division of the domain; and where that was done LEVELS times, into blocks that meet each other.
@@ -492,17 +492,24 @@ class _State:
             if level > LEVELS:
                 self._compare(rows, level)
                 break
-            self._compare(rows.where(f"m <= {BUCKET}").select("sig", "key").union(self._led(rows.where(f"m > {BUCKET}"))), level)
-            rest = self.scratch.save(self.open(rows.where(f"m > {BUCKET}")).transform(self._others).where(f"others > {BUCKET}"), f"rest{level}")
+            few = self._merged(rows.where(f"m <= {BUCKET}"), f"few{level}", f"u <= {BUCKET}").select("sig", "key")
+            wide = rows.where(f"m > {BUCKET}")
+            if wide.isEmpty():
+                self._compare(few, level)
+                break
+            led = self._merged(wide.transform(self._others).where(f"others <= {BUCKET}"), f"led{level}", f"o <= {BUCKET}", "top")
+            self._compare(few.union(self._led(led)), level)
+            rest = self.open(wide).transform(self._others).where(f"others > {BUCKET}")
             if rest.isEmpty():
                 break
+            rest = self._merged(rest, f"rest{level}")
             if level < LEVELS:
                 signs = _signs(self.docs, self.scratch.save(self.known.join(rest.select("key").distinct(), "key", "left_semi").select("tid"), f"signed{level}"), self.width, self.num, self.den, level + 1)
                 rows = rest.join(self.scratch.save(signs, f"signs{level}"), "key").select(F.xxhash64("sig", "sign").alias("sig"), "key")
             else:
                 blocks = rest.withColumn("k", F.expr(f"m div {BUCKET} + 1")).withColumn("c", F.expr("pmod(xxhash64(key), k)"))
                 rows = blocks.withColumn("o", F.explode(F.expr("sequence(0L, k - 1)"))).select(F.expr("xxhash64(sig, least(c, o), greatest(c, o))").alias("sig"), "key").distinct()
-        for name in self.scratch.names("open", "hubs", "buckets", "rest", "signs", "signed", "rows", "found"):
+        for name in self.scratch.names("open", "hubs", "buckets", "few", "led", "rest", "signs", "signed", "rows", "found"):
             self.scratch.drop(name)
 
     def _others(self, rows: DataFrame) -> DataFrame:
@@ -510,9 +517,32 @@ class _State:
         top = rows.groupBy("sig", "label").agg(F.count("*").alias("n")).groupBy("sig").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("others"))
         return rows.join(top, "sig")
 
-    def _led(self, rows: DataFrame) -> DataFrame:
-        """(sig, key) of the blocks of those large buckets that hold few sets besides one class."""
-        led = self._others(rows).where(f"others <= {BUCKET}").withColumn("k", F.expr(f"m div {BUCKET} + 1"))
+    def _merged(self, rows: DataFrame, name: str, fit: str = "true", *by: str) -> DataFrame:
+        """The rows, those of all buckets with the same hub (and `by`) as one bucket's, where this makes no more pairs of sets, in sum, than
+        the buckets do, and `fit` holds of it: u sets, of which o have another label than top. Merged buckets are merged once more,
+        by the set that is in most of them.
+
+        A passage that many sets share gives them many signatures, whose buckets hold nearly the same sets: each of these would
+        find the same candidates again.
+        """
+        other = F.count(F.expr("CASE WHEN label <> top THEN 1 END")) if by else F.lit(0)
+        hubs, by = self.hubs, ("hub", *by)
+        for turn in range(2):
+            if turn:
+                ranked = rows.join(rows.groupBy("key").agg(F.count("*").alias("all")), "key")
+                hubs = ranked.groupBy("sig").agg(F.max_by("key", F.struct("all", "key")).alias("hub"))
+            each = rows.join(hubs, "sig")
+            sets = each.select(*by, "key", "label").distinct().groupBy(*by).agg(F.count("*").alias("u"), other.alias("o"))
+            pairs = each.groupBy(*by, "sig").agg(F.max("m").alias("m")).groupBy(*by).agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+            joint = sets.join(pairs, [*by]).where("u * u <= pairs").where(fit).select(*by, "u")
+            each = each.join(joint, [*by], "left").withColumn("m", F.coalesce("u", "m"))
+            sig = F.when(F.col("u").isNull(), F.col("sig")).otherwise(F.xxhash64(F.lit(f"{name} {turn}"), *by))
+            rows = self.scratch.save(each.select(sig.alias("sig"), "key", "label", "m", *by[1:]).distinct(), f"{name}_{turn}")
+        return rows
+
+    def _led(self, led: DataFrame) -> DataFrame:
+        """(sig, key) of the blocks of large buckets that hold few sets besides their largest class (top)."""
+        led = led.withColumn("k", F.expr(f"m div {BUCKET} + 1"))
         block = F.expr("if(label = top, array(pmod(xxhash64(key), k)), sequence(0L, k - 1))")
         return led.withColumn("c", F.explode(block)).select(F.xxhash64("sig", "c").alias("sig"), "key")
 
@@ -523,8 +553,8 @@ class _State:
         once = each.where("m > 1").groupBy("m", "h").agg(F.min("sig").alias("sig"), F.sum("m").alias("weight")).select("sig", "weight")
         buckets = self.scratch.save(self.open(rows.join(once, "sig").select("sig", "key", "weight")), f"buckets{level}")
         ranked = buckets.join(buckets.groupBy("key").agg(F.sum("weight").alias("all")), "key")
-        hubs = self.scratch.save(ranked.groupBy("sig").agg(F.max_by("key", F.struct("all", "key")).alias("hub")), f"hubs{level}")
-        held = buckets.join(hubs, "sig").where("key <> hub").select("hub", "key")
+        self.hubs = self.scratch.save(ranked.groupBy("sig").agg(F.max_by("key", F.struct("all", "key")).alias("hub")), f"hubs{level}")
+        held = buckets.join(self.hubs, "sig").where("key <> hub").select("hub", "key")
         self.test(held if pairs is None else held.union(pairs))
         return self.scratch.save(self.open(buckets.select("sig", "key")), f"open{level}")
 

@@ -30,3 +30,23 @@ def test_folded_sketches_bound_differences():
     assert 800 < apart <= len(np.setxor1d(a, b))
     parts = jaccard_join.folded(np.stack([y, y]), 64)
     assert (parts[0] == parts[1]).all() and (parts[0] == y[:64] ^ y[64:]).all()
+
+
+def test_candidates_of_a_shared_passage_are_found_once(spark, monkeypatch):
+    """Sets that share a passage share hundreds of signatures, and sketches don't rule their pairs out."""
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(700))
+    texts = [passage + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(150)) for _ in range(80)]
+    texts.append(texts[0].rsplit(" ", 20)[0])
+    rows, plain = [], jaccard_join._candidates
+
+    def counted(*args):
+        found = plain(*args).cache()
+        rows.extend(found.collect())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "_candidates", counted)
+    members, _ = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {m["doc_id"]: m["component"] for m in members.collect()} == {i: 0 if i == 80 else i for i in range(81)}
+    assert 0 < len({(x["a"], x["b"]) for x in rows if x["b"] is not None}) <= 81 * 80 // 2
+    assert len(rows) <= 4 * 81 * 80 // 2

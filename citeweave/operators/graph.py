@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 from citeweave.operators.steps import Steps, few, ranked, small
 
+#: A row holds about so many of the papers that one cites.
+LIST = 1024
+#: Tables of so many papers for each partition at the most are joined by hash.
+HASHED = 200_000
+
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(topic, paper_id, in_degree, out_degree) of all nodes, over distinct edges."""
@@ -21,38 +26,49 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.5, iteration
     """(topic, paper_id, pagerank), each topic by itself: uniform teleport, the rank of dangling papers spread evenly,
     until no topic's ranks change by more than `tolerance` in sum.
 
-    edges (topic, citing_id, cited_id) are distinct and among the nodes; loops don't count. They are dealt once by citing paper, and ranks lie in
-    the same buckets; an iteration sends shares to the cited papers, summed before they travel, and one number a topic. Ranks
-    are written every `per_step` iterations. A paper cited by very many is a sum, not a group.
+    edges (topic, citing_id, cited_id) are distinct and among the nodes; loops don't count. Papers lie in buckets, each with those it cites in
+    rows of about LIST at most. An iteration sends one share for each citation, summed before it travels, and joins the sums to the buckets,
+    which don't move; what reached no paper is the rank of the dangling ones, as a topic's ranks sum to 1. Ranks are written every `per_step`
+    iterations. A paper cited by very many is a sum, not a group.
     """
-    steps = Steps(nodes.sparkSession, "pagerank")
-    ids = nodes.select("topic", "paper_id").distinct()
+    spark = nodes.sparkSession
+    steps, key = Steps(spark, "pagerank"), ["topic", "paper_id"]
+    ids = nodes.select(*key).distinct()
     sizes = steps.save(ids.groupBy("topic").agg(F.count("*").alias("n")), "sizes")
     topics = F.broadcast if few(sizes) else (lambda df: df)
-    links = steps.save(edges.where("citing_id <> cited_id").select(*[F.col(c).alias(c) for c in ("topic", "citing_id", "cited_id")]), "links")
-    cites = links.groupBy("topic", F.col("citing_id").alias("paper_id")).agg(F.count("*").alias("cites"))
-    start = ids.join(cites, ["topic", "paper_id"], "left").join(topics(sizes), "topic")
-    start = start.select("topic", "paper_id", "n", F.coalesce("cites", F.lit(0)).alias("cites"), (1.0 / F.col("n")).alias("rank"), F.lit(0.0).alias("old"))
-    rank = steps.save_by(start, "rank0", "topic", "paper_id")
-    # A paper's way to itself carries what it knows; so one join sends all.
-    ways = links.select("topic", F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("to")).unionByName(ids.select("topic", "paper_id", F.col("paper_id").alias("to")))
-    ways = steps.save_by(ways, "ways", "topic", "paper_id")
-
-    def following(rank: DataFrame) -> DataFrame:
-        own = F.col("to") == F.col("paper_id")
-        kept = [F.max(F.when(own, F.col(c))).alias(n) for c, n in (("n", "n"), ("cites", "cites"), ("rank", "old"))]
-        sums = ways.join(rank.drop("old"), ["topic", "paper_id"]).groupBy("topic", "to").agg(*kept, F.sum(F.when(own, 0.0).otherwise(F.col("rank") / F.col("cites"))).alias("sum"))
-        loose = rank.where("cites = 0").groupBy("topic").agg(F.sum("rank").alias("loose"))
-        new = (1 - damping) / F.col("n") + damping * (F.col("sum") + F.coalesce("loose", F.lit(0.0)) / F.col("n"))
-        return sums.join(topics(loose), "topic", "left").select("topic", F.col("to").alias("paper_id"), "n", "cites", new.alias("rank"), "old")
+    # Joins to the buckets sort neither side, as long as a bucket's part of the papers is small.
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    joined = (lambda df: df.hint("shuffle_hash")) if total <= HASHED * int(spark.conf.get("spark.sql.shuffle.partitions")) else (lambda df: df)
+    links = steps.save(edges.where("citing_id <> cited_id").select("topic", F.col("citing_id").alias("paper_id"), F.col("cited_id").alias("to")), "links")
+    cites = links.groupBy(*key).agg(F.count("*").alias("cites"))
+    # A long list has its parts from 1, a short one is part 0, which each paper has.
+    lists = F.ceil(F.col("cites") / LIST)
+    parts = links.join(cites, key).withColumn("part", F.when(lists > 1, 1 + F.pmod(F.xxhash64("to"), lists)).otherwise(0))
+    parts = steps.save(parts.groupBy(*key, "cites", "part").agg(F.collect_list("to").alias("to")), "parts")
+    short = ids.join(parts.where("part = 0").drop("part"), key, "left").withColumn("part", F.lit(0).cast("long"))
+    papers = short.unionByName(parts.where("part > 0")).join(topics(sizes), "topic").select(*key, "part", "n", "cites", "to")
+    papers = steps.save_by(papers, "papers", *key)
+    start = papers.withColumn("rank", 1.0 / F.col("n"))
+    rank = start.where("part = 0").select(*key, "rank")
+
+    def following(rank: DataFrame, last: bool) -> DataFrame:
+        sent = rank.where("to IS NOT NULL").select("topic", (F.col("rank") / F.col("cites")).alias("share"), F.explode("to").alias("paper_id"))
+        # Said here, as the join below infers it for its side alone, and the two uses of the sums wouldn't share an exchange.
+        sums = sent.where("topic IS NOT NULL AND paper_id IS NOT NULL").groupBy(*key).agg(F.sum("share").alias("sum"))
+        found = sums.groupBy("topic").agg(F.sum("sum").alias("found"))
+        base = rank.withColumnRenamed("rank", "old") if last and tolerance > 0 else papers.withColumn("old", F.lit(0.0))
+        every = base.join(joined(sums), key, "left").join(topics(found), "topic", "left")
+        loose = F.greatest(F.lit(0.0), 1 - F.coalesce("found", F.lit(0.0)))
+        new = (1 - damping) / F.col("n") + damping * (F.coalesce("sum", F.lit(0.0)) + loose / F.col("n"))
+        return every.select(*papers.columns, new.alias("rank"), *(["old"] if last else []))
 
     done = 0
     while done < iterations:
         now = min(per_step, iterations - done)
-        new = rank
-        for _ in range(now):
-            new = following(new)
-        new = steps.save_by(new, f"rank{done + now}", "topic", "paper_id")
+        new = papers.join(joined(rank.drop("old")), key) if done else start
+        for i in range(now):
+            new = following(new, i + 1 == now)
+        new = steps.save_by(new.where("part = 0").select(*key, "rank", "old"), f"rank{done + now}", "topic", "paper_id")
         steps.drop(f"rank{done}")
         rank, done = new, done + now
         if tolerance > 0:

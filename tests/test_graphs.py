@@ -1,6 +1,7 @@
 """Graph operators across tasks against plain versions, with blocks of a few papers."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +94,32 @@ def test_pagerank_of_random_graphs(spark, per_step):
         assert all(abs(got[t, p] - want[p]) < 1e-9 for p in of) and abs(sum(got[t, p] for p in of) - 1) < 1e-9
     assert graph.pagerank(n.limit(0), e.limit(0)).count() == 0
 
+def test_pagerank_sums_shares_once_an_iteration(spark, monkeypatch):
+    """Each iteration's sums are used twice, for the papers and for what is dangling, from one exchange; long lists lie in parts."""
+    nodes, edges = some_graph(11, size=20)
+    n, e = frames(spark, nodes, {t: {(b, a) for a, b in of} for t, of in edges.items()})
+    if hasattr(graph, "LIST"):
+        monkeypatch.setattr(graph, "LIST", 2)
+    plans, plain = [], graph.Steps.save_by
+
+    def kept(self, df, name, *columns):
+        if name == "rank4":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(self, df, name, *columns)
+
+    monkeypatch.setattr(graph.Steps, "save_by", kept)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {(r["topic"], r["paper_id"]): r["pagerank"] for r in graph.pagerank(n, e, iterations=4, tolerance=0.0).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    for t, of in nodes.items():
+        want = plain_pagerank(list(of), edges[t], iterations=4)
+        assert len([k for k in got if k[0] == t]) == len(of) and all(abs(got[t, p] - want[p]) < 1e-12 for p in of)
+    sums = [x for x in plans[0].splitlines() if re.search(r"(?<!Reused)Exchange hashpartitioning\(topic#\d+, (paper_id|to)#", x.split("ReusedExchange")[0])]
+    assert len(sums) == 2
+
 
 @pytest.mark.parametrize("window,least", [(3, 5), (1, 30)])
 def test_age_rescale_against_all_pairs(spark, window, least):

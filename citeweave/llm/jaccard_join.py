@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm.common import LOWER, Scratch, UPPER, forget, free_names, memo, small, table, text_chunks, trimmed
@@ -470,11 +470,14 @@ class _State:
         joined = rows.drop("label").join(self.label.select(F.col("node").alias("key"), F.col("component").alias("label")), "key", "left")
         return joined.withColumn("label", F.coalesce("label", "key"))
 
-    def open(self, rows: DataFrame) -> DataFrame:
-        """Rows of buckets (sig, key) that hold several classes, with their class as label, and the bucket's size m."""
-        rows = self.labelled(rows)
-        mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("sig", "m")
-        return rows.drop("m").join(mixed, "sig")
+    def _mixed(self, rows: DataFrame, *more: Column) -> DataFrame:
+        """(sig, m and more) of the buckets (sig, key) that hold several classes."""
+        return self.labelled(rows).groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), *more).where("lo <> hi").drop("lo", "hi")
+
+    def open(self, rows: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+        """Rows of buckets (sig, key) that hold several classes, with their class as label, the bucket's size m and, if given, its hub."""
+        mixed = self._mixed(rows)
+        return self.labelled(rows).drop("m").join(mixed.join(hubs, "sig") if hubs else mixed, "sig")
 
     def settle(self, rows: DataFrame, pairs: DataFrame) -> None:
         """Finds what is linked among the pairs (key, other), and in the buckets (sig, key) of many sets.
@@ -523,19 +526,19 @@ class _State:
         by the set that is in most of them.
 
         A passage that many sets share gives them many signatures, whose buckets hold nearly the same sets: each of these would
-        find the same candidates again.
+        find the same candidates again. Rows meet their hubs once in each turn, and what is known of hubs isn't dealt by them, as
+        one may lead most rows.
         """
         other = F.count(F.expr("CASE WHEN label <> top THEN 1 END")) if by else F.lit(0)
-        hubs, by = self.hubs, ("hub", *by)
+        by = ("hub", *by)
         for turn in range(2):
             if turn:
                 ranked = rows.join(rows.groupBy("key").agg(F.count("*").alias("all")), "key")
-                hubs = ranked.groupBy("sig").agg(F.max_by("key", F.struct("all", "key")).alias("hub"))
-            each = rows.join(hubs, "sig")
-            sets = each.select(*by, "key", "label").distinct().groupBy(*by).agg(F.count("*").alias("u"), other.alias("o"))
-            pairs = each.groupBy(*by, "sig").agg(F.max("m").alias("m")).groupBy(*by).agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
-            joint = sets.join(pairs, [*by]).where("u * u <= pairs").where(fit).select(*by, "u")
-            each = each.join(joint, [*by], "left").withColumn("m", F.coalesce("u", "m"))
+                rows = self.scratch.save(rows.join(ranked.groupBy("sig").agg(F.max_by("key", F.struct("all", "key")).alias("hub")), "sig"), f"{name}_hubs")
+            sets = rows.select(*by, "key", "label").distinct().groupBy(*by).agg(F.count("*").alias("u"), other.alias("o"))
+            pairs = rows.groupBy(*by, "sig").agg(F.max("m").alias("m")).groupBy(*by).agg(F.sum(F.col("m") * F.col("m")).alias("pairs"))
+            joint = self.scratch.save(sets.join(pairs, [*by]).where("u * u <= pairs").where(fit).select(*by, "u"), f"{name}_joint{turn}")
+            each = rows.join(small(joint, KEY_BYTES), [*by], "left").withColumn("m", F.coalesce("u", "m"))
             sig = F.when(F.col("u").isNull(), F.col("sig")).otherwise(F.xxhash64(F.lit(f"{name} {turn}"), *by))
             rows = self.scratch.save(each.select(sig.alias("sig"), "key", "label", "m", *by[1:]).distinct(), f"{name}_{turn}")
         return rows
@@ -547,16 +550,15 @@ class _State:
         return led.withColumn("c", F.explode(block)).select(F.xxhash64("sig", "c").alias("sig"), "key")
 
     def _hubs(self, rows: DataFrame, level: int, pairs: DataFrame | None) -> DataFrame:
-        """Tests `pairs`, and the sets of each bucket against its hub; returns the rows of buckets that stay open."""
+        """Tests `pairs`, and the sets of each bucket against its hub; returns the rows of buckets that stay open, with their hubs."""
         # Signatures with the same members are one bucket.
-        each = rows.groupBy("sig").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("key")).alias("h"))
-        once = each.where("m > 1").groupBy("m", "h").agg(F.min("sig").alias("sig"), F.sum("m").alias("weight")).select("sig", "weight")
-        buckets = self.scratch.save(self.open(rows.join(once, "sig").select("sig", "key", "weight")), f"buckets{level}")
+        once = self._mixed(rows, F.bit_xor(F.xxhash64("key")).alias("h")).groupBy("m", "h").agg(F.min("sig").alias("sig"), F.sum("m").alias("weight")).select("sig", "weight")
+        buckets = self.scratch.save(rows.select("sig", "key").join(once, "sig"), f"buckets{level}")
         ranked = buckets.join(buckets.groupBy("key").agg(F.sum("weight").alias("all")), "key")
-        self.hubs = self.scratch.save(ranked.groupBy("sig").agg(F.max_by("key", F.struct("all", "key")).alias("hub")), f"hubs{level}")
-        held = buckets.join(self.hubs, "sig").where("key <> hub").select("hub", "key")
+        hubs = self.scratch.save(ranked.groupBy("sig").agg(F.max_by("key", F.struct("all", "key")).alias("hub")), f"hubs{level}")
+        held = buckets.join(hubs, "sig").where("key <> hub").select("hub", "key")
         self.test(held if pairs is None else held.union(pairs))
-        return self.scratch.save(self.open(buckets.select("sig", "key")), f"open{level}")
+        return self.scratch.save(self.open(buckets.select("sig", "key"), hubs), f"open{level}")
 
     def _compare(self, rows: DataFrame, level: int) -> None:
         most, i = 8, 0

@@ -1,10 +1,12 @@
 """Large sets that share a passage but aren't alike: sketches as wide as the sets rule them out before whole sets travel."""
 
 import random
+import re
 
 import numpy as np
 
 from citeweave.llm import jaccard_join
+from citeweave.llm.common import Scratch
 
 
 def test_large_strangers_are_not_verified(spark, monkeypatch):
@@ -50,3 +52,46 @@ def test_candidates_of_a_shared_passage_are_found_once(spark, monkeypatch):
     assert {m["doc_id"]: m["component"] for m in members.collect()} == {i: 0 if i == 80 else i for i in range(81)}
     assert 0 < len({(x["a"], x["b"]) for x in rows if x["b"] is not None}) <= 81 * 80 // 2
     assert len(rows) <= 4 * 81 * 80 // 2
+
+
+def _rows_joined_by_sig(spark, since: int) -> int:
+    """Rows that joins on sig alone have made in the statements after number `since`."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i) for i in range(runs.size())):
+        if run.executionId() <= since:
+            continue
+        nodes, counts = store.planGraph(run.executionId()).allNodes(), store.executionMetrics(run.executionId())
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.match(r"\w+Join \[sig#\d+L?\], \[sig#\d+L?\], Inner(, Build\w+)?(, false)?$", node.desc()):
+                metrics = node.metrics()
+                for m in (metrics.apply(i) for i in range(metrics.size())):
+                    if m.name() == "number of output rows" and counts.contains(m.accumulatorId()):
+                        made += int(counts.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def test_rows_of_buckets_are_joined_a_few_times(spark, monkeypatch):
+    """Rows of buckets grow with the sets of a group, and meet what is known of their buckets three times, not ten."""
+    plain, seen = Scratch.save, {}
+
+    def save(self, df, name, *more):
+        out = plain(self, df, name, *more)
+        if name == "buckets0":
+            seen["buckets"] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", save)
+    passage = " ".join(f"p{i}" for i in range(700))
+    for n in (60, 120):
+        r = random.Random(5)
+        texts = [passage + " " + " ".join(f"w{r.randrange(10**9)}" for _ in range(150)) for _ in range(n)]
+        texts.append(texts[0].rsplit(" ", 20)[0])
+        runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+        since = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+        members, _ = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert {m["doc_id"]: m["component"] for m in members.collect()} == {i: 0 if i == n else i for i in range(n + 1)}
+        seen[n] = _rows_joined_by_sig(spark, since)
+        assert seen["buckets"] <= seen[n] <= 5 * seen["buckets"]
+    assert seen[120] <= 3 * seen[60]

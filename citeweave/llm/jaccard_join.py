@@ -500,9 +500,10 @@ class _State:
             if wide.isEmpty():
                 self._compare(few, level)
                 break
-            led = self._merged(wide.transform(self._others).where(f"others <= {BUCKET}"), f"led{level}", f"o <= {BUCKET}", "top")
+            led = self.scratch.save(wide.transform(self._others).where(f"others <= {BUCKET}"), f"led{level}_open")
+            led = self._merged(led, f"led{level}", f"o <= {BUCKET}", "top")
             self._compare(few.union(self._led(led)), level)
-            rest = self.open(wide).transform(self._others).where(f"others > {BUCKET}")
+            rest = self.scratch.save(self.open(wide).transform(self._others).where(f"others > {BUCKET}"), f"rest{level}_open")
             if rest.isEmpty():
                 break
             rest = self._merged(rest, f"rest{level}")

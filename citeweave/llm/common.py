@@ -81,10 +81,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _statement(spark: SparkSession):
-    """Settings of the statements inside: shuffle files go as soon as each has ended, and Arrow batches are short, as a
-    row may hold a long text or a whole set."""
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+def _settings(spark: SparkSession, own: dict[str, str]):
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
@@ -95,6 +92,18 @@ def _statement(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _statement(spark: SparkSession):
+    """Settings of the statements inside: shuffle files go as soon as each has ended, and Arrow batches are short, as a
+    row may hold a long text or a whole set."""
+    return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"})
+
+
+def long_sql(spark: SparkSession):
+    """Settings while long SQL expressions are parsed: what the parser has learnt from them goes after each. Else the driver
+    holds it for good, tens of MB for deeply nested ones, and its heap grows by a multiple of that."""
+    return _settings(spark, {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "1000"})
+
+
 class Scratch:
     """Tables written to the shared folder: they cut the lineage and outlive lost executors.
 

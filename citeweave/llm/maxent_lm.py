@@ -12,6 +12,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,19 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % (CLASSES * SHARED)
 
 
+class _Numbers(dict):
+    """Numbers of a chunk's distinct words, given as they are met, with their hashes (words) and endings (ends). Number 0 is the end."""
+
+    def __init__(self):
+        self.words, self.ends = [_END], [ending(b"\n<end>")]
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(xxhash.xxh3_64_intdigest(word))
+        self.ends.append(ending(word))
+        return n
+
+
 def _encode(docs: DataFrame, parts: int) -> DataFrame:
     """Chunks of documents as numbers of their distinct words, and these words' training counts by part of the vocabulary.
 
@@ -77,12 +91,12 @@ def _encode(docs: DataFrame, parts: int) -> DataFrame:
         state: dict = {}
 
         def restart():
-            state.update(ids=[], held=[], sizes=[], tokens=[], seen={}, words=[_END], ends=[ending(b"\n<end>")], chars=0)
+            state.update(ids=[], held=[], sizes=[], tokens=[], seen=_Numbers(), chars=0)
 
         def finish() -> Iterator[pa.RecordBatch]:
             nonlocal number
             tokens = np.concatenate(state["tokens"])
-            words, ends = np.array(state["words"], np.uint64), np.array(state["ends"], np.uint16)
+            words, ends = np.array(state["seen"].words, np.uint64), np.array(state["seen"].ends, np.uint16)
             train = np.repeat(~np.array(state["held"], bool), state["sizes"])
             count = np.bincount(tokens[train], minlength=len(words)).astype(np.uint64)
             chunk = task << 24 | number
@@ -110,19 +124,13 @@ def _encode(docs: DataFrame, parts: int) -> DataFrame:
 
         restart()
         for keys, texts in text_chunks(pairs(), 2 << 20):
-            seen = state["seen"]
             split = [t.encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).split() for t in texts]
-            for w in set().union(*split).difference(seen):
-                seen[w] = len(state["words"])
-                state["words"].append(xxhash.xxh3_64_intdigest(w))
-                state["ends"].append(ending(w))
-            for k, ws in zip(keys, split):
-                tokens = np.zeros(len(ws) + 1, np.uint32)  # the last is the end, word 0
-                tokens[:-1] = np.fromiter(map(seen.__getitem__, ws), np.uint32, len(ws))
-                state["ids"].append(k["d"])
-                state["held"].append(k["h"])
-                state["sizes"].append(len(tokens))
-                state["tokens"].append(tokens)
+            sizes = np.fromiter(map(len, split), np.int64, len(split))
+            numbers = np.fromiter(map(state["seen"].__getitem__, chain.from_iterable(split)), np.uint32, sizes.sum())
+            state["tokens"].append(np.insert(numbers, np.cumsum(sizes), 0))  # each text's last token is the end
+            state["ids"] += [k["d"] for k in keys]
+            state["held"] += [k["h"] for k in keys]
+            state["sizes"] += (sizes + 1).tolist()
             state["chars"] += sum(map(len, texts))
             if state["chars"] >= CHUNK_CHARS:
                 yield from finish()
@@ -254,23 +262,33 @@ def _leaf_rows(before: np.ndarray, kind: np.ndarray, n_rows: int) -> np.ndarray:
 
 
 def _forward(model: Model, weights: np.ndarray, leaf_weights: np.ndarray, rows: np.ndarray, leaf_rows: np.ndarray, kind: np.ndarray):
-    """Probabilities of classes, and of leaves in the token's class (kind); few tokens at a time, as many as stay in cache."""
-    n = len(kind)
-    classes, leaves = np.empty((n, weights.shape[1]), np.float32), np.empty((n, leaf_weights.shape[1]), np.float32)
-    for at in range(0, n, CACHED):
+    """Of tokens (rows), probabilities of classes; of words before in a class (leaf_rows, kind), those of leaves. Few at a time, as
+    many as stay in cache."""
+    classes, leaves = np.empty((rows.shape[1], weights.shape[1]), np.float32), np.empty((len(kind), leaf_weights.shape[1]), np.float32)
+    for at in range(0, len(classes), CACHED):
         k = slice(at, at + CACHED)
-        c, x = classes[k], leaves[k]
+        c = classes[k]
         np.take(weights, rows[0, k], axis=0, out=c, mode="clip")
         c += weights[rows[1, k]]
         c += weights[rows[2, k]]
         c += model.class_bias
+        _softmax(c)
+    for at in range(0, len(leaves), CACHED):
+        k = slice(at, at + CACHED)
+        x = leaves[k]
         np.take(leaf_weights, leaf_rows[k], axis=0, out=x, mode="clip")
         x += model.leaf_bias[kind[k]]
-        _softmax(c)
         _softmax(x)
     return classes, leaves
 
 
+def _alike(leaf_rows: np.ndarray, kind: np.ndarray):
+    """Tokens whose leaves have the same probabilities, as they share row and class: (row, class, tokens) of each group, sorted by
+    row, and each token's group."""
+    key, group, n = np.unique(leaf_rows * CLASSES + kind, return_inverse=True, return_counts=True)
+    return key // CLASSES, key % CLASSES, n, group
+
+
 def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of runs of rows that begin at `starts`, pair by pair; x is used up."""
     sizes = np.diff(np.r_[starts, len(x)])
@@ -315,13 +333,13 @@ def _train(chunks: DataFrame, model, tasks: int) -> DataFrame:
                     rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)), len(tables[0]))
                     place = places[tokens[at : at + STEP][use]]
                     leaf_rows = _leaf_rows(before[use], place // n_leaves, len(tables[1]))
-                    order = np.argsort(leaf_rows, kind="stable")  # those of one row of leaf weights follow each other
-                    place, leaf_rows, r = place[order], leaf_rows[order], rows[:, use[order]]
-                    classes, leaves = _forward(m, tables[0], tables[1], r, leaf_rows, place // n_leaves)
-                    here = np.arange(len(use))
-                    classes[here, place // n_leaves] -= 1
-                    leaves[here, place % n_leaves] -= 1
-                    # Gradients of equal rows are summed: class by class, over numbers of the rows met, and by runs for leaves.
+                    leaf_rows, kinds, alike, group = _alike(leaf_rows, place // n_leaves)
+                    r = rows[:, use]
+                    classes, leaves = _forward(m, tables[0], tables[1], r, leaf_rows, kinds)
+                    classes[np.arange(len(use)), place // n_leaves] -= 1
+                    leaves *= alike[:, None].astype(np.float32)
+                    np.subtract.at(leaves.ravel(), group * n_leaves + place % n_leaves, np.float32(1))
+                    # Gradients of equal rows are summed: class by class, over numbers of the rows met, and by runs of groups for leaves.
                     r = r.ravel()
                     nth = np.arange(len(r), dtype=np.int32)
                     slot[r] = nth
@@ -334,7 +352,7 @@ def _train(chunks: DataFrame, model, tasks: int) -> DataFrame:
                     starts = np.flatnonzero(np.r_[True, leaf_rows[1:] != leaf_rows[:-1]])
                     leaf_hit = leaf_rows[starts]
                     leaf_g = _sums(leaves, starts)
-                    for t, where, grad, n in ((0, hit, g, count), (1, leaf_hit, leaf_g, np.diff(np.r_[starts, len(order)]))):
+                    for t, where, grad, n in ((0, hit, g, count), (1, leaf_hit, leaf_g, np.add.reduceat(alike, starts))):
                         grown[t][where] += np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
                         grad *= (np.float32(RATE) / np.sqrt(grown[t][where] + np.float32(1e-2)))[:, None]
                         tables[t][where] -= grad
@@ -390,9 +408,9 @@ def _score(chunks: DataFrame, model, key: str) -> DataFrame:
                     place = places[tokens[k]]
                     rows, before = _features(words, tokens, first, at, min(at + STEP, len(tokens)), len(m.weights))
                     kind = place // n_leaves
-                    classes, leaves = _forward(m, m.weights, m.leaf_weights, rows, _leaf_rows(before, kind, len(m.leaf_weights)), kind)
-                    here = np.arange(len(place))
-                    value[k] += np.log10(np.maximum(classes[here, kind].astype(np.float64) * leaves[here, place % n_leaves], 1e-30))
+                    leaf_rows, kinds, _, group = _alike(_leaf_rows(before, kind, len(m.leaf_weights)), kind)
+                    classes, leaves = _forward(m, m.weights, m.leaf_weights, rows, leaf_rows, kinds)
+                    value[k] += np.log10(np.maximum(classes[np.arange(len(place)), kind].astype(np.float64) * leaves[group, place % n_leaves], 1e-30))
                 starts = np.cumsum(sizes) - sizes
                 out = [
                     pa.array(row["ids"], b.schema.field("ids").type.value_type), pa.array(row["held"], pa.bool_()), pa.array(sizes),

@@ -98,10 +98,13 @@ def _statement(spark: SparkSession):
     return _settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"})
 
 
+@contextmanager
 def long_sql(spark: SparkSession):
-    """Settings while long SQL expressions are parsed: what the parser has learnt from them goes after each. Else the driver
-    holds it for good, tens of MB for deeply nested ones, and its heap grows by a multiple of that."""
-    return _settings(spark, {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "1000"})
+    """Settings while long SQL expressions are parsed: what the parser has learnt from them goes after each, and its garbage at
+    the end. Else the driver holds it for good, tens of MB for deeply nested ones, and its heap grows by a multiple of that."""
+    with _settings(spark, {"spark.sql.parser.manageParserCaches": "true", "spark.sql.parser.parserDfaCacheFlushThreshold": "1000"}):
+        yield
+    forget(spark)
 
 
 class Scratch:
